@@ -78,5 +78,5 @@ def cut_table(df: DataFrame) -> DataFrame:
     """
     cut_folder(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -127,7 +127,8 @@ def marked(docs: DataFrame, window: int) -> DataFrame:
     ``line`` (the words) and ``runs`` (array of struct<place, anchor, n>).
     """
     every = cut_table(runs(docs, window))
-    counts = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own: a join of two plain scans is one that can be split where it is skewed
+    counts = cut_table(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     own = every.join(counts, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "n")).alias("runs"))
     joined = docs.join(own, "doc_id", "left").select("doc_id", "text", "runs")
 
