@@ -48,29 +48,46 @@ def _covered(starts: Column, n: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + n - 1))))
 
 
+def _with_lines(docs: DataFrame, n: int) -> tuple[DataFrame, list[Column]]:
+    """docs' columns under other names, with ``lines``, ``gone`` and ``kept``; and how to get docs' columns from it."""
+    own = [f"doc_{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, own, strict=True))
+    found = repeats(docs.select("doc_id", "text"), n).select(F.col("doc_id").alias("id"), _covered(F.col("starts"), n).alias("gone"))
+    joined = docs.toDF(*own).join(found, F.col(of["doc_id"]) == F.col("id"), "left").withColumn("lines", F.split(of["text"], "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col(of["text"])).otherwise(kept)
+    return joined, [(text if c == "text" else F.col(of[c])).alias(c) for c in docs.columns]
+
+
 def deduplicate(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs with repeated lines removed from ``text``; all other columns as they are.
 
-    Two columns are added, ``n_lines`` and ``n_removed``. A null text has no lines and
-    stays null; an empty one has one line, and texts of fewer than ``n`` lines never
-    change. Rows with a null ``doc_id`` have no place in the order and stay as they are.
-    Rows that share an id count as one document's repeats of each other at equal lines:
-    none is removed for another row of its own id at the same line. An empty table
-    gives an empty one.
+    Columns of any name may stand beside ``doc_id`` and ``text``. A null text stays
+    null, and texts of fewer than ``n`` lines never change. Rows with a null ``doc_id``
+    have no place in the order and stay as they are. Rows that share an id count as one
+    document's repeats of each other at equal lines: none is removed for another row of
+    its own id at the same line. An empty table gives an empty one.
+    """
+    joined, columns = _with_lines(docs, n)
+    return joined.select(*columns)
+
+
+def report(docs: DataFrame, n: int = WINDOW) -> DataFrame:
+    """``doc_id``, ``text`` (what stays), ``n_lines``, ``n_removed`` of every row of docs.
+
+    A null text has no lines, an empty one has one; all else is as in ``deduplicate``.
     """
-    found = repeats(docs, n).select(F.col("doc_id").alias("_id"), _covered(F.col("starts"), n).alias("_gone"))
-    joined = docs.join(found, docs["doc_id"] == found["_id"], "left").withColumn("_lines", F.split(docs["text"], "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    joined, columns = _with_lines(docs.select("doc_id", "text"), n)
     return joined.select(
-        *(F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *columns,
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = report(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", sha256_of(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
