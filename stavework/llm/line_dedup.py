@@ -24,7 +24,7 @@ WINDOW = 3
 
 def windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """``doc_id``, ``line`` (from 0) and the two hashes ``h1``, ``h2`` of each window."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.trim(line))
     at = F.when(F.size("lines") >= n, F.sequence(F.lit(0), F.size("lines") - n)).otherwise(F.expr("cast(array() as array<int>)"))
     joined = lambda i: F.array_join(F.slice(F.col("lines"), i + 1, n), "\n")
     spread = docs.select("doc_id", lines.alias("lines")).select("doc_id", F.posexplode(F.transform(at, joined)).alias("line", "window"))
