@@ -60,11 +60,12 @@ def toss(label: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (place << np.uint8(1)) | ((label & low) != 0).astype(np.uint8)
 
 
-def parse(points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(names, owners, spans in characters) of each level's phrases, from level one on.
+def parse(points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(names, owners, spans in characters, last) of each level's phrases.
 
-    points: all texts' code points in a row; owner: their text numbers, ascending. Ends
-    with a level on which every text is one symbol.
+    points: all texts' code points in a row; owner: their text numbers, ascending. A text
+    that has become one symbol is given with ``last`` and takes no part in further
+    levels, so that its phrases don't depend on the texts around it.
     """
     names, spans = (points.astype(np.uint64) + _U(1)) * _POWERS[0], np.ones(len(points), dtype=np.int64)
     while len(names):
@@ -81,9 +82,13 @@ def parse(points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, n
         first = np.empty(len(names), dtype=bool)
         first[0] = True
         first[1:] = owner[1:] != owner[:-1]
-        if first.all():
-            yield names, owner, spans
-            return
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        if alone.any():
+            yield names[alone], owner[alone], spans[alone], True
+            names, owner, spans, first = (x[~alone] for x in (names, owner, spans, first))
+            if not len(names):
+                return
         begins = np.flatnonzero(first)
         label = toss(names, begins)
         for _ in range(TOSSES - 1):
@@ -101,7 +106,7 @@ def parse(points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, n
         place = np.arange(len(names)) - np.repeat(at, np.diff(np.r_[at, len(names)]))
         names = mix(np.add.reduceat(names * _POWERS[np.minimum(place, 63)], at))
         owner, spans = owner[at], np.add.reduceat(spans, at)
-        yield names, owner, spans
+        yield names, owner, spans, False
 
 
 def sketches(texts: list[str]) -> np.ndarray:
@@ -114,17 +119,13 @@ def sketches(texts: list[str]) -> np.ndarray:
         points = np.frombuffer("".join(texts[start:stop]).encode("utf-32-le"), dtype=np.uint32)
         flat = out[start:stop].reshape(-1)
         owner = np.repeat(np.arange(stop - start), sizes[start:stop])
-        level = (points, owner, np.zeros(0))
         done = np.zeros(stop - start, dtype=bool)
-        for level in parse(points, owner):
-            names, own, spans = level
-            wide = np.flatnonzero(spans >= SPAN)
+        for names, own, spans, last in parse(points, owner):
+            wide = spans >= SPAN
+            if last:  # one name for each text that has none
+                wide |= ~done[own]
             _add(flat, names[wide], own[wide])
             done[own[wide]] = True
-        names, own, _ = level
-        if len(points):  # one name for each text that is left
-            rest = ~done[own]
-            _add(flat, names[rest], own[rest])
         start = stop
     return out
 
