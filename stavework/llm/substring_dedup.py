@@ -181,18 +181,22 @@ def shard_firsts(rows: list[tuple[bytes, object, int, int]], window: int) -> lis
     """First windows among segments.
 
     rows: (content, doc_id, start, windows to judge as bits). Returns (doc_id, start,
-    first windows as bits) of each distinct content's first place.
+    first windows as bits) of each distinct content's first place. A content that comes
+    in several parts, with other windows to judge in each, is indexed once.
     """
-    places: dict[tuple[bytes, int], tuple[object, int]] = {}
+    places: dict[bytes, tuple[object, int]] = {}
+    judges: dict[bytes, int] = {}
     for content, doc_id, start, judge in rows:
         now = (doc_id, start)
-        if (old := places.get((content, judge))) is None or now < old:
-            places[content, judge] = now
+        if (old := places.get(content)) is None or now < old:
+            places[content] = now
+        judges[content] = judges.get(content, 0) | judge
     order = sorted(places.items(), key=lambda x: x[1])
     number: dict[bytes, int] = {}
     text, queries, offsets = [], [], []
     size = 0
-    for (content, judge), _ in order:
+    for content, _ in order:
+        judge = judges[content]
         ids = [number.setdefault(w, len(number) + 1) for w in content.split(b" ")]
         text.extend(ids)
         text.append(SEPARATOR)
