@@ -138,9 +138,10 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) -> tu
 
 def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
     """Rules and weights for statistics ``x`` (rows by NAMES) and labels ``y``."""
+    share = (y.sum() + 1) / (len(y) + 2)
+    constant = Ensemble([], [], float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
-        return Ensemble([], [], float(np.log(share / (1 - share))))
+        return constant
     cuts = []
     for k in range(x.shape[1]):
         levels = np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1], method="lower"))
@@ -152,6 +153,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
         paths, predicted = grow(x, y - p, cuts)
         rules |= dict.fromkeys(paths)
         margin += SHRINK * predicted / max(1e-3, float((p * (1 - p)).mean()))
+    if not rules:  # too few rows to split
+        return constant
     every = list(rules)
     weights, bias = lasso(np.stack([holds(r, x) for r in every], axis=1).astype(float), y, LASSO)
     stay = np.flatnonzero(np.abs(weights) > 1e-6)
