@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -21,7 +22,7 @@ def merge_shards(spark: SparkSession, shards: str, target: str, schema: StructTy
     def merge(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         old = latest(own, target, schema, before=number)
-        one_of_each(old.unionByName(batch), keys, batch[order].desc()).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        one_of_each(old.unionByName(batch), keys, F.desc(order)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(shards)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
