@@ -57,3 +57,38 @@ def chunk_spans(total: Column, chunk: int, overlap: int) -> Column:
         lambda k: F.struct((k * hop).cast("long").alias("start"), F.least(k * hop + chunk, total).cast("long").alias("end")),
     )
     return F.when(total > 0, spans).otherwise(F.expr("cast(array() as array<struct<start: long, end: long>>)"))
+
+
+def matched_onsets(reference: Column, rendered: Column, tolerance: float) -> Column:
+    """How many reference onsets find a partner, one to one.
+
+    In ascending order each looks only at its nearest unused candidate (the earlier of
+    two as near) and takes it if that is within the tolerance. Null arrays are empty.
+    """
+    none = F.expr("cast(array() as array<double>)")
+    sorted_ = lambda a: F.array_sort(F.coalesce(a.cast("array<double>"), none))
+    candidates = F.transform(sorted_(rendered), lambda c, i: F.struct(c.alias("at"), i.alias("i")))
+    start = F.struct(candidates.alias("left"), F.lit(0).cast("long").alias("n"))
+
+    def step(state: Column, onset: Column) -> Column:
+        nearest = F.array_min(F.transform(state.left, lambda c: F.struct(F.abs(c["at"] - onset).alias("d"), c.i.alias("i"))))
+        hit = F.coalesce(nearest.d <= tolerance, F.lit(False))
+        return F.struct(
+            F.when(hit, F.filter(state.left, lambda c: c.i != nearest.i)).otherwise(state.left).alias("left"),
+            (state.n + hit.cast("long")).alias("n"),
+        )
+
+    return F.aggregate(sorted_(reference), start, step, lambda s: s.n)
+
+
+def f1(matched: Column, n_reference: Column, n_rendered: Column) -> Column:
+    """Harmonic mean of precision and recall; 1 if both sides are empty, 0 without a match."""
+    precision, recall = matched / F.greatest(n_rendered, F.lit(1)), matched / F.greatest(n_reference, F.lit(1))
+    score = F.when(matched > 0, 2.0 * precision * recall / (precision + recall)).otherwise(0.0)
+    return F.when((n_reference == 0) & (n_rendered == 0), 1.0).otherwise(score)
+
+
+def active_onsets(onsets: Column, active: Column, rate: int) -> Column:
+    """Onsets (seconds) whose nearest sample, clamped to the mask, is active."""
+    at = lambda t: F.least(F.greatest(F.bround(t * rate, 0).cast("int"), F.lit(0)), F.size(active) - 1)
+    return F.filter(onsets, lambda t: F.coalesce(F.get(active, at(t)), F.lit(False)))

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavework.functions import arrays, names, scale
-from stavework.operators import profile, ratings, rules, sampling, sequences, tables, votes
+from stavework.functions import arrays, names, recipe, scale
+from stavework.operators import profile, ratings, rules, samples, sampling, selection, sequences, tables, verification, votes
 from stavework.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,3 +613,150 @@ def blinded_order(spark: SparkSession, d: str) -> DataFrame:
 def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
     return sampling.distinct_songs_first(orders, "o_orderpriority", "o_custkey", 5, 7, "o_orderkey")
+
+
+# ---- onsets, windows and samples
+
+
+@named("""
+WITH RECURSIVE p AS (
+  SELECT vec_id, list_sort(list_transform(embedding[1:32], lambda x: x::DOUBLE)) AS refs,
+    list_transform(list_sort(list_transform(embedding[33:64], lambda x: x::DOUBLE)), lambda x, i: {'at': x, 'i': i}) AS cands FROM embeddings),
+s AS (
+  SELECT vec_id, refs, cands AS rest, 1::BIGINT AS k, 0::BIGINT AS n FROM p
+  UNION ALL
+  SELECT vec_id, refs, CASE WHEN best.d <= 0.01 THEN list_filter(rest, lambda c: c.i <> best.i) ELSE rest END, k + 1, n + coalesce(best.d <= 0.01, false)::INT FROM (
+    SELECT *, list_sort(list_transform(rest, lambda c: {'d': abs(c.at - refs[k]), 'i': c.i}))[1] AS best FROM s WHERE k <= 32))
+SELECT vec_id, n AS matched, CASE WHEN n > 0 THEN 2.0::DOUBLE * (n / 32) * (n / 32) / (n / 32 + n / 32) ELSE 0.0 END::DOUBLE AS f1 FROM s WHERE k = 33
+""")
+def onset_match(spark: SparkSession, d: str) -> DataFrame:
+    halves = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    matched = halves.select("vec_id", arrays.matched_onsets(F.col("a"), F.col("b"), 0.01).alias("matched"), F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    return matched.select("vec_id", "matched", arrays.f1(F.col("matched"), F.col("n_a"), F.col("n_b")).alias("f1"))
+
+
+@named("""
+WITH w AS (SELECT user_id, epoch_us(ts) AS s, value AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+a AS (SELECT user_id, s FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, s) = 1),
+b AS (SELECT w.user_id, w.s FROM w JOIN a ON w.user_id IS NOT DISTINCT FROM a.user_id WHERE abs(w.s - a.s) >= 86400000000
+  QUALIFY row_number() OVER (PARTITION BY w.user_id ORDER BY w.v DESC, w.s) = 1),
+c AS (SELECT w.user_id, w.s FROM w JOIN a ON w.user_id IS NOT DISTINCT FROM a.user_id JOIN b ON w.user_id IS NOT DISTINCT FROM b.user_id
+  WHERE abs(w.s - a.s) >= 86400000000 AND abs(w.s - b.s) >= 86400000000 QUALIFY row_number() OVER (PARTITION BY w.user_id ORDER BY w.v DESC, w.s) = 1)
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY s) - 1)::INT AS index, s AS start FROM (FROM a UNION ALL FROM b UNION ALL FROM c)
+""")
+def windows_apart(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), "value")
+    return selection.best_apart(events, "user_id", "start", "value", 3, 86_400_000_000)
+
+
+@named("""
+WITH x AS (SELECT vec_id, k, last, s, e, unnest(range(s, e)) AS pos, embedding
+  FROM embeddings, (VALUES (0, false, 0, 24), (1, false, 16, 40), (2, false, 32, 56), (3, true, 48, 64)) AS spans(k, last, s, e)),
+y AS (SELECT vec_id, pos, embedding[pos + 1]::DOUBLE * (k + 1) AS v, least(CASE WHEN k > 0 AND pos - s < 8 THEN (pos - s) / 7 ELSE 1.0::DOUBLE END,
+  CASE WHEN NOT last AND e - pos <= 8 THEN (e - 1 - pos) / 7 ELSE 1.0::DOUBLE END) AS w FROM x)
+SELECT vec_id, pos, sum(v * w) / greatest(sum(w), 1e-8::DOUBLE) AS value FROM y GROUP BY ALL
+""")
+def chunk_stitch(spark: SparkSession, d: str) -> DataFrame:
+    spans = F.posexplode(arrays.chunk_spans(F.size("embedding"), 24, 8))
+    cut = table(spark, d, "embeddings").select("vec_id", "embedding", spans.alias("chunk", "span")).select("vec_id", "chunk", "embedding", "span.*")
+    louder = F.transform(F.slice("embedding", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), lambda v: v.cast("double") * (F.col("chunk") + 1))
+    chunks = cut.select("vec_id", "chunk", (F.col("end") == F.size("embedding")).alias("last"), "start", "end", louder.alias("samples"))
+    return samples.stitch(chunks, "vec_id", 8)
+
+
+@named("""
+WITH y AS (SELECT vec_id, pos, embedding[pos + 1]::DOUBLE AS v, CASE WHEN pos < 20 THEN abs(embedding[pos + 1]::DOUBLE) ELSE 0.0 END >= pow(10, -1.0) AS active
+  FROM (SELECT vec_id, embedding, unnest(range(64)) AS pos FROM embeddings)),
+loud AS (SELECT vec_id, k FROM y, range(7) r(k) WHERE pos >= 8 * k AND pos < 8 * k + 16 GROUP BY ALL HAVING 20 * log10(max(abs(v)) + 1e-10) >= -20),
+covered AS (SELECT DISTINCT y.vec_id, y.pos FROM y JOIN loud l ON l.vec_id = y.vec_id AND pos >= 8 * k AND pos < 8 * k + 16),
+m AS (SELECT y.*, c.pos IS NOT NULL AND NOT active AND NOT bool_or(active) OVER (PARTITION BY y.vec_id ORDER BY y.pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS silent
+  FROM y LEFT JOIN covered c USING (vec_id, pos)),
+e AS (SELECT *, coalesce(lag(silent) OVER (PARTITION BY vec_id ORDER BY pos), false) AS before FROM m),
+f AS (SELECT *, max(CASE WHEN silent AND NOT before THEN pos END) OVER r AS up, max(CASE WHEN before AND NOT silent THEN pos END) OVER r AS down
+  FROM e WINDOW r AS (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+SELECT vec_id, pos, silent, CASE WHEN down IS NOT NULL THEN v * ((pos - down + 1) / 6) WHEN up IS NOT NULL THEN v * (1.0::DOUBLE - (pos - up + 1) / 6)
+  WHEN silent THEN 0.0::DOUBLE ELSE v END AS value FROM f
+""")
+def silence_enforcement(spark: SparkSession, d: str) -> DataFrame:
+    quiet_end = F.concat(F.slice("embedding", 1, 20), F.array_repeat(F.lit(0.0).cast("float"), 44))
+    waves = table(spark, d, "embeddings").select("vec_id", quiet_end.alias("dry"), F.col("embedding").alias("wet"))
+    masked = samples.hallucinated(samples.paired_samples(waves, "vec_id", "dry", "wet"), "vec_id", 16, 8, -20.0, 4)
+    return samples.enforce_silence(masked, "vec_id", 6).select("vec_id", "pos", "silent", "value")
+
+
+@named()
+def quota_sample(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("category"))
+    return selection.fill_quotas(lines, "l_orderkey", "category", ("AF", "AO", "NF", "NO", "RF", "RO"), 50, 400, 43)
+
+
+# ---- recipes and verification documents
+
+CONDITION_IDS = ("basic", "basic_realify", "slakh", "slakh_realify", "ddsp_basic", "ddsp_basic_realify", "ddsp_slakh", "ddsp_slakh_realify", "other")
+
+
+@named(f"""
+WITH c AS (SELECT o_orderkey, ({list(CONDITION_IDS)})[(o_orderkey % {len(CONDITION_IDS)} + 1)::INT] AS condition FROM orders)
+SELECT o_orderkey, condition, CASE WHEN condition <> 'other' THEN CASE WHEN condition LIKE 'ddsp%' THEN 'midi-ddsp' ELSE split_part(condition, '_', 1) END END AS method,
+  CASE WHEN condition <> 'other' THEN suffix(condition, '_realify') END AS realify,
+  CASE WHEN condition <> 'other' THEN CASE WHEN contains(condition, 'slakh') THEN 'slakh' ELSE 'basic' END END AS fallback FROM c
+""")
+def condition_expansion(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.array(*(F.lit(c) for c in CONDITION_IDS))
+    rows = table(spark, d, "orders").select("o_orderkey", F.get(ids, (F.col("o_orderkey") % len(CONDITION_IDS)).cast("int")).alias("condition"))
+    parts = rows.withColumn("_p", recipe.condition_parts(F.col("condition")))
+    return parts.select("o_orderkey", "condition", "_p.method", "_p.realify", "_p.fallback")
+
+
+def _verified(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each order: one entry for each line status, its lines as stems."""
+    flagged = F.col("l_quantity") > 25
+    entry = (
+        table(spark, d, "lineitem")
+        .groupBy("l_orderkey", F.col("l_linestatus").alias("category"))
+        .agg(
+            F.array_sort(F.collect_set(F.when(flagged, F.col("l_returnflag")))).alias("approved"),
+            F.max("l_returnflag").alias("winner_variant_id"),
+            F.lit(False).alias("bypass_realify"),
+            F.collect_list(F.struct(F.col("l_linenumber").alias("id"), (F.col("l_tax") > 0.04).alias("bypass_realify"))).alias("stems"),
+        )
+    )
+    fields = ("category", "approved", "winner_variant_id", "bypass_realify", "stems")
+    documents = entry.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("categories"))
+    return verification.entries(documents, "l_orderkey")
+
+
+@named("SELECT l_orderkey, l_linestatus AS category, max(l_returnflag) AS winner_variant_id FROM lineitem GROUP BY ALL HAVING max(l_returnflag) <> ''")
+def verified_winners(spark: SparkSession, d: str) -> DataFrame:
+    return verification.winners(_verified(spark, d), "l_orderkey")
+
+
+@named("SELECT l_orderkey, l_linestatus AS category, list_sort(list(DISTINCT l_returnflag)) AS approved FROM lineitem WHERE l_quantity > 25 GROUP BY ALL")
+def verified_shortlists(spark: SparkSession, d: str) -> DataFrame:
+    return verification.shortlists(_verified(spark, d), "l_orderkey")
+
+
+@named("""
+SELECT l_orderkey, l_linestatus AS category, CASE count(*) FILTER (l_tax > 0.04) WHEN count(*) THEN 'all' WHEN 0 THEN 'none' ELSE 'part' END AS bypassed
+FROM lineitem GROUP BY ALL
+""")
+def verified_bypass(spark: SparkSession, d: str) -> DataFrame:
+    return verification.bypass(_verified(spark, d), "l_orderkey")
+
+
+@named("""
+WITH e AS (SELECT l_orderkey, l_linestatus AS category, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus)::INT - 1 AS position,
+  coalesce(list(l_returnflag) FILTER (l_quantity > 25), []) AS approved, max(l_returnflag) AS winner FROM lineitem GROUP BY l_orderkey, l_linestatus)
+SELECT l_orderkey, position, category || ': approve at least one variant' AS error FROM e WHERE len(approved) = 0
+UNION ALL SELECT l_orderkey, position, category || ': winner must be among approved variants' FROM e WHERE NOT list_contains(approved, winner)
+""")
+def verification_errors(spark: SparkSession, d: str) -> DataFrame:
+    return verification.errors(_verified(spark, d), "l_orderkey")
+
+
+@named("""
+SELECT l_orderkey, l_linenumber, CASE WHEN bool_and(l_tax > 0.01) OVER (PARTITION BY l_orderkey) THEN l_tax ELSE l_discount END AS scale FROM lineitem
+""")
+def persisted_or_derived(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("stored"), "l_discount")
+    return selection.persisted_or_derived(lines, "l_orderkey", "stored", "l_discount").select("l_orderkey", "l_linenumber", "scale")
