@@ -48,12 +48,36 @@ CLOSES |= {t: ({"p"}, {"td", "th", "button", "caption", "table", "object"}) for
 AFTER_HEAD = BLOCKS - {"html"} | frozenset("a b i span em strong img br".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_HIDING = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: A declaration of a style: semicolons in strings and brackets don't end it.
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))++")
+_HIDING = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_NUMBER = {"start": re.compile(r"\bstart\s*=\s*[\"']?\s*(-?\d+)", re.I), "colspan": re.compile(r"\bcolspan\s*=\s*[\"']?\s*(\d+)", re.I)}
+_NUMBER = re.compile(r"\s*([-+]?\d+)")
 DEEPEST = 200
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """A tag's attributes by lower-case name; of a repeated one the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        if name:
+            found.setdefault(name.lower(), unescape("".join(values)))
+    return found
+
+
+def style_hides(style: str) -> bool:
+    """Whether display or visibility hides; the last declaration counts, important ones first."""
+    last: dict[str, tuple[bool, bool]] = {}
+    for declaration in _DECLARATION.findall(_COMMENT.sub("", style)):
+        name, _, value = declaration.partition(":")
+        name, (value, mark, _) = name.strip().lower(), value.lower().partition("!")
+        if name in _HIDING and (mark or not last.get(name, (False, False))[0]):
+            last[name] = bool(mark), value.strip() in _HIDING[name]
+    return any(hides for _, hides in last.values())
+
+
 class Element:
     """An element with its children: strings and elements."""
 
@@ -61,12 +85,12 @@ class Element:
 
     def __init__(self, name: str, attributes: str = ""):
         self.name = name
-        self.attributes = attributes
+        self.attributes = attributes_of(attributes) if attributes else {}
         self.children: list[Element | str] = []
-        self.hidden = name in HIDDEN or bool(attributes and _HIDING.search(attributes))
+        self.hidden = name in HIDDEN or "hidden" in self.attributes or style_hides(self.attributes.get("style", ""))
 
     def number(self, attribute: str, default: int) -> int:
-        found = _NUMBER[attribute].search(self.attributes) if self.attributes else None
+        found = _NUMBER.match(self.attributes.get(attribute, ""))
         return int(found[1][:6]) if found else default
 
 

@@ -124,6 +124,24 @@ def test_pages(html, text):
     assert html_text.visible_text(html) == text
 
 
+SHOWN = [
+    'title="a hidden gem in town"',
+    'class="hidden lg:block"',
+    'style="overflow: hidden !important"',
+    """onclick="x.style='display:none'" """,
+    'style="--display:none; content: \'; display:none\'"',
+    'style="display:none; display:block"',
+    'data-hidden=1 alt=hidden',
+]
+NOT_SHOWN = ["hidden", "HIDDEN=''", "class=x hidden", "class='x'hidden", "style=display:none", 'style="color:red; Display : NONE !important; display:block"', "style='visibility:collapse'", "style='display:&#110;one'"]
+
+
+@pytest.mark.parametrize("attributes", SHOWN + NOT_SHOWN)
+def test_only_hidden_and_style_hide(attributes):
+    shown = html_text.visible_text(f"<div>a</div><div {attributes}>b<p>c</p></div>")
+    assert shown == ("a\nb\n\nc" if attributes in SHOWN else "a")
+
+
 def test_pages_of_any_shape_end(spark):
     rows = [(1, None), (2, "<div>" * 5_000 + "deep"), (3, "<" * 20_000), (4, "<table>" * 300 + "x"), (4, "<td>" * 50), (None, "<p>n")]
     got = html_text.extract(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, html string, text string")).collect()
