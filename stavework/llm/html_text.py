@@ -11,7 +11,8 @@ table's columns are padded to the same width.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -55,7 +56,8 @@ _DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*
 _HIDING = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NUMBER = re.compile(r"\s*([-+]?\d+)")
-DEEPEST = 200
+#: A step of the layout: yields the steps that it needs and is sent their results.
+Step = Generator["Step", object, object]
 
 
 def attributes_of(raw: str) -> dict[str, str]:
@@ -91,22 +93,31 @@ class Element:
 
     def number(self, attribute: str, default: int) -> int:
         found = _NUMBER.match(self.attributes.get(attribute, ""))
-        return int(found[1][:6]) if found else default
+        return int(found[1]) if found and len(found[1]) <= 10 else default  # browsers take 32 bits
 
 
 def build(html: str) -> Element:
     """The page's tree. Anything is accepted; tags that fit nowhere are left out."""
     root = Element("html")
     stack = [root]
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements below root, by name
     at, end = 0, len(html)
 
+    def push(element: Element) -> None:
+        depths[element.name].append(len(stack))
+        stack.append(element)
+
+    def deepest(names: set[str]) -> int:
+        return max((depths[name][-1] for name in names if depths.get(name)), default=0)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            depths[stack.pop().name].pop()
+
     def close_to(names: set[str], borders: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in borders:
-                return
+        depth = deepest(names)
+        if depth and depth >= deepest(borders):
+            cut(depth)
 
     def text(raw: str) -> None:
         if raw:
@@ -126,7 +137,7 @@ def build(html: str) -> Element:
             continue
         name = name.lower()
         if found[1]:  # an end tag
-            if name == "p" and all(e.name != "p" for e in stack):
+            if name == "p" and not deepest({"p"}):
                 stack[-1].children.append(Element("p"))
             elif name == "br":
                 stack[-1].children.append(Element("br"))
@@ -138,11 +149,11 @@ def build(html: str) -> Element:
         if name in CLOSES:
             close_to(*CLOSES[name])
         if name in AFTER_HEAD and len(stack) > 1 and stack[1].name == "head":
-            del stack[1:]
+            cut(1)
         if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):  # a cell without a row
             row = Element("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         element = Element(name, found[3])
         stack[-1].children.append(element)
         if name in RAW:
@@ -151,8 +162,8 @@ def build(html: str) -> Element:
             inner = html[at:stop]
             element.children.append(unescape(inner) if name in ("textarea", "title") else inner)
             at = close.end() if close else end
-        elif name not in VOID and len(stack) < DEEPEST:  # deeper elements become siblings
-            stack.append(element)
+        elif name not in VOID:
+            push(element)
     return root
 
 
@@ -214,13 +225,13 @@ class Layout:
         self.line = []
         self.space = False
 
-    def insert(self, lines: list[str], indent: str = "") -> None:
+    def insert(self, lines: list[str]) -> None:
         """Finished lines, as a block; the first takes a waiting marker."""
-        for k, line in enumerate(lines):
+        if lines:
             self._open()
-            lead = "".join(self.line)
+            self.lines.append(("".join(self.line) + lines[0]).rstrip(" "))
             self.line = []
-            self.lines.append((lead + line if k == 0 else indent + line if line else "").rstrip(" "))
+            self.lines.extend(lines[1:])
 
     def done(self) -> list[str]:
         self.end_line()
@@ -232,7 +243,20 @@ class Layout:
         return self.lines
 
 
-def render(element: Element, out: Layout, pre: bool = False) -> None:
+def finish(step: Step) -> object:
+    """A step's result. Steps wait on a list, so that depth has no limit."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as done:
+            waiting.pop()
+            result = done.value
+    return result
+
+
+def render(element: Element, out: Layout, pre: bool = False) -> Step:
     """Put an element's visible text into ``out``."""
     name = element.name
     if element.hidden:
@@ -244,12 +268,12 @@ def render(element: Element, out: Layout, pre: bool = False) -> None:
         return
     if name in ("ul", "ol", "menu"):
         out.block(True)
-        items(element, out)
+        yield items(element, out)
         out.block(True)
         return
     if name == "table":
         out.block(True)
-        out.insert(rows(element))
+        out.insert((yield rows(element)))
         out.block(True)
         return
     is_block = name in BLOCKS
@@ -260,23 +284,23 @@ def render(element: Element, out: Layout, pre: bool = False) -> None:
         if isinstance(child, str):
             out.verbatim(child) if pre else out.flow(child)
         else:
-            render(child, out, pre)
+            yield render(child, out, pre)
     if is_block:
         out.block(name in SPACED)
 
 
-def lines_of(children: list[Element | str]) -> list[str]:
+def lines_of(children: list[Element | str]) -> Step:
     """Children laid out apart."""
     out = Layout()
     for child in children:
         if isinstance(child, str):
             out.flow(child)
         else:
-            render(child, out)
+            yield render(child, out)
     return out.done()
 
 
-def items(element: Element, out: Layout) -> None:
+def items(element: Element, out: Layout) -> Step:
     """A list: markers, and deeper lines under their item's text."""
     number = element.number("start", 1)
     for child in element.children:
@@ -286,24 +310,77 @@ def items(element: Element, out: Layout) -> None:
         if child.hidden:
             continue
         if child.name != "li":
-            render(child, out)
+            yield render(child, out)
             continue
         marker = f"{number}. " if element.name == "ol" else "- "
         number += 1
         out.block(False)
-        own = [line for line in lines_of(child.children) if line]  # a list's items stay close
+        own = [line for line in (yield lines_of(child.children)) if line]  # a list's items stay close
         out.insert([marker + own[0], *(" " * len(marker) + line for line in own[1:])] if own else [marker.rstrip(" ")])
 
 
-def rows(element: Element) -> list[str]:
+class Grid:
+    """The cells of a table's rows by column, and the cells that reach into the next rows."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.reaching: list[tuple[int, int, float]] = []  # first column, end, rows left
+
+    def end_group(self) -> None:
+        """No cell reaches out of its group of rows."""
+        self.reaching = []
+
+    def row(self, cells: list[tuple[Element, list[str]]]) -> None:
+        own, column, k, reaching = [], 0, 0, self.reaching
+        taken = [(a, b, left - 1) for a, b, left in reaching if left > 1]
+        for cell, lines in cells:
+            while k < len(reaching) and reaching[k][0] <= column:
+                column = max(column, reaching[k][1])
+                k += 1
+            own.append((column, lines))
+            end = column + max(cell.number("colspan", 1), 1)
+            down = cell.number("rowspan", 1)
+            if down > 1 or down == 0:  # 0: to the end of the group
+                taken.append((column, end, down - 1 if down else float("inf")))
+            column = end
+        self.reaching = sorted(taken) if len(taken) > 1 else taken
+        if own:
+            self.rows.append(own)
+
+    def lines(self) -> list[str]:
+        """Lines with columns padded; a column in which no cell begins takes no room."""
+        widths: dict[int, int] = {}
+        for cells in self.rows:
+            for k, cell in cells:
+                widths[k] = max(widths.get(k, 0), *map(len, cell))
+        offsets, offset = {}, 0
+        for k in sorted(widths):
+            offsets[k] = offset
+            offset += widths[k] + 2
+        lines: list[str] = []
+        for cells in self.rows:
+            if len(cells) == 1 and not offsets[cells[0][0]]:
+                lines.extend(cells[0][1])
+                continue
+            for i in range(max(len(cell) for _, cell in cells)):
+                line = ""
+                for k, cell in cells:
+                    if i < len(cell) and cell[i]:
+                        line = line.ljust(offsets[k]) + cell[i]
+                lines.append(line)
+        return lines
+
+
+def rows(element: Element) -> Step:
     """A table's lines: a caption, then rows with cells padded by column."""
-    lines, grid = [], []
+    lines: list[str] = []
+    grid = Grid()
 
-    def walk(node: Element) -> None:
+    def walk(node: Element) -> Step:
         for child in node.children:
             if isinstance(child, str):
                 if child.strip():  # text between cells stands before the table
-                    lines.extend(lines_of([child]))
+                    lines.extend((yield lines_of([child])))
             elif child.hidden:
                 continue
             elif child.name == "tr":
@@ -311,34 +388,28 @@ def rows(element: Element) -> list[str]:
                 for cell in child.children:
                     if isinstance(cell, Element) and cell.name in ("td", "th"):
                         if not cell.hidden:
-                            cells.append(lines_of(cell.children) or [""])
-                            cells.extend([""] for _ in range(min(cell.number("colspan", 1), 100) - 1))
+                            cells.append((cell, (yield lines_of(cell.children)) or [""]))
                     else:
                         stray.append(cell)
-                lines.extend(lines_of(stray))
-                if cells:
-                    grid.append(cells)
-            elif child.name in ("thead", "tbody", "tfoot", "colgroup"):
-                walk(child)
+                lines.extend((yield lines_of(stray)))
+                grid.row(cells)
+            elif child.name in ("thead", "tbody", "tfoot"):
+                grid.end_group()
+                yield walk(child)
+                grid.end_group()
+            elif child.name == "colgroup":
+                yield walk(child)
             else:
-                lines.extend(lines_of([child]))
+                lines.extend((yield lines_of([child])))
 
-    walk(element)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for k, cell in enumerate(cells):
-            widths[k] = max(widths.get(k, 0), *(len(line) for line in cell))
-    for cells in grid:
-        for i in range(max(map(len, cells))):
-            parts = [(cell[i] if i < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(cells)]
-            lines.append("  ".join(parts).rstrip(" "))
-    return lines
+    yield walk(element)
+    return lines + grid.lines()
 
 
 def visible_text(html: str) -> str:
     """All visible text of a page, laid out; lines end without spaces."""
     out = Layout()
-    render(build(html), out)
+    finish(render(build(html), out))
     return "\n".join(out.done())
 
 

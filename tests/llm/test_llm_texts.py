@@ -142,6 +142,36 @@ def test_only_hidden_and_style_hide(attributes):
     assert shown == ("a\nb\n\nc" if attributes in SHOWN else "a")
 
 
+@pytest.mark.parametrize("depth", [10, 199, 200, 300, 20_000])
+@pytest.mark.parametrize("lead", ["<div>", "<font>"])
+def test_depth_changes_nothing(depth, lead):
+    inner = "<p hidden>no <b>no</b></p>yes<ul><li>a<li>b</ul><table><tr><td>long<td>1<tr><td>k<td>2</table>"
+    page = lead * depth + inner + "<div>in</div>" + lead.replace("<", "</") * (depth - 1) + "<p>out"
+    assert html_text.visible_text(page) == "yes\n\n- a\n- b\n\nlong  1\nk     2\n\nin\n\nout"
+
+
+def test_deep_tables_and_lists():
+    assert html_text.visible_text("<table><tr><td>x" * 1_000) == "\n\n".join("x" * 1_000)
+    assert html_text.visible_text("<ul><li>x" * 300) == "\n".join("  " * k + "- x" for k in range(300))
+    assert html_text.visible_text("<b><i>" * 50_000 + "x" + "</b>" * 50_000 + "<p>y") == "x\n\ny"
+
+
+TABLES = [
+    ("<tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e", "a  b\n   c\nd  e"),
+    ("<tbody><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>c<tbody><tr><td>d<td>e", "a  b\n   c\n   c\nd  e"),
+    ("<thead><tr><td rowspan=9>a<td>b<tbody><tr><td>d<td>e", "a  b\nd  e"),
+    ("<tr><td>q<td rowspan=2 colspan=2>a<td>b<tr><td>c<td>d<tr><td>e<td>f<td>g<td>h", "q  a     b\nc        d\ne  f  g  h"),
+    ("<tr><td rowspan=2>a<td>b<td rowspan=2>c<tr><td>d<td>e", "a  b  c\n   d     e"),
+    ("<tr><td colspan=200>a<td>z<tr>" + "<td>b" * 200 + "<td>y", "a" + " " * 599 + "z\n" + "b  " * 200 + "y"),
+    ("<tr><td colspan=99999999>a<td>b", "a  b"),
+]
+
+
+@pytest.mark.parametrize(("table", "text"), TABLES)
+def test_spanning_cells_keep_their_columns(table, text):
+    assert html_text.visible_text(f"<table>{table}</table>") == text
+
+
 def test_pages_of_any_shape_end(spark):
     rows = [(1, None), (2, "<div>" * 5_000 + "deep"), (3, "<" * 20_000), (4, "<table>" * 300 + "x"), (4, "<td>" * 50), (None, "<p>n")]
     got = html_text.extract(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, html string, text string")).collect()
