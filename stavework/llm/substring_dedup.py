@@ -20,7 +20,9 @@ eight words.
 
 An anchor with very many occurrences is reduced to distinct segments before (a ``min``
 of places by content), and if these are still many, its windows are dealt to several
-shards by the windows' own hashes. Equal windows still meet.
+shards by the windows' own hashes. Equal windows still meet. A shard gets only the words
+of its own windows, reduced to distinct ones once more, so a window that all segments
+share comes to its shard about once and not with every segment.
 """
 
 from __future__ import annotations
@@ -177,32 +179,26 @@ def segments(documents: DataFrame, window: int) -> DataFrame:
     return documents.select("doc_id", "line", "runs").mapInArrow(run, f"anchor long, n long, content binary, doc_id {dict(documents.dtypes)['doc_id']}, start long")
 
 
-def shard_firsts(rows: list[tuple[bytes, object, int, int]], window: int) -> list[tuple[object, int, int]]:
+def shard_firsts(rows: list[tuple[bytes, object, int]], window: int) -> list[tuple[object, int, int]]:
     """First windows among segments.
 
-    rows: (content, doc_id, start, windows to judge as bits). Returns (doc_id, start,
-    first windows as bits) of each distinct content's first place. A content that comes
-    in several parts, with other windows to judge in each, is indexed once.
+    rows: (content, doc_id, start). Returns (doc_id, start, first windows as bits) of each
+    distinct content's first place.
     """
     places: dict[bytes, tuple[object, int]] = {}
-    judges: dict[bytes, int] = {}
-    for content, doc_id, start, judge in rows:
+    for content, doc_id, start in rows:
         now = (doc_id, start)
         if (old := places.get(content)) is None or now < old:
             places[content] = now
-        judges[content] = judges.get(content, 0) | judge
     order = sorted(places.items(), key=lambda x: x[1])
     number: dict[bytes, int] = {}
     text, queries, offsets = [], [], []
     size = 0
     for content, _ in order:
-        judge = judges[content]
         ids = [number.setdefault(w, len(number) + 1) for w in content.split(b" ")]
         text.extend(ids)
         text.append(SEPARATOR)
         own = np.arange(len(ids) - window + 1)
-        if judge >= 0:
-            own = own[(judge >> own) & 1 == 1]
         queries.append(own + size)
         offsets.append(own)
         size += len(ids) + 1
@@ -217,8 +213,8 @@ def shard_firsts(rows: list[tuple[bytes, object, int, int]], window: int) -> lis
 def firsts(dealt: DataFrame, window: int) -> DataFrame:
     """``doc_id``, ``start``, ``bits`` of first windows.
 
-    dealt: ``shard``, ``content``, ``doc_id``, ``start``, ``judge``; rows of one shard are
-    judged together.
+    dealt: ``shard``, ``content``, ``doc_id``, ``start``; rows of one shard are judged
+    together.
     """
     kind = dict(dealt.dtypes)["doc_id"]
 
@@ -228,7 +224,7 @@ def firsts(dealt: DataFrame, window: int) -> DataFrame:
             ids, starts, bits = zip(*found, strict=True) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(starts, pa.int64()), pa.array(bits, pa.int64())], names=["doc_id", "start", "bits"])
 
-        held: list[tuple[bytes, object, int, int]] = []
+        held: list[tuple[bytes, object, int]] = []
         size, shard = 0, None
         for batch in text_chunks(batches, "content"):
             id_type = batch.schema.field(2).type
@@ -243,7 +239,7 @@ def firsts(dealt: DataFrame, window: int) -> DataFrame:
             yield judged(held)
 
     return (
-        dealt.select("shard", "content", "doc_id", "start", "judge")
+        dealt.select("shard", "content", "doc_id", "start")
         .repartition("shard")
         .sortWithinPartitions("shard")
         .mapInArrow(run, f"doc_id {kind}, start long, bits long")
@@ -251,30 +247,44 @@ def firsts(dealt: DataFrame, window: int) -> DataFrame:
 
 
 def split_hot(hot: DataFrame, window: int, shard_runs: int) -> DataFrame:
-    """Segments of frequent anchors for ``firsts``: distinct ones, in bounded shards."""
+    """Segments of frequent anchors for ``firsts``: distinct ones, in bounded shards.
+
+    ``shard``, ``content``, ``doc_id``, ``start``. The start is a place: the first word * 64
+    + the windows of the segment before it; ``hot_firsts`` goes back to segments.
+    """
     distinct = cut_table(hot.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("at")))
-    parts = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / shard_runs).cast("long").alias("parts"))
+    # a table of its own, as in ``marked``
+    parts = cut_table(distinct.groupBy("anchor").agg(F.ceil(F.count("*") / shard_runs).cast("long").alias("parts")))
     rows = distinct.join(parts, "anchor").select("anchor", "content", "parts", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "content"):
-            at, shards, judges = [], [], []
-            for k, (anchor, content, parts) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if parts == 1:
-                    of = {0: -1}
-                else:
-                    part = Words(content, clean=True).hashes(window) % np.uint64(parts)
-                    of = {p: sum(1 << i for i in np.flatnonzero(part == p).tolist()) for p in np.unique(part).tolist()}
-                at.extend([k] * len(of))
-                shards.extend(f"{anchor}/{p}" for p in of)
-                judges.extend(of.values())
-            take = pa.array(at, pa.int64())
+            at, shards, contents, places = [], [], [], []
+            for k, (anchor, content, parts, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)):
+                words = Words(content, clean=True)
+                part = words.hashes(window) % np.uint64(parts)
+                # neighbours of one part stay together
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                last = np.r_[first[1:], len(part)] + window - 2
+                at.extend([k] * len(first))
+                shards.extend(f"{anchor}/{p}" for p in part[first].tolist())
+                contents.extend(content[s:e] for s, e in zip(words.starts[first].tolist(), words.ends[last].tolist(), strict=True))
+                places.extend(((start + first) * 64 + first).tolist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.string()), *(batch.column(c).take(take) for c in (1, 3, 4)), pa.array(judges, pa.int64())],
-                names=["shard", "content", "doc_id", "start", "judge"],
+                [pa.array(shards, pa.string()), pa.array(contents, pa.binary()), batch.column(3).take(pa.array(at, pa.int64())), pa.array(places, pa.int64())],
+                names=["shard", "content", "doc_id", "start"],
             )
 
-    return rows.mapInArrow(run, f"shard string, content binary, doc_id {dict(hot.dtypes)['doc_id']}, start long, judge long")
+    pieces = rows.where("parts > 1").mapInArrow(run, f"shard string, content binary, doc_id {dict(hot.dtypes)['doc_id']}, start long")
+    reduced = pieces.groupBy("shard", "content").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("shard", "content", "at.doc_id", "at.start")
+    whole = rows.where("parts = 1").select(F.concat(F.col("anchor").cast("string"), F.lit("/0")).alias("shard"), "content", "doc_id", (F.col("start") * 64).alias("start"))
+    return whole.unionByName(reduced)
+
+
+def hot_firsts(found: DataFrame) -> DataFrame:
+    """``firsts`` of ``split_hot``'s pieces, by the segments that they were cut from."""
+    before = F.col("start").bitwiseAND(63).cast("int")
+    return found.select("doc_id", (F.shiftright("start", 6) - before).alias("start"), F.call_function("shiftleft", "bits", before).alias("bits"))
 
 
 def removed_words(runs: list[dict], first: dict[int, int], n_words: int, window: int) -> np.ndarray:
@@ -311,9 +321,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, shard_runs: int = SHARD_R
     repeated = documents.where("runs is not null")
     cut_out = segments(repeated, window).where("content <> X''")
     plain = cut_out.where(F.col("n") <= shard_runs)
-    dealt = plain.select(F.col("anchor").cast("string").alias("shard"), "content", "doc_id", "start", F.lit(-1).cast("long").alias("judge"))
+    dealt = plain.select(F.col("anchor").cast("string").alias("shard"), "content", "doc_id", "start")
     hot = split_hot(cut_out.where(F.col("n") > shard_runs), window, shard_runs)
-    found = firsts(dealt, window).unionByName(firsts(hot, window))
+    found = firsts(dealt, window).unionByName(hot_firsts(firsts(hot, window)))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("firsts"))
     judged = repeated.join(by_doc, "doc_id", "left").select("doc_id", "n_words", "line", "runs", "firsts")
 

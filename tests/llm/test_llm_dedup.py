@@ -141,6 +141,31 @@ def test_substrings_by_brute_force(spark, shard_runs):
     assert substring_dedup.deduplicate(docs.where("false")).count() == 0
 
 
+def test_a_window_of_all_segments_comes_to_its_shard_once(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    hot = spark.createDataFrame([(7, f"l{i} {passage}".encode(), i, 3) for i in range(1_000)], "anchor long, content binary, doc_id long, start long")
+    dealt = substring_dedup.split_hot(hot, 20, 10)
+    sizes = {r.shard: r["count"] for r in dealt.groupBy("shard").count().collect()}
+    assert len(sizes) > 90 and max(sizes.values()) < 50
+    found = substring_dedup.hot_firsts(substring_dedup.firsts(dealt, 20)).collect()
+    bits = {}
+    for r in found:
+        assert r.start == 3 and not bits.get(r.doc_id, 0) & r.bits
+        bits[r.doc_id] = bits.get(r.doc_id, 0) | r.bits
+    assert bits == {i: 3 if i == 0 else 1 for i in range(1_000)}
+
+
+@pytest.mark.parametrize("shard_runs", [3, 20])
+def test_shared_passages_after_different_texts(spark, shard_runs):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{other(rng.randrange(1, 30))} {passage} {other(rng.randrange(0, 30))}" + f" {passage}" * (i % 9 == 0)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(docs, 20, shard_runs).collect()}
+    assert got == plain_substrings(rows, 20)
+
+
 def test_decontamination_in_blocks_is_decontamination_in_one(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     one, many = (decontamination.find(docs, items, block_bytes=b).drop("hit_spans") for b in (1 << 24, 2_000))
