@@ -7,7 +7,7 @@ is verified when found.
 
 The broadcast is bounded: a benchmark with more than ``block_bytes`` of text is handled
 in blocks of items, one pass over the documents for each, and the hits of the passes
-are merged by document. No size of benchmark is out of reach and none is broadcast
+are merged by row: the documents are written once with a key for each row. No size of benchmark is out of reach and none is broadcast
 unchecked.
 """
 
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavework.llm.common import cut, table, text_chunks, texts_of
+from stavework.llm.common import cut_table, table, text_chunks, texts_of
 
 WINDOW = 13
 #: Benchmark text in one broadcast block.
@@ -84,8 +85,8 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(spans) - 1]]], axis=1)
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items, at most about ``block_bytes`` of text at a time.
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's items in parts of at most about ``block_bytes`` of text.
 
     Items are dealt by a hash of their id, in as many blocks as their measured size asks
     for. An item without id or text has no windows.
@@ -94,8 +95,44 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("id"), F.lit(n))
-    for k in range(n):
-        yield [(r.id, r.text.encode()) for r in items.where(block == k).toLocalIterator()]
+    return [items.where(block == k) for k in range(n)]
+
+
+def shared_items(block: DataFrame) -> Broadcast[list[tuple[str, bytes]]]:
+    return block.sparkSession.sparkContext.broadcast([(r.id, r.text.encode()) for r in block.toLocalIterator()])
+
+
+def hits_of(docs: DataFrame, key: str, block: DataFrame, n: int, all_rows: bool = True) -> DataFrame:
+    """``key``, ``n_words``, ``hit_spans``, ``items`` of the rows of docs (or those with hits)."""
+    shared = shared_items(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(shared.value, n)
+        for batch in text_chunks(batches):
+            counts, spans, found = [], [], []
+            for text in texts_of(batch):
+                words = words_of(text)
+                own, items = windows.hits(words)
+                counts.append(len(words))
+                spans.append([{"start": a, "end": b} for a, b in own.tolist()])
+                found.append(sorted(items))
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))],
+                names=[key, "n_words", "hit_spans", "items"],
+            )
+            yield out if all_rows else out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_words long, hit_spans array<struct<start: long, end: long>>, items array<string>")
+
+
+def hit_words() -> Column:
+    return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
+
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (SHARE * n_hit >= n_words)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -108,53 +145,41 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
 
     A null or empty text has no words and no hits; an item of fewer than ``n`` words is
     one window; an item without words, id or text has none; items that share an id
-    count once. With an empty benchmark nothing is hit. Repeated documents give
-    repeated rows, documents that share an id in a benchmark of several blocks give one
-    row with their merged hits.
+    count once. With an empty benchmark nothing is hit. Repeated documents and documents
+    that share an id give a row each, with the hits of its own text.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    context = docs.sparkSession.sparkContext
-    passes = []
-    for items in blocks_of(benchmark, block_bytes):
-        shared = context.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, n)
-            for batch in text_chunks(batches):
-                counts, spans, found = [], [], []
-                for text in texts_of(batch):
-                    words = words_of(text)
-                    own, items = windows.hits(words)
-                    counts.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in own.tolist()])
-                    found.append(sorted(items))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hit_spans", "items"],
-                )
-
-        schema = f"doc_id {kind}, n_words long, hit_spans array<struct<start: long, end: long>>, items array<string>"
-        passes.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    hits = passes[0] if len(passes) == 1 else _merge_passes(passes)
-    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
-    return hits.select("doc_id", "n_words", "hit_spans", "items", n_hit.alias("n_hit")).select(
+    docs = docs.select("doc_id", "text")
+    blocks = blocks_of(benchmark, block_bytes)
+    if len(blocks) == 1:
+        hits = hits_of(docs, "doc_id", blocks[0], n)
+    else:
+        rows, key = keyed(docs)
+        hits = rows.drop("text").join(hits_by_row(rows, key, blocks, n), key)
+    return hits.select("doc_id", "n_words", "hit_spans", "items", hit_words().alias("n_hit")).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
         "hit_spans",
     )
 
 
-def _merge_passes(passes: list[DataFrame]) -> DataFrame:
-    """Hits of several blocks by document: spans merged, items joined."""
-    every = cut(passes[0])
-    for more in passes[1:]:
-        every = every.unionByName(cut(more))
-    together = every.groupBy("doc_id").agg(
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a written table, and the name of its new column that numbers the rows."""
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return cut_table(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def hits_by_row(rows: DataFrame, key: str, blocks: list[DataFrame], n: int) -> DataFrame:
+    """Hits of several blocks by row: spans merged, items joined."""
+    every = cut_table(hits_of(rows, key, blocks[0], n))
+    for block in blocks[1:]:
+        every = every.unionByName(cut_table(hits_of(rows, key, block, n, all_rows=False)))
+    together = every.groupBy(key).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -172,13 +197,30 @@ def _merge_passes(passes: list[DataFrame]) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that are not contaminated, as they are; all columns of docs stay.
+    """The rows that are not contaminated, as they are; all columns of docs stay.
 
-    Documents are found by ``doc_id``: rows with the id of a contaminated one go. A null
-    id is matched like a value.
+    Every row goes or stays by its own text, whatever its id.
     """
-    bad = find(docs, benchmark, n, block_bytes).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    blocks = blocks_of(benchmark, block_bytes)
+    if len(blocks) > 1:
+        rows, key = keyed(docs)
+        bad = hits_by_row(rows, key, blocks, n).where(is_contaminated(hit_words(), F.col("n_words"))).select(key)
+        return rows.join(bad, key, "left_anti").select(docs.columns)
+    shared = shared_items(blocks[0])
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        windows = Windows(shared.value, n)
+        for some in texts:
+            found = []
+            for text in some.cast(pa.binary()):
+                words = words_of(text.as_py() or b"")
+                spans, _ = windows.hits(words)
+                hit = int((spans[:, 1] - spans[:, 0]).sum())
+                found.append(not (hit > 0 and SHARE * hit >= len(words)))
+            yield pa.array(found, pa.bool_())
+
+    return docs.where(clean("text"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -188,8 +230,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_b
     """
     kind = dict(docs.dtypes)["doc_id"]
     out = docs.select("doc_id", "text")
-    for items in blocks_of(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for block in blocks_of(benchmark, block_bytes):
+        shared = shared_items(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value, n)

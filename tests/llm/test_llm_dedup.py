@@ -172,6 +172,19 @@ def test_decontamination_in_blocks_is_decontamination_in_one(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 40])
+def test_every_row_is_judged_by_its_own_text(spark, block_bytes):
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i}") for i in range(6)], "item_id long, text string")
+    hit, both = "x alpha1 beta1 gamma1", "alpha2 beta2 gamma2 y alpha4 beta4 gamma4"
+    rows = [(None, hit), (None, "clean"), (None, None), (1, hit), (1, "clean text"), (1, both), (1, both), (2, "clean")]
+    docs = spark.createDataFrame([(*r, k, "t") for k, r in enumerate(rows)], "doc_id long, text string, row_key int, Items string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.find(docs, items, block_bytes=block_bytes).collect()]
+    want = [(None, 4, 3, 1, True), (None, 1, 0, 0, False), (None, 0, 0, 0, False), (1, 4, 3, 1, True), (1, 2, 0, 0, False), (1, 7, 6, 2, True), (1, 7, 6, 2, True), (2, 1, 0, 0, False)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = decontamination.remove(docs, items, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and sorted(r.row_key for r in kept.collect()) == [1, 2, 4, 7]
+
+
 def test_short_items_nulls_and_removal(spark):
     items = spark.createDataFrame([(10, "Just Five small-words here"), (2, None), (None, "a b"), (3, "!!"), (2, "q w")], "item_id long, text string")
     rows = [(1, "x just five SMALL words here y"), (2, None), (3, ""), (4, "clean " * 90 + "q, w"), (5, "q w"), (5, "q w"), (6, "a b")]
