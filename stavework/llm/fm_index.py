@@ -1,8 +1,8 @@
 """A compressed FM-index over word sequences, in numpy.
 
 The Burrows-Wheeler transform is kept in a wavelet matrix of packed bits with one count
-for every 64. Suffixes are sorted by their first 32 words, which is exact for patterns
-up to that length. Many patterns are searched at once: each step of a backward search
+for every 64. Suffixes are sorted by as many words as the longest pattern has, or more,
+which is exact for patterns up to that length. Many patterns are searched at once: each step of a backward search
 is a few array operations for all of them.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest pattern.
+#: Longest pattern, if nothing else is said.
 DEPTH = 32
 SEPARATOR = 0
 
@@ -33,10 +33,13 @@ class RankBits:
 
 
 class FMIndex:
-    """An index of ``text`` (symbols from 0; SEPARATOR stands between sequences)."""
+    """An index of ``text`` (symbols from 0; SEPARATOR stands between sequences).
 
-    def __init__(self, text: np.ndarray):
-        self.suffixes = suffix_order(text)
+    depth: the longest pattern.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int = DEPTH):
+        self.suffixes = suffix_order(text, depth)
         last = text[self.suffixes - 1]  # the transform; before the first symbol comes the last
         self.levels = max(1, int(text.max()).bit_length())
         self.smaller = np.r_[0, np.cumsum(np.bincount(text))]
@@ -85,13 +88,13 @@ class FMIndex:
         return first
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes by their first DEPTH symbols: ranks of doubled length until all differ."""
+def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Suffixes by their first ``depth`` symbols or more: ranks of doubled length until all differ."""
     n, rank = len(text), text.astype(np.int64)
     order, width = np.argsort(rank, kind="stable"), 1
-    while width < DEPTH:
+    while width < depth:
         shifted = np.zeros(n, dtype=np.int64)
-        shifted[: n - width] = rank[width:] + 1
+        shifted[: max(n - width, 0)] = rank[width:] + 1
         key = rank * (int(rank.max()) + 2) + shifted
         order = np.argsort(key, kind="stable")
         new = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]

@@ -204,7 +204,7 @@ def shard_firsts(rows: list[tuple[bytes, object, int]], window: int) -> list[tup
         size += len(ids) + 1
     symbols = np.array(text, dtype=np.int64)
     asked = np.concatenate(queries)
-    is_first = FMIndex(symbols).first_places(symbols, asked, window) == asked
+    is_first = FMIndex(symbols, window).first_places(symbols, asked, window) == asked
     bits = np.where(is_first, np.int64(1) << np.concatenate(offsets), 0)
     masks = np.bitwise_or.reduceat(bits, np.cumsum([0] + [len(q) for q in queries[:-1]]))
     return [(*where, int(mask)) for (_, where), mask in zip(order, masks.tolist(), strict=True) if mask]

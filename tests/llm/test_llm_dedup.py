@@ -141,6 +141,26 @@ def test_substrings_by_brute_force(spark, shard_runs):
     assert substring_dedup.deduplicate(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("window", [6, 20, 33, 48, 62])
+def test_first_windows_of_any_length_by_brute_force(window):
+    rng = random.Random(window)
+    # few words, and windows that differ in one late word
+    base = [rng.choice("ab") for _ in range(70)]
+    segments = []
+    for k in range(120):
+        words = list(base)
+        words[rng.randrange(30, 70)] = rng.choice("abc")
+        segments.append((" ".join(words[rng.randrange(0, 5) :]).encode()[: 2 * min(window + 10, 65) - 1], k, 0))
+    seen, want = set(), {}
+    for content, doc_id, _ in segments:
+        words = content.split()
+        for i in range(len(words) - window + 1):
+            if (w := tuple(words[i : i + window])) not in seen:
+                seen.add(w)
+                want[doc_id] = want.get(doc_id, 0) | 1 << i
+    assert {d: bits for d, _, bits in substring_dedup.shard_firsts(segments, window)} == want
+
+
 def test_a_window_of_all_segments_comes_to_its_shard_once(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     hot = spark.createDataFrame([(7, f"l{i} {passage}".encode(), i, 3) for i in range(1_000)], "anchor long, content binary, doc_id long, start long")
