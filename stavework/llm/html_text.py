@@ -1,8 +1,8 @@
 """Visible text of HTML pages, laid out.
 
-A page is cut into tags and text by one pattern, built into a tree with the implied
-tags that browsers add (paragraphs, list items, rows and cells that are never closed;
-tags that close others), and rendered: hidden parts are left out, white space is
+A page is cut into tags and text in one forward scan, whose time grows with the page
+whatever is in it, built into a tree with the implied tags that browsers add (paragraphs,
+list items, rows and cells that are never closed; tags that close others), and rendered: hidden parts are left out, white space is
 collapsed outside ``pre``, blocks stand on lines of their own with an empty line around
 paragraphs and headings, list items get their markers and indents, and the cells of a
 table's columns are padded to the same width.
@@ -48,7 +48,9 @@ CLOSES |= {t: ({"p"}, {"td", "th", "button", "caption", "table", "object"}) for
 #: Blocks that end an open head.
 AFTER_HEAD = BLOCKS - {"html"} | frozenset("a b i span em strong img br".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_DECLARED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: What ends a tag's name, and what ends a tag or begins a quoted value.
+_NAME_END, _TAG_END = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: A declaration of a style: semicolons in strings and brackets don't end it.
@@ -96,6 +98,53 @@ class Element:
         return int(found[1]) if found and len(found[1]) <= 10 else default  # browsers take 32 bits
 
 
+class Tags:
+    """Finds tags. A tag that never ends is text, and is not looked for again and again.
+
+    Where the next character of a kind is, is kept for all places before it; a quote
+    that was opened in a tag without an end is dead, and so is every later tag that gets
+    to it. So each character is passed a few times at most.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.known: dict[re.Pattern, tuple[int, int]] = {}
+        self.dead: set[int] = set()
+
+    def next(self, pattern: re.Pattern, at: int) -> int:
+        low, found = self.known.get(pattern, (0, -1))
+        if not low <= at <= found:
+            match = pattern.search(self.html, at)
+            found = match.start() if match else len(self.html)
+            self.known[pattern] = at, found
+        return found
+
+    def end(self, at: int) -> int | None:
+        """The place of the > that ends a tag whose attributes begin at ``at``."""
+        opened: list[int] = []
+        while (at := self.next(_TAG_END, at)) < len(self.html) and at not in self.dead:
+            if self.html[at] == ">":
+                return at
+            opened.append(at)
+            if (at := self.html.find(self.html[at], at + 1) + 1) == 0:
+                break
+        self.dead.update(opened)
+        return None
+
+    def tag(self, at: int) -> tuple[bool, str, str, int] | None:
+        """(whether an end tag, name, attributes, place behind it) of the tag at a <."""
+        html, first = self.html, at + 1 + html_is(self.html, "/", at + 1)
+        if not (first < len(html) and html[first].isascii() and html[first].isalpha()):
+            return None
+        stop = self.next(_NAME_END, first)
+        end = self.end(stop)
+        return None if end is None else (first > at + 1, html[first:stop].lower(), html[stop:end], end + 1)
+
+
+def html_is(html: str, character: str, at: int) -> bool:
+    return html[at : at + 1] == character
+
+
 def build(html: str) -> Element:
     """The page's tree. Anything is accepted; tags that fit nowhere are left out."""
     root = Element("html")
@@ -123,20 +172,26 @@ def build(html: str) -> Element:
         if raw:
             stack[-1].children.append(unescape(raw) if "&" in raw else raw)
 
+    tags, plain = Tags(html), 0  # text since ``plain`` is not in the tree yet
     while at < end:
-        found = _TOKEN.search(html, at)
-        if found is None:
-            text(html[at:])
+        at = html.find("<", at)
+        if at < 0:
             break
-        text(html[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
-            if found[0].startswith("<![CDATA["):
-                text(found[0][9:].removesuffix("]]>"))
+        if html_is(html, "!", at + 1) or html_is(html, "?", at + 1):
+            text(html[plain:at])
+            declared = _DECLARED.match(html, at)
+            plain = at = declared.end()
+            if declared[0].startswith("<![CDATA["):
+                text(declared[0][9:].removesuffix("]]>"))
+            continue
+        found = tags.tag(at)
+        if found is None:
+            at += 1
             continue
-        name = name.lower()
-        if found[1]:  # an end tag
+        text(html[plain:at])
+        closing, name, attributes, at = found
+        plain = at
+        if closing:
             if name == "p" and not deepest({"p"}):
                 stack[-1].children.append(Element("p"))
             elif name == "br":
@@ -154,23 +209,28 @@ def build(html: str) -> Element:
             row = Element("tr")
             stack[-1].children.append(row)
             push(row)
-        element = Element(name, found[3])
+        element = Element(name, attributes)
         stack[-1].children.append(element)
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             stop = close.start() if close else end
             inner = html[at:stop]
             element.children.append(unescape(inner) if name in ("textarea", "title") else inner)
-            at = close.end() if close else end
+            plain = at = close.end() if close else end
         elif name not in VOID:
             push(element)
+    text(html[plain:])
     return root
 
 
 class Layout:
-    """Lines of text with the spacing that blocks ask for."""
+    """Lines of text with the spacing that blocks ask for.
 
-    def __init__(self) -> None:
+    tight: inside a list's item, where further lists stand without empty lines.
+    """
+
+    def __init__(self, tight: bool = False) -> None:
+        self.tight = tight
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0  # empty lines owed before the next text
@@ -267,13 +327,13 @@ def render(element: Element, out: Layout, pre: bool = False) -> Step:
     if name == "img" or name in VOID - {"hr"}:
         return
     if name in ("ul", "ol", "menu"):
-        out.block(True)
-        yield items(element, out)
-        out.block(True)
+        out.block(not out.tight)
+        yield items(element, out, pre)
+        out.block(not out.tight)
         return
     if name == "table":
         out.block(True)
-        out.insert((yield rows(element)))
+        out.insert((yield rows(element, pre)))
         out.block(True)
         return
     is_block = name in BLOCKS
@@ -289,18 +349,18 @@ def render(element: Element, out: Layout, pre: bool = False) -> Step:
         out.block(name in SPACED)
 
 
-def lines_of(children: list[Element | str]) -> Step:
+def lines_of(children: list[Element | str], pre: bool, tight: bool = False) -> Step:
     """Children laid out apart."""
-    out = Layout()
+    out = Layout(tight)
     for child in children:
         if isinstance(child, str):
-            out.flow(child)
+            out.verbatim(child) if pre else out.flow(child)
         else:
-            yield render(child, out)
+            yield render(child, out, pre)
     return out.done()
 
 
-def items(element: Element, out: Layout) -> Step:
+def items(element: Element, out: Layout, pre: bool) -> Step:
     """A list: markers, and deeper lines under their item's text."""
     number = element.number("start", 1)
     for child in element.children:
@@ -310,13 +370,13 @@ def items(element: Element, out: Layout) -> Step:
         if child.hidden:
             continue
         if child.name != "li":
-            yield render(child, out)
+            yield render(child, out, pre)
             continue
         marker = f"{number}. " if element.name == "ol" else "- "
         number += 1
         out.block(False)
-        own = [line for line in (yield lines_of(child.children)) if line]  # a list's items stay close
-        out.insert([marker + own[0], *(" " * len(marker) + line for line in own[1:])] if own else [marker.rstrip(" ")])
+        own = yield lines_of(child.children, pre, tight=True)
+        out.insert([marker + own[0], *(line and " " * len(marker) + line for line in own[1:])] if own else [marker.rstrip(" ")])
 
 
 class Grid:
@@ -371,7 +431,7 @@ class Grid:
         return lines
 
 
-def rows(element: Element) -> Step:
+def rows(element: Element, pre: bool) -> Step:
     """A table's lines: a caption, then rows with cells padded by column."""
     lines: list[str] = []
     grid = Grid()
@@ -380,7 +440,7 @@ def rows(element: Element) -> Step:
         for child in node.children:
             if isinstance(child, str):
                 if child.strip():  # text between cells stands before the table
-                    lines.extend((yield lines_of([child])))
+                    lines.extend((yield lines_of([child], pre)))
             elif child.hidden:
                 continue
             elif child.name == "tr":
@@ -388,10 +448,10 @@ def rows(element: Element) -> Step:
                 for cell in child.children:
                     if isinstance(cell, Element) and cell.name in ("td", "th"):
                         if not cell.hidden:
-                            cells.append((cell, (yield lines_of(cell.children)) or [""]))
+                            cells.append((cell, (yield lines_of(cell.children, pre)) or [""]))
                     else:
                         stray.append(cell)
-                lines.extend((yield lines_of(stray)))
+                lines.extend((yield lines_of(stray, pre)))
                 grid.row(cells)
             elif child.name in ("thead", "tbody", "tfoot"):
                 grid.end_group()
@@ -400,7 +460,7 @@ def rows(element: Element) -> Step:
             elif child.name == "colgroup":
                 yield walk(child)
             else:
-                lines.extend((yield lines_of([child])))
+                lines.extend((yield lines_of([child], pre)))
 
     yield walk(element)
     return lines + grid.lines()
