@@ -7,9 +7,11 @@ line of the same document) makes a later equal one a repeat. All lines that a re
 covers are removed, so a repeated passage of three or more lines goes everywhere but at
 its first place, and single common lines stay.
 
-Windows are 128 bits of hash; their first places are a ``min`` with map-side partials,
-so a window that a third of all documents hold is one row for each task. Repeats meet
-their first place in an equi-join that adaptive execution can split.
+A document looks for its own repeats in its row. What is left are windows of 128 bits of
+hash, each once a row, whose first documents are a ``min`` with map-side partials, so a
+window that a third of all documents hold is one row for each task. The repeated ones
+are written before the windows are joined with them: a join of two plain scans whose
+result is dealt anew by document is one that adaptive execution splits at a hot window.
 """
 
 from __future__ import annotations
@@ -22,26 +24,44 @@ from stavework.llm.common import cut, sha256_of, table
 WINDOW = 3
 
 
+def window_hashes(text: Column, n: int) -> Column:
+    """array<struct<h1, h2, line>> of a text's windows, by hash and then by line (from 0)."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.trim(line))
+    none = F.expr("cast(array() as array<string>)")
+    at = lambda x: F.sequence(F.lit(0), F.size(x) - n)
+    joined = lambda x: F.transform(at(x), lambda i: F.array_join(F.slice(x, i + 1, n), "\n"))
+    strings = F.get(F.transform(F.array(lines), lambda x: F.when(F.size(x) >= n, joined(x)).otherwise(none)), 0)
+    hashed = F.transform(strings, lambda w, i: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(n), w).alias("h2"), i.alias("line"), w.alias("w")))
+    some = F.filter(hashed, lambda x: F.length(F.translate(x.w, "\n", "")) > 0)
+    return F.array_sort(F.transform(some, lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"), x.line.alias("line"))))
+
+
+def _text_hash(text: Column) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """``doc_id``, ``line`` (from 0) and the two hashes ``h1``, ``h2`` of each window."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.trim(line))
-    at = F.when(F.size("lines") >= n, F.sequence(F.lit(0), F.size("lines") - n)).otherwise(F.expr("cast(array() as array<int>)"))
-    joined = lambda i: F.array_join(F.slice(F.col("lines"), i + 1, n), "\n")
-    spread = docs.select("doc_id", lines.alias("lines")).select("doc_id", F.posexplode(F.transform(at, joined)).alias("line", "window"))
-    spread = spread.where(F.length(F.translate("window", "\n", "")) > 0)
-    return spread.select("doc_id", "line", F.xxhash64("window").alias("h1"), F.xxhash64(F.lit(n), "window").alias("h2"))
+    """``doc_id``, ``row`` (the text's hash), ``line``, ``h1``, ``h2`` of every window, and ``again``:
+    whether it occurs earlier in the same row."""
+    own = docs.select("doc_id", _text_hash(F.col("text")).alias("row"), window_hashes(F.col("text"), n).alias("w"))
+
+    def with_again(w: Column, k: Column) -> Column:
+        before = F.get("w", k - 1)
+        again = F.coalesce((w.h1 == before.h1) & (w.h2 == before.h2), F.lit(False))
+        return F.struct(w.line.alias("line"), w.h1.alias("h1"), w.h2.alias("h2"), again.alias("again"))
+
+    return own.select("doc_id", "row", F.inline(F.transform("w", with_again)))
 
 
 def repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """``doc_id`` and ``starts``: the lines at which repeated windows begin."""
-    every = cut(windows(docs, n).where("doc_id is not null"))
-    # first document, then that document's first line: both plain minima
-    firsts = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = every.join(firsts, ["h1", "h2"])
-    own = shared.where("doc_id = first_doc").groupBy("h1", "h2").agg(F.min("line").alias("first_line"))
-    later = shared.where("doc_id > first_doc").select("doc_id", "line")
-    within = shared.where("doc_id = first_doc").join(own, ["h1", "h2"]).where("line > first_line").select("doc_id", "line")
-    return later.unionByName(within).groupBy("doc_id").agg(F.collect_set("line").alias("starts"))
+    """``doc_id``, ``row`` and ``starts``: the lines at which windows begin that occur earlier."""
+    every = cut(windows(docs.where("doc_id is not null"), n))
+    own = every.where("not again").drop("again")
+    firsts = cut(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = own.join(firsts, ["h1", "h2"]).where("doc_id > first_doc")
+    starts = later.select("doc_id", "row", "line").unionByName(every.where("again").select("doc_id", "row", "line"))
+    return starts.groupBy("doc_id", "row").agg(F.collect_set("line").alias("starts"))
 
 
 def _covered(starts: Column, n: int) -> Column:
@@ -52,11 +72,14 @@ def _with_lines(docs: DataFrame, n: int) -> tuple[DataFrame, list[Column]]:
     """docs' columns under other names, with ``lines``, ``gone`` and ``kept``; and how to get docs' columns from it."""
     own = [f"doc_{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, own, strict=True))
-    found = repeats(docs.select("doc_id", "text"), n).select(F.col("doc_id").alias("id"), _covered(F.col("starts"), n).alias("gone"))
-    joined = docs.toDF(*own).join(found, F.col(of["doc_id"]) == F.col("id"), "left").withColumn("lines", F.split(of["text"], "\n"))
+    found = repeats(docs.select("doc_id", "text"), n).withColumnsRenamed({"doc_id": "id", "row": "id_row"})
+    doc_id, text = F.col(of["doc_id"]), F.col(of["text"])
+    marked = docs.toDF(*own).withColumn("row", _text_hash(text))
+    joined = marked.join(found, (doc_id == F.col("id")) & (F.col("row") == F.col("id_row")), "left")
+    joined = joined.withColumn("lines", F.split(text, "\n")).withColumn("gone", _covered(F.col("starts"), n))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(of["text"])).otherwise(kept)
+    text = F.when(F.col("gone").isNull(), text).otherwise(kept)
     return joined, [(text if c == "text" else F.col(of[c])).alias(c) for c in docs.columns]
 
 
@@ -65,9 +88,9 @@ def deduplicate(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     Columns of any name may stand beside ``doc_id`` and ``text``. A null text stays
     null, and texts of fewer than ``n`` lines never change. Rows with a null ``doc_id``
-    have no place in the order and stay as they are. Rows that share an id count as one
-    document's repeats of each other at equal lines: none is removed for another row of
-    its own id at the same line. An empty table gives an empty one.
+    have no place in the order and stay as they are. Rows that share an id have one place:
+    they lose nothing for each other, and each loses its own lines only, so equal rows
+    stay equal. An empty table gives an empty one.
     """
     joined, columns = _with_lines(docs, n)
     return joined.select(*columns)

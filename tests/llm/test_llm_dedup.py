@@ -113,6 +113,36 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.deduplicate(docs.where("false")).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    shared, other = "a\nb\nc", "d\ne\nf"
+    rows = [(1, "x\ny\n" + shared), (1, "p\nq\nr\ns\nt"), (1, shared), (2, shared + "\n" + other), (2, other), (2, other), (3, other)]
+    found = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # rows of one id keep what they share; a later id loses it; no other line goes
+    assert sorted(map(tuple, found)) == sorted([rows[0], rows[1], rows[2], (2, other), (2, other), (2, other), (3, "")])
+
+
+def test_a_hot_window_is_split(spark):
+    """The join of windows with their first documents has two plain shuffles below it and is dealt anew above it."""
+    hot = "the same line\nand the next\nand one more\n"
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, F.lit(hot)).otherwise(F.lit("")), F.lit("u\nv\n"), F.col("id").cast("string")).alias("text"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    kept = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        found = line_dedup.repeats(docs)
+        assert found.count() == 9_999
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def plain_substrings(rows, window):
     first, out = {}, {}
     texts = {d: (t or "").encode().split() for d, t in sorted(rows)}
