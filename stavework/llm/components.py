@@ -4,9 +4,10 @@ Every round replaces the edges by two groupings: each node's larger neighbours a
 linked to its smallest neighbour, then each node's smaller neighbours are. The edges
 turn into stars around each component's smallest node in a number of rounds that grows
 with the logarithm of its size. A round keeps at most as many edges as it gets, hashes
-them by node and is written to the checkpoint folder; a node with very many neighbours
-is only ever reduced by ``min`` before its rows are joined back, which adaptive
-execution may split.
+them by node and is written to the checkpoint folder. The smallest neighbours are a
+``min`` with map-side partials, written before the edges are joined with them: a join of
+two plain scans whose result is dealt anew is one that adaptive execution can split, so
+a node with very many neighbours is not one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from stavework.llm.common import cut
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a").agg(F.min("b").alias("m"))
+    return cut(pairs.groupBy("a").agg(F.min("b").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

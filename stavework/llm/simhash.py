@@ -93,7 +93,8 @@ def links(prints: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
     neighbour's smallest member, all others directly.
     """
     dealt = blocks(prints)
-    sizes = dealt.groupBy("k", "block").agg(F.count("*").alias("n")).where("n > 1")
+    # written first: a join of two plain scans is one that can be split where it is skewed
+    sizes = cut(dealt.groupBy("k", "block").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(dealt.join(sizes, ["k", "block"]))
     small, large = shared.where(F.col("n") <= small_block), shared.where(F.col("n") > small_block)
     one, two = (small.select("k", "block", F.col("fp").alias(c)) for c in ("a", "b"))
@@ -120,10 +121,8 @@ def near_duplicates(docs: DataFrame, small_block: int = SMALL_BLOCK) -> DataFram
     prints = cut(fingerprints(docs))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints.select("fp").distinct(), small_block))
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    named = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    joined = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    named = cut(joined.groupBy("root").agg(F.min("first").alias("component_id")))
     by_print = joined.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
