@@ -3,39 +3,49 @@
 Features are hashed character n-grams (one to three characters, lower-cased, runs of
 other ASCII characters seen as spaces), weighted by log tf and idf and scaled to length
 one. Document frequencies are counted over all training documents. The weights are
-trained with follow-the-regularised-leader (elastic-net penalty) on a bounded sample,
-part of which is set aside to calibrate the softmax temperature.
+trained with follow-the-regularised-leader (elastic-net penalty) on a bounded sample of
+each language, part of which is set aside to calibrate the softmax temperature. Of a
+sampled document the entries with the largest weights count, at most ``ENTRIES``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stavework.llm.common import held_out, table, text_chunks, texts_of
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-#: Bound of the sample that the weights are fitted on, in documents.
-SAMPLE_DOCS = 3_000
+#: Bound of the sample that the weights are fitted on, in documents: every language has an
+#: equal part of it, and LEAST_DOCS at least.
+SAMPLE_DOCS = 3_200
+LEAST_DOCS = 20
+#: Entries of a sampled document that the fit takes.
+ENTRIES = 2_048
+#: With more languages than this there is an error and no model.
+MOST_LANGUAGES = 1_000
 #: One of so many sampled documents sets the temperature instead.
 CALIBRATION = 5
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-4
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.array([c if chr(c).isalpha() else 0x20 for c in range(128)], dtype=np.uint32)
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
-def ngram_counts(text: str) -> np.ndarray:
-    """Counts of the text's hashed n-grams, by bucket."""
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text))
+
+
+def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the text's hashed n-grams in order, and how often each occurs."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
     points = np.where(points < 128, _ASCII[points & 127], points)
     grams, key = [], np.zeros(len(points), dtype=np.uint32)
@@ -44,7 +54,13 @@ def ngram_counts(text: str) -> np.ndarray:
             break
         key = (key[: len(points) - n] ^ (points[n:] * _MIX[n])) * np.uint32(0x27D4EB2F)
         grams.append((key ^ (key >> np.uint32(15))) & np.uint32(BUCKETS - 1))
-    return np.bincount(np.concatenate(grams), minlength=BUCKETS)
+    every = np.concatenate(grams)
+    if len(every) < BUCKETS:
+        at, counts = np.unique(every, return_counts=True)
+        return at.astype(np.int32), counts
+    counts = np.bincount(every, minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    return at.astype(np.int32), counts[at]
 
 
 @dataclass
@@ -56,9 +72,10 @@ class Model:
     temperature: float
 
     def probabilities(self, text: str) -> np.ndarray:
-        tf = np.log1p(ngram_counts(text)).astype(np.float32)
-        norm = float(np.linalg.norm(tf * self.idf)) or 1.0
-        return softmax((tf @ self.weights / norm + self.bias) / self.temperature)
+        at, counts = ngram_counts(text)
+        tf = np.log1p(counts).astype(np.float32)
+        norm = float(np.linalg.norm(tf * self.idf[at])) or 1.0
+        return softmax((tf @ self.weights[at] / norm + self.bias) / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -73,7 +90,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(BUCKETS, dtype=np.int64), 0
         for batch in text_chunks(batches):
             for text in texts_of(batch):
-                total += ngram_counts(text.decode()) > 0
+                total[ngram_counts(text.decode())[0]] += 1
                 n += 1
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, -1].astype(np.int32)), pa.array(np.r_[total[found], n])], names=["bucket", "n"])
@@ -89,33 +106,44 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(docs: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, buckets, counts) of the ``size`` documents whose ids hash lowest."""
-    key = F.xxhash64("doc_id")
-    last = docs.select(key.alias("key")).orderBy("key").limit(size).agg(F.max("key")).first()[0]
-    if last is None:
-        return []
+    """(language, buckets, counts) of at most ``size`` documents of each language.
+
+    They are those whose ids and texts hash lowest; equal rows are one. Of each document
+    the ENTRIES buckets with the highest counts.
+    """
+    numbered = docs.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # limited before the shuffle too
+    last = numbered.select("lang", "key").withColumn("rank", rank).where(F.col("rank") <= size).groupBy("lang").agg(F.max("key").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            found = [ngram_counts(t.decode()) for t in texts_of(batch)]
-            at = [np.flatnonzero(c).astype(np.int32) for c in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([c[x].astype(np.int32).tobytes() for c, x in zip(found, at, strict=True)], pa.binary())],
-                names=["key", "lang", "at", "n"],
-            )
-
-    some = docs.select(key.alias("key"), "lang", "text").where(F.col("key") <= last)
-    rows = some.mapInArrow(run, "key long, lang string, at binary, n binary").orderBy("key", "lang").limit(2 * size).collect()
+            at, counts = [], []
+            for text in texts_of(batch):
+                own, n = ngram_counts(text.decode())
+                if len(own) > ENTRIES:
+                    most = np.sort(np.argsort(-n, kind="stable")[:ENTRIES])
+                    own, n = own[most], n[most]
+                at.append(own.tobytes())
+                counts.append(n.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], names=["key", "lang", "at", "n"])
+
+    some = numbered.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("last")).select("key", "lang", "text").dropDuplicates(["key", "lang"])
+    rows = some.mapInArrow(run, "key long, lang string, at binary, n binary").orderBy("key", "lang").collect()
     return [(r.lang, np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["n"]), np.int32)) for r in rows]
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model of ``text`` and ``lang``; rows without a language or a letter don't count.
 
-    None without any such row. Deterministic: documents are taken by a hash of their id.
+    None without any such row. Every language of the other rows is learnt, from its part
+    of ``sample_docs``; more than MOST_LANGUAGES are an error. Deterministic: documents
+    are taken by a hash of id and text.
     """
-    learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sample(learn, sample_docs)
+    learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = learn.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if known > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = sample(learn, max(sample_docs // max(known, 1), LEAST_DOCS))
     if not rows:
         return None
     frequency, n = document_frequencies(learn)
@@ -176,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             names, scores = [], []
             for raw in texts_of(batch):
                 text = raw.decode()
-                if own is None or not _LETTER.search(text):
+                if own is None or not has_letter(text):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
