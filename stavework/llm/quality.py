@@ -46,7 +46,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
         of_class("[0-9]").alias("digits"),
         of_class(r"[.,]").alias("stops"),
         share(F.size(F.array_distinct("_words")), n).alias("distinct"),
-        # words equal to the one before or the one two before
+        # words equal to the one before
         share(
             F.size(F.filter(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, F.greatest(n, F.lit(1))).alias("b")), lambda p: p.a == p.b)), n
         ).alias("top_pair"),
@@ -164,15 +164,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ensemble:
     """Learn ``quality`` from labelled documents outside the held-out fold.
 
-    The sample is the labelled rows whose ids hash lowest, at most ``sample_rows``; only
-    their ids are broadcast and only their statistics come to the driver.
+    The sample is the labelled ids that hash lowest, at most ``sample_rows``; only they
+    are broadcast and only their statistics come to the driver. Of documents that share
+    an id, the one with the least statistics counts; an id with both labels counts twice.
     """
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"))
     marked = marked.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
-    some = marked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
+    some = marked.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
-    rows = statistics(joined, "doc_id", "_y").orderBy("doc_id").limit(2 * sample_rows).collect()
-    x = np.array([[r[c] for c in NAMES] for r in rows], dtype=float).reshape(-1, len(NAMES))
+    one = statistics(joined, "doc_id", "_y").groupBy("doc_id", "_y").agg(F.min(F.struct(*NAMES)).alias("x"))  # at most a row for each of some
+    rows = one.orderBy("doc_id", "_y").collect()
+    x = np.array([list(r.x) for r in rows], dtype=float).reshape(-1, len(NAMES))
     return fit(x, np.array([r["_y"] for r in rows], dtype=float))
 
 
