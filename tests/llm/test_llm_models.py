@@ -1,6 +1,7 @@
 """Quality and language models: held-out figures, odd rows; and the whole pipeline."""
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -57,24 +58,101 @@ def test_quality_of_odd_rows(spark):
 def test_language_on_the_held_out_fold(spark, documents):
     rows = language_id.query(spark, LARGER).collect()
     assert len(rows) == len(documents)
-    letter = re.compile(r"[^\W\d_]")
-    fold = [r for r in rows if r.held_out and documents[r.doc_id].lang and letter.search(documents[r.doc_id].text or "")]
+    has_letter = {d: any(unicodedata.category(c).startswith("L") for c in r.text or "") for d, r in documents.items()}
+    fold = [r for r in rows if r.held_out and documents[r.doc_id].lang and has_letter[r.doc_id]]
     assert np.mean([r.lang_pred == documents[r.doc_id].lang for r in fold]) > 0.9
-    assert all((r.lang_pred == "und") == (not letter.search(documents[r.doc_id].text or "")) for r in rows)
+    assert all((r.lang_pred == "und") == (not has_letter[r.doc_id]) for r in rows)
     assert all(0 <= r.score <= 1 for r in rows)
 
 
 def test_language_of_odd_rows(spark):
     learn = spark.createDataFrame([(i, t, la, 1) for i, (t, la) in enumerate([("the cat and the dog", "a"), ("der hund und die katze", "b")] * 20)], "doc_id long, text string, lang string, key int")
     model = language_id.train(learn)
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "the dog"), (4, "the dog"), (None, "und der hund"), (5, "die katze " * 40_000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "the dog"), (4, "the dog"), (6, "² ½ ① Ⅷ ٣"), (7, None), (None, "und der hund"), (5, "die katze " * 40_000)], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
-    assert got == {1: "und", 2: "und", 3: "und", 4: "a", None: "b", 5: "b"}
+    assert got == {1: "und", 2: "und", 3: "und", 4: "a", 6: "und", 7: "und", None: "b", 5: "b"}
     assert language_id.train(learn.where("false")) is None
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
     assert language_id.predict(docs.where("false"), model).count() == 0
 
 
+def plain_ngrams(text):
+    """Buckets and counts of one to three characters, one after another."""
+    points = [ord(c) if ord(c) >= 128 or chr(ord(c)).isalpha() else 0x20 for c in f" {text.lower()} "]
+    found = {}
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            key = 0
+            for k in range(n):
+                key = ((key ^ (points[i + k] * int(language_id._MIX[k]) & 0xFFFFFFFF)) * 0x27D4EB2F) & 0xFFFFFFFF
+            bucket = (key ^ (key >> 15)) & (language_id.BUCKETS - 1)
+            found[bucket] = found.get(bucket, 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("text", ["", "a", "Übung macht den Meister 12", "日本語 text, and more", "ab" * 40_000])
+def test_ngrams_by_brute_force(text):
+    at, counts = language_id.ngram_counts(text)
+    assert dict(zip(at.tolist(), counts.tolist(), strict=True)) == plain_ngrams(text)
+
+
+def test_tf_idf_and_training_by_plain_python(spark):
+    texts = [("the cat sat on the mat", "a"), ("der hund und die katze", "b"), ("the dog and the cat", "a"), ("die maus im haus", "b")] * 3
+    learn = spark.createDataFrame([(i, t, la) for i, (t, la) in enumerate(texts)], "doc_id long, text string, lang string")
+    frequency, n = language_id.document_frequencies(learn)
+    assert n == len(texts)
+    plain = [plain_ngrams(t) for t, _ in texts]
+    for bucket in set().union(*plain):
+        assert frequency[bucket] == sum(bucket in p for p in plain)
+    assert frequency.sum() == sum(map(len, plain))
+    # one step of the leader by its formulas, entry by entry
+    at, x = np.array([3, 7], dtype=np.int32), np.array([0.6, 0.8], dtype=np.float32)
+    epochs, language_id.EPOCHS = language_id.EPOCHS, 1
+    try:
+        weights, bias = language_id.follow_the_leader([(0, at, x)], 2)
+    finally:
+        language_id.EPOCHS = epochs
+    for k, value in ((3, 0.6), (7, 0.8)):
+        for c in range(2):
+            g = value * (0.5 - (c == 0))  # from equal probabilities
+            z, squares = g, g * g
+            expected = 0.0 if abs(z) <= language_id.L1 else (np.sign(z) * language_id.L1 - z) / ((language_id.BETA + squares**0.5) / language_id.ALPHA + language_id.L2)
+            assert abs(weights[k, c] - expected) < 1e-6
+    assert bias[0] > 0 > bias[1] and not weights[[0, 1, 2, 4]].any()
+
+
+def test_a_rare_language_is_learnt(spark):
+    rows = [(i, f"the cat and the dog number {i}", "a") for i in range(3_000)] + [(i, f"der hund und die katze {i}", "b") for i in range(3_000, 3_006)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert model.languages == ["a", "b"]
+    docs = spark.createDataFrame([(1, "die katze und der hund"), (2, "a dog and a cat")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()} == {1: "b", 2: "a"}
+
+
+def plain_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    chars, n = len(text), len(words)
+    share = lambda a, b: a / b if b else 0.0
+    category = [unicodedata.category(c) for c in text]
+    of = lambda test: share(sum(map(test, text, category)), chars)
+    space = " \t\n\x0b\f\r"
+    return (
+        float(chars), float(n), share(chars, n), of(lambda c, k: k == "Lu"),
+        of(lambda c, k: k[0] not in "LN" and c not in space and c not in ".,"), of(lambda c, k: c in "0123456789"), of(lambda c, k: c in ".,"),
+        share(len(set(words)), n), share(sum(a == b for a, b in zip(words, words[1:], strict=False)), n), n / (text.count("\n") + 1),
+    )
+
+
+def test_statistics_by_plain_python(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "A a a\t\n b.\u00a0,"), (-4, "1 2 2 2"), (-5, "Ⅷ Éa")], "doc_id long, text string")
+    every = docs.unionByName(odd)
+    found = {r.doc_id: tuple(r)[1:] for r in quality.statistics(every, "doc_id").collect()}
+    for r in every.collect():
+        assert np.allclose(found[r.doc_id], plain_statistics(r.text)), (r.doc_id, found[r.doc_id], plain_statistics(r.text))
+
+
 def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontamination", "tokens"]
