@@ -1,19 +1,18 @@
 """Benchmark decontamination: n-gram windows of a test set looked up in training texts.
 
-A benchmark's normalised windows become a hash set in a broadcast variable. Each task
-streams its documents, maps words to the benchmark's word numbers, and looks up only
-windows whose words all occur in the benchmark; a hit compares the whole window, so it
-is verified when found.
-
-The broadcast is bounded: a benchmark with more than ``block_bytes`` of text is handled
-in blocks of items, one pass over the documents for each, and the hits of the passes
-are merged by row: the documents are written once with a key for each row. No size of benchmark is out of reach and none is broadcast
-unchecked.
+A benchmark's normalised windows become a broadcast set of hashes: sorted 64-bit numbers,
+with the windows' places in the benchmark's own text and the items that have them. Each
+task streams its documents, hashes their windows, and compares the words of every window
+whose hash is in the set, so a hit is verified when found.
+
+The broadcast is bounded: a benchmark whose set needs more than ``block_bytes`` of memory
+is handled in blocks of items, one pass over the documents for each, and the hits of the
+passes are merged by row: the documents are written once with a key for each row. No size
+of benchmark is out of reach and none is broadcast unchecked.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavework.llm.common import cut_table, table, text_chunks, texts_of
+from stavework.llm.words import Words
 
 WINDOW = 13
-#: Benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Memory of one broadcast block, about: WINDOW_BYTES for each window, and the text.
+BLOCK_BYTES = 64 << 20
+WINDOW_BYTES = 32
 #: Contaminated: hit, and at least one word in this many is hit.
 SHARE = 20
 
@@ -42,37 +43,97 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of one block of benchmark items."""
+    """The windows of one length of a block of benchmark items, by hash.
+
+    Distinct windows with one hash stand next to each other. The sieve has a bit for each
+    value of a hash's upper bits and turns most other windows away.
+    """
+
+    def __init__(self, line: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray):
+        """A row for each place of a window: hash, its place in ``line``, number of its item."""
+        order = np.lexsort((items, hashes))
+        hashes, starts, ends, items = hashes[order], starts[order], ends[order], items[order]
+        number = np.cumsum(np.r_[0, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, dtype=np.int64)
+        number = self._apart(line, number, starts, ends)
+        order = np.lexsort((items, number))  # in the order of hashes too
+        number, hashes, starts, ends, items = number[order], hashes[order], starts[order], ends[order], items[order]
+        first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, dtype=np.int64)
+        self.hashes, self.starts, self.ends = hashes[first], starts[first].astype(np.uint32), ends[first].astype(np.uint32)
+        new = np.r_[True, (number[1:] != number[:-1]) | (items[1:] != items[:-1])] if len(number) else np.zeros(0, dtype=bool)
+        self.items = items[new].astype(np.int32)
+        self.bounds = np.searchsorted(number[new], np.arange(len(first) + 1)).astype(np.int32)
+        self.shift = 64 - max(8, (8 * len(first)).bit_length())
+        bits = np.zeros(1 << (64 - self.shift), dtype=bool)
+        bits[self.hashes >> np.uint64(self.shift)] = True
+        self.sieve = np.packbits(bits, bitorder="little")
+
+    @staticmethod
+    def _apart(line: bytes, number: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of hashes made into numbers of windows, should windows share a hash."""
+        again = np.flatnonzero(np.diff(number) == 0) + 1
+        texts = lambda at: [line[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if texts(again) == texts(again - 1):
+            return number
+        every = texts(np.arange(len(number)))
+        found: dict[tuple[int, bytes], int] = {}
+        return np.array([found.setdefault(key, len(found)) for key in zip(number.tolist(), every, strict=True)])
+
+    def hits(self, line: bytes, words: Words, size: int) -> tuple[list[int], list[int]]:
+        """Places of hit windows in words, and the numbers of the windows hit."""
+        hashes = words.hashes(size)
+        top = hashes >> np.uint64(self.shift)
+        some = np.flatnonzero(self.sieve[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+        low = np.searchsorted(self.hashes, hashes[some])
+        equal = self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes[some]
+        at, which = [], []
+        for i, k in zip(some[equal].tolist(), low[equal].tolist(), strict=True):
+            own = words.slice(i, size)
+            while k < len(self.hashes) and self.hashes[k] == hashes[i]:
+                if line[self.starts[k] : self.ends[k]] == own:
+                    at.append(i)
+                    which.append(k)
+                    break
+                k += 1
+        return at, which
+
+
+class Block:
+    """The windows of a block of items; items of fewer than n words are one window."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.found: dict[int, dict[bytes, set[str]]] = {}  # by length: window -> item ids
-        number = self.vocabulary.setdefault
+        self.ids = sorted({item_id for item_id, _ in items})
+        number = {item_id: k for k, item_id in enumerate(self.ids)}
+        lines, rows, at = [], {}, 0
         for item_id, text in items:
-            ids = np.array([number(w, len(self.vocabulary)) for w in words_of(text)], dtype=np.int32)
-            if not len(ids):
+            words = Words(b" ".join(words_of(text)), clean=True)
+            if not len(words):
                 continue
-            size = min(n, len(ids))
-            own = self.found.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                own.setdefault(ids[i : i + size].tobytes(), set()).add(item_id)
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """(start, end) of merged runs of hit words, and the items that occur."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], dtype=np.int32)
-        edges = np.diff(np.r_[False, ids >= 0, False].astype(np.int8))
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        spans, items = [], set()
-        for size, own in self.found.items():
-            long = ends - starts >= size
-            for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-                raw = ids[a:b].tobytes()
-                for i in range(b - a - size + 1):
-                    if (of := own.get(raw[4 * i : 4 * (i + size)])) is not None:
-                        spans.append((a + i, a + i + size))
-                        items |= of
-        return merged(np.array(spans, dtype=np.int64).reshape(-1, 2)), items
+            size = min(n, len(words))
+            hashes = words.hashes(size)
+            own = (hashes, words.starts[: len(hashes)] + at, words.ends[size - 1 :] + at, np.full(len(hashes), number[item_id], dtype=np.int32))
+            rows.setdefault(size, []).append(own)
+            lines.append(words.line)
+            at += len(words.line) + 1
+        self.line = b"\n".join(lines)
+        self.sizes = {size: Windows(self.line, *map(np.concatenate, zip(*own, strict=True))) for size, own in rows.items()}
+
+    def hits(self, words: Words) -> tuple[np.ndarray, list[str]]:
+        """(start, end) of merged runs of hit words, and the items that occur, in order."""
+        spans, items = [], []
+        for size, windows in self.sizes.items():
+            at, which = windows.hits(self.line, words, size)
+            if at:
+                starts = np.array(at, dtype=np.int64)
+                spans.append(np.stack([starts, starts + size], axis=1))
+                items.extend(windows.items[windows.bounds[k] : windows.bounds[k + 1]] for k in set(which))
+        if not spans:
+            return np.zeros((0, 2), dtype=np.int64), []
+        return merged(np.concatenate(spans)), [self.ids[k] for k in np.unique(np.concatenate(items)).tolist()]
+
+    @property
+    def nbytes(self) -> int:
+        arrays = sum(getattr(w, c).nbytes for w in self.sizes.values() for c in ("hashes", "starts", "ends", "items", "bounds", "sieve"))
+        return len(self.line) + arrays + sum(map(len, self.ids))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -86,36 +147,37 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark's items in parts of at most about ``block_bytes`` of text.
+    """The benchmark's items in parts whose sets need at most about ``block_bytes``.
 
-    Items are dealt by a hash of their id, in as many blocks as their measured size asks
-    for. An item without id or text has no windows.
+    Items are dealt by a hash of their id and text, in as many blocks as their measured
+    words and bytes ask for. An item without id or text has no windows.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text")).where("id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("id") + WINDOW_BYTES * words)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("id"), F.lit(n))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
     return [items.where(block == k) for k in range(n)]
 
 
-def shared_items(block: DataFrame) -> Broadcast[list[tuple[str, bytes]]]:
-    return block.sparkSession.sparkContext.broadcast([(r.id, r.text.encode()) for r in block.toLocalIterator()])
+def shared_windows(block: DataFrame, n: int) -> Broadcast[Block]:
+    """A block's windows, built once and sent to the tasks."""
+    return block.sparkSession.sparkContext.broadcast(Block([(r.id, r.text.encode()) for r in block.toLocalIterator()], n))
 
 
 def hits_of(docs: DataFrame, key: str, block: DataFrame, n: int, all_rows: bool = True) -> DataFrame:
     """``key``, ``n_words``, ``hit_spans``, ``items`` of the rows of docs (or those with hits)."""
-    shared = shared_items(block)
+    shared = shared_windows(block, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
         for batch in text_chunks(batches):
             counts, spans, found = [], [], []
             for text in texts_of(batch):
-                words = words_of(text)
-                own, items = windows.hits(words)
+                words = Words(b" ".join(words_of(text)), clean=True)
+                own, items = shared.value.hits(words)
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in own.tolist()])
-                found.append(sorted(items))
+                found.append(items)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))],
@@ -206,16 +268,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes:
         rows, key = keyed(docs)
         bad = hits_by_row(rows, key, blocks, n).where(is_contaminated(hit_words(), F.col("n_words"))).select(key)
         return rows.join(bad, key, "left_anti").select(docs.columns)
-    shared = shared_items(blocks[0])
+    shared = shared_windows(blocks[0], n)
 
     @F.arrow_udf("boolean")
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        windows = Windows(shared.value, n)
         for some in texts:
             found = []
             for text in some.cast(pa.binary()):
-                words = words_of(text.as_py() or b"")
-                spans, _ = windows.hits(words)
+                words = Words(b" ".join(words_of(text.as_py() or b"")), clean=True)
+                spans, _ = shared.value.hits(words)
                 hit = int((spans[:, 1] - spans[:, 0]).sum())
                 found.append(not (hit > 0 and SHARE * hit >= len(words)))
             yield pa.array(found, pa.bool_())
@@ -224,36 +285,36 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id`` and ``text`` with the words of every benchmark window cut out.
+    """docs with the words of every benchmark window cut out of ``text``.
 
-    The text between words stays; only hit words go.
+    The text between words stays; only hit words go. All other columns stay, and so do
+    null and empty texts. Windows are judged on the texts as they come, so the number of
+    blocks changes nothing.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text")
-    for block in blocks_of(benchmark, block_bytes):
-        shared = shared_items(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, n)
-            for batch in text_chunks(batches):
-                texts = []
-                for text in texts_of(batch):
-                    plain = text.translate(_WORD_BYTES)
-                    spans, _ = windows.hits(plain.split())
-                    texts.append((cut_words(text, plain, spans) if len(spans) else text).decode())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-        out = out.mapInArrow(run, f"doc_id {kind}, text string")
-    return out
-
-
-def cut_words(text: bytes, plain: bytes, spans: np.ndarray) -> bytes:
+    rows, key = keyed(docs)
+    blocks = blocks_of(benchmark, block_bytes)
+    hit = hits_by_row(rows, key, blocks, n) if len(blocks) > 1 else hits_of(rows, key, blocks[0], n)
+    spans = hit.where(F.size("items") > 0).select(F.col(key).alias(f"{key}_of"), F.col("hit_spans").alias(f"{key}_spans"))
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.cast(pa.binary()), spans.to_pylist(), strict=True):
+            raw = text.as_py()
+            out.append(raw if not own or raw is None else cut_words(raw, raw.translate(_WORD_BYTES), [(s["start"], s["end"]) for s in own]))
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    joined = rows.join(spans, F.col(key) == F.col(f"{key}_of"), "left")
+    return joined.withColumn("text", cut("text", f"{key}_spans")).select(docs.columns)
+
+
+def cut_words(text: bytes, plain: bytes, spans: list[tuple[int, int]]) -> bytes:
     """text without the words of the spans; plain is text with other bytes as spaces."""
     is_word = np.frombuffer(plain, dtype=np.uint8) != 0x20
     edges = np.diff(np.r_[False, is_word, False].astype(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     keep = np.ones(len(text), dtype=bool)
-    for a, b in spans.tolist():
+    for a, b in spans:
         for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True):
             keep[s:e] = False
     return np.frombuffer(text, dtype=np.uint8)[keep].tobytes()
@@ -264,10 +325,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
-def no_items_sha256() -> str:
-    return hashlib.sha256(b"").hexdigest()
-
-
 ORACLE_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

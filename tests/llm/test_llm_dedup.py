@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -245,6 +246,46 @@ def test_short_items_nulls_and_removal(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6]
     cut = {r.doc_id: r.text for r in decontamination.remove_spans(docs, items).collect()}
     assert cut[1].split() == ["x", "y"] and cut[6] == "a b"
+    extra = docs.unionByName(spark.createDataFrame([(7, "Just, five SMALL words; q w q just five small words here.", "k", "z")], docs.schema))
+    for block_bytes in (1 << 24, 40):
+        found = decontamination.remove_spans(extra, items, block_bytes=block_bytes)
+        assert found.columns == docs.columns
+        by_id = {r.doc_id: r.text for r in found.collect()}
+        assert by_id[2] is None and by_id[3] == "" and by_id[7].split() == ["Just,", "five", "SMALL", "words;", "q", "."]
     assert decontamination.find(docs, items.where("false")).where("n_hit > 0").count() == 0
     assert decontamination.find(docs.where("false"), items).count() == 0
     assert decontamination.find(docs, items).agg(F.count("*")).first()[0] == len(rows)
+
+
+def test_a_block_s_windows_by_brute_force():
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n)).encode()
+    items = [(str(i % 9), text(rng.choice([1, 2, 4, 9]))) for i in range(14)]
+    block = decontamination.Block(items, 4)
+    for _ in range(200):
+        words = decontamination.Words(text(rng.randrange(0, 30)))
+        parts, covered, found = words.line.split(), set(), set()
+        for item, own in items:
+            own = own.split()
+            n = min(4, len(own))
+            for i in range(len(own) - n + 1):
+                at = [j for j in range(len(parts) - n + 1) if parts[j : j + n] == own[i : i + n]]
+                covered |= {j + k for j in at for k in range(n)}
+                found |= {item} if at else set()
+        spans, got = block.hits(words)
+        assert {k for a, b in spans.tolist() for k in range(a, b)} == covered and got == sorted(found)
+        assert all(b < c for (_, b), (c, _) in zip(spans.tolist(), spans.tolist()[1:], strict=False))
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontamination.Words, "hashes", lambda self, k: np.full(max(len(self) - k + 1, 0), 5 << 60, dtype=np.uint64))
+    block = decontamination.Block([("1", b"a b c"), ("2", b"b c d"), ("3", b"a b c")], 3)
+    assert block.hits(decontamination.Words(b"x a b c d"))[1] == ["1", "2", "3"]
+    assert block.hits(decontamination.Words(b"x b c d"))[1] == ["2"] and block.hits(decontamination.Words(b"b c"))[1] == []
+
+
+def test_a_block_keeps_to_its_bytes():
+    rng = random.Random(12)
+    items = [(str(i), " ".join(rng.choice(["a", "bc", "word", "longer"]) + str(rng.randrange(999)) for _ in range(200)).encode()) for i in range(500)]
+    words = sum(len(t.split()) for _, t in items)
+    assert decontamination.Block(items, 13).nbytes <= sum(len(t) + len(i) for i, t in items) + decontamination.WINDOW_BYTES * words
