@@ -1,9 +1,10 @@
 """A compressed FM-index over word sequences, in numpy.
 
-The Burrows-Wheeler transform is kept in a wavelet matrix of packed bits with one count
-for every 64. Suffixes are sorted by as many words as the longest pattern has, or more,
-which is exact for patterns up to that length. Many patterns are searched at once: each step of a backward search
-is a few array operations for all of them.
+Only the Burrows-Wheeler transform is kept, in a wavelet matrix of packed bits with one
+count for every 64; the order of suffixes that it is made from is not, nor is the text.
+Suffixes are sorted by as many words as the longest pattern has, or more, which is exact
+for patterns up to that length. Many patterns are searched at once: each step of a
+backward search is a few array operations for all of them.
 """
 
 from __future__ import annotations
@@ -39,8 +40,7 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, depth: int = DEPTH):
-        self.suffixes = suffix_order(text, depth)
-        last = text[self.suffixes - 1]  # the transform; before the first symbol comes the last
+        last = text[suffix_order(text, depth) - 1]  # the transform; before the first symbol comes the last
         self.levels = max(1, int(text.max()).bit_length())
         self.smaller = np.r_[0, np.cumsum(np.bincount(text))]
         self.bits, row = [], last
@@ -63,44 +63,55 @@ class FMIndex:
         start = self.smaller[symbols] - self.base[symbols]
         return both[: len(low)] + start, both[len(low) :] + start
 
-    def first_places(self, text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-        """For each place of ``text`` the first place with the same ``length`` symbols.
+    def matches(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of streamed symbols against this index, up to ``most``.
 
-        Backward search from the last symbol; a range of one suffix is the place itself
-        and is not followed further.
+        For each place in ``ends``: the length of the longest sequence that ends there and
+        occurs at least twice in the index (the streamed symbols are part of it), and the
+        first suffix of its range, which names the sequence if it has ``most`` symbols. At
+        least ``most`` symbols must stand before each end. Backward search, one symbol to
+        the left in each step; a range of one suffix is not followed further.
         """
-        first = places.copy()
-        active = np.arange(len(places))
-        low, high = np.zeros(len(places), dtype=np.int64), np.full(len(places), len(text), dtype=np.int64)
-        for back in range(length - 1, -1, -1):
-            low, high = self.step(text[places[active] + back], low, high)
+        length, name = np.zeros(len(ends), dtype=np.int32), np.full(len(ends), -1, dtype=np.int64)
+        active, at = np.arange(len(ends)), ends
+        low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.smaller[-1], dtype=np.int64)
+        for _ in range(most):
+            low, high = self.step(text[at], low, high)
             more = high - low > 1
-            active, low, high = active[more], low[more], high[more]
+            if not more.all():
+                active, at, low, high = active[more], at[more], low[more], high[more]
             if not len(active):
-                return first
-        # ranges of patterns of one length are equal or apart
-        starts, of = np.unique(low, return_inverse=True)
-        ends = np.zeros(len(starts), dtype=np.int64)
-        ends[of] = high
-        bounds = np.stack([starts, ends], axis=1).reshape(-1)
-        least = np.minimum.reduceat(np.r_[self.suffixes, len(text)], bounds)[::2]
-        first[active] = least[of]
-        return first
+                break
+            length[active] += 1
+            at = at - 1
+        name[active] = low
+        return length, name
+
+    @property
+    def nbytes(self) -> int:
+        return sum(b.words.nbytes + b.before.nbytes for b in self.bits) + self.smaller.nbytes + self.base.nbytes
 
 
 def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Suffixes by their first ``depth`` symbols or more: ranks of doubled length until all differ."""
+    """Suffixes by their first ``depth`` symbols or more, in any order where these are equal.
+
+    Ranks of the first few symbols, as many as fit in 63 bits, then ranks of doubled
+    length until all differ.
+    """
     n, rank = len(text), text.astype(np.int64)
-    order, width = np.argsort(rank, kind="stable"), 1
-    while width < depth:
-        shifted = np.zeros(n, dtype=np.int64)
-        shifted[: max(n - width, 0)] = rank[width:] + 1
-        key = rank * (int(rank.max()) + 2) + shifted
-        order = np.argsort(key, kind="stable")
+    bits = max(1, int(rank.max(initial=0) + 1).bit_length())
+    width = max(1, min(63 // bits, depth))
+    key = rank + 1
+    for k in range(1, width):
+        key = key << bits
+        key[: max(n - k, 0)] |= rank[k:] + 1
+    while True:
+        order = np.argsort(key)
         new = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
+        if width >= depth or new[-1:] == n - 1:
+            return order
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
+        key = rank * (int(new[-1]) + 2)
+        key[: max(n - width, 0)] += rank[width:] + 1
         width *= 2
-        if new[-1] == n - 1:
-            break
-    return order

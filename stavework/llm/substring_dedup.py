@@ -13,8 +13,10 @@ eight words.
    occurs once are unique.
 2. Runs of repeated anchors are cut out of their documents as segments of words.
 3. Segments go to shards by anchor. A shard builds compressed FM-indexes of its distinct
-   segments in order of their first places, streams the segments' windows through
-   backward search, and reports the windows that are the first of their kind.
+   segments in order of their first places and streams them through backward search over
+   the wavelet matrix: the matching statistics, the length of the longest sequence ending
+   at each word that occurs twice, up to the window's. Where they reach the window's
+   length, the ranges of the search tell equal windows, and their first places are kept.
 4. In each document, repeated runs' windows that are no first ones are intervals to
    remove; they are merged.
 
@@ -23,6 +25,9 @@ of places by content), and if these are still many, its windows are dealt to sev
 shards by the windows' own hashes. Equal windows still meet. A shard gets only the words
 of its own windows, reduced to distinct ones once more, so a window that all segments
 share comes to its shard about once and not with every segment.
+
+An index of ``INDEX_WORDS`` words takes about 1 MB, building it and searching it about
+50 MB at most in a worker; the order of suffixes is dropped once the transform is made.
 """
 
 from __future__ import annotations
@@ -121,11 +126,9 @@ def segments(documents: DataFrame, window: int) -> DataFrame:
             for k, line in enumerate(batch.column(1).to_pylist()):
                 words = Words(line, clean=True)
                 own = at[bounds[k] : bounds[k + 1]]
-                own = own[(own >> 6) + (own & 63) + window - 1 <= len(words)]  # of a row that shares its id
                 first = words.starts[own >> 6].tolist()
                 last = words.ends[(own >> 6) + (own & 63) + window - 2].tolist()
                 contents.extend(line[s:e] for s, e in zip(first, last, strict=True))
-                contents.extend([b""] * (bounds[k + 1] - bounds[k] - len(own)))
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             yield pa.RecordBatch.from_arrays([anchor, n, pa.array(contents, pa.binary()), batch.column(0).take(pa.array(rows)), pa.array(at >> 6)], names=["anchor", "n", "content", "doc_id", "start"])
 
@@ -144,23 +147,26 @@ def shard_firsts(rows: list[tuple[bytes, object, int]], window: int) -> list[tup
         if (old := places.get(content)) is None or now < old:
             places[content] = now
     order = sorted(places.items(), key=lambda x: x[1])
-    number: dict[bytes, int] = {}
-    text, queries, offsets = [], [], []
-    size = 0
-    for content, _ in order:
-        ids = [number.setdefault(w, len(number) + 1) for w in content.split(b" ")]
-        text.extend(ids)
-        text.append(SEPARATOR)
-        own = np.arange(len(ids) - window + 1)
-        queries.append(own + size)
-        offsets.append(own)
-        size += len(ids) + 1
-    symbols = np.array(text, dtype=np.int64)
-    asked = np.concatenate(queries)
-    is_first = FMIndex(symbols, window).first_places(symbols, asked, window) == asked
-    bits = np.where(is_first, np.int64(1) << np.concatenate(offsets), 0)
-    masks = np.bitwise_or.reduceat(bits, np.cumsum([0] + [len(q) for q in queries[:-1]]))
-    return [(*where, int(mask)) for (_, where), mask in zip(order, masks.tolist(), strict=True) if mask]
+    symbols, starts = numbered([content for content, _ in order])
+    windows = np.diff(starts) - window  # separators follow the contents
+    offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    asked = np.repeat(starts[:-1], windows) + offset
+    length, name = FMIndex(symbols, window).matches(symbols, asked + window - 1, window)
+    is_first = np.ones(len(asked), dtype=bool)
+    again = np.flatnonzero(length == window)
+    again = again[np.argsort(name[again], kind="stable")]  # equal windows together, by place
+    is_first[again[1:]] = name[again[1:]] != name[again[:-1]]
+    bits = np.where(is_first, np.int64(1) << offset, 0)
+    masks = np.bitwise_or.reduceat(bits, np.cumsum(windows) - windows)
+    return [(*where, mask) for (_, where), mask in zip(order, masks.tolist(), strict=True) if mask]
+
+
+def numbered(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all contents as numbers from 1, SEPARATOR behind each content; and where each begins (and the end)."""
+    parts = b" \n ".join([*contents, b""]).split(b" ")[:-1]
+    number: dict[bytes, int] = {b"\n": SEPARATOR}  # no word has a newline
+    symbols = np.fromiter((number.setdefault(w, len(number)) for w in parts), dtype=np.int64, count=len(parts))
+    return symbols, np.r_[0, np.flatnonzero(symbols == SEPARATOR) + 1]
 
 
 def firsts(dealt: DataFrame, window: int) -> DataFrame:
@@ -170,6 +176,7 @@ def firsts(dealt: DataFrame, window: int) -> DataFrame:
     together.
     """
     kind = dict(dealt.dtypes)["doc_id"]
+    is_struct = kind.startswith("struct")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: list) -> pa.RecordBatch:
@@ -181,13 +188,16 @@ def firsts(dealt: DataFrame, window: int) -> DataFrame:
         size, shard = 0, None
         for batch in text_chunks(batches, "content"):
             id_type = batch.schema.field(2).type
-            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            docs = batch.column(2).to_pylist()
+            if is_struct:
+                docs = [tuple(d.values()) for d in docs]
+            for own, content, doc, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), docs, batch.column(3).to_pylist(), strict=True):
                 if own != shard and size >= INDEX_WORDS:
                     yield judged(held)
                     held, size = [], 0
                 shard = own
-                held.append(tuple(row))
-                size += row[0].count(b" ") + 1
+                held.append((content, doc, start))
+                size += content.count(b" ") + 1
         if held:
             yield judged(held)
 
@@ -240,16 +250,28 @@ def hot_firsts(found: DataFrame) -> DataFrame:
     return found.select("doc_id", (F.shiftright("start", 6) - before).alias("start"), F.call_function("shiftleft", "bits", before).alias("bits"))
 
 
-def removed_words(runs: list[dict], first: dict[int, int], n_words: int, window: int) -> np.ndarray:
-    """Which of a document's words a repeated window covers."""
-    edges = np.zeros(n_words + 1, dtype=np.int64)
-    for r in runs:
-        start, n = r["place"] >> 6, r["place"] & 63
-        own = first.get(start, 0)
-        at = start + np.flatnonzero([not own >> i & 1 for i in range(n)])
-        at = at[at + window <= n_words]
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + window, -1)
+def covered(n_words: np.ndarray, runs: tuple[np.ndarray, np.ndarray], first: tuple[np.ndarray, np.ndarray, np.ndarray], window: int) -> np.ndarray:
+    """Which words of some documents a repeated window covers, all documents in a row.
+
+    runs: (document, place); first: (document, start, first windows as bits). A document
+    has one more flag than words, which is never set.
+    """
+    doc, place = runs
+    base = np.r_[0, np.cumsum(n_words + 1)]
+    start, n = place >> 6, place & 63
+    key = base[first[0]] + first[1]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    bits = np.r_[np.bitwise_or.reduceat(first[2][order], new) if len(key) else np.zeros(0, dtype=np.int64), 0]
+    key = np.r_[key[new], -1]
+    at = np.searchsorted(key[:-1], base[doc] + start)
+    own = np.where(key[at] == base[doc] + start, bits[at], 0)
+    run = np.repeat(np.arange(len(doc)), n)
+    i = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    at = (base[doc] + start)[run] + i
+    at = at[(own[run] >> i & 1 == 0) & (start[run] + i + window <= n_words[doc[run]])]
+    edges = np.bincount(at, minlength=base[-1] + 1) - np.bincount(at + window, minlength=base[-1] + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -263,50 +285,73 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, shard_runs: int = SHARD_R
 
     window: 6 to 62 words. Null and empty texts have no words; texts shorter than the
     window lose none. Rows with a null id have no place in the order: they lose nothing
-    and no one loses for them. Rows that share an id share its places: windows at equal
-    starts are no repeats of each other, and each row loses the words that the repeats
-    of either cover.
+    and no one loses for them. Different texts that share an id are documents of their
+    own, in the order of a hash of the text. Equal rows are one document: they lose the
+    same words, and none for each other.
     """
     if not GRAM <= window <= 62:
         raise ValueError(f"window: {GRAM} to 62 words")
     texts = docs.select("doc_id", "text")
-    documents = marked(texts.where("doc_id is not null"), window)
+    placed, others = texts.where("doc_id is not null"), _without_place(texts.where("doc_id is null"))
+    if not placed.groupBy("doc_id").count().where("count > 1").take(1):
+        return _deduplicated(placed, window, shard_runs).unionByName(others)
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    distinct = cut_table(placed.groupBy("doc_id", row.alias("row")).agg(F.first("text").alias("text")))
+    done = cut_table(_deduplicated(distinct.select(F.struct("doc_id", "row").alias("doc_id"), "text"), window, shard_runs))
+    of = done.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.row").alias("row"), "n_words", "n_removed", "kept_sha256", "kept")
+    return placed.select("doc_id", row.alias("row")).join(of, ["doc_id", "row"]).drop("row").unionByName(others)
+
+
+def _deduplicated(texts: DataFrame, window: int, shard_runs: int) -> DataFrame:
+    """``deduplicate`` for rows with an id of their own."""
+    documents = marked(texts, window)
     repeated = documents.where("runs is not null")
-    cut_out = segments(repeated, window).where("content <> X''")
+    cut_out = segments(repeated, window)
     plain = cut_out.where(F.col("n") <= shard_runs)
     dealt = plain.select(F.col("anchor").cast("string").alias("shard"), "content", "doc_id", "start")
     hot = split_hot(cut_out.where(F.col("n") > shard_runs), window, shard_runs)
     found = firsts(dealt, window).unionByName(hot_firsts(firsts(hot, window)))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("firsts"))
-    judged = repeated.join(by_doc, "doc_id", "left").select("doc_id", "n_words", "line", "runs", "firsts")
+    places = repeated.select("doc_id", "n_words", "line", F.col("runs.place").alias("places"))
+    judged = places.join(by_doc, "doc_id", "left").select("doc_id", "n_words", "line", "places", "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "line"):
-            counts, digests, texts = [], [], []
-            for n, line, own, first in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
-                bits: dict[int, int] = {}
-                for f in first or ():
-                    bits[f["start"]] = bits.get(f["start"], 0) | f["bits"]
-                gone = removed_words(own, bits, n, window)
-                words = line.split(b" ")
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else line
-                counts.append(int(gone.sum()))
+            n_words = batch.column(1).to_numpy(zero_copy_only=False)
+            each = np.arange(batch.num_rows)
+            lists = [batch.column(c) for c in (3, 4)]
+            of = [np.repeat(each, x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) for x in lists]
+            place, first = lists[0].flatten().to_numpy(zero_copy_only=False), lists[1].flatten()
+            gone = covered(n_words, (of[0], place), (of[1], *(first.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))), window)
+            ends = np.cumsum(n_words + 1)
+            counts, digests, texts = np.zeros(batch.num_rows, dtype=np.int64), [], []
+            for k, line in enumerate(batch.column(2).to_pylist()):
+                own = gone[ends[k] - n_words[k] - 1 : ends[k] - 1]
+                counts[k] = own.sum()
+                kept = line
+                if counts[k]:
+                    words = Words(line, clean=True)
+                    kept = np.frombuffer(line + b" ", dtype=np.uint8)[np.repeat(~own, words.ends - words.starts + 1)].tobytes()[:-1]
                 digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode() if gone.any() else None)
+                texts.append(kept.decode() if counts[k] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests), pa.array(texts, pa.string())],
+                [batch.column(0), batch.column(1), pa.array(counts), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = dict(texts.dtypes)["doc_id"]
     done = judged.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    whole = lambda df: df.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    return done.unionByName(whole(documents.where("runs is null"))).unionByName(whole(_without_place(texts.where("doc_id is null"))))
+    return done.unionByName(_whole(documents.where("runs is null")))
+
+
+def _whole(documents: DataFrame) -> DataFrame:
+    """Documents that lose nothing."""
+    return documents.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
 
 
 def _without_place(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return docs.select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("whole_sha256"))
+    return _whole(docs.select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("whole_sha256")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -192,6 +193,54 @@ def test_first_windows_of_any_length_by_brute_force(window):
     assert {d: bits for d, _, bits in substring_dedup.shard_firsts(segments, window)} == want
 
 
+@pytest.mark.parametrize(("most", "letters"), [(1, "ab"), (5, "ab"), (20, "ab"), (20, "abcdefghijklmnop"), (40, "a")])
+def test_matching_statistics_by_brute_force(most, letters):
+    rng = random.Random(most)
+    contents = [" ".join(rng.choice(letters) for _ in range(rng.randrange(most, most + 40))).encode() for _ in range(25)]
+    contents += contents[:3]
+    symbols, starts = substring_dedup.numbered(contents)
+    text = symbols.tolist()
+    ends = np.array([e for a, b in zip(starts, starts[1:], strict=False) for e in range(a + most - 1, b - 1)])
+    index = substring_dedup.FMIndex(symbols, most)
+    length, name = index.matches(symbols, ends, most)
+    names = {}
+    for e, n, k in zip(ends.tolist(), length.tolist(), name.tolist(), strict=True):
+        best = 0
+        while best < most and sum(text[i - best : i + 1] == text[e - best : e + 1] for i in range(best, len(text))) > 1:
+            best += 1
+        assert n == best
+        if n == most:
+            assert names.setdefault(k, text[e - most + 1 : e + 1]) == text[e - most + 1 : e + 1]
+    assert len({tuple(v) for v in names.values()}) == len(names)
+
+
+def test_words_as_numbers():
+    symbols, starts = substring_dedup.numbered([b"a b a", b"c", b"b b"])
+    assert symbols.tolist() == [1, 2, 1, 0, 3, 0, 2, 2, 0] and starts.tolist() == [0, 4, 6, 9]
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    p, q = (" ".join(f"{x}{i}" for i in range(30)) for x in "pq")
+    rows = [(1, p), (2, f"{p} c"), (2, f"{q} d"), (2, f"{q} d"), (3, q), (None, p), (5, p), (5, p), (5, None)]
+    found = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in found)
+    # q stays in both equal rows of 2, which lose nothing for each other, and goes from 3 only
+    assert got == sorted([("1", 30, 0), ("2", 31, 30), ("2", 31, 0), ("2", 31, 0), ("3", 30, 30), ("None", 30, 0), ("5", 30, 30), ("5", 30, 30), ("5", 0, 0)])
+    assert {r.kept for r in found if r.n_removed} == {"c", ""}
+
+
+def test_an_index_is_small():
+    rng = random.Random(3)
+    contents = [" ".join(f"w{min(rng.randrange(1, 40_000), rng.randrange(1, 40_000))}" for _ in range(30)).encode() for _ in range(6_500)]
+    rows = [(c, i, 0) for i, c in enumerate(contents)] + [(c, i + 10_000, 0) for i, c in enumerate(contents[:500])]
+    tracemalloc.start()
+    assert len(substring_dedup.shard_firsts(rows, 20)) == len(set(contents))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    symbols, _ = substring_dedup.numbered(contents)
+    assert substring_dedup.FMIndex(symbols, 20).nbytes < 3 << 20 and peak < 60 << 20, peak
+
+
 def test_a_window_of_all_segments_comes_to_its_shard_once(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     hot = spark.createDataFrame([(7, f"l{i} {passage}".encode(), i, 3) for i in range(1_000)], "anchor long, content binary, doc_id long, start long")
