@@ -8,17 +8,25 @@ encodings is a candidate, and for the encoding that its characters suggest it ge
 * a runs test over the lower and upper half of the alphabet,
 * the correlation of neighbouring characters' places in the alphabet.
 
-A candidate is random if two things hold. Its three statistics, combined by Fisher's
-method, don't speak against randomness. And its chi-squared is too small for written
-text of its length (a noncentral chi-squared with a fixed noncentrality a character):
-that is the discovery, and the Benjamini-Hochberg procedure controls its false
-discovery rate within each length class, over the candidates of all documents. The
-procedure works on a grid of p-values (counts by class and bin, a few thousand rows at
-most), so no candidates are ranked or gathered.
+Each is standardised by its exact mean and variance for random characters, the three are
+added (the last two without their signs), and the cube root of the sum is close to
+normal, as that of a chi-squared is. A candidate's p-value is the chance that written
+text of its length and encoding has as small a root. What written text has comes from a
+table: mean and spread by encoding and length, simulated for letters and digits as
+frequent as in writing, interpolated between lengths. (Its chances of 0.001 are 1.1 to
+5 times those simulated, so it errs on the side of no discovery.) The
+Benjamini-Hochberg procedure then controls the false discovery rate for each encoding
+and length class, over the candidates of all documents. It works on a grid of p-values
+(counts by encoding, class and bin, some thousand rows at most), so no candidates are
+ranked or gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,21 +42,25 @@ HEX = "[0-9a-f]{16,}"
 CANDIDATE = "[A-Za-z0-9+/=_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Encodings by what their characters are, tried in this order:
-#: name, pattern, alphabet, noncentrality a character of written text in it.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_ALPHANUMERIC = _LETTERS.upper() + _LETTERS + "0123456789"
+#: Encodings by what their characters are, tried in this order: pattern and alphabet.
 ENCODINGS = (
-    ("digits", "^[0-9]+$", "0123456789", 1.0),
-    ("hex", "^[0-9a-f]+$", "0123456789abcdef", 1.5),
-    ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF", 1.5),
-    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2),
-    ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.0),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 3.0),
+    ("^[0-9]+$", "0123456789"),
+    ("^[0-9a-f]+$", "0123456789abcdef"),
+    ("^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("^[A-Z2-7]+=*$", _LETTERS.upper() + "234567"),
+    ("^[A-Za-z0-9]+$", _ALPHANUMERIC),
+    ("^[A-Za-z0-9+/]+=*$", _ALPHANUMERIC + "+/"),
+    ("^[A-Za-z0-9_-]+=*$", _ALPHANUMERIC + "-_"),
 )
+#: Percentages of the letters a to z in English writing.
+LETTER_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
 #: Lower ends of the length classes.
 CLASSES = (20, 28, 40, 64, 128)
+#: Lengths for which text is simulated, and how many texts.
+LENGTHS, TEXTS = (20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 192, 256, 512), 2_000
 FDR = 0.01
-#: A candidate whose combined p-value is lower isn't random.
-NOT_RANDOM = 0.001
 #: Bins of -log10(p), and bins to a decade.
 BIN_COUNT, BINS_A_DECADE = 400, 20
 BLOCK = 256
@@ -80,58 +92,134 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > z) of the normal distribution, by the logistic approximation."""
-    z = F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(1.5976 * z + 0.07056 * z * z * z))
+    """P(Z > z) of the normal distribution, by the usual rational approximation of its tail."""
+    x = F.least(F.abs(z), F.lit(37.0))
+    t = F.lit(1.0) / (1.0 + 0.2316419 * x)
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-x * x / 2) * 0.3989422804014327 * series
+    return F.when(z >= 0, tail).otherwise(1.0 - tail)
+
+
+def text_weights(alphabet: str) -> np.ndarray:
+    """How frequent an alphabet's characters are in writing.
+
+    Digits by Benford's law with 0 as the first, a tenth as frequent as letters; capitals
+    as letters are, a tenth as frequent where there are small ones too; a sign as
+    frequent as a seventh of all letters, the space between words.
+    """
+    small = any(c in _LETTERS for c in alphabet)
+    letters = dict(zip(_LETTERS, LETTER_SHARES, strict=True))
+
+    def weight(c: str) -> float:
+        if c.isdigit():
+            return 10 * float(np.log10(1 + 1 / (int(c) + 1)))
+        if c.isalpha():
+            return letters[c.lower()] * (0.1 if small and c.isupper() else 1.0)
+        return 100 / 7 / 2
+
+    weights = np.array([weight(c) for c in alphabet])
+    return weights / weights.sum()
+
+
+def least_sum(k: int) -> float:
+    """What is added to the sum of the tests before the root: it is never lower than minus this."""
+    return ((k - 1) / 2) ** 0.5 + 0.5
+
+
+def statistic(places: np.ndarray, k: int) -> np.ndarray:
+    """The root of the three standardised tests' sum for rows of places (from 0) in an alphabet of k."""
+    rows, n = places.shape
+    counts = np.stack([(places == c).sum(axis=1) for c in range(k)], axis=1)
+    chi = (counts.astype(float) ** 2).sum(axis=1) * k / n - n
+    chi_z = (chi - (k - 1)) / np.sqrt(2.0 * (k - 1) * (n - 1) / n)
+    upper = places >= k // 2
+    ones = upper.sum(axis=1).astype(float)
+    mean = 2 * ones * (n - ones) / n
+    runs_z = ((upper[:, 1:] != upper[:, :-1]).sum(axis=1) - mean) / np.sqrt(np.maximum(mean * (mean - 1) / (n - 1), 0.25))
+    centred = places + 1 - (k + 1) / 2
+    serial_z = (centred[:, 1:] * centred[:, :-1]).sum(axis=1) / ((k * k - 1) / 12.0) / np.sqrt(n - 1)
+    return np.cbrt(chi_z + np.abs(runs_z) + np.abs(serial_z) + least_sum(k))
+
+
+@cache
+def text_table(alphabet: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Mean and spread of written text's statistic at LENGTHS, simulated with a fixed seed."""
+    rng = np.random.default_rng(len(alphabet))
+    weights = text_weights(alphabet)
+    found = [statistic(rng.choice(len(alphabet), (TEXTS, n), p=weights), len(alphabet)) for n in LENGTHS]
+    return tuple(float(x.mean()) for x in found), tuple(float(x.std()) for x in found)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def table_at(encoding: Column, n: Column, which: int, power: float) -> Column:
+    """An encoding's mean (0) or spread (1) at n, linear between LENGTHS; beyond them it grows with a power of n."""
+    rows = ", ".join(f"array({', '.join(f'{v!r}D' for v in text_table(alphabet)[which])})" for _, alphabet in ENCODINGS)
+    own, knots = F.get(F.expr(f"array({rows})"), encoding), F.expr(f"array({', '.join(map(str, LENGTHS))})")
+
+    def between(k: Column) -> Column:
+        low, high, at = F.get(own, k), F.get(own, k + 1), F.get(knots, k)
+        return low + (n - at) * (high - low) / (F.get(knots, k + 1) - at)
+
+    segment = F.greatest(F.size(F.filter(knots, lambda x: x <= n)), F.lit(1)) - 1
+    last = len(LENGTHS) - 1
+    return F.when(n > LENGTHS[-1], F.get(own, F.lit(last)) * F.pow(n / LENGTHS[-1], F.lit(power))).otherwise(
+        let(F.least(segment, F.lit(last - 1)), between)
+    )
 
 
 def battery(token: Column) -> Column:
-    """struct(length, text_p, random_p) of a candidate, by its inferred encoding."""
-
-    def by_encoding(value) -> Column:
-        out = None
-        for encoding in reversed(ENCODINGS):
-            own = value(encoding)
-            out = own if out is None else F.when(token.rlike(encoding[1]), own).otherwise(out)
-        return out
-
-    def statistics(encoding: tuple) -> Column:
-        _, _, alphabet, noncentral = encoding
-        k = len(alphabet)
-        body = F.rtrim(F.translate(token, "=", " "))
-        n = F.greatest(F.length(body), F.lit(1)).cast("double")
-        letters = F.array(*map(F.lit, alphabet))
-        counts = F.transform(letters, lambda c: F.length(body) - F.length(F.replace(body, c, F.lit(""))))
-        squares = F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c * c)
-        chi = squares * k / n - n
-        # the halves of the alphabet as 0 and 1: runs are changes and one more
-        halves = F.translate(body, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
-        ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-        zeros = n - ones
-        changes = (2 * F.length(halves) - F.length(F.replace(halves, F.lit("01"), F.lit(""))) - F.length(F.replace(halves, F.lit("10"), F.lit("")))) / 2
-        mean = 2 * ones * zeros / n
-        spread = F.sqrt(F.greatest(mean * (mean - 1) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.25)))
-        places = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-        middle = (k + 1) / 2
-        size = F.length(body)
-        products = F.zip_with(F.slice(places, 1, F.greatest(size - 1, F.lit(0))), F.slice(places, 2, F.greatest(size - 1, F.lit(0))), lambda a, b: (a - middle) * (b - middle))
-        serial = F.aggregate(products, F.lit(0.0), lambda a, x: a + x) / ((k * k - 1) / 12.0) / F.sqrt(F.greatest(n - 1, F.lit(1.0)))
-        far = noncentral * n
+    """struct(encoding, length, p) of a candidate; null if its characters suit no encoding."""
+    number = F.lit(None).cast("int")
+    for i in range(len(ENCODINGS) - 1, -1, -1):
+        number = F.when(token.rlike(ENCODINGS[i][0]), i).otherwise(number)
+    alphabets = F.array(*(F.lit(alphabet) for _, alphabet in ENCODINGS))
+    # the halves of each alphabet as 0 and 1
+    halves = F.array(*(F.lit("0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2)) for _, a in ENCODINGS))
+    body = F.rtrim(F.translate(token, "=", " "))
+    without = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+    def prepared(number: Column) -> Column:
+        alphabet = F.get(alphabets, number)
         return F.struct(
-            n.alias("length"),
-            normal_tail((k - 1 + far - chi) / F.sqrt(2 * (k - 1) + 4 * far)).alias("text_p"),
-            ((chi - (k - 1)) / (2.0 * (k - 1)) ** 0.5).alias("chi_z"),
-            ((changes - mean) / spread).alias("runs_z"),
-            serial.alias("serial_z"),
+            number.alias("number"),
+            alphabet.alias("alphabet"),
+            F.length(alphabet).cast("double").alias("k"),
+            body.alias("body"),
+            F.greatest(F.length(body), F.lit(2)).cast("double").alias("n"),
+            F.call_function("translate", body, alphabet, F.get(halves, number)).alias("halves"),
         )
 
-    def combined(s: Column) -> Column:
-        parts = (normal_tail(s.chi_z), 2 * normal_tail(F.abs(s.runs_z)), 2 * normal_tail(F.abs(s.serial_z)))
-        x = sum((-F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300))) for p in parts), F.lit(0.0))  # half of Fisher's statistic
-        return F.struct(s["length"].alias("length"), s.text_p.alias("text_p"), (F.exp(-x) * (1 + x + x * x / 2)).alias("random_p"))
+    def counted(t: Column) -> Column:
+        counts = F.transform(F.split(t.alphabet, ""), lambda c: without(t.body, c))
+        places = F.transform(F.split(t.body, ""), lambda c: F.instr(t.alphabet, c) - (t.k + 1) / 2)
+        size = F.greatest(F.length(t.body) - 1, F.lit(0))
+        products = let(places, lambda x: F.zip_with(F.slice(x, 1, size), F.slice(x, 2, size), lambda a, b: a * b))
+        ones = without(t.halves, F.lit("1")).cast("double")
+        return F.struct(
+            t.number.alias("encoding"),
+            t.k.alias("k"),
+            t.n.alias("n"),
+            F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c * c).alias("squares"),
+            (2 * ones * (t.n - ones) / t.n).alias("mean"),
+            ((without(t.halves, F.lit("01")) + without(t.halves, F.lit("10"))) / 2).alias("changes"),
+            F.aggregate(products, F.lit(0.0), lambda a, x: a + x).alias("products"),
+        )
+
+    def root(s: Column) -> Column:
+        chi_z = (s.squares * s.k / s.n - s.n - (s.k - 1)) / F.sqrt(2.0 * (s.k - 1) * (s.n - 1) / s.n)
+        runs_z = (s.changes - s["mean"]) / F.sqrt(F.greatest(s["mean"] * (s["mean"] - 1) / (s.n - 1), F.lit(0.25)))
+        serial_z = s.products / ((s.k * s.k - 1) / 12.0) / F.sqrt(s.n - 1)
+        return F.cbrt(chi_z + F.abs(runs_z) + F.abs(serial_z) + F.sqrt((s.k - 1) / 2) + 0.5)
+
+    def judged(s: Column) -> Column:
+        z = (table_at(s.encoding, s.n, 0, 1 / 3) - root(s)) / table_at(s.encoding, s.n, 1, -1 / 6)
+        return F.struct(s.encoding.alias("encoding"), s.n.alias("length"), let(z, normal_tail).alias("p"))
 
-    found = F.transform(F.array(by_encoding(statistics)), combined)
-    return F.get(found, 0)
+    return F.when(number.isNotNull(), let(number, lambda i: let(prepared(i), lambda t: let(counted(t), judged))))
 
 
 def length_class(length: Column) -> Column:
@@ -146,26 +234,29 @@ def p_bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_A_DECADE), F.lit(BIN_COUNT - 1)).cast("int")
 
 
-def discovery_bins(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """By length class, the lowest bin whose candidates are discoveries.
+def discovery_bins(docs: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
+    """By encoding and length class, the lowest bin whose candidates are discoveries.
 
-    A bin passes if its largest p, times the class's candidates, is at most ``fdr``
+    A bin passes if its largest p, times the candidates of its kind, is at most ``fdr``
     times the candidates in this bin and higher ones.
     """
     tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CANDIDATE), F.lit(0))).alias("token"))
-    tests = tokens.select(battery(F.col("token")).alias("t"))
-    counts = tests.groupBy(length_class(F.col("t.length")).alias("class"), p_bin(F.col("t.text_p")).alias("bin")).agg(F.count("*").alias("n"))
-    by_class: dict[int, dict[int, int]] = {}
-    for r in counts.collect():  # classes times bins, whatever the input
-        by_class.setdefault(r["class"], {})[r.bin] = r.n
-    out = {}
-    for k, bins in by_class.items():
-        total, found = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            found += bins[b]
-            if 10 ** (-b / BINS_A_DECADE) * total <= fdr * found:
-                out[k] = b
-    return out
+    one = let(battery(F.col("token")), lambda t: F.struct(t.encoding.alias("encoding"), length_class(t["length"]).alias("class"), p_bin(t.p).alias("bin")))
+    kinds = tokens.select(F.inline(F.filter(F.array(one), lambda t: t.encoding.isNotNull()))).groupBy("encoding", "class", "bin")
+    by_kind: dict[tuple[int, int], dict[int, int]] = {}
+    for r in kinds.agg(F.count("*").alias("n")).collect():  # encodings times classes times bins, whatever the input
+        by_kind.setdefault((r.encoding, r["class"]), {})[r.bin] = r.n
+    return {kind: least for kind, bins in by_kind.items() if (least := lowest_bin(bins, fdr)) is not None}
+
+
+def lowest_bin(bins: dict[int, int], fdr: float) -> int | None:
+    """Benjamini-Hochberg on counts by bin."""
+    total, found, least = sum(bins.values()), 0, None
+    for b in sorted(bins, reverse=True):
+        found += bins[b]
+        if 10 ** (-b / BINS_A_DECADE) * total <= fdr * found:
+            least = b
+    return least
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -187,8 +278,8 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     )
 
     def is_random(m: Column) -> Column:
-        kept = F.transform(F.array(battery(m.token)), lambda t: (t.random_p >= NOT_RANDOM) & _reaches(t, least))
-        return F.get(kept, 0)
+        kept = F.transform(F.array(battery(m.token)), lambda t: _reaches(t, least))
+        return F.coalesce(F.get(kept, 0), F.lit(False))
 
     found = base.withColumn("random", F.filter("_random", is_random))
     def placed(number: int) -> Column:
@@ -200,10 +291,10 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     return found.select("doc_id", named.alias("spans"))
 
 
-def _reaches(t: Column, least: dict[int, int]) -> Column:
+def _reaches(t: Column, least: dict[tuple[int, int], int]) -> Column:
     out = F.lit(False)
-    for k, b in least.items():
-        out = out | ((length_class(t["length"]) == k) & (p_bin(t.text_p) >= b))
+    for (encoding, k), b in sorted(least.items()):
+        out = out | ((t.encoding == encoding) & (length_class(t["length"]) == k) & (p_bin(t.p) >= b))
     return out
 
 

@@ -1,10 +1,13 @@
 """Secret scan against Python's re, and what the battery finds."""
 
 import hashlib
+import math
 import random
 import re
 import string
+from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stavework.llm import secret_scan
@@ -63,6 +66,63 @@ def test_battery_parts_random_tokens_from_words(spark):
     assert sum(got[i] for i in range(len(secret), len(rows))) <= 0.02 * len(plain)
 
 
+def plain_battery(token):
+    """(encoding, length, p) of a candidate, one step after another."""
+    for number, (pattern, alphabet) in enumerate(secret_scan.ENCODINGS):
+        if re.fullmatch(pattern.strip("^$"), token):
+            break
+    else:
+        return None
+    k, body = len(alphabet), token.rstrip("=")
+    n = max(len(body), 2)
+    counts = [body.count(c) for c in alphabet]
+    chi = sum(k / n * (c - n / k) ** 2 for c in counts) if len(body) == n else sum(c * c for c in counts) * k / n - n
+    chi_z = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    at = [alphabet.index(c) for c in body]
+    upper = [a >= k // 2 for a in at]
+    ones = sum(upper)
+    mean = 2 * ones * (n - ones) / n
+    runs_z = (sum(a != b for a, b in pairwise(upper)) - mean) / math.sqrt(max(mean * (mean - 1) / (n - 1), 0.25))
+    serial_z = sum((a + 1 - (k + 1) / 2) * (b + 1 - (k + 1) / 2) for a, b in pairwise(at)) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    root = np.cbrt(chi_z + abs(runs_z) + abs(serial_z) + ((k - 1) / 2) ** 0.5 + 0.5)
+    means, spreads = secret_scan.text_table(alphabet)
+    last = secret_scan.LENGTHS[-1]
+    mean, spread = (np.interp(n, secret_scan.LENGTHS, t) if n <= last else t[-1] * (n / last) ** power for t, power in ((means, 1 / 3), (spreads, -1 / 6)))
+    return number, n, 0.5 * math.erfc((mean - root) / spread / math.sqrt(2))
+
+
+def test_battery_by_plain_python(spark):
+    rng = random.Random(8)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.choice((20, 23, 36, 64, 100, 300, 700)))) for _, a in secret_scan.ENCODINGS for _ in range(25)]
+    tokens += ["a" * 40, "abcdefghijklmnopqrstuvwxyz", "Zm9vYmFyYmF6cXV4AAAA==", "a/b-c_d+e/f-g_h+i/j-k", "the-first-of-many-words-and-more", "0" * 25, "01" * 15]
+    rows = spark.createDataFrame([(t,) for t in tokens], "token string").select("token", secret_scan.battery(F.col("token")).alias("t")).collect()
+    for r in rows:
+        want = plain_battery(r.token)
+        if want is None:
+            assert r.t is None
+            continue
+        assert (r.t.encoding, r.t.length) == want[:2]
+        assert math.isclose(r.t.p, want[2], rel_tol=0.02, abs_tol=1e-7 if want[2] > 1e-6 else 1e-12), (r.token, r.t.p, want)
+
+
+def test_discoveries_by_the_textbook_procedure():
+    rng = random.Random(9)
+    for _ in range(200):
+        bins = {b: rng.randrange(1, 30) for b in rng.sample(range(120), rng.randrange(1, 15))}
+        p = sorted(10 ** (-b / secret_scan.BINS_A_DECADE) for b, n in bins.items() for _ in range(n))
+        passing = [x for i, x in enumerate(p, 1) if x <= 0.01 * i / len(p)]
+        least = secret_scan.lowest_bin(bins, 0.01)
+        assert (least is None) == (not passing)
+        assert least is None or math.isclose(10 ** (-least / secret_scan.BINS_A_DECADE), max(passing))
+
+
+def test_text_has_few_discoveries_by_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(np.array(list(a))[rng.choice(len(a), 20 + i % 90, p=secret_scan.text_weights(a))])) for _, a in secret_scan.ENCODINGS for i in range(300)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where(F.exists("spans", lambda s: s.kind == "random")).count() <= 0.02 * len(rows)
+
+
 def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = secret_scan.scan(docs).select(F.size("spans"))._jdf.queryExecution().toString()
