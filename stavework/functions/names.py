@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,22 +14,62 @@ SHORT_NEEDLE = 5
 UNNAMED = "(unnamed)"
 
 
+#: White space at the ends of a name, of any script, and the separators FS to US.
+_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
+def stripped(name: Column) -> Column:
+    return F.regexp_replace(name, _ENDS, "")
+
+
+@cache
+def _folding() -> tuple[str, str]:
+    """Characters that decompose to one other one, and what that is, by the rule of Unicode."""
+    found = {}
+    for c in map(chr, range(0x10000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            found[c] = plain
+    return "".join(found), "".join(found.values())
+
+
+def folded(name: Column) -> Column:
+    """Lower case without accents. Characters that decompose to several (ligatures, fractions) stay."""
+    return F.lower(F.translate(F.regexp_replace(name, r"\p{M}", ""), *_folding()))
+
+
 def sanitized(name: Column) -> Column:
     """NUL removed, commas as spaces, white space collapsed; null if nothing is left."""
-    plain = F.trim(F.regexp_replace(F.translate(name, ",\x00", " "), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.translate(name, ",\x00", " "), r"(?U)\s+", " "))
     return F.when(plain != "", plain)
 
 
 def normalized(name: Column) -> Column:
     """Trimmed and lower-cased; null and empty become the unnamed marker."""
-    low = F.lower(F.trim(name))
+    low = F.lower(stripped(name))
     return F.when(F.coalesce(low, F.lit("")) == "", F.lit(UNNAMED)).otherwise(low)
 
 
-def is_generic(name: Column) -> Column:
-    """Names that say nothing of an instrument: numbered labels, digits, converter marks."""
-    low = F.lower(F.trim(name))
-    return low.rlike(r"^(track|part|staff|channel)[\s_-]*\d+$") | low.rlike(r"^\d+$") | low.contains("musicxml")
+def is_generic(name: Column, labels: Sequence[str] = ()) -> Column:
+    """Names that say nothing of an instrument: listed or numbered labels, digits, converter marks, none at all."""
+    low = F.lower(stripped(F.coalesce(name, F.lit(""))))
+    known = low.isin("", UNNAMED, *labels)
+    return known | low.rlike(r"^(track|part|staff|channel)[\s_-]*\d+$") | low.rlike(r"^\d+$") | low.contains("musicxml")
+
+
+def is_plucked(name: Column) -> Column:
+    """Guitars anywhere in a name, lutes as whole words."""
+    return F.coalesce(F.lower(name).rlike(r"guitar|gitar|\blute\b|\bluit\b"), F.lit(False))
+
+
+def level_of(variant: Column, prefix: str) -> Column:
+    """The number in an id of ``prefix`` and a number; null for any other id."""
+    return F.regexp_extract(variant, rf"^{prefix}([0-9]+(?:\.[0-9]+)?)$", 1).try_cast("double")
+
+
+def level_id(level: Column, prefix: str) -> Column:
+    """The id of a level: two decimals at most, without trailing zeros."""
+    return F.concat(F.lit(prefix), F.regexp_replace(F.format_string("%.2f", level.cast("double")), r"\.?0+$", ""))
 
 
 def needle_in(name: Column, needle: Column) -> Column:
@@ -41,7 +85,7 @@ def slug(name: Column, default: str = "item") -> Column:
 
 def keywords(name: Column) -> Column:
     """The first three words of three or more letters, else the whole name."""
-    low = F.lower(F.trim(name))
+    low = F.lower(stripped(name))
     words = F.slice(F.filter(F.split(low, r"[\s_/\-]+"), lambda w: F.length(w) >= 3), 1, 3)
     return F.when(F.size(words) > 0, words).otherwise(F.array(low))
 

@@ -7,29 +7,14 @@ depend on the order of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavework.functions import arrays, names, recipe, scale
 from stavework.operators import profile, ratings, rules, samples, sampling, selection, sequences, tables, verification, votes
+from stavework.plans.registry import named
 from stavework.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def named(sql: str | None = None) -> Callable:
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # ---- profiles
 
 
