@@ -36,6 +36,17 @@ def padded(samples: Column, length: Column) -> Column:
     return F.concat(F.slice(F.transform(samples, lambda v: v.cast("double")), 1, length), zeros)
 
 
+def mono(left: Column, right: Column) -> Column:
+    """The mean of two channels; a missing sample is silence."""
+    value = lambda v: F.coalesce(v.cast("double"), F.lit(0.0))
+    return F.zip_with(left, right, lambda a, b: (value(a) + value(b)) / 2)
+
+
+def channels(samples: Column, n: int) -> Column:
+    """One waveform as n equal channels."""
+    return F.array_repeat(samples, n)
+
+
 def active_fraction(samples: Column, hop: int, least_rms: float) -> Column:
     """Share of hops whose rms reaches the level; a trailing hop is aligned to the end."""
     n = F.size(samples)

@@ -66,7 +66,7 @@ def caption(anchor: str, fields: dict[str, Column], program: Column, drum: Colum
 
     order: what the order of fields is taken from, with each field's key.
     """
-    pairs = F.array(*(F.struct(F.md5(F.concat_ws("|", order, F.lit(k))).alias("at"), F.concat(F.lit(f"{k}: "), v.cast("string")).alias("text")) for k, v in fields.items()))
-    kept = F.transform(F.array_sort(F.filter(pairs, lambda p: p.text.isNotNull())), lambda p: p.text)
+    pairs = [F.struct(F.md5(F.concat_ws("|", order, F.lit(k))).alias("at"), F.concat(F.lit(f"{k}: "), v.cast("string")).alias("text")) for k, v in fields.items()]
+    kept = F.transform(F.array_sort(F.filter(F.array(*pairs), lambda p: p.text.isNotNull())), lambda p: p.text) if pairs else F.expr("cast(array() as array<string>)")
     hint = F.concat(F.lit("format: solo | instruments: "), instrument(program, drum, name))
     return F.concat_ws(". ", F.lit(anchor), F.nullif(F.array_join(kept, ", "), F.lit("")), hint)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,19 +29,72 @@ def as_number(value: Column, cap: float | None = None) -> Column:
     return number if cap is None else F.when(number.isNotNull(), F.least(number, F.lit(cap)))
 
 
+#: Ranges of values that ranks are counted in.
+RANGES = 64
+
+
+def cumulative(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """``upto``: how many rows of a group have a value at or below each of ``counts``' rows.
+
+    counts: the groups, a numeric value, ``c`` (rows). Values are cut into ranges at
+    approximate quantiles (RANGES numbers, read by the driver), rows are summed within a
+    range of a group, and ranges' totals are added: no group is in one task, and the sums
+    are exact wherever the cuts lie.
+    """
+    kept = counts.where(F.col(value).isNotNull())
+    levels = [k / RANGES for k in range(1, RANGES)]
+    cuts = kept.agg(F.percentile_approx(F.col(value).cast("double"), levels, 1_000)).first()[0] or [0.0]
+    at = F.expr(f"array({', '.join(f'{x!r}D' for x in sorted(set(cuts)))})")
+    keys = [*groups, "range"]
+    cut = kept.withColumn("range", F.size(F.filter(at, lambda x: x < F.col(value))))
+    totals = cut.groupBy(*keys).agg(F.sum("c").alias("t"))
+    before = Window.partitionBy(*groups).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # of a group's few ranges
+    offsets = totals.select(*(F.col(k).alias(f"of_{k}") for k in keys), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    own = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    joined = cut.withColumn("upto", F.sum("c").over(own)).join(offsets, reduce(and_, same))
+    return joined.withColumn("upto", F.col("upto") + F.col("offset")).select(*counts.columns, "upto")
+
+
+def quantiles(rows: DataFrame, groups: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """``q``: interpolated quantiles of each group, exact, without a group in one task."""
+    ranked = cumulative(rows.groupBy(*groups, value).agg(F.count("*").alias("c")), groups, value)
+    n = ranked.groupBy(*groups).agg(F.sum("c").alias("n"))
+    total = n.select(*(F.col(g).alias(f"of_{g}") for g in groups), "n")
+    joined = ranked.join(total, reduce(and_, (F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups))) if groups else ranked.join(F.broadcast(total))
+    # the least value that more rows than a place are at or below is the one at that place
+    at = lambda x: (F.col("n") - 1) * F.lit(x)
+    pick = lambda place: F.min(F.when(F.col("upto") > place, F.col(value).cast("double")))
+    found = [c for k, x in enumerate(levels) for c in (pick(F.floor(at(x))).alias(f"low_{k}"), pick(F.ceil(at(x))).alias(f"high_{k}"))]
+    picked = joined.groupBy(*groups).agg(F.max("n").alias("n"), *found)
+    between = lambda k, x: F.col(f"low_{k}") + (F.col(f"high_{k}") - F.col(f"low_{k}")) * (at(x) - F.floor(at(x)))
+    return picked.select(*groups, F.array(*(between(k, x) for k, x in enumerate(levels))).alias("q"))
+
+
 def length_profile(df: DataFrame, value: Column, limits: Sequence[float], levels: Sequence[float] = LEVELS) -> DataFrame:
     """One row: count, interpolated quantiles, the share at or below and the count above each limit."""
     rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    quantiles = F.percentile("v", F.array(*map(F.lit, levels)))
     out = rows.agg(
         F.count("*").alias("n"),
-        quantiles.alias("q"),
         *(F.avg((F.col("v") <= x).cast("double")).alias(f"share_{k}") for k, x in enumerate(limits)),
         *(F.count_if(F.col("v") > x).alias(f"above_{k}") for k, x in enumerate(limits)),
     )
     names = [f"p{format(100 * x, 'g').replace('.', '_')}" for x in levels]
-    kept = [c for c in out.columns if c != "q"]
-    return out.select(*kept, *(F.get("q", F.lit(k)).alias(c) for k, c in enumerate(names)))
+    joined = out.join(F.broadcast(quantiles(rows, [], "v", levels)))  # one row each
+    return joined.select(*out.columns, *(F.get("q", F.lit(k)).alias(c) for k, c in enumerate(names)))
+
+
+def fitting_model(df: DataFrame, value: Column, limits: Sequence[tuple[str, float]], threshold: float) -> DataFrame:
+    """One row: the first model (by limit) that at least ``threshold`` percent of the values fit, else the last, and why."""
+    rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
+    shares = rows.agg(*(F.coalesce(100.0 * F.count_if(F.col("v") <= x) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias(f"s{k}") for k, (_, x) in enumerate(limits)))
+    say = lambda k, more: F.format_string(f"%.2f%% of values are at most {limits[k][1]:g}{more}", F.col(f"s{k}"))
+    last = len(limits) - 1
+    decision, reason = F.lit(limits[last][0]), say(last, "")
+    for k in range(last - 1, -1, -1):
+        fits = F.col(f"s{k}") >= threshold
+        decision, reason = F.when(fits, limits[k][0]).otherwise(decision), F.when(fits, say(k, "")).otherwise(reason)
+    return shares.select(decision.alias("model"), reason.alias("reason"))
 
 
 def frequency_share(df: DataFrame, *keys: str) -> DataFrame:
@@ -49,16 +104,25 @@ def frequency_share(df: DataFrame, *keys: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select(*keys, "n", (100.0 * F.col("n") / F.col("total")).alias("share"))
 
 
+def named_profile(df: DataFrame, song: str, name: str) -> DataFrame:
+    """One row: tracks with and without a name, distinct names, songs, named tracks a song (0 of no songs)."""
+    has = F.coalesce(F.trim(name), F.lit("")) != ""
+    out = df.agg(
+        F.count_if(has).alias("named"), F.count_if(~has).alias("unnamed"), F.countDistinct(F.when(has, F.col(name))).alias("names"), F.countDistinct(song).alias("songs")
+    )
+    return out.withColumn("per_song", F.coalesce(F.col("named") / F.nullif(F.col("songs"), F.lit(0)), F.lit(0.0)))
+
+
 def two_level_breakdown(df: DataFrame, song: str, value: str, label: str, top: int) -> DataFrame:
     """Largest value of each song, then count, median and maximum by its label: the ``top`` largest labels.
 
     A song's label is the first in order among its non-null ones. Ties by label.
     """
     songs = df.where(F.col(song).isNotNull()).groupBy(song).agg(F.max(value).alias("longest"), F.min(label).alias(label))
-    out = songs.where(F.col(label).isNotNull()).groupBy(label).agg(
-        F.count("*").alias("n"), F.percentile("longest", F.lit(0.5)).alias("median"), F.max("longest").alias("longest")
-    )
-    return out.orderBy(F.desc("n"), label).limit(top)
+    known = songs.where(F.col(label).isNotNull())
+    best = known.groupBy(label).agg(F.count("*").alias("n"), F.max("longest").alias("longest")).orderBy(F.desc("n"), label).limit(top)
+    middle = quantiles(known.where("longest is not null").select(label, "longest"), [label], "longest", [0.5])
+    return best.join(middle, label, "left").select(label, "n", F.get("q", F.lit(0)).alias("median"), "longest")
 
 
 def top_and_other(df: DataFrame, key: str, top: int) -> DataFrame:
@@ -81,16 +145,34 @@ def dense_histogram(df: DataFrame, band: Column, domain: Sequence[int]) -> DataF
 
 
 def fixed_histogram(df: DataFrame, value: Column, high: float, bins: int) -> DataFrame:
-    """Equal bins from 0 to ``high``; larger values are in the last bin, as its top edge is."""
-    at = F.least(F.floor(F.least(value, F.lit(high)) * bins / high), F.lit(bins - 1)).cast("int")
-    return df.where(value.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    """Equal bins over the range of the values cut off at ``high``; the top edge is in the last bin.
+
+    Values that are all equal are in the middle of a range of one.
+    """
+    rows = df.select(F.least(value, F.lit(high)).cast("double").alias("v")).where("v is not null")
+    counts = rows.groupBy("v").agg(F.count("*").alias("c"))
+    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    flat = F.col("low") == F.col("high")
+    low, width = F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")), F.when(flat, 1.0).otherwise(F.col("high") - F.col("low"))
+    at = F.least(F.floor((F.col("v") - low) * bins / width), F.lit(bins - 1)).cast("int")
+    return counts.join(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.sum("c").alias("n"))
 
 
 def ecdf(df: DataFrame, value: str, group: str) -> DataFrame:
     """Distinct values by group with the percentage of rows at or below."""
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    up_to = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(group, value, (100.0 * F.sum("c").over(up_to) / F.sum("c").over(Window.partitionBy(group))).alias("pct"))
+    total = counts.groupBy(F.col(group).alias("of")).agg(F.sum("c").alias("total"))
+    ranked = cumulative(counts, [group], value).join(total, F.col(group).eqNullSafe(F.col("of")))
+    return ranked.select(group, value, (100.0 * F.col("upto") / F.col("total")).alias("pct"))
+
+
+def top_keeping(df: DataFrame, key: str, top: int, always: object) -> DataFrame:
+    """The ``top`` largest counts; if one key isn't among them it takes the last place."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    best = counts.orderBy(F.desc("n"), key).limit(top)
+    mine = F.col(key) == F.lit(always)
+    ranked = best.unionByName(counts.where(mine)).distinct()  # at most one row more than ``top``
+    return ranked.orderBy((~mine).cast("int"), F.desc("n"), key).limit(top) if top > 0 else counts
 
 
 def register_report(df: DataFrame, status: str, program: str) -> DataFrame:
@@ -99,7 +181,8 @@ def register_report(df: DataFrame, status: str, program: str) -> DataFrame:
     return sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
 
 
-def share_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Percentages of each key in two tables; 0 where one lacks it."""
+def share_compare(a: DataFrame, b: DataFrame, key: str, top: int | None = None, rank_by: str = "share_a") -> DataFrame:
+    """Percentages of each key in two tables; 0 where one lacks it. With ``top``, the largest of one side."""
     one, two = (frequency_share(t, key).select(key, F.col("share").alias(c)) for t, c in ((a, "share_a"), (b, "share_b")))
-    return one.join(two, key, "full_outer").select(key, F.coalesce("share_a", F.lit(0.0)).alias("share_a"), F.coalesce("share_b", F.lit(0.0)).alias("share_b"))
+    both = one.join(two, key, "full_outer").select(key, F.coalesce("share_a", F.lit(0.0)).alias("share_a"), F.coalesce("share_b", F.lit(0.0)).alias("share_b"))
+    return both if top is None else both.orderBy(F.desc(rank_by), key).limit(top)

@@ -6,6 +6,8 @@ ratings: ``listener``, ``stem``, ``category``, ``variant``, ``content``, ``reali
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,26 +86,74 @@ def shortlist(stats: DataFrame, realism: float, mean_rating: float) -> DataFrame
     return ranked.where("_ok or (not _any and _rank = 1)").select("category", "variant", "mean_content", "mean_realism")
 
 
-def metric_stats(ratings: DataFrame, metric: str) -> DataFrame:
-    """Mean, standard error and count by (category, variant), over listeners' own means."""
-    own = ratings.where(F.col(metric).isNotNull()).groupBy("category", "variant", "listener").agg(_mean(metric).alias("m"))
-    return own.groupBy("category", "variant").agg(
-        (F.sum("m").cast("double") / F.count("m")).alias("mean"),
-        F.coalesce(F.stddev_samp(F.col("m").cast("double")) / F.sqrt(F.count("m").cast("double")), F.lit(0.0)).alias("sem"),
-        F.count("m").alias("n"),
-    )
-
+def metric_stats(ratings: DataFrame, metric: str, variants: Sequence[str] | None = None) -> DataFrame:
+    """Mean, standard error and count by (category, variant).
 
-def leaderboard(stats: DataFrame) -> DataFrame:
-    """Winners of each category (within a tiny tolerance), the runner-up's mean and the margin."""
+    In a category with more than one listener they are over the listeners' own means,
+    else over the ratings. With ``variants`` every category has a row for each of them,
+    with nulls where it has no rating.
+    """
+    rated = ratings.where(F.col(metric).isNotNull())
+    own = rated.groupBy("category", "variant", "listener").agg(_mean(metric).alias("m"))
+    error = lambda v: F.coalesce(F.stddev_samp(v.cast("double")) / F.sqrt(F.count(v).cast("double")), F.lit(0.0))
+    m, raw = F.col("m"), F.col(metric)
+    keys = ["category", "variant"]
+    many = own.groupBy(*keys).agg((F.sum(m).cast("double") / F.count(m)).alias("mean"), error(m).alias("sem"), F.count(m).alias("n"))
+    one = rated.groupBy(*keys).agg((F.sum(raw).cast("double") / F.count(raw)).alias("mean"), error(raw).alias("sem"), F.count(raw).alias("n"))
+    heard = own.groupBy("category").agg((F.countDistinct("listener") > 1).alias("several"))
+    renamed = one.select(*(F.col(k).alias(f"of_{k}") for k in keys), *(F.col(c).alias(f"one_{c}") for c in ("mean", "sem", "n")))
+    both = many.join(renamed, F.col("category").eqNullSafe(F.col("of_category")) & F.col("variant").eqNullSafe(F.col("of_variant")))
+    told = both.join(heard.withColumnRenamed("category", "in_category"), F.col("category").eqNullSafe(F.col("in_category")))
+    out = told.select(*keys, *(F.when(F.col("several"), F.col(c)).otherwise(F.col(f"one_{c}")).alias(c) for c in ("mean", "sem", "n")))
+    if variants is None:
+        return out
+    every = heard.select("category", F.explode(F.array(*map(F.lit, variants))).alias("variant"))
+    return every.join(out, keys, "left")
+
+
+def hidden_conditions(ratings: DataFrame) -> DataFrame:
+    """(category, variant) of which every rating was copied from a donor (``auto``; null is no)."""
+    return ratings.groupBy("category", "variant").agg(F.bool_and(F.coalesce("auto", F.lit(False))).alias("hidden")).where("hidden").drop("hidden")
+
+
+def leaderboard(stats: DataFrame, hidden: DataFrame | None = None, prefix: str | None = None) -> DataFrame:
+    """Winners of each category (within a tiny tolerance), the runner-up's mean and the margin.
+
+    hidden: (category, variant) that don't take part. With ``prefix``, also the margin of
+    the first winner of that prefix over its donor, the variant without the prefix.
+    """
+    shown = stats if hidden is None else stats.join(hidden, ["category", "variant"], "left_anti")
     whole = Window.partitionBy("category")
-    rows = stats.where("mean is not null").withColumn("best", F.max("mean").over(whole))
+    rows = shown.where("mean is not null").withColumn("best", F.max("mean").over(whole))
     wins = F.col("mean") >= F.col("best") - TIE
-    return rows.groupBy("category").agg(
+    out = rows.groupBy("category").agg(
         F.max("best").alias("best"),
         F.array_join(F.array_sort(F.collect_list(F.when(wins, F.col("variant")))), ",").alias("winners"),
         F.max(F.when(~wins, F.col("mean"))).alias("runner_up"),
     ).withColumn("margin", F.col("best") - F.col("runner_up"))
+    if prefix is None:
+        return out
+    copies = F.filter(F.split("winners", ","), lambda w: w.startswith(prefix))
+    donor = F.substring(F.get(copies, 0), len(prefix) + 1, 1_000)
+    means = rows.select(F.col("category").alias("of"), F.col("variant").alias("donor"), F.col("mean").alias("donor_mean"))
+    asked = out.withColumn("asked", donor)
+    joined = asked.join(means, F.col("category").eqNullSafe(F.col("of")) & (F.col("asked") == F.col("donor")), "left")
+    return joined.withColumn("donor_margin", F.col("best") - F.col("donor_mean")).drop("of", "donor", "donor_mean", "asked")
+
+
+def means_with_override(ratings: DataFrame, reference: str) -> DataFrame:
+    """Mean ``content`` and ``realism`` by variant; content without reference rows where there are others.
+
+    ratings: ``variant``, ``is_reference`` (null is no), ``content``, ``realism``. The
+    reference variant itself has no content if all its rows are reference rows.
+    """
+    plain = ~F.coalesce("is_reference", F.lit(False))
+    of = lambda v: F.sum(v).cast("double") / F.nullif(F.count(v), F.lit(0))
+    means = ratings.groupBy("variant").agg(
+        of(F.when(plain, F.col("content"))).alias("others"), of(F.col("content")).alias("every"), of(F.col("realism")).alias("realism")
+    )
+    content = F.coalesce("others", F.when(F.col("variant") != reference, F.col("every")))
+    return means.select("variant", content.alias("content"), "realism")
 
 
 def content_difference(ratings: DataFrame, base_of: dict[str, str]) -> DataFrame:
@@ -126,11 +176,13 @@ def donor_expansion(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
     several donors the first by name counts.
     """
     keys = ["listener", "stem", "variant"]
-    made = ratings.join(F.broadcast(pairs), ratings["variant"] == pairs["donor"]).drop("variant").withColumnRenamed("duplicate", "variant")
+    made = ratings.join(pairs, ratings["variant"] == pairs["donor"]).drop("variant").withColumnRenamed("duplicate", "variant")
     new = made.join(ratings.select(*keys).distinct(), keys, "left_anti")
     order = Window.partitionBy(*keys).orderBy("donor", F.desc("content"), F.desc("realism"))
     first = new.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     own = ratings.select("*", F.lit(None).cast("string").alias("donor"), F.lit(False).alias("auto"))
+    if "is_reference" in ratings.columns:  # a copy is never the reference
+        first = first.withColumn("is_reference", F.lit(False))
     return own.unionByName(first.withColumn("auto", F.lit(True)))
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stavework.functions.arrays import peak_gain
+from stavework.operators.profile import cumulative
+
 
 def stitch(chunks: DataFrame, group: str, overlap: int) -> DataFrame:
     """Overlapping chunks blended with linear ramps: (group, ``pos``, ``value``).
@@ -39,18 +42,34 @@ def paired_samples(waves: DataFrame, group: str, reference: str, rendered: str)
     return rows.select(group, F.col("pos").cast("long").alias("pos"), "n", F.col("_p.a").cast("double").alias("reference"), F.col("_p.b").cast("double").alias("rendered"))
 
 
+#: Samples of a waveform that one window task works on.
+BLOCK = 1 << 16
+
+
+def with_halo(samples: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
+    """Rows dealt to blocks of ``pos``, once more for each further block that they reach.
+
+    Adds ``sample_block`` and ``is_own``. A window over (group, sample_block) that looks
+    at most ``reach`` samples away is right for the rows that are the block's own, and no
+    waveform is in one task.
+    """
+    reached = F.sequence(F.floor(F.greatest(F.col("pos") - reach, F.lit(0)) / block), F.floor((F.col("pos") + reach) / block))
+    dealt = samples.withColumn("sample_block", F.explode(reached))
+    return dealt.withColumn("is_own", F.col("sample_block") == F.floor(F.col("pos") / block))
+
+
 def dilated(flag: Column, group: str, n: Column, margin: int) -> Column:
     """Whether the flag is set within the margin; of a waveform no longer than both
-    margins and the sample, whether it is set anywhere."""
+    margins and the sample, whether it is set anywhere. For rows of ``with_halo``."""
     if margin <= 0:
         return flag
-    near = F.max(flag).over(Window.partitionBy(group).orderBy("pos").rowsBetween(-margin, margin))
+    near = F.max(flag).over(Window.partitionBy(group, "sample_block").orderBy("pos").rowsBetween(-margin, margin))
     # a short waveform fits in a frame of twice its kernel
-    anywhere = F.max(flag).over(Window.partitionBy(group).orderBy("pos").rowsBetween(-2 * margin, 2 * margin))
+    anywhere = F.max(flag).over(Window.partitionBy(group, "sample_block").orderBy("pos").rowsBetween(-2 * margin, 2 * margin))
     return F.when(n <= 2 * margin + 1, anywhere).otherwise(near)
 
 
-def hallucinated(samples: DataFrame, group: str, chunk: int, overlap: int, threshold_db: float, margin: int) -> DataFrame:
+def hallucinated(samples: DataFrame, group: str, chunk: int, overlap: int, threshold_db: float, margin: int, block: int = BLOCK) -> DataFrame:
     """``silent``: samples to silence, for rows of ``paired_samples``.
 
     A sample is, if a chunk of the rendering that covers it is loud, the reference is
@@ -68,12 +87,12 @@ def hallucinated(samples: DataFrame, group: str, chunk: int, overlap: int, thres
     loud = inside.withColumn("_loud", 20 * F.log10(top + 1e-10) >= threshold_db)
     back = loud.groupBy(group, "pos").agg(F.max("_loud").alias("_loud"), *(F.first(c).alias(c) for c in ("n", "reference", "rendered")))
     active = F.abs("reference") >= 10 ** (threshold_db / 20.0)
-    marked = back.withColumn("_active", active)
+    marked = with_halo(back.withColumn("_active", active), 2 * max(margin, 0), block)
     silent = F.col("_loud") & ~F.col("_active") & ~dilated(F.col("_active"), group, F.col("n"), margin)
-    return marked.withColumn("silent", silent).drop("_loud", "_active")
+    return marked.withColumn("silent", silent).where("is_own").drop("_loud", "_active", "sample_block", "is_own")
 
 
-def enforce_silence(masked: DataFrame, group: str, fade: int) -> DataFrame:
+def enforce_silence(masked: DataFrame, group: str, fade: int, block: int = BLOCK) -> DataFrame:
     """``value``: 0 where ``silent``, with linear ramps of the rendering behind each edge.
 
     The ramp of the latest falling edge within ``fade`` samples goes before that of the
@@ -82,8 +101,8 @@ def enforce_silence(masked: DataFrame, group: str, fade: int) -> DataFrame:
     plain = F.when(F.col("silent"), 0.0).otherwise(F.col("rendered"))
     if fade <= 0:
         return masked.withColumn("value", plain)
-    by = Window.partitionBy(group).orderBy("pos")
-    edges = masked.withColumn("_before", F.coalesce(F.lag("silent").over(by), F.lit(False)))
+    by = Window.partitionBy(group, "sample_block").orderBy("pos")
+    edges = with_halo(masked, fade + 1, block).withColumn("_before", F.coalesce(F.lag("silent").over(by), F.lit(False)))
     recent = by.rowsBetween(1 - fade, 0)
     up = F.max(F.when(F.col("silent") & ~F.col("_before"), F.col("pos"))).over(recent)
     down = F.max(F.when(~F.col("silent") & F.col("_before"), F.col("pos"))).over(recent)
@@ -91,4 +110,35 @@ def enforce_silence(masked: DataFrame, group: str, fade: int) -> DataFrame:
     share = lambda edge: (F.col("pos") - F.col(edge) + 1) / F.lit(float(fade))
     value = F.when(F.col("_down").isNotNull(), F.col("rendered") * share("_down"))
     value = value.when(F.col("_up").isNotNull(), F.col("rendered") * (1.0 - share("_up"))).otherwise(plain)
-    return ramps.withColumn("value", value).drop("_before", "_up", "_down")
+    return ramps.withColumn("value", value).where("is_own").drop("_before", "_up", "_down", "sample_block", "is_own")
+
+
+def silence_score(masked: DataFrame, group: str, rate: int) -> DataFrame:
+    """By waveform: samples that the rendering adds where the reference is silent, their seconds, the loudest, and whether it passes.
+
+    masked: rows of ``hallucinated``. The loudest is taken over every k-th of them, k
+    being a hundredth of their number, and is minus infinity without any.
+    """
+    counts = masked.groupBy(group).agg(F.count_if("silent").alias("samples"))
+    hit = masked.where("silent").select(group, "pos", "rendered")
+    ranked = cumulative(hit.withColumn("c", F.lit(1).cast("long")), [group], "pos").join(counts, group)
+    step = F.greatest(F.floor(F.col("samples") / 100), F.lit(1))
+    loud = ranked.where((F.col("upto") - 1) % step == 0).groupBy(group).agg(F.max(20 * F.log10(F.abs("rendered") + 1e-10)).alias("max_db"))
+    joined = counts.join(loud, group, "left").withColumn("max_db", F.coalesce("max_db", F.lit(float("-inf"))))
+    return joined.select(group, "samples", (F.col("samples") / rate).alias("seconds"), "max_db", (F.col("samples") == 0).alias("passes"))
+
+
+def mixture_gain(samples: DataFrame, group: str, limit: float = 1.0) -> DataFrame:
+    """(group, ``peak``, ``gain``): the gain that keeps the sum of a group's waveforms below the limit.
+
+    samples: the group, ``pos`` and ``value`` (a decimal, so that sums don't depend on
+    their order); shorter waveforms end in silence.
+    """
+    sums = samples.groupBy(group, "pos").agg(F.sum("value").alias("s"))
+    top = sums.groupBy(group).agg(F.max(F.abs("s")).cast("double").alias("peak"))
+    return top.withColumn("gain", peak_gain(F.col("peak"), limit))
+
+
+def with_gain(samples: DataFrame, gains: DataFrame, group: str) -> DataFrame:
+    """Every waveform of a group with the group's gain."""
+    return samples.join(gains.select(group, "gain"), group).withColumn("value", F.col("value").cast("double") * F.col("gain")).drop("gain")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavework.operators.sampling import seeded_key
@@ -32,6 +32,50 @@ def best_apart(windows: DataFrame, group: str, start: str, score: str, n: int, s
     return picks.select(group, F.posexplode(F.array_sort("_picks")).alias("index", start))
 
 
+def audible_windows(hops: DataFrame, group: str, clip: int, stride: int, least_rms: float, least_active: float, first: int = 0) -> DataFrame:
+    """Windows of ``clip`` hops with enough in them: (group, ``hop``, ``rms``, ``active``).
+
+    hops: the group, ``hop`` (0 first, none missing) and ``energy`` (mean square). A
+    window may begin at ``first`` and every ``stride`` hops, and must end within the
+    waveform; its level and its share of hops at the level must be reached.
+    """
+    clip_of = Window.partitionBy(group).orderBy("hop").rowsBetween(0, clip - 1)
+    loud = (F.sqrt("energy") >= least_rms).cast("int")
+    windows = hops.select(
+        group, "hop", F.sqrt(F.sum("energy").over(clip_of) / clip).alias("rms"), (F.sum(loud).over(clip_of) / clip).alias("active"), F.count("*").over(clip_of).alias("held")
+    )
+    may = (F.col("held") == clip) & (F.col("hop") >= first) & ((F.col("hop") - first) % stride == 0)
+    return windows.where(may & (F.col("rms") >= least_rms) & (F.col("active") >= least_active)).drop("held")
+
+
+def clip_start(windows: DataFrame, group: str, densest: bool = False) -> DataFrame:
+    """(group, ``hop``): the first audible window, or the one with the largest active share, the earlier of two."""
+    best = F.max_by("hop", F.struct("active", -F.col("hop"))) if densest else F.min("hop")
+    return windows.groupBy(group).agg(best.alias("hop"))
+
+
+def window_score(rms: Column, active: Column, onsets: Column, start: Column, clip: float, duration: Column, least_rms: float, edge: float = 0.1) -> Column:
+    """Twice the level, the active share and a quarter of the onsets a second, less what is near an end; null if too quiet."""
+    zone = F.greatest(F.lit(clip), duration * edge)
+    tail = F.greatest(duration - start - clip, F.lit(0.0))
+    lead = F.when(start < zone, 0.35 * (1 - start / zone)).otherwise(0.0)
+    trail = F.when(start + clip > duration - zone, 0.35 * (1 - tail / zone)).otherwise(0.0)
+    return F.when(rms >= least_rms, 2 * rms + active + 0.25 * onsets / max(clip, 1e-6) - lead - trail)
+
+
+def latest_phase(records: DataFrame, category: str, phases: Sequence[str]) -> DataFrame:
+    """Of each category's records that of the latest phase in the list; other phases don't count."""
+    order = F.array_position(F.array(*map(F.lit, phases)), F.col("phase"))
+    by = F.struct(order.alias("order"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(records.columns)))
+    best = records.where(order > 0).groupBy(F.col(category).alias("of")).agg(F.max(by).alias("best"))
+    return best.select(*(F.col(f"best.c{i}").alias(c) for i, c in enumerate(records.columns)))
+
+
+def resolved_setting(own: Column, phase: Column, owner: str, winner: Column, default: Column) -> Column:
+    """A setting in its phase: the variant's own value in the phase that tries it, the winner's after, else the default."""
+    return F.coalesce(F.when(phase == owner, own).when(phase > owner, winner), default)
+
+
 def fill_quotas(rows: DataFrame, song: str, category: str, categories: Sequence[str], quota: int, most: int, seed: int) -> DataFrame:
     """Rows of the songs that fill quotas of categories, with the song's ``position``.
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stavework.operators.profile import cumulative
+from stavework.operators.tables import spare
+
 
 def dense_index(df: DataFrame, group: str, *order: str) -> DataFrame:
     """0, 1, 2 ... in a group's order."""
@@ -22,36 +25,49 @@ def ratio_to_maximum(df: DataFrame, group: str, value: str) -> DataFrame:
 def monophony(events: DataFrame, group: Sequence[str]) -> DataFrame:
     """Whether a note never begins while another is open.
 
-    events: the group, ``seq``, ``on``, ``note``. A fold over a group's events in order:
-    the set of open notes, and whether it was ever not empty when a note began. Closing
-    a note that isn't open changes nothing. A group is one sequence of notes.
+    events: the group, ``seq``, ``on``, ``note``. A note that begins twice is open once,
+    and closing one that isn't open changes nothing: so an event counts if the one before
+    it of the same note was of the other kind, and the running sum of what counts is how
+    many notes are open. Windows sort and spill; no group is held as an array.
     """
-    ordered = events.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("seq", "on", "note"))).alias("events"))
-    start = F.struct(F.expr("cast(array() as array<long>)").alias("open"), F.lit(True).alias("ok"))
-
-    def step(state: Column, e: Column) -> Column:
-        return F.struct(
-            F.when(e.on, F.array_union(state.open, F.array(e.note))).otherwise(F.array_remove(state.open, e.note)).alias("open"),
-            (state.ok & ~(e.on & (F.size(state.open) > 0))).alias("ok"),
-        )
+    last = F.lag("on").over(Window.partitionBy(*group, "note").orderBy("seq", "on"))
+    change = F.when(F.col("on") & ~F.coalesce(last, F.lit(False)), 1).when(~F.col("on") & F.coalesce(last, F.lit(False)), -1).otherwise(0)
+    before = Window.partitionBy(*group).orderBy("seq", "on", "note").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = events.withColumn("note_change", change).withColumn("open_notes", F.coalesce(F.sum("note_change").over(before), F.lit(0)))
+    return open_.groupBy(*group).agg((~F.bool_or(F.col("on") & (F.col("open_notes") > 0))).alias("monophonic"))
 
-    return ordered.select(*group, F.aggregate("events", start, step, lambda s: s.ok).alias("monophonic"))
 
+def run_batches(tasks: DataFrame, group: str, key: str, cap: int, *order: str, alone: Column | None = None) -> DataFrame:
+    """Batch numbers within a group: a new batch when the key changes or the batch is full.
 
-def run_batches(tasks: DataFrame, group: str, key: str, cap: int, *order: str) -> DataFrame:
-    """Batch numbers within a group: a new batch when the key changes or the batch is full."""
+    alone: tasks that are a batch of their own; the next task begins another.
+    """
+    names = {c: spare(tasks, c) for c in ("task_island", "task_opens", "task_alone")}
+    island, opens, single = names["task_island"], names["task_opens"], names["task_alone"]
     by = Window.partitionBy(group).orderBy(*order)
-    change = F.coalesce((~F.col(key).eqNullSafe(F.lag(key).over(by))) | (F.row_number().over(by) == 1), F.lit(True))
-    islands = tasks.withColumn("_island", F.sum(change.cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    within = F.row_number().over(Window.partitionBy(group, "_island").orderBy(*order)) - 1
-    parts = islands.withColumn("_part", F.floor(within / cap))
-    opens = (within % cap == 0).cast("long")
-    return parts.withColumn("_opens", opens).withColumn("batch", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_island", "_part", "_opens")
+    running = by.rowsBetween(Window.unboundedPreceding, 0)
+    marked = tasks.withColumn(single, F.coalesce(F.lit(False) if alone is None else alone, F.lit(False)))
+    change = (
+        (~F.col(key).eqNullSafe(F.lag(key).over(by))) | (F.row_number().over(by) == 1) | F.col(single) | F.coalesce(F.lag(single).over(by), F.lit(False))
+    )
+    islands = marked.withColumn(island, F.sum(change.cast("long")).over(running))
+    within = F.row_number().over(Window.partitionBy(group, island).orderBy(*order)) - 1
+    counted = islands.withColumn(opens, (within % cap == 0).cast("long"))
+    return counted.withColumn("batch", F.sum(opens).over(running) - 1).drop(island, opens, single)
 
 
-def contiguous_shards(df: DataFrame, group: str, shards: int, *order: str) -> DataFrame:
-    """Shards of neighbours whose sizes differ by one at most, the larger ones first."""
-    return df.withColumn("shard", F.ntile(shards).over(Window.partitionBy(group).orderBy(*order)) - 1)
+def contiguous_shards(df: DataFrame, group: str, shards: int, order: str) -> DataFrame:
+    """Shards of neighbours by a numeric key, unique in its group, whose sizes differ by one at most, the larger ones first.
+
+    Places come from counts by ranges of the key, so a group isn't sorted in one task.
+    """
+    counts = df.withColumn("c", F.lit(1).cast("long"))
+    n = df.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n"))
+    ranked = cumulative(counts, [group], order).join(n, F.col(group).eqNullSafe(F.col("of")))
+    at, size, larger = F.col("upto") - 1, F.floor(F.col("n") / shards), F.col("n") % shards
+    late = F.floor((at - larger * (size + 1)) / F.greatest(size, F.lit(1)))
+    shard = F.when(at < larger * (size + 1), F.floor(at / (size + 1))).otherwise(larger + late)
+    return ranked.withColumn("shard", shard.cast("int")).select(*df.columns, "shard")
 
 
 def nearest_levels(levels: DataFrame, level: str) -> DataFrame:

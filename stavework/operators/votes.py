@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavework.operators.tables import one_of_each
+from stavework.operators.tables import last_of_each, one_of_each
 
 REJECT, WEAK_REJECT, WEAK_ACCEPT, ACCEPT = "strong_reject", "weak_reject", "weak_accept", "strong_accept"
 TIERS = (REJECT, WEAK_REJECT, WEAK_ACCEPT, ACCEPT)
@@ -16,7 +16,7 @@ TIERS = (REJECT, WEAK_REJECT, WEAK_ACCEPT, ACCEPT)
 
 def last_votes(votes: DataFrame) -> DataFrame:
     """The last vote of each card; unknown tiers don't count."""
-    return one_of_each(votes.where(F.col("tier").isin(*TIERS)), ["card"], F.desc("at"), F.desc("tier"))
+    return last_of_each(votes.where(F.col("tier").isin(*TIERS)), ["card"], "at", "tier")
 
 
 def cascade(cards: DataFrame, votes: DataFrame) -> DataFrame:
@@ -42,19 +42,48 @@ def cascade(cards: DataFrame, votes: DataFrame) -> DataFrame:
     )
 
 
-def tier_pools(votes: DataFrame, weak_cap: int = 3) -> DataFrame:
+def tier_pools(votes: DataFrame, weak_cap: int = 3, most: int | None = None, strict: bool = False) -> DataFrame:
     """Each category's variants of the best tier that any of its variants has.
 
-    A variant is in the pool of its best vote. Pools of strong accepts are whole; weaker
-    ones keep ``weak_cap`` variants, by votes in the pool's tier and then by name.
+    A variant is in the pool of its best vote: 0 strong accepts, 1 weak accepts, 2 weak
+    and 3 strong rejects. Accepted variants rank by votes in the pool's tier and then by
+    name, rejected ones by name. Pools of strong accepts are whole, others keep
+    ``weak_cap`` variants; no pool keeps over ``most``. strict: a category without any
+    accept is an error.
     """
-    rank = F.when(F.col("tier") == ACCEPT, 0).when(F.col("tier") == WEAK_ACCEPT, 1).otherwise(2)
+    rank = F.when(F.col("tier") == ACCEPT, 0).when(F.col("tier") == WEAK_ACCEPT, 1).when(F.col("tier") == WEAK_REJECT, 2).otherwise(3)
     counts = votes.where(F.col("tier").isin(*TIERS)).groupBy("category", "variant", rank.alias("pool")).agg(F.count("*").alias("votes"))
     best = one_of_each(counts, ["category", "variant"], "pool")
-    category = Window.partitionBy("category")
-    pooled = best.withColumn("_top", F.min("pool").over(category)).where("pool = _top").drop("_top")
-    ranked = pooled.withColumn("rank", F.row_number().over(category.orderBy(F.desc("votes"), "variant")))
-    return ranked.where((F.col("pool") == 0) | (F.col("rank") <= weak_cap))
+    top = best.groupBy(F.col("category").alias("of")).agg(F.min("pool").alias("top"))
+    pooled = best.join(top, F.col("category").eqNullSafe(F.col("of")) & (F.col("pool") == F.col("top"))).drop("of", "top")
+    if strict:
+        none = F.raise_error(F.concat(F.coalesce("category", F.lit("no category")), F.lit(": no accepts")))
+        pooled = pooled.withColumn("pool", F.when(F.col("pool") <= 1, F.col("pool")).otherwise(none.cast("int")))
+    by = Window.partitionBy("category").orderBy(F.desc(F.when(F.col("pool") <= 1, F.col("votes"))), "variant")
+    ranked = pooled.withColumn("rank", F.row_number().over(by))
+    kept = ranked.where((F.col("pool") == 0) | (F.col("rank") <= max(weak_cap, 1)))
+    return kept if most is None else kept.where(F.col("rank") <= most)
+
+
+def sanitised(votes: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Votes without those cascaded from another variant and those for unknown variants; and a row of how many went.
+
+    votes: ``variant``, ``cascaded_from`` (a card id that begins with its variant);
+    variants: ``variant``. The second table has ``crossed`` and ``unknown``.
+    """
+    crossed = F.coalesce(F.substring_index("cascaded_from", "|", 1) != F.col("variant"), F.lit(False)) & (F.coalesce("cascaded_from", F.lit("")) != "")
+    known = variants.select("variant").distinct().withColumn("listed", F.lit(True))
+    marked = votes.withColumn("crossed", crossed).join(known, "variant", "left")
+    kept = marked.where("not crossed and listed").select(votes.columns)
+    gone = marked.agg(F.count_if("crossed").alias("crossed"), F.count_if(~F.col("crossed") & F.col("listed").isNull()).alias("unknown"))
+    return kept, gone
+
+
+def tiers_seen(votes: DataFrame) -> DataFrame:
+    """(category, variant, ``tiers``): the known tiers that a variant was given, in order."""
+    order = F.array(*map(F.lit, TIERS))
+    seen = votes.where(F.col("tier").isin(*TIERS)).groupBy("category", "variant").agg(F.collect_set("tier").alias("seen"))
+    return seen.select("category", "variant", F.filter(order, lambda t: F.array_contains("seen", t)).alias("tiers"))
 
 
 def progress(cards: DataFrame, votes: DataFrame) -> DataFrame:

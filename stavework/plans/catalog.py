@@ -80,7 +80,10 @@ def dense_band_histogram(spark: SparkSession, d: str) -> DataFrame:
     return out.select("band", F.col("n").cast("long").alias("n"), F.col("share").cast("double").alias("share"))
 
 
-@named("SELECT least(floor(least(o_totalprice, 300000.0) * 60 / 300000.0), 59)::INT AS bin, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1")
+@named("""
+WITH v AS (SELECT least(o_totalprice, 300000.0) AS v FROM orders WHERE o_totalprice IS NOT NULL), r AS (SELECT min(v) AS lo, max(v) AS hi FROM v)
+SELECT least(floor((v - lo) * 60 / (hi - lo)), 59)::INT AS bin, count(*)::BIGINT AS n FROM v, r GROUP BY 1
+""")
 def price_histogram(spark: SparkSession, d: str) -> DataFrame:
     return profile.fixed_histogram(table(spark, d, "orders"), F.col("o_totalprice"), 300000.0, 60)
 
@@ -259,7 +262,10 @@ def shortlist_or_best(spark: SparkSession, d: str) -> DataFrame:
 
 _METRIC_SQL = """
 own AS (SELECT category, variant, listener, (sum(content)::DOUBLE / count(content))::DECIMAL(18,6) AS m FROM r WHERE content IS NOT NULL GROUP BY ALL),
-ms AS (SELECT category, variant, sum(m)::DOUBLE / count(m) AS mean, count(m) AS n, coalesce(stddev_samp(m::DOUBLE) / sqrt(count(m)::DOUBLE), 0.0) AS sem FROM own GROUP BY ALL)
+heard AS (SELECT category, count(DISTINCT listener) > 1 AS several FROM own GROUP BY 1),
+judged AS (SELECT category, variant, m::DOUBLE AS m, m AS exact FROM own JOIN heard USING (category) WHERE several
+  UNION ALL SELECT category, variant, content::DOUBLE, content::DECIMAL(18,6) FROM r JOIN heard USING (category) WHERE NOT several AND content IS NOT NULL),
+ms AS (SELECT category, variant, sum(exact)::DOUBLE / count(*) AS mean, count(*) AS n, coalesce(stddev_samp(m) / sqrt(count(*)::DOUBLE), 0.0) AS sem FROM judged GROUP BY ALL)
 """
 
 
@@ -278,6 +284,52 @@ def metric_standard_errors(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("category", "variant", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")
 
 
+def _few_listeners(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings in which one category was heard by one listener only, and one variant was never rated."""
+    rows = _ratings(spark, d).where("not (category = 'A' and variant = 'v7')")
+    return rows.withColumn("listener", F.when(F.col("category") == "A", F.lit(1).cast("long")).otherwise(F.col("listener")))
+
+
+_FEW_SQL = _RATINGS_SQL.replace("r AS (SELECT l_suppkey AS listener", "r AS (SELECT CASE WHEN l_returnflag = 'A' THEN 1 ELSE l_suppkey END AS listener").replace(
+    "FROM lineitem)", "FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 7))"
+)
+
+
+@named(f"""
+WITH {_FEW_SQL}, {_METRIC_SQL} SELECT h.category, v.variant, round(mean, 6) AS mean, round(sem, 6) AS sem, n FROM heard h
+CROSS JOIN (SELECT 'v' || range AS variant FROM range(1, 8)) v LEFT JOIN ms ON ms.category = h.category AND ms.variant = v.variant
+""")
+def metric_of_few_listeners(spark: SparkSession, d: str) -> DataFrame:
+    stats = ratings.metric_stats(_few_listeners(spark, d), "content", [f"v{k}" for k in range(1, 8)])
+    return stats.select("category", "variant", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")
+
+
+@named(f"""
+WITH {_FEW_SQL}, {_METRIC_SQL}, hide AS (SELECT l_returnflag AS category, 'v' || l_linenumber AS variant FROM lineitem GROUP BY ALL HAVING bool_and(l_linenumber % 3 = 0 AND l_returnflag <> 'N')),
+n AS (SELECT category, CASE WHEN variant IN ('v4', 'v5') THEN 'x_v' || (substr(variant, 2)::INT - 3) ELSE variant END AS variant, mean FROM ms ANTI JOIN hide USING (category, variant)),
+b AS (SELECT *, max(mean) OVER (PARTITION BY category) AS best FROM n),
+w AS (SELECT category, max(best) AS best, string_agg(variant, ',' ORDER BY variant) FILTER (mean >= best - 1e-9) AS winners, max(mean) FILTER (mean < best - 1e-9) AS runner_up FROM b GROUP BY 1)
+SELECT w.category, best, winners, runner_up, best - runner_up AS margin, best - d.mean AS donor_margin FROM w
+LEFT JOIN n d ON d.category = w.category AND d.variant = substr(list_filter(string_split(winners, ','), lambda x: starts_with(x, 'x_'))[1], 3)
+""")
+def leaderboard_hidden_and_donors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _few_listeners(spark, d)
+    number = F.substring("variant", 2, 9).cast("int")
+    hidden = ratings.hidden_conditions(_ratings(spark, d).withColumn("auto", (number % 3 == 0) & (F.col("category") != "N")))
+    renamed = F.when(F.col("variant").isin("v4", "v5"), F.concat(F.lit("x_v"), (number - 3).cast("string"))).otherwise(F.col("variant"))
+    stats = ratings.metric_stats(rows, "content").join(hidden, ["category", "variant"], "left_anti").withColumn("variant", renamed)
+    return ratings.leaderboard(stats, hidden.where("false"), "x_")
+
+
+@named("""
+WITH r AS (SELECT 'v' || l_linenumber AS variant, l_linenumber = 1 OR l_suppkey % 2 = 0 AS ref, l_quantity::DECIMAL(18,2) AS c, (l_discount * 100)::DECIMAL(18,2) AS q FROM lineitem)
+SELECT variant, coalesce(sum(c) FILTER (NOT ref)::DOUBLE / count(c) FILTER (NOT ref), CASE WHEN variant <> 'v1' THEN sum(c)::DOUBLE / count(c) END) AS content, sum(q)::DOUBLE / count(q) AS realism FROM r GROUP BY 1
+""")
+def means_with_override(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ratings(spark, d).withColumn("is_reference", (F.col("variant") == "v1") | (F.col("listener") % 2 == 0))
+    return ratings.means_with_override(rows, "v1")
+
+
 @named(f"""
 WITH {_RATINGS_SQL}, m AS (VALUES ('v2', 'v1'), ('v4', 'v3'), ('v6', 'v5')), b AS (SELECT listener, stem, variant, max(content) AS base_content FROM r GROUP BY ALL)
 SELECT r.listener, r.stem, r.variant, r.content::DOUBLE AS content, (r.content - b.base_content)::DOUBLE AS difference
@@ -379,14 +431,16 @@ def vote_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @named(f"""
-WITH {_VOTES_SQL}, c AS (SELECT category, variant, CASE tier WHEN 'strong_accept' THEN 0 WHEN 'weak_accept' THEN 1 ELSE 2 END AS pool, count(*) AS votes FROM v GROUP BY ALL),
+WITH {_VOTES_SQL}, c AS (SELECT category, variant, CASE tier WHEN 'strong_accept' THEN 0 WHEN 'weak_accept' THEN 1 WHEN 'weak_reject' THEN 2 ELSE 3 END AS pool, count(*) AS votes FROM v
+  WHERE category NOT IN ('c1', 'c2') OR tier IN ('weak_reject', 'strong_reject') GROUP BY ALL),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY category, variant ORDER BY pool) = 1),
 p AS (SELECT * FROM b QUALIFY pool = min(pool) OVER (PARTITION BY category)),
-k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY votes DESC, variant)::INT AS rank FROM p)
+k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN pool <= 1 THEN votes ELSE 0 END DESC, variant)::INT AS rank FROM p)
 SELECT category, variant, pool, votes, rank FROM k WHERE pool = 0 OR rank <= 3
 """)
 def swipe_tier_pools(spark: SparkSession, d: str) -> DataFrame:
-    return votes.tier_pools(_votes(spark, d)).select("category", "variant", "pool", "votes", "rank")
+    given = _votes(spark, d).where("category not in ('c1', 'c2') or tier in ('weak_reject', 'strong_reject')")
+    return votes.tier_pools(given).select("category", "variant", "pool", "votes", "rank")
 
 
 @named(f"""
@@ -409,7 +463,7 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
 """)
 def shard_merge_last_wins(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_LINE_ORDER)
-    merged = tables.one_of_each(lines, ["l_orderkey", "l_linenumber"], *map(F.desc, _LINE_ORDER))
+    merged = tables.last_of_each(lines, ["l_orderkey", "l_linenumber"], *_LINE_ORDER)
     return merged.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
@@ -516,7 +570,12 @@ def dense_index(spark: SparkSession, d: str) -> DataFrame:
     return sequences.dense_index(turns, "conv_id", "turn", "role").select("conv_id", "turn", "index")
 
 
-@named()
+@named("""
+WITH e AS (SELECT user_id, floor(event_id / 500)::BIGINT AS track, event_id AS seq, length(event_type) % 2 = 0 AS is_on, event_id % 3 AS note FROM events),
+o AS (SELECT a.user_id, a.track, a.seq, bool_or(b.is_on) AS busy FROM e a JOIN LATERAL (
+    SELECT note, arg_max(is_on, seq) AS is_on FROM e b WHERE b.user_id IS NOT DISTINCT FROM a.user_id AND b.track = a.track AND b.seq < a.seq GROUP BY note) b ON true WHERE a.is_on GROUP BY ALL)
+SELECT user_id, track, NOT coalesce(bool_or(busy), false) AS monophonic FROM (SELECT DISTINCT user_id, track FROM e) LEFT JOIN o USING (user_id, track) GROUP BY ALL
+""")
 def monophony(spark: SparkSession, d: str) -> DataFrame:
     user = F.col("user_id")
     notes = table(spark, d, "events").select(
@@ -565,10 +624,8 @@ WITH p AS (SELECT label, pos, sum(x::DECIMAL(18,6)) AS s FROM (SELECT label, unn
 SELECT label, max(abs(s))::DOUBLE AS peak, CASE WHEN max(abs(s)) > 1 THEN 1.0::DOUBLE / max(abs(s))::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM p GROUP BY label
 """)
 def mix_gain(spark: SparkSession, d: str) -> DataFrame:
-    samples = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
-    sums = samples.groupBy("label", "pos").agg(F.sum(F.col("x").cast("decimal(18,6)")).alias("s"))
-    top = sums.groupBy("label").agg(F.max(F.abs("s")).cast("double").alias("peak"))
-    return top.withColumn("gain", arrays.peak_gain(F.col("peak")))
+    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    return samples.mixture_gain(rows.select("label", "pos", F.col("x").cast("decimal(18,6)").alias("value")), "label")
 
 
 @named("""
@@ -582,19 +639,27 @@ def sliding_activity(spark: SparkSession, d: str) -> DataFrame:
 # ---- samples
 
 
-@named()
+@named("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('43|' || o_orderkey), o_orderkey LIMIT 100")
 def deterministic_sample(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return sampling.sample_rows(orders, 100, 43, "o_orderkey")
 
 
-@named()
+@named("""
+WITH p AS (SELECT s_nationkey, s_suppkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY md5(concat_ws('|', '7', s_nationkey, s_suppkey)), s_suppkey) - 1)::INT AS position FROM supplier)
+SELECT *, CASE WHEN position < 26 THEN chr(65 + position) WHEN position < 702 THEN chr(65 + position // 26 - 1) || chr(65 + position % 26)
+  ELSE chr(65 + (position - 702) // 676) || chr(65 + (position - 702) // 26 % 26) || chr(65 + (position - 702) % 26) END AS label FROM p
+""")
 def blinded_order(spark: SparkSession, d: str) -> DataFrame:
     suppliers = table(spark, d, "supplier").select("s_nationkey", "s_suppkey")
     return sampling.blinded(suppliers, "s_nationkey", "s_suppkey", 7)
 
 
-@named()
+@named("""
+WITH t AS (SELECT o_orderpriority, o_custkey, o_orderkey, md5('7|' || o_orderkey) AS h FROM orders),
+u AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY h, o_orderkey) AS turn FROM t)
+SELECT o_orderpriority, o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY turn, h, o_orderkey))::INT AS rank FROM u QUALIFY rank <= 5
+""")
 def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
     return sampling.distinct_songs_first(orders, "o_orderpriority", "o_custkey", 5, 7, "o_orderkey")
