@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that ``cut_table`` writes, if a step collects them.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def cut_folder(spark: SparkSession) -> None:
     """See that there is a checkpoint folder.
 
-    It comes from ``spark.checkpoint.dir``; only a session without one (a local test)
-    gets a temporary folder.
+    It comes from ``spark.checkpoint.dir``. A session on this machine alone (a local test)
+    gets a temporary folder without it; on a cluster, whose executors can't share one,
+    that is an error.
     """
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stavework-checkpoint-"))
 
 
+@contextmanager
+def collected_tables() -> Iterator[list[str]]:
+    """The paths of the tables that ``cut_table`` writes meanwhile."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables of ``cut_table`` that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the cluster's checkpoint folder, its lineage cut."""
     cut_folder(df.sparkSession)
@@ -79,4 +106,6 @@ def cut_table(df: DataFrame) -> DataFrame:
     cut_folder(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

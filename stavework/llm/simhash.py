@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavework.llm.common import cut, table, text_chunks, texts_of
@@ -61,14 +61,19 @@ def fingerprint_of(text: bytes, words_in_shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a long) of every document."""
+    """``doc_id``, ``fp`` (the 64 bits as a long) and ``row`` (a hash of the text) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             values = np.array([fingerprint_of(t) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), batch.column(2)], names=["doc_id", "fp", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, row long")
+
+
+def text_hash() -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")
 
 
 def blocks(prints: DataFrame) -> DataFrame:
@@ -112,8 +117,8 @@ def links(prints: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
     """Fingerprint and group of every document.
 
-    docs: ``doc_id``, ``text``; other columns are not read. Returns ``doc_id``, ``fp``,
-    ``component_id``: the smallest ``doc_id`` that links reach, the document's own
+    docs: ``doc_id``, ``text``; other columns are not read. Returns ``doc_id``, ``row`` (a
+    hash of the text), ``fp``, ``component_id``: the smallest ``doc_id`` that links reach, the document's own
     included. Null and empty texts have the fingerprint zero and are linked like any
     other; repeated rows give repeated rows; an empty table gives an empty one; null
     ids get a component by their text but never name one unless all ids in it are null.
@@ -124,16 +129,22 @@ def near_duplicates(docs: DataFrame, small_block: int = SMALL_BLOCK) -> DataFram
     joined = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     named = cut(joined.groupBy("root").agg(F.min("first").alias("component_id")))
     by_print = joined.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "row", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
     """docs with one document of each group: the one with the smallest id.
 
-    All columns stay. Rows that share the smallest id and rows with a null id all stay.
+    All columns stay. Of rows that share an id only those go whose own text has a group
+    with a smaller id; rows that share the smallest id and rows with a null id all stay.
     """
-    gone = near_duplicates(docs, small_block).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = near_duplicates(docs, small_block).where("component_id < doc_id").distinct()
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"))
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (text_hash_of(docs) == gone["gone_row"]), "left_anti")
+
+
+def text_hash_of(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -178,3 +179,32 @@ def test_stages_by_brute_force(spark):
     whole = corpus_pipeline.run(spark, SMALL)
     assert {r.doc_id: r.ids for r in whole.collect()} == {d: r.ids for d, r in states[4].items()}
     assert whole.agg(F.min("n_tokens")).first()[0] >= 1
+
+
+def test_stages_of_odd_rows(spark):
+    lines = "one line of words\nanother line here\nand a third line"
+    rows = [
+        (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, lines, "en", "s", 55), (4, lines, "en", "s", 55), (4, lines, "en", "s", 55), (4, "only here, of an id that is there twice", None, None, 0),
+        (None, lines, "en", "s", 55), (None, None, None, None, None), (5, "long words " * 40_000, "en", "s", 440_000), (6, "\n" * 3_000, "en", "s", 3_000),
+    ]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key string, lines string")
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.where("false")):
+            found = stage(spark, some, SMALL)
+            kept = found.collect()
+            if name != "tokens":
+                assert found.columns == docs.columns, name
+            assert len(kept) <= some.count()
+        if name == "lines":
+            assert sorted((str(r.doc_id), r.text or "") for r in stage(spark, docs, SMALL).collect() if r.doc_id in (3, 4, None)) == sorted(
+                [("3", lines), ("4", ""), ("4", ""), ("4", rows[5][1]), ("None", lines), ("None", "")]
+            )
+        if name == "near_duplicates":  # equal texts of 3, 4 and null; 1, 2 and 6 have no words
+            assert sorted(str(r.doc_id) for r in stage(spark, docs, SMALL).collect()) == ["1", "3", "4", "5", "None", "None"]
+
+
+def test_a_run_leaves_only_its_last_stage(spark):
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("*.parquet"))
+    found = corpus_pipeline.run(spark, SMALL)
+    assert len(set(folder.glob("*.parquet")) - before) == 1 and found.count() > 0
