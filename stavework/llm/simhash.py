@@ -138,8 +138,9 @@ def keep_one(docs: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
     All columns stay. Of rows that share an id only those go whose own text has a group
     with a smaller id; rows that share the smallest id and rows with a null id all stay.
     """
-    found = near_duplicates(docs, small_block).where("component_id < doc_id").distinct()
-    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"))
+    found = near_duplicates(docs, small_block).where("component_id < doc_id")
+    # without the fingerprint, so that rows are dealt anew and a frequent one can be split
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
     return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (text_hash_of(docs) == gone["gone_row"]), "left_anti")
 
 
