@@ -33,6 +33,14 @@ def as_number(value: Column, cap: float | None = None) -> Column:
 RANGES = 64
 
 
+def _range_of(value: str, cuts: Sequence[float], first: int) -> str:
+    """How many cuts are below a value, counted from ``first``: a search by halves, as SQL."""
+    if not cuts:
+        return str(first)
+    k = len(cuts) // 2
+    return f"if(`{value}` > {cuts[k]!r}D, {_range_of(value, cuts[k + 1 :], first + k + 1)}, {_range_of(value, cuts[:k], first)})"
+
+
 def cumulative(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """``upto``: how many rows of a group have a value at or below each of ``counts``' rows.
 
@@ -44,9 +52,8 @@ def cumulative(counts: DataFrame, groups: Sequence[str], value: str) -> DataFram
     kept = counts.where(F.col(value).isNotNull())
     levels = [k / RANGES for k in range(1, RANGES)]
     cuts = kept.agg(F.percentile_approx(F.col(value).cast("double"), levels, 1_000)).first()[0] or [0.0]
-    at = F.expr(f"array({', '.join(f'{x!r}D' for x in sorted(set(cuts)))})")
     keys = [*groups, "range"]
-    cut = kept.withColumn("range", F.size(F.filter(at, lambda x: x < F.col(value))))
+    cut = kept.withColumn("range", F.expr(_range_of(value, sorted(set(cuts)), 0)))
     totals = cut.groupBy(*keys).agg(F.sum("c").alias("t"))
     before = Window.partitionBy(*groups).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # of a group's few ranges
     offsets = totals.select(*(F.col(k).alias(f"of_{k}") for k in keys), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
