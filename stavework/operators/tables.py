@@ -234,3 +234,45 @@ def has_all(df: DataFrame, key: str, member: str, members: Sequence) -> DataFram
 def pivot_counts(df: DataFrame, key: str, column: str, values: Sequence[str]) -> DataFrame:
     """Counts by key with one column for each value, 0 where there are none."""
     return df.groupBy(key).agg(*(F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values))
+
+
+def ordered_categories(df: DataFrame, key: str, category: str, order: Sequence[str]) -> DataFrame:
+    """``categories``: the distinct known ones of each key, in the domain's order."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(category))
+    found = df.where(F.col(category).isin(*order)).groupBy(key).agg(F.collect_set(F.struct(place.alias("at"), F.col(category).alias("c"))).alias("found"))
+    return found.select(key, F.transform(F.array_sort("found"), lambda x: x.c).alias("categories"))
+
+
+def catalog_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Entries of both catalogs, one a key; the second one's win, and of repeated ones the largest."""
+    source = spare(first, "source_rank")
+    both = first.withColumn(source, F.lit(0)).unionByName(second.withColumn(source, F.lit(1)))
+    return last_of_each(both, [key], source).drop(source)
+
+
+def fan_out(df: DataFrame, conditions: Sequence[str], path: str) -> DataFrame:
+    """Every row once for each condition, its path's first folder replaced by the condition's."""
+    each = df.withColumn("condition", F.explode(F.array(*map(F.lit, conditions))))
+    return each.withColumn(path, F.concat(F.col("condition"), F.regexp_extract(path, r"^[^/]*(/.*)?$", 1)))
+
+
+def coverage(df: DataFrame, category: str, item: str, active: str) -> DataFrame:
+    """By category: active rows, and their distinct items."""
+    return df.where(F.coalesce(F.col(active), F.lit(False))).groupBy(category).agg(F.count("*").alias("n"), F.countDistinct(item).alias("items"))
+
+
+def attempt_counts(df: DataFrame, key: str, attempts: str) -> DataFrame:
+    """By key: attempts, those that passed, those that failed, and rows that were passed through without any.
+
+    attempts: an array of booleans; null and empty ones are a row passed through.
+    """
+    rows = df.select(key, F.explode_outer(attempts).alias("passed"))
+    return rows.groupBy(key).agg(
+        F.count("passed").alias("attempts"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(F.col("passed").isNull()).alias("passed_through")
+    )
+
+
+def recorded(old: Column, new: Column) -> Column:
+    """A map with the entries of another set in it; null maps are empty."""
+    of = lambda m: F.coalesce(m, F.expr("cast(map() as map<string, string>)"))
+    return F.map_concat(F.map_filter(of(old), lambda k, _: ~F.map_contains_key(of(new), k)), of(new))

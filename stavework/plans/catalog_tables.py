@@ -443,3 +443,57 @@ def stems_with_mixture_gain(spark: SparkSession, d: str) -> DataFrame:
     stems = rows.select("label", "vec_id", "pos", F.col("x").cast("decimal(18,6)").alias("value"))
     louder = samples.with_gain(stems, samples.mixture_gain(stems, "label"), "label")
     return louder.groupBy("label", "vec_id").agg(F.max(F.abs("value")).alias("peak"))
+
+
+# ---- catalogs
+
+
+@named("""
+SELECT l_orderkey, string_agg(c, ',' ORDER BY p) AS categories FROM (SELECT DISTINCT l_orderkey, l_shipmode AS c, list_position(['R', 'A'], l_shipmode) AS p
+  FROM (SELECT l_orderkey, l_returnflag AS l_shipmode FROM lineitem) WHERE l_shipmode IN ('R', 'A')) GROUP BY 1
+""")
+def categories_in_order(spark: SparkSession, d: str) -> DataFrame:
+    out = tables.ordered_categories(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", ["R", "A"])
+    return out.select("l_orderkey", F.array_join("categories", ",").alias("categories"))
+
+
+@named("""
+SELECT p_partkey AS id, 'late' AS source, p_brand FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'core', p_brand FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0
+""")
+def catalog_union(spark: SparkSession, d: str) -> DataFrame:
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    core, late = (part.where(key % n == 0).select(key.alias("id"), F.lit(s).alias("source"), "p_brand") for n, s in ((2, "core"), (3, "late")))
+    return tables.catalog_union(core, late, "id")
+
+
+@named("""
+SELECT page_id, c.unnest AS condition, c.unnest || CASE WHEN contains(url, '/') THEN substr(url, strpos(url, '/')) ELSE '' END AS url FROM pages, unnest(['basic', 'slakh']) c
+""")
+def condition_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    return tables.fan_out(table(spark, d, "pages").select("page_id", "url"), ["basic", "slakh"], "url").select("page_id", "condition", "url")
+
+
+@named("SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS items FROM lineitem WHERE l_tax > 0.02 GROUP BY 1")
+def category_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return tables.coverage(table(spark, d, "lineitem").withColumn("active", F.col("l_tax") > 0.02), "l_returnflag", "l_suppkey", "active")
+
+
+@named("""
+WITH o AS (SELECT o_orderpriority, o_custkey % 4 AS n, o_orderkey % 2 = 0 AS ok FROM orders)
+SELECT o_orderpriority, sum(n)::BIGINT AS attempts, count(*) FILTER (ok AND n > 0) AS passed, sum(n)::BIGINT - count(*) FILTER (ok AND n > 0) AS failed, count(*) FILTER (n = 0) AS passed_through FROM o GROUP BY 1
+""")
+def attempt_counts(spark: SparkSession, d: str) -> DataFrame:
+    n, ok = (F.col("o_custkey") % 4).cast("int"), F.col("o_orderkey") % 2 == 0
+    tried = F.when(n > 0, F.concat(F.array_repeat(F.lit(False), n - 1), F.array(ok)))
+    return tables.attempt_counts(table(spark, d, "orders").select("o_orderpriority", tried.alias("tried")), "o_orderpriority", "tried")
+
+
+@named("""
+SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'b' ELSE 'a' END AS winner, CASE WHEN o_custkey % 3 > 0 THEN 'yes' END AS done, CASE WHEN o_custkey % 2 = 0 THEN 'now' END AS stamp FROM orders
+""")
+def recorded_winners(spark: SparkSession, d: str) -> DataFrame:
+    customer = F.col("o_custkey")
+    old = F.map_filter(F.create_map(F.lit("winner"), F.lit("a"), F.lit("done"), F.when(customer % 3 > 0, F.lit("yes"))), lambda _, v: v.isNotNull())
+    new = F.when(customer % 2 == 0, F.create_map(F.lit("winner"), F.lit("b"), F.lit("stamp"), F.lit("now")))
+    done = table(spark, d, "orders").select("o_orderkey", tables.recorded(old, new).alias("m"))
+    return done.select("o_orderkey", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("winner", "done", "stamp")))
