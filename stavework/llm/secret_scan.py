@@ -13,8 +13,8 @@ added (the last two without their signs), and the cube root of the sum is close
 normal, as that of a chi-squared is. A candidate's p-value is the chance that written
 text of its length and encoding has as small a root. What written text has comes from a
 table: mean and spread by encoding and length, simulated for letters and digits as
-frequent as in writing, interpolated between lengths. (Its chances of 0.001 are 1.1 to
-5 times those simulated, so it errs on the side of no discovery.) The
+frequent as in writing, interpolated between lengths. (Simulated chances of
+0.001 come out 0.75 to 5 times as large, so it mostly errs on the side of no discovery.) The
 Benjamini-Hochberg procedure then controls the false discovery rate for each encoding
 and length class, over the candidates of all documents. It works on a grid of p-values
 (counts by encoding, class and bin, some thousand rows at most), so no candidates are
