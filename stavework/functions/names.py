@@ -110,3 +110,34 @@ def int_list(cell: Column) -> Column:
 def safe_id(name: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.trim(name), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(F.coalesce(plain, F.lit("")) == "", F.lit("anonymous")).otherwise(plain)
+
+
+def _slashed(path: Column) -> Column:
+    """Forward slashes, without dots and slashes in front."""
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^[./]+", "")
+
+
+def after_marker(path: Column, folder: str) -> Column:
+    """What comes after the first folder of a name, anywhere in a path; null if it isn't there."""
+    return F.nullif(F.regexp_extract(F.concat(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/"))), rf"^.*?/\Q{folder}\E/(.*)$", 1), F.lit(""))
+
+
+def midi_id(path: Column) -> Column:
+    """The song id of a MIDI file's path: what is below ``mid``, without the suffix."""
+    rest = F.coalesce(after_marker(path, "mid"), _slashed(path))
+    return F.regexp_replace(rest, r"\.mid$", "")
+
+
+def record_id(path: Column) -> Column:
+    """The song id of a record's path: without a leading ``data`` folder and the JSON suffix."""
+    return F.regexp_replace(F.regexp_replace(_slashed(path), "^data/", ""), r"\.json$", "")
+
+
+def record_path(midi_path: Column) -> Column:
+    """The record that belongs to a MIDI file."""
+    return F.concat(F.lit("./data/"), midi_id(midi_path), F.lit(".json"))
+
+
+def audio_id(path: Column) -> Column:
+    """The song id of a rendered folder: what is below ``audio`` (without slashes at the ends), else the last name."""
+    return F.coalesce(F.trim(after_marker(path, "audio"), F.lit("/")), F.regexp_extract(path, "([^/]+)/*$", 1))

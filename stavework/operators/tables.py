@@ -276,3 +276,34 @@ def recorded(old: Column, new: Column) -> Column:
     """A map with the entries of another set in it; null maps are empty."""
     of = lambda m: F.coalesce(m, F.expr("cast(map() as map<string, string>)"))
     return F.map_concat(F.map_filter(of(old), lambda k, _: ~F.map_contains_key(of(new), k)), of(new))
+
+
+def merge_rules(existing: DataFrame, new: DataFrame, columns: Sequence[str], place: str) -> DataFrame:
+    """All existing rules, then each distinct new one that isn't there, at its first ``place`` after them; nulls compare as values."""
+    known = existing.select(*(F.col(c).alias(f"of_{c}") for c in columns)).distinct()
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in columns))
+    added = distinct_in_order(new, columns, place).join(known, same, "left_anti")
+    source = spare(existing, "is_new")
+    return existing.select(*columns, place).withColumn(source, F.lit(False)).unionByName(added.select(*columns, place).withColumn(source, F.lit(True)))
+
+
+def when_complete(df: DataFrame, phases: DataFrame, required: Sequence[str]) -> DataFrame:
+    """df, if every required phase is ``completed`` (phases: ``phase``, ``completed``; few rows); else an error."""
+    done = phases.where("completed").agg(F.collect_set("phase").alias("done_phases"))
+    open_ = F.array_except(F.array(*map(F.lit, required)), "done_phases")
+    say = F.raise_error(F.concat(F.lit("phases are not complete: "), F.array_join(open_, ", ")))
+    return df.join(F.broadcast(done), F.when(F.size(open_) == 0, F.lit(True)).otherwise(say.cast("boolean"))).drop("done_phases")
+
+
+def selected_work(songs: DataFrame, found: DataFrame, drifted: DataFrame, song: str, track: str, expected: str) -> DataFrame:
+    """Songs with work to do and the ``reason``: missing (no track is there), incomplete, or outdated (a recipe drifted).
+
+    songs: the song and how many tracks are expected; found: the tracks that there are;
+    drifted: the songs whose recorded recipe differs.
+    """
+    counts = found.groupBy(song).agg(F.countDistinct(track).alias("found"))
+    changed = drifted.select(song).distinct().withColumn("drifted", F.lit(True))
+    joined = songs.select(song, expected).join(counts, song, "left").join(changed, song, "left")
+    n = F.coalesce("found", F.lit(0))
+    reason = F.when((n == 0) & (F.col(expected) > 0), "missing").when(n < F.col(expected), "incomplete").when(F.col("drifted"), "outdated")
+    return joined.select(song, expected, n.alias("found"), reason.alias("reason")).where("reason is not null")

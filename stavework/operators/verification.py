@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stavework.functions.names import keywords, stripped
+
 
 def entries(documents: DataFrame, document: str) -> DataFrame:
     """One row for each entry of ``categories``; ``position`` is its place there."""
@@ -47,6 +49,28 @@ def bypass(found: DataFrame, document: str) -> DataFrame:
     return last_of_category(found, document).select(document, "category", label.alias("bypassed"))
 
 
+def bypass_rules(found: DataFrame, document: str) -> DataFrame:
+    """One rule for each bypassed stem of an entry with some, but not all, of its stems bypassed.
+
+    stems: ``bypass_realify``, ``track_name``, ``note``, ``program``, ``is_drum``. A rule goes
+    by the name's ``keywords``, or without a name by ``program`` and, of drums,
+    ``is_drum``. Equal rules of a document count once, at the first ``place``.
+    """
+    hit = lambda s: F.coalesce(s["bypass_realify"], F.lit(False))
+    stems, n = F.coalesce("stems", F.array()), F.size(F.coalesce("stems", F.array()))
+    some = F.filter(stems, hit)
+    part = found.where((F.coalesce("category", F.lit("")) != "") & (F.size(some) > 0) & (F.size(some) < n))
+    rows = part.select(document, "category", "position", F.posexplode(some).alias("at", "s"))
+    blank = lambda c: F.nullif(stripped(c), F.lit(""))
+    name = F.coalesce(blank(F.col("s.track_name")), blank(F.col("s.note")))
+    program, drum = F.coalesce("s.program", F.lit(0)), F.when(F.coalesce("s.is_drum", F.lit(False)), True)
+    rules = rows.select(
+        document, "category", F.struct("position", "at").alias("place"), F.when(name.isNotNull(), keywords(name)).alias("keywords"),
+        F.when(name.isNull(), program).alias("program"), F.when(name.isNull(), drum).alias("is_drum"),
+    )
+    return rules.groupBy(document, "category", "keywords", "program", "is_drum").agg(F.min("place").alias("place"))
+
+
 def errors(found: DataFrame, document: str, shortlist_only: bool = False, presets: bool = False) -> DataFrame:
     """(document, position, ``error``) for every rule that an entry breaks."""
     category = F.coalesce(F.col("category"), F.lit(""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavework.operators.tables import last_of_each, one_of_each
+from stavework.operators.tables import keyed_union, last_of_each, one_of_each
 
 REJECT, WEAK_REJECT, WEAK_ACCEPT, ACCEPT = "strong_reject", "weak_reject", "weak_accept", "strong_accept"
 TIERS = (REJECT, WEAK_REJECT, WEAK_ACCEPT, ACCEPT)
@@ -19,6 +19,17 @@ def last_votes(votes: DataFrame) -> DataFrame:
     return last_of_each(votes.where(F.col("tier").isin(*TIERS)), ["card"], "at", "tier")
 
 
+def merged(session: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A session's votes with incoming ones in them: the last vote of a card counts, at the card's first place.
+
+    Both: ``card`` (if null or empty, made of variant and clip), ``variant``, ``clip``, ``tier``,
+    ``at``. Votes without a card, variant and clip go.
+    """
+    made = F.coalesce(F.nullif("card", F.lit("")), F.when(F.col("variant").isNotNull() & F.col("clip").isNotNull(), F.concat_ws("|", "variant", "clip")))
+    named = lambda df: df.select(made.alias("card"), "variant", "clip", "tier", "at").where("card is not null")
+    return keyed_union(named(session), named(incoming), ["card"], "at")
+
+
 def cascade(cards: DataFrame, votes: DataFrame) -> DataFrame:
     """Votes of all cards after strong votes have spread to their siblings.
 

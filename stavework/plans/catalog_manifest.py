@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavework.operators import manifest
+from stavework.functions import names
+from stavework.operators import manifest, sampling, tables, verification, votes
 from stavework.plans.registry import named
 from stavework.sources import files
 from stavework.sources.tables import table
@@ -215,3 +216,77 @@ def json_safe(spark: SparkSession, d: str) -> DataFrame:
     level = lambda n: F.when(key % n > 0, F.col("value")).otherwise(nan)
     safe = files.json_safe(table(spark, d, "events").select("event_id", level(3).alias("level"), F.array(F.struct(level(2).alias("v"))).alias("inner")))
     return safe.select("event_id", "level", F.col("inner")[0].v.alias("inner_level"))
+
+
+# ---- rules, votes and work
+
+
+@named(r"""
+SELECT p_partkey, 'a/b/' || p_partkey AS mid, 'x/' || p_partkey AS rec, './data/a/b/' || p_partkey || '.json' AS rec_path, CASE WHEN p_partkey % 2 = 0 THEN 'song/' || p_partkey ELSE 'last' || p_partkey END AS audio FROM part
+""")
+def path_ids(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    text = lambda before, after="": F.concat(F.lit(before), key, F.lit(after))
+    midi = F.when(key % 3 == 0, text("./mid/a/b/", ".mid")).when(key % 3 == 1, text("/root/set/mid/a/b/", ".mid")).otherwise(text("mid\\a\\b\\"))
+    audio = F.when(key % 2 == 0, text("out/audio/song/", "/")).otherwise(text("out/last"))
+    record = text(".//data/x/", ".json")
+    return table(spark, d, "part").select("p_partkey", names.midi_id(midi).alias("mid"), names.record_id(record).alias("rec"), names.record_path(midi).alias("rec_path"), names.audio_id(audio).alias("audio"))
+
+
+@named("""
+WITH s AS (SELECT l_orderkey AS doc, l_returnflag AS category, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_tax) AS at, l_tax > 0.04 AS hit,
+  CASE WHEN l_partkey % 2 = 0 THEN l_linestatus || ' Lead_line' END AS name, l_partkey % 5 AS program, l_partkey % 3 = 0 AS drum FROM lineitem),
+g AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (hit) OVER w AS hits FROM s WINDOW w AS (PARTITION BY doc, category))
+SELECT doc, category, CASE WHEN name IS NOT NULL THEN 'lead,line' END AS keywords, CASE WHEN name IS NULL THEN program END AS program, CASE WHEN name IS NULL AND drum THEN true END AS is_drum FROM g WHERE hit AND hits < n GROUP BY ALL
+""")
+def bypass_rules(spark: SparkSession, d: str) -> DataFrame:
+    part = F.col("l_partkey")
+    stem = F.struct(
+        "l_linenumber", "l_suppkey", (F.col("l_tax") > 0.04).alias("bypass_realify"), F.when(part % 2 == 0, F.concat("l_linestatus", F.lit(" Lead_line"))).alias("track_name"), F.lit(" ").alias("note"),
+        (part % 5).alias("program"), (part % 3 == 0).alias("is_drum"),
+    )
+    found = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("category")).agg(F.array_sort(F.collect_list(stem)).alias("stems"))
+    rules = verification.bypass_rules(found.withColumn("position", F.ascii("category")), "doc")
+    return rules.select("doc", "category", F.array_join("keywords", ",").alias("keywords"), "program", "is_drum")
+
+
+@named("""
+WITH o AS (SELECT p_brand AS b, CASE WHEN p_size > 10 THEN p_size % 4 END AS s, p_partkey AS at FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_brand AS b, CASE WHEN p_size > 10 THEN p_size % 6 END AS s, min(p_partkey) AS at FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2)
+SELECT b, s, "at", false AS is_new FROM o UNION ALL SELECT b, s, "at", true FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.b = n.b AND o.s IS NOT DISTINCT FROM n.s)
+""")
+def merged_rules(spark: SparkSession, d: str) -> DataFrame:
+    rules = lambda odd, n: table(spark, d, "part").where(F.col("p_partkey") % 2 == odd).select(F.col("p_brand").alias("b"), F.when(F.col("p_size") > 10, F.col("p_size") % n).alias("s"), F.col("p_partkey").alias("at"))
+    phases = spark.createDataFrame([("one", True), ("two", True), ("three", False)], "phase string, completed boolean")
+    return tables.when_complete(tables.merge_rules(rules(0, 4), rules(1, 6), ["b", "s"], "at"), phases, ["one", "two"])
+
+
+@named("""
+WITH v AS (SELECT event_id % 2 AS side, CASE WHEN user_id % 3 = 0 THEN 'c' || (user_id % 40) ELSE (user_id % 40) || '|' || (event_id % 3) END AS card, user_id % 40 AS variant, event_id % 3 AS clip, event_type AS tier, event_id AS at FROM events),
+f AS (SELECT card, arg_min("at", (side, "at")) AS "at" FROM v GROUP BY 1) SELECT card, variant::VARCHAR AS variant, clip::VARCHAR AS clip, tier, f."at" FROM v JOIN f USING (card) QUALIFY row_number() OVER (PARTITION BY card ORDER BY side DESC, v."at" DESC) = 1
+""")
+def merged_votes(spark: SparkSession, d: str) -> DataFrame:
+    user, event = F.col("user_id"), F.col("event_id")
+    found = table(spark, d, "events").select(
+        F.when(user % 3 == 0, F.concat(F.lit("c"), user % 40)).otherwise("").alias("card"), (user % 40).cast("string").alias("variant"), (event % 3).cast("string").alias("clip"), F.col("event_type").alias("tier"), event.alias("at"), (event % 2).alias("side")
+    )
+    return votes.merged(*(found.where(F.col("side") == k).drop("side") for k in (0, 1)))
+
+
+@named("""
+WITH f AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS found FROM lineitem WHERE l_orderkey % 5 > 0 AND l_tax > 0.01 GROUP BY 1), t AS (SELECT o_orderkey AS k, (o_custkey % 5)::BIGINT AS expected, coalesce(found, 0) AS found FROM orders LEFT JOIN f ON k = o_orderkey)
+SELECT * FROM (SELECT *, CASE WHEN found = 0 AND expected > 0 THEN 'missing' WHEN found < expected THEN 'incomplete' WHEN k % 7 = 0 THEN 'outdated' END AS reason FROM t) WHERE reason IS NOT NULL
+""")
+def selected_work(spark: SparkSession, d: str) -> DataFrame:
+    songs = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5).alias("expected"))
+    found = table(spark, d, "lineitem").where("l_orderkey % 5 > 0 and l_tax > 0.01").select(F.col("l_orderkey").alias("k"), "l_linenumber")
+    return tables.selected_work(songs, found, songs.where("k % 7 = 0"), "k", "l_linenumber", "expected")
+
+
+@named("""
+WITH c AS (SELECT DISTINCT l_orderkey AS song, l_returnflag AS model FROM lineitem), w AS (SELECT song FROM c GROUP BY 1 HAVING count(*) = 3)
+SELECT song, model, row_number() OVER (PARTITION BY song ORDER BY md5('9|' || song || '|' || model)) - 1 AS position FROM c WHERE song IN (SELECT song FROM w)
+""")
+def model_trials(spark: SparkSession, d: str) -> DataFrame:
+    clips = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("song"), F.col("l_returnflag").alias("model")).distinct()
+    whole = clips.join(tables.has_all(clips, "song", "model", ["A", "N", "R"]), "song", "left_semi")
+    return sampling.blinded(whole, "song", "model", 9).select("song", "model", F.col("position").cast("long").alias("position"))

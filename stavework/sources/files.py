@@ -146,6 +146,18 @@ def file_in(spark: SparkSession, folder: str, name: str) -> str | None:
     return f"{folder}/{name}" if files.exists(there) and files.getFileStatus(there).isFile() else None
 
 
+def document_paths(spark: SparkSession, paths: Sequence[str], pattern: str = "responses_*.json") -> list[str]:
+    """Files and the fitting files of folders, by name, each once and in order; unfinished ones are left out."""
+    found = []
+    for path in paths:
+        files, there = _at(spark, path)
+        if files.exists(there) and files.getFileStatus(there).isDirectory():
+            found += sorted(s.getPath().toString() for s in files.listStatus(there) if s.isFile() and fnmatch.fnmatchcase(s.getPath().getName(), pattern))
+        else:
+            found.append(there.makeQualified(files.getUri(), files.getWorkingDirectory()).toString())
+    return [p for p in dict.fromkeys(found) if "in_progress" not in p.rsplit("/", 1)[-1]]
+
+
 def newest_folder(spark: SparkSession, root: str, manifest: str) -> str:
     """The root if it has the manifest, else the folder in it with one that was changed last, else the root."""
     if exists(spark, f"{root}/{manifest}"):

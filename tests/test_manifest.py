@@ -8,7 +8,8 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from stavework.operators import manifest
+from stavework.functions import names
+from stavework.operators import manifest, tables, verification, votes
 from stavework.sources import files
 from stavework.sources.tables import RECIPES, STEMS
 
@@ -211,3 +212,50 @@ def test_probes_in_order_have_no_problem(spark):
     odd = [(None, "p", "s9", 1, "fit", False), ("p1", "p", "s0", ord("p"), "bad", False)]
     found = {tuple(r) for r in manifest.probe_problems(spark.createDataFrame(good + odd, schema), {"p": ["fit"], "d": ["fit"]}, 2).collect()}
     assert found == {("p", "too many"), ("p1", "repeated id"), ("s0/112", "repeated stem"), ("?", "incomplete"), ("p1", "class not allowed")}
+
+
+# ---- ids, rules, votes and work
+
+
+def test_ids_of_paths(spark):
+    cases = [("./mid/a/b/Q.mid", "a/b/Q"), ("/root/mid/x/mid/Q.mid", "x/mid/Q"), ("mid\\a\\Q.mid", "a/Q"), ("..//a/Q", "a/Q"), (None, None)]
+    df = spark.createDataFrame(cases, "path string, expected string")
+    assert all(r.found == r.expected for r in df.select("expected", names.midi_id(F.col("path")).alias("found")).collect())
+    one = spark.createDataFrame([("./mid/a/Q.mid", "./data/a/Q.json", "x/audio//a/Q/", "x/y/")], "m string, r string, a string, b string")
+    found = one.select(names.record_path(F.col("m")), names.record_id(F.col("r")), names.audio_id(F.col("a")), names.audio_id(F.col("b")))
+    assert tuple(found.first()) == ("./data/a/Q.json", "a/Q", "a/Q", "y")
+
+
+def test_response_paths_are_listed_once(spark, tmp_path):
+    for name in ("responses_b.json", "responses_a.json", "responses_in_progress.json", "x.json"):
+        (tmp_path / name).write_text("{}")
+    found = files.document_paths(spark, [str(tmp_path / "x.json"), str(tmp_path), str(tmp_path / "responses_a.json")])
+    assert [p.rsplit("/", 1)[1] for p in found] == ["x.json", "responses_a.json", "responses_b.json"]
+
+
+def test_rules_of_bypassed_stems(spark):
+    stem = "struct<bypass_realify: boolean, track_name: string, note: string, program: int, is_drum: boolean>"
+    lead, low = (True, "Lead Guitar 1", None, 5, False), (True, " ", "Bs", 7, None)
+    docs = [
+        (1, 0, "p", [lead, lead, low, (None, "x", None, 0, None)]), (1, 1, "d", [(True, None, "", None, True), (False, None, None, None, None)]),
+        (1, 2, "b", [lead]), (1, 3, "s", []), (1, 4, None, [lead, (False, "x", None, 0, None)]), (1, 5, "p", [lead, (False, None, None, 0, None)]), (1, 6, "n", None),
+    ]
+    found = verification.bypass_rules(spark.createDataFrame(docs, f"doc int, position int, category string, stems array<{stem}>"), "doc").orderBy("place")
+    assert rows(found, "category", "keywords", "program", "is_drum", "place.position", "place.at") == [
+        ("p", ["lead", "guitar"], None, None, 0, 0), ("p", ["bs"], None, None, 0, 2), ("d", None, 0, True, 1, 0),
+    ]
+
+
+def test_rules_wait_for_their_phases(spark):
+    phases = spark.createDataFrame([("one", True), ("two", None)], "phase string, completed boolean")
+    assert tables.when_complete(spark.range(2), phases, ["one"]).count() == 2
+    with pytest.raises(Exception, match="not complete: two, three"):
+        tables.when_complete(spark.range(2), phases, ["one", "two", "three"]).collect()
+
+
+def test_votes_of_a_session_are_merged(spark):
+    schema = "card string, variant string, clip string, tier string, at int"
+    old = spark.createDataFrame([("a", None, None, "weak_accept", 0), ("", "v", "c", "strong_reject", 1), (None, "v", None, "strong_reject", 2)], schema)
+    new = spark.createDataFrame([("v|c", None, None, "weak_reject", 0), ("b", None, None, "x", 1), ("b", None, None, "y", 2)], schema)
+    assert sorted(rows(votes.merged(old, new), "card", "tier", "at")) == [("a", "weak_accept", 0), ("b", "y", 1), ("v|c", "weak_reject", 1)]
+    assert votes.merged(old.where("false"), new.where("false")).count() == 0
