@@ -9,30 +9,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from stavework.operators.tables import one_of_each
+from stavework.operators.tables import last_of_each, spare
 
+#: How many parts a merged table has by its keys; only parts with a key of the batch are written anew.
+BUCKETS = 256
 
-def merge_shards(spark: SparkSession, shards: str, target: str, schema: StructType, keys: Sequence[str], order: str, checkpoint: str) -> StreamingQuery:
+
+def merge_shards(spark: SparkSession, shards: str, target: str, schema: StructType, keys: Sequence[str], order: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Keep ``target`` merged with every Parquet shard that appears in a folder.
 
-    Each micro-batch writes a new generation (``target/batch=N``) from the last one and
-    the batch, so a batch that is run again after a failure gives the same generation.
+    Each micro-batch writes a new generation (``target/batch=N``) of the buckets that it has
+    keys of, from their newest generation before it and the batch, so a batch that is run
+    again after a failure gives the same generation. Of rows with the same key and order
+    the one with the largest other columns wins. ``buckets`` must stay the same for a table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        old = latest(own, target, schema, before=number)
-        one_of_each(old.unionByName(batch), keys, F.desc(order)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        own, name = batch.sparkSession, spare(batch, "bucket")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias(name)).distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            old = latest(own, target, schema, before=number, buckets=touched)
+            merged = last_of_each(old.unionByName(batch), keys, order).withColumn(name, bucket)
+            merged.write.mode("overwrite").partitionBy(name).parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(shards)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, target: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The newest generation of a merged table, or an empty one."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
-    numbers = sorted(int(f.removeprefix("batch=")) for f in found if f.startswith("batch="))
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.schema(schema).parquet(f"{target}/batch={numbers[-1]}") if numbers else spark.createDataFrame([], schema)
+def newest(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket's newest finished generation."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    inside = lambda p: [s.getPath().getName() for s in files.listStatus(path(p)) if s.isDirectory()] if files.exists(path(p)) else []
+    numbers = sorted(int(n.removeprefix("batch=")) for n in inside(target) if n.startswith("batch="))
+    found = {}
+    for n in numbers:
+        folder = f"{target}/batch={n}"
+        if (before is None or n < before) and files.exists(path(f"{folder}/_SUCCESS")):
+            found |= {int(b.rsplit("=", 1)[1]): f"{folder}/{b}" for b in inside(folder) if "=" in b}
+    return found
+
+
+def latest(spark: SparkSession, target: str, schema: StructType, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+    """A merged table as of the newest finished generation, or an empty one; all of it or some buckets."""
+    found = newest(spark, target, before)
+    paths = [p for b, p in sorted(found.items()) if buckets is None or b in set(buckets)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def drop_outdated(spark: SparkSession, target: str) -> list[str]:
+    """Delete finished generations of which no bucket is the newest, once nobody reads them. Returns their folders."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = {p.rsplit("/", 1)[0] for p in newest(spark, target).values()}
+    gone = []
+    for s in files.listStatus(path(target)) if files.exists(path(target)) else []:
+        folder = f"{target}/{s.getPath().getName()}"
+        if s.getPath().getName().startswith("batch=") and folder not in kept and files.exists(path(f"{folder}/_SUCCESS")):
+            files.delete(path(folder), True)
+            gone.append(folder)
+    return sorted(gone)

@@ -125,3 +125,20 @@ def test_streamed_shards_end_as_the_batch_merge(spark, tmp_path):
         shard_merge.merge_shards(spark, shards, target, rows.schema, ["k"], "n", seen).awaitTermination()
     merged = shard_merge.latest(spark, target, rows.schema)
     assert values(merged, "k", "v") == values(tables.one_of_each(rows, ["k"], F.desc("n")), "k", "v")
+
+
+def test_a_batch_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
+    shards, target, seen = (str(tmp_path / x) for x in ("shards", "target", "seen"))
+    schema = "k int, n int, v string, bucket int"
+    batches = [[(k, 0, "a", 7) for k in range(40)] + [(None, 0, "a", 7)], [(3, 1, "b", 8), (99, 1, "b", 8), (None, 1, "b", 8)], [(3, 0, "late", 9)], [(3, 2, "c", 9)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(shards)
+        shard_merge.merge_shards(spark, shards, target, spark.createDataFrame([], schema).schema, ["k"], "n", seen, buckets=16).awaitTermination()
+    merged = {r.k: (r.n, r.v, r.bucket) for r in shard_merge.latest(spark, target, spark.createDataFrame([], schema).schema).collect()}
+    assert merged == {k: (0, "a", 7) for k in range(40)} | {3: (2, "c", 9), 99: (1, "b", 8), None: (1, "b", 8)}
+    generations = sorted(p.name for p in (tmp_path / "target").iterdir())
+    assert generations == ["batch=0", "batch=1", "batch=2", "batch=3"] and len(list((tmp_path / "target" / "batch=3").glob("bucket_=*"))) == 1
+    assert shard_merge.drop_outdated(spark, target) == [f"{target}/batch=2"]
+    (tmp_path / "target" / "batch=3" / "_SUCCESS").unlink()
+    older = {r.k: r.v for r in shard_merge.latest(spark, target, spark.createDataFrame([], schema).schema).collect()}
+    assert older.get(3) in ("b", None)
