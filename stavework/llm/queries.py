@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stavework.llm import (
+    centroid_clustering,
     decontamination,
+    exact_dedup,
     html_text,
     language_id,
     line_dedup,
@@ -30,10 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": sentencepiece_bpe.query,
     "op9_quality_classifier": quality.query,
     "op10_language_id": language_id.query,
+    "op12_centroid_clustering": centroid_clustering.query,
+    "op13_exact_dedup": exact_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }
