@@ -13,6 +13,7 @@ from stavework.llm import (
     html_text,
     language_id,
     line_dedup,
+    merkle_manifest,
     phrase_fingerprint,
     quality,
     secret_scan,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": sentencepiece_bpe.query,
     "op9_quality_classifier": quality.query,
     "op10_language_id": language_id.query,
+    "op11_merkle_manifest": merkle_manifest.query,
     "op12_centroid_clustering": centroid_clustering.query,
     "op13_exact_dedup": exact_dedup.query,
 }
@@ -40,6 +42,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle_manifest.ORACLE_SQL,
     "op12_centroid_clustering": centroid_clustering.ORACLE_SQL,
     "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }
