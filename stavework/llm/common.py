@@ -41,13 +41,15 @@ def cut_folder(spark: SparkSession) -> None:
 
 @contextmanager
 def collected_tables() -> Iterator[list[str]]:
-    """The paths of the tables that ``cut_table`` writes meanwhile."""
+    """The paths of the tables that ``cut_table`` writes meanwhile; an outer collection gets them too."""
     paths: list[str] = []
     token = _written.set(paths)
     try:
         yield paths
     finally:
         _written.reset(token)
+        if (outer := _written.get()) is not None:
+            outer.extend(paths)
 
 
 def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
@@ -57,12 +59,6 @@ def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the cluster's checkpoint folder, its lineage cut."""
-    cut_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that ``column`` holds about CHUNK_BYTES in each.
 
@@ -99,9 +95,9 @@ def sha256_of(text: Column) -> Column:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the checkpoint folder and read again.
+    """``df`` written as a table in the checkpoint folder and read again, its lineage cut.
 
-    Columnar and compressed: for intermediate results that hold texts or many rows.
+    Unlike a checkpoint it can be deleted by its path (see ``collected_tables``).
     """
     cut_folder(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"

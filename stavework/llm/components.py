@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.llm.common import cut
+from stavework.llm.common import collected_tables, cut_table, drop_tables
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.groupBy("a").agg(F.min("b").alias("m")))
+    return cut_table(pairs.groupBy("a").agg(F.min("b").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,11 +46,15 @@ def components(edges: DataFrame) -> DataFrame:
     not; null ends and loops are ignored. Returns ``node``, ``root`` (the smallest node
     of its component), one row for each node of an edge between different nodes.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct())
-    seen = None
+    spark, seen = edges.sparkSession, None
+    with collected_tables() as before:
+        edges = cut_table(edges.select("a", "b").where("a <> b").distinct())
     while True:
-        # two of each kind of round before each look at the result
-        edges = cut(_small_star(_large_star(edges)))
+        # a round of each kind before each look at the result, whose tables then go
+        with collected_tables() as written:
+            edges = cut_table(_small_star(_large_star(edges)))
+        drop_tables(spark, [*before[-1:], *written[:-1]])
+        before = written
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

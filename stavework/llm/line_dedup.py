@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavework.llm.common import cut, sha256_of, table
+from stavework.llm.common import cut_table, sha256_of, table
 
 WINDOW = 3
 
@@ -56,9 +56,9 @@ def windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """``doc_id``, ``row`` and ``starts``: the lines at which windows begin that occur earlier."""
-    every = cut(windows(docs.where("doc_id is not null"), n))
+    every = cut_table(windows(docs.where("doc_id is not null"), n))
     own = every.where("not again").drop("again")
-    firsts = cut(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    firsts = cut_table(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = own.join(firsts, ["h1", "h2"]).where("doc_id > first_doc")
     starts = later.select("doc_id", "row", "line").unionByName(every.where("again").select("doc_id", "row", "line"))
     return starts.groupBy("doc_id", "row").agg(F.collect_set("line").alias("starts"))

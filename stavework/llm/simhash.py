@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavework.llm.common import cut, table, text_chunks, texts_of
+from stavework.llm.common import cut_table, table, text_chunks, texts_of
 from stavework.llm.components import components
 
 SHINGLE = 3
@@ -99,8 +99,8 @@ def links(prints: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
     """
     dealt = blocks(prints)
     # written first: a join of two plain scans is one that can be split where it is skewed
-    sizes = cut(dealt.groupBy("k", "block").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(dealt.join(sizes, ["k", "block"]))
+    sizes = cut_table(dealt.groupBy("k", "block").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut_table(dealt.join(sizes, ["k", "block"]))
     small, large = shared.where(F.col("n") <= small_block), shared.where(F.col("n") > small_block)
     one, two = (small.select("k", "block", F.col("fp").alias(c)) for c in ("a", "b"))
     pairs = (
@@ -123,11 +123,11 @@ def near_duplicates(docs: DataFrame, small_block: int = SMALL_BLOCK) -> DataFram
     other; repeated rows give repeated rows; an empty table gives an empty one; null
     ids get a component by their text but never name one unless all ids in it are null.
     """
-    prints = cut(fingerprints(docs))
+    prints = cut_table(fingerprints(docs))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints.select("fp").distinct(), small_block))
-    joined = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    named = cut(joined.groupBy("root").agg(F.min("first").alias("component_id")))
+    joined = cut_table(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    named = cut_table(joined.groupBy("root").agg(F.min("first").alias("component_id")))
     by_print = joined.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "row", "fp", "component_id")
 
