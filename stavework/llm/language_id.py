@@ -4,8 +4,9 @@ Features are hashed character n-grams (one to three characters, lower-cased, run
 other ASCII characters seen as spaces), weighted by log tf and idf and scaled to length
 one. Document frequencies are counted over all training documents. The weights are
 trained with follow-the-regularised-leader (elastic-net penalty) on a bounded sample of
-each language, part of which is set aside to calibrate the softmax temperature. Of a
-sampled document the entries with the largest weights count, at most ``ENTRIES``.
+each language, part of which is set aside to calibrate the softmax temperature. All
+n-grams of a sampled document count; they take 6 bytes for each of its buckets, so the
+driver's share is bounded by the number of sampled documents.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stavework.llm.common import held_out, table, text_chunks, texts_of
+from stavework.llm.common import cut_table, held_out, table, text_chunks, texts_of
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -26,9 +27,8 @@ BUCKETS = 1 << 15
 #: equal part of it, and LEAST_DOCS at least.
 SAMPLE_DOCS = 3_200
 LEAST_DOCS = 20
-#: Entries of a sampled document that the fit takes.
-ENTRIES = 2_048
-#: With more languages than this there is an error and no model.
+#: With more languages than this there is an error and no model, unless ``train`` is given
+#: another number. Each takes 16 bytes a bucket while training, 4 in the model.
 MOST_LANGUAGES = 1_000
 #: One of so many sampled documents sets the temperature instead.
 CALIBRATION = 5
@@ -105,45 +105,48 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def sample(docs: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def key_of_row() -> Column:
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
+def sample(docs: DataFrame, keys: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, buckets, counts) of at most ``size`` documents of each language.
 
-    They are those whose ids and texts hash lowest; equal rows are one. Of each document
-    the ENTRIES buckets with the highest counts.
+    They are those whose ids and texts hash lowest; equal rows are one. keys: ``lang`` and
+    ``key`` of every row of docs.
     """
-    numbered = docs.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # limited before the shuffle too
-    last = numbered.select("lang", "key").withColumn("rank", rank).where(F.col("rank") <= size).groupBy("lang").agg(F.max("key").alias("last"))
+    last = keys.withColumn("rank", rank).where(F.col("rank") <= size).groupBy("lang").agg(F.max("key").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             at, counts = [], []
             for text in texts_of(batch):
                 own, n = ngram_counts(text.decode())
-                if len(own) > ENTRIES:
-                    most = np.sort(np.argsort(-n, kind="stable")[:ENTRIES])
-                    own, n = own[most], n[most]
-                at.append(own.tobytes())
+                at.append(own.astype(np.uint16).tobytes())
                 counts.append(n.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], names=["key", "lang", "at", "n"])
 
+    numbered = docs.select("lang", key_of_row(), "text")
     some = numbered.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("last")).select("key", "lang", "text").dropDuplicates(["key", "lang"])
     rows = some.mapInArrow(run, "key long, lang string, at binary, n binary").orderBy("key", "lang").collect()
-    return [(r.lang, np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["n"]), np.int32)) for r in rows]
+    return [(r.lang, np.frombuffer(bytes(r["at"]), np.uint16).astype(np.int32), np.frombuffer(bytes(r["n"]), np.int32)) for r in rows]
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """A model of ``text`` and ``lang``; rows without a language or a letter don't count.
 
     None without any such row. Every language of the other rows is learnt, from its part
-    of ``sample_docs``; more than MOST_LANGUAGES are an error. Deterministic: documents
-    are taken by a hash of id and text.
+    of ``sample_docs``; more than ``most_languages`` are an error. Deterministic:
+    documents are taken by a hash of id and text. Texts are read three times: for their
+    hashes, which are written with the languages, for the frequencies, and for the sample.
     """
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = learn.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if known > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = sample(learn, max(sample_docs // max(known, 1), LEAST_DOCS))
+    keys = cut_table(learn.select("lang", key_of_row()))
+    known = keys.select("lang").distinct().limit(most_languages + 1).count()
+    if known > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    rows = sample(learn, keys, max(sample_docs // max(known, 1), LEAST_DOCS))
     if not rows:
         return None
     frequency, n = document_frequencies(learn)
