@@ -6,9 +6,11 @@ task streams its documents, hashes their windows, and compares the words of ever
 whose hash is in the set, so a hit is verified when found.
 
 The broadcast is bounded: a benchmark whose set needs more than ``block_bytes`` of memory
-is handled in blocks of items, one pass over the documents for each, and the hits of the
-passes are merged by row: the documents are written once with a key for each row. No size
-of benchmark is out of reach and none is broadcast unchecked.
+is handled in blocks, one pass over the documents for each, and the hits of the passes are
+merged by row: the documents are written once with a key for each row. Items are first cut
+into pieces, each an eighth of a block at most, that share n - 1 words with the next and so
+have all windows between them: a block holds pieces, and a long item may lie in several.
+Only a window larger than that is in a piece of its own size.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ WINDOW = 13
 #: Memory of one broadcast block, about: WINDOW_BYTES for each window, and the text.
 BLOCK_BYTES = 64 << 20
 WINDOW_BYTES = 32
+#: A block has the room of so many pieces of items.
+PIECES = 8
 #: Contaminated: hit, and at least one word in this many is hit.
 SHARE = 20
 
@@ -146,18 +151,48 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(spans) - 1]]], axis=1)
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark's items in parts whose sets need at most about ``block_bytes``.
+def pieces_of(words: list[bytes], n: int, most: int) -> Iterator[bytes]:
+    """An item's words in pieces that have every window of n between them, of about ``most`` bytes."""
+    start, size = 0, 0
+    for k, word in enumerate(words):
+        cost = len(word) + 1 + WINDOW_BYTES
+        if size + cost > most and k - start >= n:
+            yield b" ".join(words[start:k])
+            start = k - n + 1
+            size = sum(len(w) + 1 + WINDOW_BYTES for w in words[start:k])
+        size += cost
+    if words:
+        yield b" ".join(words[start:])
 
-    Items are dealt by a hash of their id and text, in as many blocks as their measured
-    words and bytes ask for. An item without id or text has no windows.
+
+def blocks_of(benchmark: DataFrame, n: int, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's items in parts (``id``, ``text``) whose sets need at most about ``block_bytes``.
+
+    Items are cut into pieces of normalised words, which are written and dealt by a hash,
+    in as many blocks as their bytes and words ask for. An item without id or text has no
+    windows.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text")).where("id is not null and text is not null")
-    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("id") + WINDOW_BYTES * words)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [items.where(block == k) for k in range(n)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            for item_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+                words = words_of(text)
+                per_word = WINDOW_BYTES * len(words)
+                if len(text) + per_word <= block_bytes // PIECES:
+                    parts = [b" ".join(words)]
+                else:
+                    parts = list(pieces_of(words, n, block_bytes // PIECES))
+                size = [len(p) + len(item_id.encode()) + WINDOW_BYTES * (p.count(b" ") + 1) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([item_id] * len(parts)), pa.array(parts, pa.binary()).cast(pa.string()), pa.array(size, pa.int64())], names=["id", "text", "size"])
+
+    pieces = cut_table(items.mapInArrow(cut, "id string, text string, size long"))
+    total = pieces.agg(F.sum("size")).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    if blocks == 1:
+        return [pieces]
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+    return [pieces.where(block == k) for k in range(blocks)]
 
 
 def shared_windows(block: DataFrame, n: int) -> Broadcast[Block]:
@@ -211,7 +246,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
     that share an id give a row each, with the hits of its own text.
     """
     docs = docs.select("doc_id", "text")
-    blocks = blocks_of(benchmark, block_bytes)
+    blocks = blocks_of(benchmark, n, block_bytes)
     if len(blocks) == 1:
         hits = hits_of(docs, "doc_id", blocks[0], n)
     else:
@@ -243,19 +278,21 @@ def hits_by_row(rows: DataFrame, key: str, blocks: list[DataFrame], n: int) -> D
         every = every.unionByName(cut_table(hits_of(rows, key, block, n, all_rows=False)))
     together = every.groupBy(key).agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("spans"),
+        F.flatten(F.collect_list("hit_spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    # fold over the sorted spans: lengthen the last one or open the next
-    step = lambda done, s: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1).end >= s.start),
-        F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(F.element_at(done, -1).start.alias("start"), F.greatest(F.element_at(done, -1).end, s.end).alias("end"))),
-        ),
-    ).otherwise(F.concat(done, F.array(s)))
-    empty = F.expr("cast(array() as array<struct<start: long, end: long>>)")
-    return together.withColumn("hit_spans", F.aggregate("spans", empty, step)).drop("spans")
+
+    @F.arrow_udf("array<struct<start: long, end: long>>")
+    def joined(spans: pa.Array) -> pa.Array:
+        flat = spans.flatten()
+        ends, at, out = np.cumsum(pc.list_value_length(spans).to_numpy(zero_copy_only=False)), 0, []
+        starts = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1)
+        for end in ends.tolist():
+            out.append([{"start": a, "end": b} for a, b in merged(starts[at:end]).tolist()])
+            at = end
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+    return together.withColumn("hit_spans", joined("spans")).drop("spans")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -263,7 +300,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes:
 
     Every row goes or stays by its own text, whatever its id.
     """
-    blocks = blocks_of(benchmark, block_bytes)
+    blocks = blocks_of(benchmark, n, block_bytes)
     if len(blocks) > 1:
         rows, key = keyed(docs)
         bad = hits_by_row(rows, key, blocks, n).where(is_contaminated(hit_words(), F.col("n_words"))).select(key)
@@ -292,7 +329,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_b
     blocks changes nothing.
     """
     rows, key = keyed(docs)
-    blocks = blocks_of(benchmark, block_bytes)
+    blocks = blocks_of(benchmark, n, block_bytes)
     hit = hits_by_row(rows, key, blocks, n) if len(blocks) > 1 else hits_of(rows, key, blocks[0], n)
     spans = hit.where(F.size("items") > 0).select(F.col(key).alias(f"{key}_of"), F.col("hit_spans").alias(f"{key}_spans"))
 
