@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavework.llm.common import table, text_chunks, texts_of
+from stavework.llm.common import cut_table, table, text_chunks, texts_of
 
 BINS = 64
 SPAN = 8
@@ -34,6 +34,8 @@ TOSSES = 3
 #: Characters that are parsed at a time, where texts are short enough.
 PARSE_CHARS = 1 << 16
 EMPTY_BIN = 0xFFFF
+#: Keys that are sampled for each range of ids.
+SAMPLE_KEYS = 16
 
 _U = np.uint64
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
@@ -164,31 +166,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (``bucket``, ``guest``, ``key``, ``doc_id``, ``text``) dealt out so that each
-    document is followed by the next one in descending order of id.
-
-    Ids are cut into as many ranges as the session has shuffle partitions, at approximate
-    quantiles. The largest id of each range is also sent, as a guest, to the range above
-    (the largest of all to the lowest range), where it follows the last document. What
-    comes to the driver is one id for each range. Null ids come after all others; rows
-    that share an id stand in the order of their texts' hashes.
+    """Rows (``bucket``, ``guest``, ``doc_id``, ``text``) dealt out so that each document is
+    followed by the next one in descending order of id.
+
+    The order is that of (id, hash of the text), so rows that share an id, or have none
+    and come last, can be in several ranges. Ranges are cut at quantiles of a sample of
+    SAMPLE_KEYS keys for each of the session's shuffle partitions; where the cuts lie changes
+    no result. The largest key of each range is also sent, as a guest, to the range above
+    (the largest of all to the lowest range), where it follows the last document. The
+    driver gets the sample and one key for each range.
     """
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"))
-    at = F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges) if ranges > 1 else F.array().cast("array<long>")
-    cuts = sorted(set(keyed.agg(at.alias("cuts")).first().cuts or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col("key")))
-    dealt = keyed.withColumn("bucket", bucket)
-    tops = [(r.bucket, r.top) for r in dealt.groupBy("bucket").agg(F.max("key").alias("top")).orderBy("bucket").collect()]
-    above = {top: b for (_, top), (b, _) in zip(tops, tops[1:] + tops[:1], strict=True)}
-    keys, to = F.array(*map(F.lit, above)).cast("array<long>"), F.array(*map(F.lit, above.values())).cast("array<int>")
-    seen_at = F.array_position(keys, F.col("key")) if above else F.lit(0)
-    home = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    visit = F.struct(F.get(to, (F.col("at") - 1).cast("int")).alias("bucket"), F.lit(True).alias("guest"))
-    places = F.when(F.col("at") > 0, F.array(home, visit)).otherwise(F.array(home))
-    spread = dealt.withColumn("at", seen_at).select("doc_id", "text", "key", F.inline(places))
-    sorted_by = ["bucket", "guest", F.desc("key"), F.xxhash64("text")]
-    return spread.repartitionById(max(1, len(cuts) + 1), F.col("bucket")).sortWithinPartitions(*sorted_by)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("key")
+    keys = cut_table(docs.select(key))
+    some = keys.orderBy(F.xxhash64("key")).limit(SAMPLE_KEYS * ranges).orderBy("key").collect()
+    cuts = list(dict.fromkeys((r.key.id, r.key.h) for r in (some[k * len(some) // ranges] for k in range(1, ranges) if some)))
+    among = _literals(cuts, kind)
+    # cuts below the key, by a search in halves
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length())))).cast("array<int>")
+    below = lambda place: (place <= len(cuts)) & (F.get(among, place - 1) < F.col("key"))
+    bucket = F.aggregate(steps, F.lit(0), lambda low, step: F.when(below(low + step), low + step).otherwise(low)).alias("bucket")
+    tops = keys.select("key", bucket).groupBy("bucket").agg(F.max("key").alias("top")).orderBy("bucket").collect()
+    top_of = {r.bucket: (r.top.id, r.top.h) for r in tops}
+    above = dict(zip(top_of, [*list(top_of)[1:], *list(top_of)[:1]], strict=True))
+    every = range(len(cuts) + 1)
+    top = F.get(_literals([top_of.get(b) for b in every], kind), F.col("bucket"))
+    to = F.get(F.array(*(F.lit(above.get(b)) for b in every)).cast("array<int>"), F.col("bucket"))
+    home, visit = F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(to.alias("bucket"), F.lit(True).alias("guest"))
+    places = F.when(top.eqNullSafe(F.col("key")), F.array(home, visit)).otherwise(F.array(home))
+    dealt = docs.select("doc_id", "text", key).select("doc_id", "text", "key", bucket)
+    spread = dealt.select("doc_id", "text", "key", F.inline(places))
+    placed = spread.repartitionById(len(every), F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("key"))
+    return placed.select("bucket", "guest", "doc_id", "text")
+
+
+def _literals(keys: list[tuple | None], kind: str) -> Column:
+    """An array of keys (or nulls)."""
+    shape = f"struct<id: {kind}, h: bigint>"
+    one = lambda k: F.lit(None).cast(shape) if k is None else F.struct(F.lit(k[0]).cast(kind).alias("id"), F.lit(k[1]).cast("long").alias("h"))
+    return F.array(*map(one, keys)).cast(f"array<{shape}>")
 
 
 def edited(text: str, following: str) -> str:
@@ -202,10 +219,14 @@ def edit_resistance(docs: DataFrame) -> DataFrame:
 
     Returns ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
     ``edited_fingerprint``, ``near_edited``, ``near_next``, one row for each row of
-    docs. With a single document the next one is itself. Null texts are empty.
+    docs, whose ids are of any ordered type and come back as they are. Rows that share an
+    id follow each other by their texts' hashes, rows without one come last. With a
+    single document the next one is itself. Null texts are empty; an empty table gives
+    an empty one.
     """
+    kind = dict(docs.dtypes)["doc_id"]
 
-    def compare(rows: list[tuple[int, bool, object, str]]) -> pa.RecordBatch:
+    def compare(rows: list[tuple[int, bool, object, str]], id_type: pa.DataType) -> pa.RecordBatch:
         """Rows but the last, each with its follower; a bucket's own rows come first."""
         pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if not a[1]]
         own = [a[3] for a, _ in pairs]
@@ -215,7 +236,7 @@ def edit_resistance(docs: DataFrame) -> DataFrame:
         now, following, changed = prints[at], prints[[i + 1 for i in at]], sketches(after)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([a[2] for a, _ in pairs], pa.int64()),
+                pa.array([a[2] for a, _ in pairs], id_type),
                 pa.array([len(t) for t in own], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in after], pa.string()),
                 pa.array(as_text(now), pa.string()),
@@ -231,13 +252,13 @@ def edit_resistance(docs: DataFrame) -> DataFrame:
         for batch in text_chunks(batches):
             columns = [batch.column(k).to_pylist() for k in range(3)]
             rows = carried + [(*r, t.decode()) for *r, t in zip(*columns, texts_of(batch), strict=True)]
-            yield compare(rows)
+            yield compare(rows, batch.schema.field("doc_id").type)
             carried = rows[-1:]
 
     schema = (
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
-    return with_next(docs).select("bucket", "guest", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return with_next(docs).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
