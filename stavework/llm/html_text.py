@@ -5,15 +5,22 @@ whatever is in it, built into a tree with the implied tags that browsers add (pa
 list items, rows and cells that are never closed; tags that close others), and rendered: hidden parts are left out, white space is
 collapsed outside ``pre``, blocks stand on lines of their own with an empty line around
 paragraphs and headings, list items get their markers and indents, and the cells of a
-table's columns are padded to the same width.
+table's columns are padded to the same width on a screen.
+
+``display`` and the ``hidden`` attribute cut a whole subtree, as do a ``dialog`` and, but
+for its summary, a ``details`` that aren't open. ``visibility`` is inherited: the text of
+an invisible element is left out, its blocks and lines stay, and what is visible again
+inside is shown. Style sheets are not read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Generator, Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +55,13 @@ CLOSES |= {t: ({"p"}, {"td", "th", "button", "caption", "table", "object"}) for
 #: Blocks that end an open head.
 AFTER_HEAD = BLOCKS - {"html"} | frozenset("a b i span em strong img br".split())
 
-_DECLARED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_DECLARED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
 #: What ends a tag's name, and what ends a tag or begins a quoted value.
 _NAME_END, _TAG_END = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: A declaration of a style: semicolons in strings and brackets don't end it.
 _DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))++")
-_HIDING = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NUMBER = re.compile(r"\s*([-+]?\d+)")
 #: A step of the layout: yields the steps that it needs and is sent their results.
@@ -71,27 +77,48 @@ def attributes_of(raw: str) -> dict[str, str]:
     return found
 
 
-def style_hides(style: str) -> bool:
-    """Whether display or visibility hides; the last declaration counts, important ones first."""
-    last: dict[str, tuple[bool, bool]] = {}
+def display_and_visibility(style: str) -> tuple[str, str]:
+    """Their values, empty where there is none; the last declaration counts, important ones first."""
+    last = {"display": (False, ""), "visibility": (False, "")}
     for declaration in _DECLARATION.findall(_COMMENT.sub("", style)):
         name, _, value = declaration.partition(":")
         name, (value, mark, _) = name.strip().lower(), value.lower().partition("!")
-        if name in _HIDING and (mark or not last.get(name, (False, False))[0]):
-            last[name] = bool(mark), value.strip() in _HIDING[name]
-    return any(hides for _, hides in last.values())
+        if name in last and (mark or not last[name][0]):
+            last[name] = bool(mark), value.strip()
+    return last["display"][1], last["visibility"][1]
+
+
+class How(NamedTuple):
+    """What an element hands down to its children."""
+
+    pre: bool = False
+    seen: bool = True
 
 
 class Element:
-    """An element with its children: strings and elements."""
+    """An element with its children: strings and elements.
 
-    __slots__ = ("attributes", "children", "hidden", "name")
+    hidden: it and all that is in it; visibility: its own value, if it has one.
+    """
+
+    __slots__ = ("attributes", "children", "hidden", "name", "visibility")
 
     def __init__(self, name: str, attributes: str = ""):
         self.name = name
         self.attributes = attributes_of(attributes) if attributes else {}
         self.children: list[Element | str] = []
-        self.hidden = name in HIDDEN or "hidden" in self.attributes or style_hides(self.attributes.get("style", ""))
+        display, self.visibility = display_and_visibility(self.attributes["style"]) if "style" in self.attributes else ("", "")
+        self.hidden = name in HIDDEN or "hidden" in self.attributes or display == "none" or (name == "dialog" and "open" not in self.attributes)
+
+    def hands_down(self, how: How) -> How:
+        seen = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(self.visibility, how.seen)
+        return How(how.pre or self.name == "pre", seen)
+
+    def shown(self) -> list[Element | str]:
+        """The children that can be seen; of closed details the first summary."""
+        if self.name != "details" or "open" in self.attributes:
+            return self.children
+        return [c for c in self.children if isinstance(c, Element) and c.name == "summary"][:1]
 
     def number(self, attribute: str, default: int) -> int:
         found = _NUMBER.match(self.attributes.get(attribute, ""))
@@ -179,10 +206,7 @@ def build(html: str) -> Element:
             break
         if html_is(html, "!", at + 1) or html_is(html, "?", at + 1):
             text(html[plain:at])
-            declared = _DECLARED.match(html, at)
-            plain = at = declared.end()
-            if declared[0].startswith("<![CDATA["):
-                text(declared[0][9:].removesuffix("]]>"))
+            plain = at = _DECLARED.match(html, at).end()
             continue
         found = tags.tag(at)
         if found is None:
@@ -215,10 +239,16 @@ def build(html: str) -> Element:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             stop = close.start() if close else end
             inner = html[at:stop]
+            if name == "textarea":
+                inner = inner.removeprefix("\r").removeprefix("\n")
             element.children.append(unescape(inner) if name in ("textarea", "title") else inner)
             plain = at = close.end() if close else end
         elif name not in VOID:
             push(element)
+            if name == "pre":  # a line break right behind the tag is none
+                at += html_is(html, "\r", at)
+                at += html_is(html, "\n", at)
+                plain = at
     text(html[plain:])
     return root
 
@@ -316,11 +346,17 @@ def finish(step: Step) -> object:
     return result
 
 
-def render(element: Element, out: Layout, pre: bool = False) -> Step:
-    """Put an element's visible text into ``out``."""
+def put(text: str, out: Layout, how: How) -> None:
+    if how.seen:
+        out.verbatim(text) if how.pre else out.flow(text)
+
+
+def render(element: Element, out: Layout, how: How) -> Step:
+    """Put an element's visible text into ``out``; how: what its parent hands down."""
     name = element.name
     if element.hidden:
         return
+    how = element.hands_down(how)
     if name == "br":
         out.break_line()
         return
@@ -328,57 +364,101 @@ def render(element: Element, out: Layout, pre: bool = False) -> Step:
         return
     if name in ("ul", "ol", "menu"):
         out.block(not out.tight)
-        yield items(element, out, pre)
+        yield items(element, out, how)
         out.block(not out.tight)
         return
     if name == "table":
         out.block(True)
-        out.insert((yield rows(element, pre)))
+        out.insert((yield rows(element, how)))
         out.block(True)
         return
     is_block = name in BLOCKS
     if is_block:
         out.block(name in SPACED)
-    pre = pre or name == "pre"
-    for child in element.children:
+    for child in element.shown():
         if isinstance(child, str):
-            out.verbatim(child) if pre else out.flow(child)
+            put(child, out, how)
         else:
-            yield render(child, out, pre)
+            yield render(child, out, how)
     if is_block:
         out.block(name in SPACED)
 
 
-def lines_of(children: list[Element | str], pre: bool, tight: bool = False) -> Step:
+def lines_of(children: list[Element | str], how: How, tight: bool = False) -> Step:
     """Children laid out apart."""
     out = Layout(tight)
     for child in children:
         if isinstance(child, str):
-            out.verbatim(child) if pre else out.flow(child)
+            put(child, out, how)
         else:
-            yield render(child, out, pre)
+            yield render(child, out, how)
     return out.done()
 
 
-def items(element: Element, out: Layout, pre: bool) -> Step:
+def letters(n: int) -> str:
+    """1, 2, ... as a, b, ..., z, aa, ab, ..."""
+    found = ""
+    while n > 0:
+        n, k = divmod(n - 1, 26)
+        found = chr(ord("a") + k) + found
+    return found
+
+
+#: The numerals of 1,000 down to 1.
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def roman(n: int) -> str:
+    found = ""
+    for value, numeral in ROMAN:
+        found += numeral * (n // value)
+        n %= value
+    return found
+
+
+def ordinal(n: int, kind: str) -> str:
+    """A list's number by its type; one that the type can't write is decimal."""
+    if kind in ("a", "A") and n > 0:
+        return letters(n) if kind == "a" else letters(n).upper()
+    if kind in ("i", "I") and 0 < n < 4000:
+        return roman(n) if kind == "i" else roman(n).upper()
+    return str(n)
+
+
+def items(element: Element, out: Layout, how: How) -> Step:
     """A list: markers, and deeper lines under their item's text."""
-    number = element.number("start", 1)
+    step = -1 if "reversed" in element.attributes else 1
+    own_items = sum(isinstance(c, Element) and c.name == "li" and not c.hidden for c in element.children)
+    number, kind = element.number("start", 1 if step > 0 else own_items), element.attributes.get("type", "")
     for child in element.children:
         if isinstance(child, str):
-            out.flow(child)
+            if how.seen:
+                out.flow(child)
             continue
         if child.hidden:
             continue
         if child.name != "li":
-            yield render(child, out, pre)
+            yield render(child, out, how)
             continue
-        marker = f"{number}. " if element.name == "ol" else "- "
-        number += 1
+        number = child.number("value", number)
+        marker = f"{ordinal(number, child.attributes.get('type', kind))}. " if element.name == "ol" else "- "
+        number += step
         out.block(False)
-        own = yield lines_of(child.children, pre, tight=True)
+        below = child.hands_down(how)
+        own = yield lines_of(child.children, below, tight=True)
+        if not below.seen:  # nor is its marker seen
+            out.insert([line and " " * len(marker) + line for line in own])
+            continue
         out.insert([marker + own[0], *(line and " " * len(marker) + line for line in own[1:])] if own else [marker.rstrip(" ")])
 
 
+def width(line: str) -> int:
+    """Columns that a line takes on a screen: two for wide characters, none for combining ones."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
+
+
 class Grid:
     """The cells of a table's rows by column, and the cells that reach into the next rows."""
 
@@ -412,7 +492,7 @@ class Grid:
         widths: dict[int, int] = {}
         for cells in self.rows:
             for k, cell in cells:
-                widths[k] = max(widths.get(k, 0), *map(len, cell))
+                widths[k] = max(widths.get(k, 0), *map(width, cell))
         offsets, offset = {}, 0
         for k in sorted(widths):
             offsets[k] = offset
@@ -426,50 +506,58 @@ class Grid:
                 line = ""
                 for k, cell in cells:
                     if i < len(cell) and cell[i]:
-                        line = line.ljust(offsets[k]) + cell[i]
+                        line += " " * (offsets[k] - width(line)) + cell[i]
                 lines.append(line)
         return lines
 
 
-def rows(element: Element, pre: bool) -> Step:
-    """A table's lines: a caption, then rows with cells padded by column."""
+def rows(element: Element, how: How) -> Step:
+    """A table's lines: a caption, then rows with cells padded by column.
+
+    how: what the table hands down. An invisible cell keeps its place; a collapsed row goes.
+    """
     lines: list[str] = []
     grid = Grid()
 
-    def walk(node: Element) -> Step:
+    def walk(node: Element, how: How) -> Step:
         for child in node.children:
             if isinstance(child, str):
                 if child.strip():  # text between cells stands before the table
-                    lines.extend((yield lines_of([child], pre)))
+                    lines.extend((yield lines_of([child], how)))
             elif child.hidden:
                 continue
             elif child.name == "tr":
+                if child.visibility == "collapse":
+                    continue
+                inner = child.hands_down(how)
                 cells, stray = [], []
                 for cell in child.children:
                     if isinstance(cell, Element) and cell.name in ("td", "th"):
                         if not cell.hidden:
-                            cells.append((cell, (yield lines_of(cell.children, pre)) or [""]))
+                            cells.append((cell, (yield lines_of(cell.children, cell.hands_down(inner))) or [""]))
                     else:
                         stray.append(cell)
-                lines.extend((yield lines_of(stray, pre)))
+                lines.extend((yield lines_of(stray, inner)))
                 grid.row(cells)
             elif child.name in ("thead", "tbody", "tfoot"):
+                if child.visibility == "collapse":
+                    continue
                 grid.end_group()
-                yield walk(child)
+                yield walk(child, child.hands_down(how))
                 grid.end_group()
             elif child.name == "colgroup":
-                yield walk(child)
+                yield walk(child, child.hands_down(how))
             else:
-                lines.extend((yield lines_of([child], pre)))
+                lines.extend((yield lines_of([child], how)))
 
-    yield walk(element)
+    yield walk(element, how)
     return lines + grid.lines()
 
 
 def visible_text(html: str) -> str:
     """All visible text of a page, laid out; lines end without spaces."""
     out = Layout()
-    finish(render(build(html), out))
+    finish(render(build(html), out, How()))
     return "\n".join(out.done())
 
 

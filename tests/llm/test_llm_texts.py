@@ -140,6 +140,8 @@ NOT_SHOWN = ["hidden", "HIDDEN=''", "class=x hidden", "class='x'hidden", "style=
 def test_only_hidden_and_style_hide(attributes):
     shown = html_text.visible_text(f"<div>a</div><div {attributes}>b<p>c</p></div>")
     assert shown == ("a\nb\n\nc" if attributes in SHOWN else "a")
+    if attributes == "style='visibility:collapse'":  # but what is visible again inside
+        assert html_text.visible_text(f"<div {attributes}>b<p style='visibility:visible'>c</p></div>") == "c"
 
 
 @pytest.mark.parametrize("depth", [10, 199, 200, 300, 20_000])
