@@ -285,6 +285,30 @@ def test_every_row_is_judged_by_its_own_text(spark, block_bytes):
     assert kept.columns == docs.columns and sorted(r.row_key for r in kept.collect()) == [1, 2, 4, 7]
 
 
+def test_an_item_larger_than_a_block_is_cut(spark):
+    rng = random.Random(21)
+    long = [f"w{rng.randrange(400)}" for _ in range(3_000)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "some short words"), (3, " ".join(long[500:700]))], "item_id long, text string")
+    most = 8_000
+    blocks = decontamination.blocks_of(items, 13, most)
+    sizes = [decontamination.Block([(r.id, r.text.encode()) for r in b.collect()], 13).nbytes for b in blocks]
+    assert len(blocks) > 10 and max(sizes) < 3 * most
+    rows = [(i, " ".join(long[i * 9 : i * 9 + rng.randrange(5, 60)])) for i in range(330)] + [(900, " ".join(long)), (901, "no"), (902, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (decontamination.find(docs, items, block_bytes=b).collect() for b in (1 << 26, most))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+    assert next(r.n_hit for r in many if r.doc_id == 900) == 3_000
+
+
+def test_pieces_have_every_window():
+    rng = random.Random(22)
+    for most in (1, 60, 300, 10_000):
+        words = [b"x" * rng.randrange(1, 30) + str(i).encode() for i in range(rng.randrange(0, 60))]
+        parts = [p.split() for p in decontamination.pieces_of(words, 4, most)]
+        windows = [tuple(p[i : i + 4]) for p in parts for i in range(max(1, len(p) - 3))]
+        assert windows == [tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3) if words else 0)]
+
+
 def test_short_items_nulls_and_removal(spark):
     items = spark.createDataFrame([(10, "Just Five small-words here"), (2, None), (None, "a b"), (3, "!!"), (2, "q w")], "item_id long, text string")
     rows = [(1, "x just five SMALL words here y"), (2, None), (3, ""), (4, "clean " * 90 + "q, w"), (5, "q w"), (5, "q w"), (6, "a b")]

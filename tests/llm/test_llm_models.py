@@ -122,6 +122,18 @@ def test_tf_idf_and_training_by_plain_python(spark):
     assert bias[0] > 0 > bias[1] and not weights[[0, 1, 2, 4]].any()
 
 
+def test_all_ngrams_of_a_sampled_text_are_learnt(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(0x100, 0x2000, 6_000))) for _ in range(3)]
+    learn = spark.createDataFrame([(i, t, f"l{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    keys = learn.select("lang", language_id.key_of_row())
+    found = {lang: dict(zip(at.tolist(), n.tolist(), strict=True)) for lang, at, n in language_id.sample(learn, keys, 5)}
+    assert found == {f"l{i}": plain_ngrams(t) for i, t in enumerate(texts)} and min(map(len, found.values())) > 2_048
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.train(learn, most_languages=2)
+    assert language_id.train(learn, most_languages=3).languages == ["l0", "l1", "l2"]
+
+
 def test_a_rare_language_is_learnt(spark):
     rows = [(i, f"the cat and the dog number {i}", "a") for i in range(3_000)] + [(i, f"der hund und die katze {i}", "b") for i in range(3_000, 3_006)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)

@@ -1,12 +1,15 @@
 """Fingerprints, HTML, tokens: exact checks on small inputs."""
 
+import datetime
 import hashlib
+import itertools
 import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stavework.llm import html_text, phrase_fingerprint, sentencepiece_bpe
 
@@ -103,6 +106,69 @@ def test_fingerprints_of_odd_rows(spark):
     assert phrase_fingerprint.edit_resistance(docs.where("false")).count() == 0
 
 
+def plain_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_sketch(text):
+    """One text, symbol by symbol: (name, span) pairs on each level, then minima by bin."""
+    power = [0x9E3779B97F4A7C15]
+    for _ in range(63):
+        power.append(power[-1] * power[0] % 2**64)
+    symbols = [((ord(c) + 1) * power[0] % 2**64, 1) for c in text]
+    phrases = []
+    while symbols:
+        runs = [list(g) for _, g in itertools.groupby(symbols, key=lambda s: s[0])]
+        symbols = [(plain_mix((g[0][0] + len(g) * power[1]) % 2**64) if len(g) > 1 else g[0][0], sum(n for _, n in g)) for g in runs]
+        if len(symbols) == 1:
+            phrases += [s for s in symbols if s[1] >= phrase_fingerprint.SPAN or not phrases]
+            break
+        labels, bits = [name for name, _ in symbols], 64
+        for _ in range(phrase_fingerprint.TOSSES):
+            left = [labels[0] ^ (2**bits - 1), *labels[:-1]]
+            place = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(labels, left, strict=True)]
+            labels, bits = [2 * k + (a >> k & 1) for k, a in zip(place, labels, strict=True)], 8
+        top = [k for k in range(2, len(labels) - 1) if labels[k - 1] < labels[k] > labels[k + 1]]
+        cuts = [0, *top, len(symbols)]
+        cut = [symbols[a:b] for a, b in itertools.pairwise(cuts)]
+        symbols = [(plain_mix(sum(name * power[min(k, 63)] for k, (name, _) in enumerate(g)) % 2**64), sum(n for _, n in g)) for g in cut]
+        phrases += [s for s in symbols if s[1] >= phrase_fingerprint.SPAN]
+    bins = [0xFFFF] * phrase_fingerprint.BINS
+    for name, _ in phrases:
+        name = plain_mix(name ^ 0x5851F42D4C957F2D)
+        bins[name >> 58] = min(bins[name >> 58], (name & 0xFFFF) % 0xFFFF)
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_sketches_are_those_of_a_plain_parse(seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choices("aab c\né🙂", k=rng.choice([0, 1, 2, 3, 9, 60, 700]))) for _ in range(8)] + ["a" * 50, "ab" * 40]
+    found = phrase_fingerprint.sketches(texts)
+    assert found.tolist() == [plain_sketch(t) for t in texts]
+    a, b = found[:-1], found[1:]
+    for x, y, share in zip(a.tolist(), b.tolist(), phrase_fingerprint.likeness(a, b).tolist(), strict=True):
+        used = [(p, q) for p, q in zip(x, y, strict=True) if min(p, q) < 0xFFFF]
+        assert share == pytest.approx(sum(p == q for p, q in used) / len(used) if used else 1.0)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_followers_by_ids_of_any_type(spark, kind):
+    rng = random.Random(1)
+    numbers = [rng.randrange(40) for _ in range(150)]
+    ids = [None if n == 7 else n if kind == "long" else f"é{n}" if kind == "string" else datetime.date(2000, 1, 1 + n % 28) for n in numbers]
+    rows = [(i, f"text {k} " + "x" * k) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    found = phrase_fingerprint.edit_resistance(docs)
+    assert dict(found.dtypes)["doc_id"] == dict(docs.dtypes)["doc_id"]
+    order = docs.orderBy(F.desc("doc_id"), F.desc(F.xxhash64("text"))).collect()
+    assert [r.doc_id is None for r in order] == sorted(r.doc_id is None for r in order)
+    want = [(a.doc_id, hashlib.sha256(phrase_fingerprint.edited(a.text, b.text).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(map(str, ((r.doc_id, r.edited_sha256) for r in found.collect()))) == sorted(map(str, want))
+
+
 PAGES = [
     ("", ""),
     ("just text &amp; more", "just text & more"),
