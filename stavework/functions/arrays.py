@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,26 +75,52 @@ def chunk_spans(total: Column, chunk: int, overlap: int) -> Column:
     return F.when(total > 0, spans).otherwise(F.expr("cast(array() as array<struct<start: long, end: long>>)"))
 
 
+def match_count(reference: np.ndarray, rendered: np.ndarray, tolerance: float) -> int:
+    """How many of the reference's values find a partner, both sorted.
+
+    Each in turn looks only at its nearest unused candidate, the earlier of two as near.
+    ``after[k]`` leads to the first unused candidate from k on, ``before[k]`` to the last
+    one below k (counted from 1; 0 is none); a used one points on to its neighbour, and
+    paths are halved while they are followed.
+    """
+    n, found, values = len(rendered), 0, rendered.tolist()
+    after, before = list(range(n + 1)), list(range(n + 1))
+    for x, k in zip(reference.tolist(), np.searchsorted(rendered, reference).tolist(), strict=True):
+        right = left = k
+        while after[right] != right:
+            after[right] = right = after[after[right]]
+        while before[left] != left:
+            before[left] = left = before[before[left]]
+        below = x - values[left - 1] if left else np.inf
+        above = values[right] - x if right < n else np.inf
+        if min(below, above) <= tolerance:
+            used = left - 1 if below <= above else right
+            after[used], before[used + 1] = used + 1, used
+            found += 1
+    return found
+
+
 def matched_onsets(reference: Column, rendered: Column, tolerance: float) -> Column:
     """How many reference onsets find a partner, one to one.
 
     In ascending order each looks only at its nearest unused candidate (the earlier of
-    two as near) and takes it if that is within the tolerance. Null arrays are empty.
+    two as near) and takes it if that is within the tolerance. Null arrays are empty;
+    null and NaN onsets have no partner.
     """
-    none = F.expr("cast(array() as array<double>)")
-    sorted_ = lambda a: F.array_sort(F.coalesce(a.cast("array<double>"), none))
-    candidates = F.transform(sorted_(rendered), lambda c, i: F.struct(c.alias("at"), i.alias("i")))
-    start = F.struct(candidates.alias("left"), F.lit(0).cast("long").alias("n"))
-
-    def step(state: Column, onset: Column) -> Column:
-        nearest = F.array_min(F.transform(state.left, lambda c: F.struct(F.abs(c["at"] - onset).alias("d"), c.i.alias("i"))))
-        hit = F.coalesce(nearest.d <= tolerance, F.lit(False))
-        return F.struct(
-            F.when(hit, F.filter(state.left, lambda c: c.i != nearest.i)).otherwise(state.left).alias("left"),
-            (state.n + hit.cast("long")).alias("n"),
-        )
-
-    return F.aggregate(sorted_(reference), start, step, lambda s: s.n)
+
+    def sorted_rows(lists: pa.Array) -> Iterator[np.ndarray]:
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        start = 0
+        for size in pc.list_value_length(lists).fill_null(0).to_pylist():
+            row = np.sort(flat[start : start + size])
+            yield row[: np.searchsorted(row, np.nan)]  # NaN, as null comes here, is last
+            start += size
+
+    @F.arrow_udf("long")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([match_count(x, y, tolerance) for x, y in zip(sorted_rows(a), sorted_rows(b), strict=True)], pa.int64())
+
+    return count(reference.cast("array<double>"), rendered.cast("array<double>"))
 
 
 def f1(matched: Column, n_reference: Column, n_rendered: Column) -> Column:

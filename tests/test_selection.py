@@ -1,6 +1,7 @@
 """Selections, sample masks and documents against plain Python on small tables."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -56,11 +57,42 @@ def test_best_windows_keep_their_distance(spark):
         assert [r.s for r in sorted(found.collect(), key=lambda r: r["index"]) if r.g == g] == sorted(picks)
 
 
+def plain_matches(reference, rendered, tolerance):
+    left, n = sorted(rendered), 0
+    for x in sorted(reference):
+        near = min(left, key=lambda c: (abs(c - x), c), default=None)
+        if near is not None and abs(near - x) <= tolerance:
+            left.remove(near)
+            n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_matches_are_those_of_a_scan_of_all_candidates(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.randrange(rng.choice([5, 60, 400])) / 8 for _ in range(rng.randrange(80))] for _ in range(2))
+    tolerance = rng.choice([0, 0.125, 0.5, 3.0, 100.0])
+    assert arrays.match_count(np.sort(np.array(a, float)), np.sort(np.array(b, float)), tolerance) == plain_matches(a, b, tolerance)
+
+
+@pytest.mark.parametrize("spread", [1e-9, 1.0, 1e6])
+def test_fifty_thousand_onsets_take_seconds(spark, spread):
+    rng = np.random.default_rng(1)
+    a, b = (np.sort(rng.random(50_000) * spread) for _ in range(2))
+    began = time.perf_counter()
+    found = arrays.match_count(a, b, 0.05)
+    assert time.perf_counter() - began < 2 and 0 < found <= 50_000
+    df = spark.createDataFrame([(a[:5_000].tolist(), b[:5_000].tolist())] * 3, "a array<double>, b array<double>")
+    assert {r.n for r in df.select(arrays.matched_onsets(F.col("a"), F.col("b"), 0.05).alias("n")).collect()} == {arrays.match_count(a[:5_000], b[:5_000], 0.05)}
+
+
 def test_onsets_match_one_to_one(spark):
     cases = [([1.0, 1.04], [1.03], 1), ([1.0, 1.04], [1.02, 1.06], 2), ([], [1.0], 0), ([1.0], None, 0), ([1.0, 1.0], [1.0, 1.0], 2), ([0.0, 1.0], [0.2, 1.05], 1)]
     df = spark.createDataFrame(cases, "a array<double>, b array<double>, n int")
     for r in df.select("n", arrays.matched_onsets(F.col("a"), F.col("b"), 0.0501).alias("found")).collect():
         assert r.found == r.n
+    odd = spark.createDataFrame([([1.0, None, float("nan")], [float("nan"), 1.0, None]), (None, None)], "a array<double>, b array<float>")
+    assert [r.n for r in odd.select(arrays.matched_onsets(F.col("a"), F.col("b"), 9.0).alias("n")).collect()] == [1, 0]
     f1 = spark.range(1).select(*(arrays.f1(*map(F.lit, t)) for t in ((0, 0, 0), (0, 3, 0), (2, 4, 2)))).first()
     assert f1[0] == 1.0 and f1[1] == 0.0 and f1[2] == pytest.approx(2 / 3)
     mask = F.array(F.lit(True), F.lit(False), F.lit(True))
