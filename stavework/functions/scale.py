@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Highest score of each band but the last.
+#: Lowest score of each band but the first.
 EDGES = (20, 40, 60, 80)
 MIDPOINTS = (10, 30, 50, 70, 90)
+#: What the bands are called, by rubric.
+LABELS = {
+    "content": ("Very different", "Different", "Mostly same", "Same", "Identical"),
+    "realism": ("Very synthetic", "Synthetic", "Mixed", "Realistic", "Very realistic"),
+}
 
 
 def clamped(score: Column) -> Column:
@@ -16,10 +21,10 @@ def clamped(score: Column) -> Column:
 
 
 def band(score: Column) -> Column:
-    """0 to 4; an edge belongs to the band below it."""
-    out = F.lit(len(EDGES))
-    for k in range(len(EDGES) - 1, -1, -1):
-        out = F.when(clamped(score) <= EDGES[k], k).otherwise(out)
+    """0 to 4; an edge belongs to the band above it."""
+    out = F.lit(0)
+    for k, edge in enumerate(EDGES, 1):
+        out = F.when(clamped(score) >= edge, k).otherwise(out)
     return F.when(score.isNotNull(), out)
 
 
@@ -29,3 +34,10 @@ def midpoint(score: Column) -> Column:
 
 def likert(score: Column) -> Column:
     return band(score) + 1
+
+
+def label(score: Column, rubric: str | Column) -> Column:
+    """What a score's band is called; any rubric but realism reads as content."""
+    rubric = F.lit(rubric) if isinstance(rubric, str) else rubric
+    of = lambda name: F.get(F.array(*map(F.lit, LABELS[name])), band(score))
+    return F.when(rubric == "realism", of("realism")).otherwise(of("content"))

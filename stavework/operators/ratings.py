@@ -7,6 +7,8 @@ ratings: ``listener``, ``stem``, ``category``, ``variant``, ``content``, ``reali
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,17 +158,66 @@ def means_with_override(ratings: DataFrame, reference: str) -> DataFrame:
     return means.select("variant", content.alias("content"), "realism")
 
 
-def content_difference(ratings: DataFrame, base_of: dict[str, str]) -> DataFrame:
+def content_difference(ratings: DataFrame, base_of: dict[str, str], place: str) -> DataFrame:
     """Each rating's content less its base variant's for the same listener and stem.
 
-    The base side keeps one row a key (the highest content), so no row is multiplied.
-    Variants without a base, and ratings without a base row, have null.
+    The base side is the first row of its key by ``place``, so no row is multiplied;
+    variants that have a base themselves are none. Variants without a base differ by 0
+    where they have content; ratings without a base row, or whose base row has no
+    content, have null.
     """
     bases = F.create_map(*(F.lit(x) for pair in base_of.items() for x in pair))
     keys = ["listener", "stem", "base"]
     own = ratings.withColumn("base", bases[F.col("variant")])
-    base = ratings.groupBy("listener", "stem", F.col("variant").alias("base")).agg(F.max("content").alias("base_content"))
-    return own.join(base, keys, "left").withColumn("difference", (F.col("content") - F.col("base_content")).cast("double"))
+    plain = own.where("base is null").groupBy(*(F.col(k).alias(f"of_{k}") for k in keys[:2]), F.col("variant").alias("of_base"))
+    first = plain.agg(F.min_by(F.struct("content"), place).alias("first"))  # a null content is first too
+    joined = own.join(first, reduce(and_, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys)), "left")
+    apart = F.when(F.col("base").isNotNull(), F.col("content") - F.col("first.content")).when(F.col("content").isNotNull(), 0)
+    return joined.withColumns({"base_content": F.col("first.content"), "difference": apart.cast("double")}).drop("first", *(f"of_{k}" for k in keys))
+
+
+def category_winners(ratings: DataFrame, base_of: dict[str, str], place: str, hidden: DataFrame | None = None, prefix: str | None = None, labels: dict[str, str] | None = None) -> DataFrame:
+    """Each category's winners by mean realism, with their content and content difference, rounded to two digits.
+
+    Means are those of ``metric_stats``; a variant takes part if it has a mean realism and
+    isn't in ``hidden``. Winners within a tiny tolerance stand in the order of realism,
+    content (none last) and name; the first one's figures are given. ``margin`` is over
+    the best of the others; with ``prefix``, ``donor_margin`` is that of the first winner
+    of that prefix over the variant without it. labels: what variants are called.
+    """
+    rows = content_difference(ratings, base_of, place).withColumn("difference", F.col("difference").cast(SCALE))
+    keys = ["category", "variant"]
+    tables = [metric_stats(rows, metric).select(*keys, F.col("mean").alias(name)) for metric, name in (("realism", "realism"), ("content", "content"), ("difference", "content_diff"))]
+    means = tables[0].join(tables[1], keys, "full_outer").join(tables[2], keys, "full_outer").where("realism is not null")
+    if hidden is not None:
+        means = means.join(hidden.select(*keys), keys, "left_anti")
+    ranked = means.withColumn("best", F.max("realism").over(Window.partitionBy("category")))
+    wins = F.col("realism") >= F.col("best") - TIE
+    # sorted by the negated means, so that the best is first and a null, as infinity, last
+    down = lambda c: F.coalesce(-F.col(c), F.lit(float("inf")))
+    row = F.struct(down("realism").alias("r"), down("content").alias("c"), "variant", "realism", "content", "content_diff")
+    out = ranked.groupBy("category").agg(
+        F.max("best").alias("best"), F.array_sort(F.collect_list(F.when(wins, row))).alias("won"), F.max(F.when(~wins, F.col("realism"))).alias("second")
+    )
+    called = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)) if labels else None
+    name = lambda w: w.variant if called is None else F.coalesce(called[w.variant], w.variant)
+    two = lambda c: F.bround(c, 2)
+    first = F.get("won", F.lit(0))
+    board = out.select(
+        "category",
+        F.array_join(F.transform("won", lambda w: w.variant), ",").alias("winner"),
+        F.array_join(F.transform("won", name), ",").alias("winner_label"),
+        *(two(first[c]).alias(c) for c in ("content", "content_diff", "realism")),
+        two(F.col("best") - F.col("second")).alias("margin"),
+        "best",
+    )
+    if prefix is None:
+        return board.drop("best")
+    copies = F.filter(F.split("winner", ","), lambda w: w.startswith(prefix))
+    asked = board.withColumn("asked", F.substring(F.get(copies, 0), len(prefix) + 1, 1_000))
+    donors = means.select(F.col("category").alias("of"), F.col("variant").alias("donor"), F.col("realism").alias("donor_mean"))
+    found = asked.join(donors, F.col("category").eqNullSafe(F.col("of")) & (F.col("asked") == F.col("donor")), "left")
+    return found.withColumn("donor_margin", two(F.col("best") - F.col("donor_mean"))).drop("best", "asked", "of", "donor", "donor_mean")
 
 
 def donor_expansion(ratings: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -30,19 +30,21 @@ def merged(session: DataFrame, incoming: DataFrame) -> DataFrame:
     return keyed_union(named(session), named(incoming), ["card"], "at")
 
 
-def cascade(cards: DataFrame, votes: DataFrame) -> DataFrame:
+def cascade(cards: DataFrame, votes: DataFrame, place: str, overwrite: bool = True) -> DataFrame:
     """Votes of all cards after strong votes have spread to their siblings.
 
-    cards: ``card``, ``category``, ``variant``; votes: one a card. A strong reject
-    overwrites every sibling (same category and variant); then a strong accept fills
-    siblings without a vote. ``source`` is the first card by name that triggered it.
+    cards: ``card``, ``category``, ``variant`` and their order, ``place``; votes: one a
+    card. A strong reject overwrites every sibling (same category and variant), or without
+    ``overwrite`` fills those without a vote; then a strong accept fills siblings that
+    still have none. ``source`` is the first card in order that triggered it.
     """
     voted = cards.join(votes.select("card", "tier"), "card", "left")
     siblings = Window.partitionBy("category", "variant")
-    rejecter = F.min(F.when(F.col("tier") == REJECT, F.col("card"))).over(siblings)
-    accepter = F.min(F.when(F.col("tier") == ACCEPT, F.col("card"))).over(siblings)
+    first = lambda tier: F.min_by("card", F.when(F.col("tier") == tier, F.col(place))).over(siblings)
+    rejecter, accepter = first(REJECT), first(ACCEPT)
     marked = voted.select("*", rejecter.alias("_rejecter"), accepter.alias("_accepter"))
-    spread = F.col("_rejecter").isNotNull() & ~F.col("tier").eqNullSafe(F.lit(REJECT))
+    reached = ~F.col("tier").eqNullSafe(F.lit(REJECT)) if overwrite else F.col("tier").isNull()
+    spread = F.col("_rejecter").isNotNull() & reached
     filled = F.col("_rejecter").isNull() & F.col("tier").isNull() & F.col("_accepter").isNotNull()
     return marked.select(
         "card",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavework.functions import arrays, names, recipe, scale
-from stavework.operators import profile, ratings, rules, samples, sampling, selection, sequences, tables, verification, votes
+from stavework.operators import manifest, profile, ratings, rules, samples, sampling, selection, sequences, tables, verification, votes
 from stavework.plans.registry import named
 from stavework.sources.tables import table
 
@@ -68,7 +68,7 @@ def conditional_aggregates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @named("""
-WITH b AS (SELECT CASE WHEN s <= 20 THEN 0 WHEN s <= 40 THEN 1 WHEN s <= 60 THEN 2 WHEN s <= 80 THEN 3 ELSE 4 END AS band
+WITH b AS (SELECT CASE WHEN s >= 80 THEN 4 WHEN s >= 60 THEN 3 WHEN s >= 40 THEN 2 WHEN s >= 20 THEN 1 ELSE 0 END AS band
   FROM (SELECT least(greatest(round_even(l_quantity * 1.5, 0), 0), 100) AS s FROM lineitem WHERE l_quantity > 20)),
 c AS (SELECT band, count(*) AS n FROM b GROUP BY 1)
 SELECT r.range::INT AS band, coalesce(n, 0)::BIGINT AS n, coalesce(100.0 * n / (SELECT sum(n) FROM c), 0.0)::DOUBLE AS share
@@ -330,14 +330,58 @@ def means_with_override(spark: SparkSession, d: str) -> DataFrame:
     return ratings.means_with_override(rows, "v1")
 
 
-@named(f"""
-WITH {_RATINGS_SQL}, m AS (VALUES ('v2', 'v1'), ('v4', 'v3'), ('v6', 'v5')), b AS (SELECT listener, stem, variant, max(content) AS base_content FROM r GROUP BY ALL)
-SELECT r.listener, r.stem, r.variant, r.content::DOUBLE AS content, (r.content - b.base_content)::DOUBLE AS difference
-FROM r LEFT JOIN m ON m.col0 = r.variant LEFT JOIN b ON b.listener = r.listener AND b.stem = r.stem AND b.variant = m.col1
-""")
+#: Several rows of a listener, stem and variant, of which the first by place isn't the highest.
+_PLACED_SQL = """
+r AS (SELECT (l_orderkey // 32) % 5 AS listener, l_orderkey // 160 AS stem, l_returnflag AS category, 'v' || l_linenumber AS variant, {'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity} AS place,
+  CASE WHEN l_suppkey % 9 > 0 THEN l_quantity::DECIMAL(18,2) END AS content, (l_discount * 100)::DECIMAL(18,2) AS realism FROM lineitem),
+base AS (SELECT listener, stem, variant, content FROM r WHERE variant NOT IN ('v2', 'v4', 'v6') QUALIFY row_number() OVER (PARTITION BY listener, stem, variant ORDER BY place) = 1),
+d AS (SELECT r.*, (CASE WHEN m.col0 IS NOT NULL THEN r.content - b.content WHEN r.content IS NOT NULL THEN 0 END)::DOUBLE AS difference
+  FROM r LEFT JOIN (VALUES ('v2', 'v1'), ('v4', 'v3'), ('v6', 'v5')) m ON m.col0 = r.variant LEFT JOIN base b ON b.listener = r.listener AND b.stem = r.stem AND b.variant = m.col1)
+"""
+_BASES = {"v2": "v1", "v4": "v3", "v6": "v5"}
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    lines, order = table(spark, d, "lineitem"), F.col("l_orderkey")
+    return lines.select(
+        F.floor(order / 32) % 5,
+        F.floor(order / 160),
+        "l_returnflag",
+        F.concat(F.lit("v"), F.col("l_linenumber").cast("string")),
+        F.struct(order.alias("o"), F.col("l_linenumber").alias("n"), "l_suppkey", "l_quantity"),
+        F.when(F.col("l_suppkey") % 9 > 0, F.col("l_quantity").cast("decimal(18,2)")),
+        (F.col("l_discount") * 100).cast("decimal(18,2)"),
+    ).toDF("listener", "stem", "category", "variant", "place", "content", "realism")
+
+
+@named(f"WITH {_PLACED_SQL} SELECT place.o AS o, place.n AS n, content::DOUBLE AS content, difference FROM d")
 def content_difference(spark: SparkSession, d: str) -> DataFrame:
-    out = ratings.content_difference(_ratings(spark, d), {"v2": "v1", "v4": "v3", "v6": "v5"})
-    return out.select("listener", "stem", "variant", F.col("content").cast("double").alias("content"), "difference")
+    out = ratings.content_difference(_placed(spark, d), _BASES, "place")
+    return out.select("place.o", "place.n", F.col("content").cast("double").alias("content"), "difference")
+
+
+_MEAN_OF = """SELECT category, variant, sum(m)::DOUBLE / count(*) AS mean FROM (
+  SELECT category, variant, listener, (sum({0}::DECIMAL(18,2))::DOUBLE / count({0}))::DECIMAL(18,6) AS m FROM d WHERE {0} IS NOT NULL GROUP BY ALL) GROUP BY ALL"""
+
+
+@named(f"""
+WITH {_PLACED_SQL}, q AS ({_MEAN_OF.format("realism")}), c AS ({_MEAN_OF.format("content")}), x AS ({_MEAN_OF.format("difference")}),
+n AS (SELECT category, CASE WHEN variant IN ('v4', 'v5') THEN 'x_v' || (substr(variant, 2)::INT - 3) ELSE variant END AS variant, q.mean AS realism, c.mean AS content, x.mean AS diff
+  FROM q FULL JOIN c USING (category, variant) FULL JOIN x USING (category, variant) WHERE q.mean IS NOT NULL AND NOT (category = 'N' AND variant = 'v3')),
+b AS (SELECT *, max(realism) OVER (PARTITION BY category) AS best FROM n),
+w AS (SELECT category, max(best) AS best, max(realism) FILTER (realism < best - 1e-9) AS second,
+  list({{'v': variant, 'c': content, 'd': diff, 'r': realism}} ORDER BY realism DESC, content DESC NULLS LAST, variant) FILTER (realism >= best - 1e-9) AS won FROM b GROUP BY 1),
+t AS (SELECT *, list_transform(won, lambda p: p.v) AS names FROM w)
+SELECT t.category, array_to_string(names, ',') AS winner, array_to_string(list_transform(names, lambda v: CASE WHEN v = 'v1' THEN 'one' ELSE v END), ',') AS winner_label,
+  round_even(won[1].c, 2) AS content, round_even(won[1].d, 2) AS content_diff, round_even(won[1].r, 2) AS realism, round_even(best - second, 2) AS margin,
+  round_even(best - n.realism, 2) AS donor_margin
+FROM t LEFT JOIN n ON n.category = t.category AND n.variant = substr(list_filter(names, lambda v: starts_with(v, 'x_'))[1], 3)
+""")
+def category_winners(spark: SparkSession, d: str) -> DataFrame:
+    renamed = F.when(F.col("variant").isin("v4", "v5"), F.concat(F.lit("x_v"), (F.substring("variant", 2, 9).cast("int") - 3).cast("string"))).otherwise(F.col("variant"))
+    rows = _placed(spark, d).withColumn("variant", renamed)
+    hidden = rows.where("category = 'N' and variant = 'v3'").select("category", "variant").distinct()
+    return ratings.category_winners(rows, {"v2": "v1", "x_v1": "v3", "v6": "x_v2"}, "place", hidden, "x_", {"v1": "one"})
 
 
 @named(f"""
@@ -408,26 +452,29 @@ _VOTES_SQL = """
 v AS (SELECT concat_ws('|', user_id % 40, user_id % 7, event_id % 3) AS card, 'c' || (user_id % 40) AS category, 'v' || (user_id % 7) AS variant,
   ['strong_reject', 'weak_reject', 'weak_accept', 'strong_accept'][length(event_type) % 4 + 1] AS tier, event_id AS arrived FROM events),
 lv AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY card ORDER BY arrived DESC, tier DESC) = 1),
-cards AS (SELECT DISTINCT 'c' || (user_id % 40) AS category, 'v' || (user_id % 7) AS variant, concat_ws('|', user_id % 40, user_id % 7, k) AS card
-  FROM events, (VALUES (0), (1), (2), (3)) t(k))
+cards AS (SELECT DISTINCT 'c' || (user_id % 40) AS category, 'v' || (user_id % 7) AS variant, concat_ws('|', user_id % 40, user_id % 7, k) AS card,
+  (k + 2) % 4 AS place FROM events, (VALUES (0), (1), (2), (3)) t(k))
 """
 
 
 def _cards(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "events").select((F.col("user_id") % 40).alias("c"), (F.col("user_id") % 7).alias("v")).distinct()
     clips = users.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
-    return clips.select(F.concat(F.lit("c"), "c").alias("category"), F.concat(F.lit("v"), "v").alias("variant"), F.concat_ws("|", "c", "v", "k").alias("card"))
+    return clips.select(F.concat(F.lit("c"), "c").alias("category"), F.concat(F.lit("v"), "v").alias("variant"), F.concat_ws("|", "c", "v", "k").alias("card"), ((F.col("k") + 2) % 4).alias("place"))
 
 
 @named(f"""
-WITH {_VOTES_SQL}, j AS (SELECT c.*, tier, min(CASE WHEN tier = 'strong_reject' THEN c.card END) OVER w AS rj, min(CASE WHEN tier = 'strong_accept' THEN c.card END) OVER w AS ac
-  FROM cards c LEFT JOIN lv ON lv.card = c.card WINDOW w AS (PARTITION BY c.category, c.variant))
-SELECT card, category, variant, CASE WHEN rj IS NOT NULL AND tier IS DISTINCT FROM 'strong_reject' THEN 'strong_reject'
+WITH {_VOTES_SQL}, j AS (SELECT c.*, tier, arg_min(c.card, place) FILTER (tier = 'strong_reject') OVER w AS rj, arg_min(c.card, place) FILTER (tier = 'strong_accept') OVER w AS ac
+  FROM cards c LEFT JOIN lv ON lv.card = c.card WINDOW w AS (PARTITION BY c.category, c.variant)),
+k AS (SELECT *, true AS overwrite FROM j UNION ALL SELECT *, false FROM j)
+SELECT card, category, variant, overwrite, CASE WHEN rj IS NOT NULL AND (tier IS NULL OR overwrite AND tier <> 'strong_reject') THEN 'strong_reject'
   WHEN rj IS NULL AND tier IS NULL AND ac IS NOT NULL THEN 'strong_accept' ELSE tier END AS tier,
-  CASE WHEN rj IS NOT NULL AND tier IS DISTINCT FROM 'strong_reject' THEN rj WHEN rj IS NULL AND tier IS NULL AND ac IS NOT NULL THEN ac END AS source FROM j
+  CASE WHEN rj IS NOT NULL AND (tier IS NULL OR overwrite AND tier <> 'strong_reject') THEN rj WHEN rj IS NULL AND tier IS NULL AND ac IS NOT NULL THEN ac END AS source FROM k
 """)
 def vote_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return votes.cascade(_cards(spark, d), votes.last_votes(_votes(spark, d)))
+    cards, last = _cards(spark, d), votes.last_votes(_votes(spark, d))
+    both = [votes.cascade(cards, last, "place", o).withColumn("overwrite", F.lit(o)) for o in (True, False)]
+    return both[0].unionByName(both[1])
 
 
 @named(f"""
@@ -685,6 +732,34 @@ def onset_match(spark: SparkSession, d: str) -> DataFrame:
     return matched.select("vec_id", "matched", arrays.f1(F.col("matched"), F.col("n_a"), F.col("n_b")).alias("f1"))
 
 
+@named("""
+WITH RECURSIVE files AS (
+  SELECT 'user/' || user_id || '/' || event_type AS path, list_sort(list(epoch_us(ts) / 1000000.0::DOUBLE)) AS onsets
+  FROM events WHERE ts IS NOT NULL AND (event_type <> 'view' OR user_id % 2 = 0) GROUP BY 1),
+made AS (SELECT DISTINCT 'user/' || user_id || '/' || event_type AS out_path, 'user/' || user_id || '/view' AS first, 'user/' || user_id || '/click' AS second
+  FROM events WHERE event_type IN ('error', 'signup', 'purchase')),
+p AS (SELECT out_path, coalesce(a.path, b.path) AS reference_path, coalesce(a.onsets, b.onsets) AS refs,
+    list_transform(f.onsets, lambda x, i: {'at': x, 'i': i}) AS cands
+  FROM made JOIN files f ON f.path = out_path LEFT JOIN files a ON a.path = first LEFT JOIN files b ON b.path = second),
+s AS (
+  SELECT out_path, cands AS rest, 1::BIGINT AS k, 0::BIGINT AS n FROM p
+  UNION ALL
+  SELECT out_path, CASE WHEN best.d <= 43200 THEN list_filter(rest, lambda c: c.i <> best.i) ELSE rest END, k + 1, n + coalesce(best.d <= 43200, false)::INT FROM (
+    SELECT s.*, list_sort(list_transform(rest, lambda c: {'d': abs(c.at - refs[k]), 'i': c.i}))[1] AS best FROM s JOIN p USING (out_path) WHERE k <= len(refs))),
+m AS (SELECT out_path, max(n) AS matched FROM s GROUP BY 1),
+f AS (SELECT out_path, reference_path, matched, len(cands) - matched AS extra, len(refs) - matched AS missing, matched / len(cands) AS pr, matched / len(refs) AS re FROM p JOIN m USING (out_path))
+SELECT out_path, reference_path, matched, extra, missing, CASE WHEN matched > 0 THEN 2.0::DOUBLE * pr * re / (pr + re) ELSE 0.0::DOUBLE END AS score,
+  (CASE WHEN matched > 0 THEN 2.0::DOUBLE * pr * re / (pr + re) ELSE 0.0::DOUBLE END) >= 0.4 AS passed FROM f
+""")
+def scored_manifest(spark: SparkSession, d: str) -> DataFrame:
+    events, at = table(spark, d, "events"), lambda kind: F.concat(F.lit("user/"), "user_id", F.lit("/"), kind)
+    there = events.where("ts is not null and (event_type <> 'view' or user_id % 2 = 0)")
+    onsets = there.groupBy(at(F.col("event_type")).alias("path")).agg(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("onsets"))
+    made = events.where("event_type in ('error', 'signup', 'purchase')").select(at(F.col("event_type")).alias("out_path"), "user_id").distinct()
+    found = manifest.scored_manifest(made, onsets, [at(F.lit("view")), at(F.lit("click"))], 43_200.0, 0.4)
+    return found.select("out_path", "reference_path", "matched", F.col("extra").cast("long"), F.col("missing").cast("long"), "score", "passed")
+
+
 @named("""
 WITH w AS (SELECT user_id, epoch_us(ts) AS s, value AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
 a AS (SELECT user_id, s FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, s) = 1),

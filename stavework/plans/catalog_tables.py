@@ -292,12 +292,14 @@ def tiers_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 @named("""
-SELECT p_partkey, CASE WHEN s <= 20 THEN 10 WHEN s <= 40 THEN 30 WHEN s <= 60 THEN 50 WHEN s <= 80 THEN 70 ELSE 90 END AS midpoint, CASE WHEN s <= 20 THEN 1 WHEN s <= 40 THEN 2 WHEN s <= 60 THEN 3 WHEN s <= 80 THEN 4 ELSE 5 END AS likert
+SELECT p_partkey, CASE WHEN s >= 80 THEN 90 WHEN s >= 60 THEN 70 WHEN s >= 40 THEN 50 WHEN s >= 20 THEN 30 ELSE 10 END AS midpoint, CASE WHEN s >= 80 THEN 5 WHEN s >= 60 THEN 4 WHEN s >= 40 THEN 3 WHEN s >= 20 THEN 2 ELSE 1 END AS likert,
+  CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN s >= 80 THEN 'Very realistic' WHEN s >= 60 THEN 'Realistic' WHEN s >= 40 THEN 'Mixed' WHEN s >= 20 THEN 'Synthetic' ELSE 'Very synthetic' END
+    ELSE CASE WHEN s >= 80 THEN 'Identical' WHEN s >= 60 THEN 'Same' WHEN s >= 40 THEN 'Mostly same' WHEN s >= 20 THEN 'Different' ELSE 'Very different' END END AS label
 FROM (SELECT p_partkey, least(greatest(round_even(p_size * 2.5, 0), 0), 100) AS s FROM part)
 """)
 def rating_scale(spark: SparkSession, d: str) -> DataFrame:
     score = F.col("p_size") * 2.5
-    return table(spark, d, "part").select("p_partkey", scale.midpoint(score).alias("midpoint"), scale.likert(score).alias("likert"))
+    return table(spark, d, "part").select("p_partkey", scale.midpoint(score).alias("midpoint"), scale.likert(score).alias("likert"), scale.label(score, F.when(F.col("p_partkey") % 2 == 0, "realism").otherwise("content")).alias("label"))
 
 
 @named("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'reused:' || o_orderstatus ELSE o_orderstatus END AS source, CASE WHEN o_custkey % 2 = 0 AND o_orderstatus <> 'P' THEN o_orderstatus END AS mode FROM orders")

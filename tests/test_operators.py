@@ -1,5 +1,8 @@
 """Rules on small tables: nulls, ties, fallbacks, empty tables."""
 
+import random
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ def values(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_bands_include_their_upper_edge(spark):
-    rows = spark.createDataFrame([(x,) for x in (-5.0, 20.0, 20.5, 21.0, 40.0, 80.0, 80.6, 120.0, None)], "s double")
-    assert [r[0] for r in rows.select(scale.band(F.col("s"))).collect()] == [0, 0, 0, 1, 1, 3, 4, 4, None]
+def test_bands_begin_at_their_edge(spark):
+    rows = spark.createDataFrame([(x,) for x in (-5.0, 0.0, 19.0, 19.5, 20.0, 39.4, 40.0, 79.0, 80.0, 100.0, 120.0, None)], "s double")
+    assert [r[0] for r in rows.select(scale.band(F.col("s"))).collect()] == [0, 0, 0, 1, 1, 1, 2, 3, 4, 4, 4, None]
+    named = rows.where("s in (40.0, 80.0)").select(scale.label(F.col("s"), "realism"), scale.label(F.col("s"), "content"), scale.label(F.col("s"), F.lit("other"))).collect()
+    assert sorted(map(tuple, named)) == [("Mixed", "Mostly same", "Mostly same"), ("Very realistic", "Identical", "Identical")]
     assert [r[0] for r in rows.select(scale.likert(F.col("s"))).collect()][-1] is None
 
 
@@ -56,16 +61,117 @@ def test_audit_ties_go_to_the_lower_level(spark):
 
 
 def test_cascades_reject_first_and_accept_into_gaps(spark):
-    cards = spark.createDataFrame([(f"c{i}", "k", "v" if i < 3 else "w") for i in range(6)], "card string, category string, variant string")
+    cards = spark.createDataFrame([(f"c{i}", "k", "v" if i < 3 else "w", i) for i in range(6)], "card string, category string, variant string, place int")
     cast = spark.createDataFrame(
         [("c0", "strong_accept", 1), ("c1", "weak_accept", 2), ("c1", "strong_reject", 3), ("c3", "strong_accept", 4), ("c4", "weak_reject", 5), ("c5", "odd", 6)],
         "card string, tier string, at int",
     )
-    got = {r.card: (r.tier, r.source) for r in votes.cascade(cards, votes.last_votes(cast)).collect()}
+    got = {r.card: (r.tier, r.source) for r in votes.cascade(cards, votes.last_votes(cast), "place").collect()}
     assert got["c0"] == got["c2"] == ("strong_reject", "c1") and got["c1"] == ("strong_reject", None)
     assert got["c4"] == ("weak_reject", None) and got["c5"] == ("strong_accept", "c3")
 
 
+def plain_cascade(cards, tiers, overwrite):
+    """Cards in their order, each spreading to its siblings: rejects, then accepts."""
+    now = {c: (t, None) for c, t in tiers.items()}
+    for tier in ("strong_reject", "strong_accept"):
+        for card, *group in cards:
+            if now.get(card, (None,))[0] != tier:
+                continue
+            for other, *its in cards:
+                if other == card or its != group or now.get(other, (None,))[0] == tier:
+                    continue
+                if other in now and (tier == "strong_accept" or not overwrite):
+                    continue
+                now[other] = (tier, card)
+    return {c: now.get(c, (None, None)) for c, *_ in cards}
+
+
+@pytest.mark.parametrize("overwrite", [True, False])
+def test_cascades_go_by_the_order_of_cards(spark, overwrite):
+    rng = random.Random(overwrite)
+    cards, tiers = [], {}
+    for g in range(60):
+        for card in rng.sample([f"{g}|{k}" for k in (2, 10, 3, 33, 1)], rng.randrange(1, 6)):
+            cards.append((card, f"c{g % 3}", f"v{g}"))
+            if rng.random() < 0.6:
+                tiers[card] = rng.choice(votes.TIERS)
+    table = spark.createDataFrame([(*c, k) for k, c in enumerate(cards)], "card string, category string, variant string, place int").repartition(3)
+    cast = spark.createDataFrame(list(tiers.items()), "card string, tier string")
+    got = {r.card: (r.tier, r.source) for r in votes.cascade(table, cast, "place", overwrite).collect()}
+    assert got == plain_cascade(cards, tiers, overwrite)
+    two_ten = spark.createDataFrame([("2", "c", "v", 0), ("10", "c", "v", 1), ("3", "c", "v", 2)], table.schema)
+    accepted = spark.createDataFrame([("2", "strong_accept"), ("10", "strong_accept")], "card string, tier string")
+    assert {r.card: r.source for r in votes.cascade(two_ten, accepted, "place").collect()} == {"2": None, "10": None, "3": "2"}
+
+
+RATED = "listener int, stem int, category string, variant string, place int, content decimal(18,2), realism decimal(18,2)"
+
+
+def test_differences_take_the_first_base_row(spark):
+    rows = [(1, 1, "k", "a", 2, 9, 1), (1, 1, "k", "a", 1, 4, 1), (1, 1, "k", "b", 3, 7, 1), (1, 2, "k", "b", 4, 7, 1), (1, 3, "k", "a", 5, None, 1), (1, 3, "k", "a", 6, 5, 1), (1, 3, "k", "b", 7, 7, 1), (1, 4, "k", "c", 8, None, 1), (None, 5, "k", "a", 9, 2, 1), (None, 5, "k", "b", 10, 3, 1)]
+    rated = spark.createDataFrame([(*r[:5], None if r[5] is None else Decimal(r[5]), Decimal(r[6])) for r in rows], RATED)
+    found = {r.place: r.difference for r in ratings.content_difference(rated, {"b": "a"}, "place").collect()}
+    assert found == {2: 0.0, 1: 0.0, 3: 3.0, 4: None, 5: None, 6: 0.0, 7: None, 8: None, 9: 0.0, 10: 1.0}
+
+
+def plain_winners(rows, base_of, hidden, prefix, labels):
+    first, found = {}, {}
+    for listener, stem, _, variant, _, content, _ in sorted(rows, key=lambda r: r[4]):
+        if variant not in base_of:
+            first.setdefault((listener, stem, variant), content)
+
+    def difference(listener, stem, variant, content):
+        if variant not in base_of:
+            return None if content is None else 0
+        base = first.get((listener, stem, base_of[variant]))
+        return None if base is None or content is None else content - base
+
+    def mean(values):
+        return sum(values) / len(values) if values else None
+
+    for category in sorted({r[2] for r in rows}):
+        own = [r for r in rows if r[2] == category]
+        means = {}
+        for variant in {r[3] for r in own} - {v for c, v in hidden if c == category}:
+            for k, value in enumerate((lambda r: r[6], lambda r: r[5], lambda r: difference(r[0], r[1], r[3], r[5]))):
+                rated = [(r[0], r[3], value(r)) for r in own if value(r) is not None]
+                mine = [(who, v) for who, what, v in rated if what == variant]
+                if len({who for who, _, _ in rated}) > 1:
+                    m = mean([mean([v for w, v in mine if w == who]) for who in sorted({w for w, _ in mine})])
+                else:
+                    m = mean([v for _, v in mine])
+                means.setdefault(variant, []).append(m)
+        order = sorted((v for v, m in means.items() if m[0] is not None), key=lambda v: (-means[v][0], -means[v][1] if means[v][1] is not None else 1e9, v))
+        if not order:
+            continue
+        best = means[order[0]][0]
+        won = [v for v in order if abs(means[v][0] - best) <= 1e-9]
+        rest = [v for v in order if v not in won]
+        copies = [v[len(prefix) :] for v in won if v.startswith(prefix)]
+        donor = best - means[copies[0]][0] if copies and copies[0] in order else None
+        two = lambda x: None if x is None else pytest.approx(x, abs=0.00501)
+        found[category] = (",".join(won), ",".join(labels.get(v, v) for v in won), two(means[won[0]][1]), two(means[won[0]][2]), two(best), two(best - means[rest[0]][0] if rest else None), two(donor))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_winners_of_categories_by_plain_python(spark, seed):
+    rng = random.Random(seed)
+    variants = ["a", "b", "x_a", "x_b", "c"]
+    rows = []
+    for k in range(260):
+        category = rng.choice("pqr")
+        listener = 1 if category == "r" else rng.randrange(3)
+        rows.append((listener, rng.randrange(6), category, rng.choice(variants), k, rng.choice([None, *range(0, 101, 10)]), rng.choice([50, 50, 60])))
+    rows += [(1, 9, "s", v, 900 + k, None, 50) for k, v in enumerate(("c", "x_a", "a"))]
+    rated = spark.createDataFrame([(*r[:5], None if r[5] is None else Decimal(r[5]), Decimal(r[6])) for r in rows], RATED).repartition(4)
+    hidden = [("p", "b")]
+    found = ratings.category_winners(rated, {"x_a": "a", "c": "b"}, "place", spark.createDataFrame(hidden, "category string, variant string"), "x_", {"c": "Cee"})
+    got = {r.category: (r.winner, r.winner_label, r.content, r.content_diff, r.realism, r.margin, r.donor_margin) for r in found.collect()}
+    assert got == plain_winners(rows, {"x_a": "a", "c": "b"}, hidden, "x_", {"c": "Cee"})
+
+
 def test_upsert_replaces_keys_and_keeps_siblings(spark):
     old = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "path string, track int, name string")
     new = spark.createDataFrame([("a", 1, "z"), ("b", 0, "w")], "path string, track int, name string")
