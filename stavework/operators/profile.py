@@ -33,47 +33,41 @@ def as_number(value: Column, cap: float | None = None) -> Column:
 RANGES = 64
 
 
-def _range_of(value: str, cuts: Sequence[float], first: int) -> str:
-    """How many cuts are below a value, counted from ``first``: a search by halves, as SQL."""
-    if not cuts:
-        return str(first)
-    k = len(cuts) // 2
-    return f"if(`{value}` > {cuts[k]!r}D, {_range_of(value, cuts[k + 1 :], first + k + 1)}, {_range_of(value, cuts[:k], first)})"
-
-
-def cumulative(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """``upto``: how many rows of a group have a value at or below each of ``counts``' rows.
-
-    counts: the groups, a numeric value, ``c`` (rows). Values are cut into ranges at
-    approximate quantiles (RANGES numbers, read by the driver), rows are summed within a
-    range of a group, and ranges' totals are added: no group is in one task, and the sums
-    are exact wherever the cuts lie.
+def cumulative(counts: DataFrame, groups: Sequence[str], value: str, rows: DataFrame | None = None) -> DataFrame:
+    """``upto``: how many rows of a group have a value at or below each of ``counts``' rows; ``n``: all of the group's.
+
+    counts: the groups, a numeric value, ``c`` (rows). Values are cut into RANGES ranges
+    at approximate quantiles, which are a scalar subquery over ``rows`` (counts itself, if
+    it isn't given) and so part of the plan. Rows are summed within a range of a group,
+    and ranges' totals are added: no group is in one task, and the sums are exact
+    wherever the cuts lie.
     """
     kept = counts.where(F.col(value).isNotNull())
     levels = [k / RANGES for k in range(1, RANGES)]
-    cuts = kept.agg(F.percentile_approx(F.col(value).cast("double"), levels, 1_000)).first()[0] or [0.0]
+    cuts = (kept if rows is None else rows).agg(F.percentile_approx(F.col(value).cast("double"), levels, 1_000)).scalar()
     keys = [*groups, "range"]
-    cut = kept.withColumn("range", F.expr(_range_of(value, sorted(set(cuts)), 0)))
+    # how many cuts are below a value, by a search in halves
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(RANGES.bit_length() - 1))))
+    low = lambda at, step: F.when(F.get("cuts", at + step - 1) < F.col(value), at + step).otherwise(at)
+    cut = kept.withColumn("cuts", cuts).withColumn("range", F.aggregate(steps, F.lit(0), low)).drop("cuts")
     totals = cut.groupBy(*keys).agg(F.sum("c").alias("t"))
-    before = Window.partitionBy(*groups).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # of a group's few ranges
-    offsets = totals.select(*(F.col(k).alias(f"of_{k}") for k in keys), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
+    whole = Window.partitionBy(*groups)  # a group's few ranges
+    before = F.sum("t").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*(F.col(k).alias(f"of_{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("offset"), F.sum("t").over(whole).alias("n"))
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
     own = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
     joined = cut.withColumn("upto", F.sum("c").over(own)).join(offsets, reduce(and_, same))
-    return joined.withColumn("upto", F.col("upto") + F.col("offset")).select(*counts.columns, "upto")
+    return joined.withColumn("upto", F.col("upto") + F.col("offset")).select(*counts.columns, "upto", "n")
 
 
 def quantiles(rows: DataFrame, groups: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
     """``q``: interpolated quantiles of each group, exact, without a group in one task."""
-    ranked = cumulative(rows.groupBy(*groups, value).agg(F.count("*").alias("c")), groups, value)
-    n = ranked.groupBy(*groups).agg(F.sum("c").alias("n"))
-    total = n.select(*(F.col(g).alias(f"of_{g}") for g in groups), "n")
-    joined = ranked.join(total, reduce(and_, (F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups))) if groups else ranked.join(F.broadcast(total))
+    ranked = cumulative(rows.groupBy(*groups, value).agg(F.count("*").alias("c")), groups, value, rows)
     # the least value that more rows than a place are at or below is the one at that place
     at = lambda x: (F.col("n") - 1) * F.lit(x)
     pick = lambda place: F.min(F.when(F.col("upto") > place, F.col(value).cast("double")))
     found = [c for k, x in enumerate(levels) for c in (pick(F.floor(at(x))).alias(f"low_{k}"), pick(F.ceil(at(x))).alias(f"high_{k}"))]
-    picked = joined.groupBy(*groups).agg(F.max("n").alias("n"), *found)
+    picked = ranked.groupBy(*groups).agg(F.max("n").alias("n"), *found)
     between = lambda k, x: F.col(f"low_{k}") + (F.col(f"high_{k}") - F.col(f"low_{k}")) * (at(x) - F.floor(at(x)))
     return picked.select(*groups, F.array(*(between(k, x) for k, x in enumerate(levels))).alias("q"))
 
@@ -81,10 +75,13 @@ def quantiles(rows: DataFrame, groups: Sequence[str], value: str, levels: Sequen
 def length_profile(df: DataFrame, value: Column, limits: Sequence[float], levels: Sequence[float] = LEVELS) -> DataFrame:
     """One row: count, interpolated quantiles, the share at or below and the count above each limit."""
     rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    out = rows.agg(
-        F.count("*").alias("n"),
-        *(F.avg((F.col("v") <= x).cast("double")).alias(f"share_{k}") for k, x in enumerate(limits)),
-        *(F.count_if(F.col("v") > x).alias(f"above_{k}") for k, x in enumerate(limits)),
+    counts = rows.groupBy("v").agg(F.count("*").alias("c"))  # the quantiles' too, and shuffled once
+    held = lambda test: F.coalesce(F.sum(F.when(test, F.col("c"))), F.lit(0))
+    n = F.coalesce(F.sum("c"), F.lit(0))
+    out = counts.agg(
+        n.alias("n"),
+        *((held(F.col("v") <= x).cast("double") / F.nullif(n, F.lit(0))).alias(f"share_{k}") for k, x in enumerate(limits)),
+        *(held(F.col("v") > x).alias(f"above_{k}") for k, x in enumerate(limits)),
     )
     names = [f"p{format(100 * x, 'g').replace('.', '_')}" for x in levels]
     joined = out.join(F.broadcast(quantiles(rows, [], "v", levels)))  # one row each
@@ -167,10 +164,9 @@ def fixed_histogram(df: DataFrame, value: Column, high: float, bins: int) -> Dat
 
 def ecdf(df: DataFrame, value: str, group: str) -> DataFrame:
     """Distinct values by group with the percentage of rows at or below."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    total = counts.groupBy(F.col(group).alias("of")).agg(F.sum("c").alias("total"))
-    ranked = cumulative(counts, [group], value).join(total, F.col(group).eqNullSafe(F.col("of")))
-    return ranked.select(group, value, (100.0 * F.col("upto") / F.col("total")).alias("pct"))
+    rows = df.where(F.col(value).isNotNull()).select(group, value)
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("c"))
+    return cumulative(counts, [group], value, rows).select(group, value, (100.0 * F.col("upto") / F.col("n")).alias("pct"))
 
 
 def top_keeping(df: DataFrame, key: str, top: int, always: object) -> DataFrame:

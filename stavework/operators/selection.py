@@ -2,34 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavework.operators.sampling import seeded_key
 
 
+#: Cells that a pick rules out, with room for starts that are rounded at a cell's edge.
+CELLS = 5
+
+
 def best_apart(windows: DataFrame, group: str, start: str, score: str, n: int, separation: float) -> DataFrame:
     """The n best windows of each group that begin at least ``separation`` apart.
 
     Greedy by score, then the earlier start; rows without a score or start don't count.
-    n rounds, each a map-side combined aggregate over the windows joined with the group's
-    picks so far (at most n), so no group is gathered anywhere. Returns the group,
-    ``index`` (0 first, by start) and the start.
+    Returns the group, ``index`` (0 first, by start) and the start.
+
+    Starts are cut into cells as wide as the separation. A pick rules out windows of its
+    own cell and its neighbours only, so while n picks are made, one of the CELLS * n best
+    cells of a group is still whole, and its best window is at least as good as the worst
+    of them: windows below that can't be picked. The input is read twice, however large n
+    is, for the cells' best (with map-side partials) and for the windows that are left;
+    these are sorted by score and passed once, with no more than the picks in memory.
     """
     if separation <= 0:
         raise ValueError("separation must be positive")
-    rows = windows.select(group, F.col(start).alias("_s"), F.col(score).alias("_v")).where(F.col("_s").isNotNull() & F.col("_v").isNotNull())
-    kind = dict(rows.dtypes)["_s"]
-    picks = rows.select(group).distinct().withColumn("_picks", F.expr(f"cast(array() as array<{kind}>)"))
-    for _ in range(n):
-        open_ = rows.join(picks.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-        far = ~F.exists("_picks", lambda p: F.abs(F.col("_s") - p) < separation)
-        best = F.max_by("_s", F.when(far, F.struct("_v", -F.col("_s"))))
-        found = open_.groupBy(group).agg(best.alias("_best"), F.first("_picks").alias("_picks"))
-        picks = found.select(group, F.when(F.col("_best").isNull(), F.col("_picks")).otherwise(F.array_append("_picks", F.col("_best"))).alias("_picks"))
-    return picks.select(group, F.posexplode(F.array_sort("_picks")).alias("index", start))
+    rows = windows.select(F.col(group).alias("g"), F.col(start).alias("s"), F.col(score).alias("v")).where("s is not null and v is not null")
+    rank = F.struct(F.col("v"), (-F.col("s")).alias("before")).alias("rank")
+    cells = rows.groupBy("g", F.floor(F.col("s") / separation)).agg(F.max(rank).alias("rank"))
+    best = cells.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("rank")))).where(F.col("k") <= CELLS * n)
+    least = best.groupBy(F.col("g").alias("of")).agg(F.min("rank").alias("least"))  # of all cells, if there are fewer
+    left = rows.withColumn("rank", rank).join(least, F.col("g").eqNullSafe(F.col("of"))).where(F.col("rank") >= F.col("least")).select("g", "s", "v")
+    kinds = dict(left.dtypes)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, picks = None, None
+
+        def done(types: list[pa.DataType]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([of] * len(picks), types[0]), pa.array(range(len(picks)), pa.int32()), pa.array(picks, types[1])], names=["g", "k", "s"])
+
+        for batch in batches:
+            types = [c.type for c in batch.columns]
+            for g, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if picks is None or g != of:
+                    if picks:
+                        yield done(types)
+                    of, picks = g, []
+                if len(picks) < n:
+                    at = bisect(picks, s)
+                    if (at == 0 or s - picks[at - 1] >= separation) and (at == len(picks) or picks[at] - s >= separation):
+                        picks.insert(at, s)
+        if picks:
+            yield done(types)
+
+    by_score = left.repartition("g").sortWithinPartitions("g", F.desc("v"), "s").select("g", "s")
+    found = by_score.mapInArrow(pick, f"g {kinds['g']}, k int, s {kinds['s']}")
+    return found.toDF(group, "index", start)
 
 
 def audible_windows(hops: DataFrame, group: str, clip: int, stride: int, least_rms: float, least_active: float, first: int = 0) -> DataFrame:

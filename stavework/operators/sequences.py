@@ -62,8 +62,7 @@ def contiguous_shards(df: DataFrame, group: str, shards: int, order: str) -> Dat
     Places come from counts by ranges of the key, so a group isn't sorted in one task.
     """
     counts = df.withColumn("c", F.lit(1).cast("long"))
-    n = df.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n"))
-    ranked = cumulative(counts, [group], order).join(n, F.col(group).eqNullSafe(F.col("of")))
+    ranked = cumulative(counts, [group], order, df)
     at, size, larger = F.col("upto") - 1, F.floor(F.col("n") / shards), F.col("n") % shards
     late = F.floor((at - larger * (size + 1)) / F.greatest(size, F.lit(1)))
     shard = F.when(at < larger * (size + 1), F.floor(at / (size + 1))).otherwise(larger + late)

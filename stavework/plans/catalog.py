@@ -671,8 +671,8 @@ WITH p AS (SELECT label, pos, sum(x::DECIMAL(18,6)) AS s FROM (SELECT label, unn
 SELECT label, max(abs(s))::DOUBLE AS peak, CASE WHEN max(abs(s)) > 1 THEN 1.0::DOUBLE / max(abs(s))::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM p GROUP BY label
 """)
 def mix_gain(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
-    return samples.mixture_gain(rows.select("label", "pos", F.col("x").cast("decimal(18,6)").alias("value")), "label")
+    stems = samples.blocks(table(spark, d, "embeddings"), "label", "embedding", block=24)
+    return samples.mixture_gain(stems, "label", "embedding")
 
 
 @named("""
@@ -786,7 +786,8 @@ def chunk_stitch(spark: SparkSession, d: str) -> DataFrame:
     cut = table(spark, d, "embeddings").select("vec_id", "embedding", spans.alias("chunk", "span")).select("vec_id", "chunk", "embedding", "span.*")
     louder = F.transform(F.slice("embedding", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), lambda v: v.cast("double") * (F.col("chunk") + 1))
     chunks = cut.select("vec_id", "chunk", (F.col("end") == F.size("embedding")).alias("last"), "start", "end", louder.alias("samples"))
-    return samples.stitch(chunks, "vec_id", 8)
+    stitched = samples.stitch(chunks, "vec_id", 8, block=20)
+    return stitched.select("vec_id", "block", F.posexplode("value").alias("at", "value")).select("vec_id", (F.col("block") * 20 + F.col("at")).alias("pos"), "value")
 
 
 @named("""
@@ -805,8 +806,10 @@ SELECT vec_id, pos, silent, CASE WHEN down IS NOT NULL THEN v * ((pos - down + 1
 def silence_enforcement(spark: SparkSession, d: str) -> DataFrame:
     quiet_end = F.concat(F.slice("embedding", 1, 20), F.array_repeat(F.lit(0.0).cast("float"), 44))
     waves = table(spark, d, "embeddings").select("vec_id", quiet_end.alias("dry"), F.col("embedding").alias("wet"))
-    masked = samples.hallucinated(samples.paired_samples(waves, "vec_id", "dry", "wet"), "vec_id", 16, 8, -20.0, 4)
-    return samples.enforce_silence(masked, "vec_id", 6).select("vec_id", "pos", "silent", "value")
+    cut = samples.blocks(waves, "vec_id", "dry", "wet", block=20)
+    silent = samples.hallucinated(cut, "vec_id", "dry", "wet", 16, 8, -20.0, 4, 20)
+    done = samples.enforce_silence(cut, silent, "vec_id", "wet", 6, 20).select("vec_id", "block", F.posexplode(F.arrays_zip("silent", "value")).alias("at", "s"))
+    return done.select("vec_id", (F.col("block") * 20 + F.col("at")).alias("pos"), "s.silent", "s.value")
 
 
 @named()

@@ -430,9 +430,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS k, count
 SELECT vec_id, max(n) AS samples, max(n) / 8 AS seconds, max(20 * log10(abs(v) + 1e-10)) FILTER ((k - 1) % greatest(n // 100, 1) = 0) AS max_db, false AS passes FROM r GROUP BY 1
 """)
 def silence_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
-    masked = rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("rendered"), (F.col("pos") % 3 == 0).alias("silent"))
-    return samples.silence_score(masked, "vec_id", 8)
+    waves = table(spark, d, "embeddings")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.size("embedding") - F.lit(1).cast("long"), F.lit(3).cast("long")))
+    silent = waves.select("vec_id", every.alias("start")).withColumn("end", F.col("start") + 1)
+    return samples.silence_score(samples.blocks(waves, "vec_id", "embedding", block=20), silent, "vec_id", "embedding", 8, 20)
 
 
 @named("""
@@ -441,10 +442,11 @@ g AS (SELECT label, CASE WHEN max(abs(s)) > 1 THEN 1.0::DOUBLE / max(abs(s))::DO
 SELECT label, vec_id, max(abs(v))::DOUBLE * max(gain) AS peak FROM x JOIN g USING (label) GROUP BY ALL
 """)
 def stems_with_mixture_gain(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("pos", "x"))
-    stems = rows.select("label", "vec_id", "pos", F.col("x").cast("decimal(18,6)").alias("value"))
-    louder = samples.with_gain(stems, samples.mixture_gain(stems, "label"), "label")
-    return louder.groupBy("label", "vec_id").agg(F.max(F.abs("value")).alias("peak"))
+    waves = table(spark, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda v: v.cast("decimal(18,6)")))
+    named = waves.select(F.struct("label", "vec_id").alias("stem"), "embedding")
+    stems = samples.blocks(named, "stem", "embedding", block=24).select("stem.label", "stem.vec_id", "block", "embedding")
+    louder = samples.with_gain(stems, samples.mixture_gain(stems, "label", "embedding"), "label", "embedding")
+    return louder.groupBy("label", "vec_id").agg(F.max(F.array_max(F.transform("embedding", F.abs))).alias("peak"))
 
 
 # ---- catalogs

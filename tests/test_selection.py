@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,32 @@ def test_fifty_thousand_onsets_take_seconds(spark, spread):
     assert {r.n for r in df.select(arrays.matched_onsets(F.col("a"), F.col("b"), 0.05).alias("n")).collect()} == {arrays.match_count(a[:5_000], b[:5_000], 0.05)}
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_windows_apart_are_the_greedy_ones(spark, seed):
+    rng = random.Random(seed)
+    n, apart = rng.choice([1, 2, 5, 12]), rng.choice([1.0, 3.5, 10.0])
+    kinds = {0: lambda s: rng.randrange(6), 1: lambda s: s, 2: lambda s: -s, 3: lambda s: rng.random()}  # ties, chains, none
+    rows = [(g, float(rng.randrange(120)) / rng.choice([1, 2]), float(kinds[g % 4](k))) for g in range(8) for k in range(rng.choice([3, 60, 400]))]
+    df = spark.createDataFrame(rows, "g int, s double, v double").repartition(5)
+    found = {}
+    for r in selection.best_apart(df, "g", "s", "v", n, apart).collect():
+        found.setdefault(r.g, {})[r["index"]] = r.s
+    for g in range(8):
+        picks = []
+        for _, s, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if len(picks) < n and all(abs(s - p) >= apart for p in picks):
+                picks.append(s)
+        assert found[g] == dict(enumerate(sorted(picks)))
+
+
+def test_a_hundred_thousand_windows_are_read_twice(spark):
+    df = spark.range(200_000).selectExpr("id % 3 as g", "id div 3 as s", "cast(id * 7919 % 100003 as double) as v")
+    found = selection.best_apart(df, "g", "s", "v", 20, 1_000)
+    assert found.groupBy("g").count().where("count = 20").count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Range (0") == 2
+
+
 def test_onsets_match_one_to_one(spark):
     cases = [([1.0, 1.04], [1.03], 1), ([1.0, 1.04], [1.02, 1.06], 2), ([], [1.0], 0), ([1.0], None, 0), ([1.0, 1.0], [1.0, 1.0], 2), ([0.0, 1.0], [0.2, 1.05], 1)]
     df = spark.createDataFrame(cases, "a array<double>, b array<double>, n int")
@@ -100,8 +127,9 @@ def test_onsets_match_one_to_one(spark):
     assert spark.range(1).select(arrays.active_onsets(onsets, mask, 10)).first()[0] == [-1.0, 0.05, 0.15, 9.0]
 
 
-@pytest.mark.parametrize(("chunk", "overlap", "margin", "fade"), [(8, 4, 2, 3), (10, 0, 0, 1), (7, 5, 40, 4), (100, 10, 3, 6), (5, 1, 1, 0)])
-def test_silence_masks_and_ramps(spark, chunk, overlap, margin, fade):
+@pytest.mark.parametrize("block", [1 << 13, 9])
+@pytest.mark.parametrize(("chunk", "overlap", "margin", "fade"), [(8, 4, 2, 3), (10, 0, 0, 1), (7, 5, 40, 4), (100, 10, 3, 6), (5, 1, 1, 0), (6, 0, 0, 12)])
+def test_silence_masks_and_ramps(spark, chunk, overlap, margin, fade, block):
     rng = np.random.default_rng(chunk)
     waves = []
     for g in range(12):
@@ -109,8 +137,10 @@ def test_silence_masks_and_ramps(spark, chunk, overlap, margin, fade):
         dry, wet = rng.random(n) * (rng.random(n) < 0.1), rng.random(n + 3) * (rng.random(n + 3) < 0.4)
         waves.append((g, dry.tolist(), wet.tolist()))
     df = spark.createDataFrame(waves, "g int, dry array<double>, wet array<double>")
-    masked = samples.hallucinated(samples.paired_samples(df, "g", "dry", "wet"), "g", chunk, overlap, -20.0, margin)
-    found = samples.enforce_silence(masked, "g", fade).orderBy("g", "pos").collect()
+    cut = samples.blocks(df, "g", "dry", "wet", block=block)
+    silent = samples.hallucinated(cut, "g", "dry", "wet", chunk, overlap, -20.0, margin, block)
+    done = samples.enforce_silence(cut, silent, "g", "wet", fade, block).orderBy("g", "block").collect()
+    scores = {r.g: r for r in samples.silence_score(cut, silent, "g", "wet", 10, block).collect()}
     for g, dry, wet in waves:
         n = len(dry)
         active = np.abs(dry) >= 0.1
@@ -131,15 +161,81 @@ def test_silence_masks_and_ramps(spark, chunk, overlap, margin, fade):
             for i in np.flatnonzero(edges):
                 for k in range(min(fade, n - i)):
                     value[i + k] = wet[i + k] * ramp((k + 1) / fade)
-        own = [r for r in found if r.g == g]
-        assert [r.silent for r in own] == mask.tolist()
-        assert [r.value for r in own] == pytest.approx(value.tolist())
+        own = [r for r in done if r.g == g]
+        assert [x for r in own for x in r.silent] == mask.tolist()
+        assert [x for r in own for x in r.value] == pytest.approx(value.tolist())
+        hit = np.flatnonzero(mask)
+        loudest = max((20 * np.log10(abs(wet[i]) + 1e-10) for i in hit[:: max(1, len(hit) // 100)]), default=-np.inf)
+        assert (scores[g].samples, scores[g].seconds, scores[g].max_db, scores[g].passes) == (len(hit), len(hit) / 10, pytest.approx(loudest), not len(hit))
+
+
+def test_half_an_hour_is_some_thousand_intervals(spark):
+    rng = np.random.default_rng(8)
+    n = 4_000_000
+    dry, wet = np.zeros(n, dtype=np.float32), (rng.random(n) * 0.5).astype(np.float32)
+    for at in rng.integers(0, n, 300):
+        dry[at : at + 2_000] = 0.5
+    waves = spark.createDataFrame(pa.table({"g": [1], "dry": [dry], "wet": [wet]}))
+    cut = samples.blocks(waves, "g", "dry", "wet")
+    silent = samples.hallucinated(cut, "g", "dry", "wet", 4_410, 2_205, -40.0, 2_205).toPandas()
+    assert 100 < len(silent) < 2_000
+    active = np.flatnonzero(dry >= 0.01)
+    near = np.zeros(n + 1)
+    np.add.at(near, np.maximum(active - 2_205, 0), 1)
+    np.add.at(near, np.minimum(active + 2_206, n), -1)
+    mask = np.zeros(n, dtype=bool)
+    for a, b in zip(silent.start, silent.end, strict=True):
+        mask[a:b] = True
+    assert (mask == (np.cumsum(near)[:-1] == 0)).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stitched_blocks_are_the_plain_sum(spark, seed):
+    rng = np.random.default_rng(seed)
+    chunks, want = [], {}
+    for g in range(5):
+        total, size, overlap = int(rng.integers(1, 90)), int(rng.integers(6, 30)), 5
+        spans = [(0, min(size, total))]
+        while spans[-1][1] < total:
+            start = spans[-1][0] + size - overlap
+            spans.append((start, min(start + size, total)))
+        sums, weights = np.zeros(total), np.zeros(total)
+        for k, (a, b) in enumerate(spans):
+            x = rng.random(b - a - int(rng.integers(0, 2)))
+            chunks.append((g, k, k == len(spans) - 1, a, b, x.tolist()))
+            length = b - a
+            fade = min(overlap, length)
+            weight = np.ones(length)
+            if k:
+                weight[:fade] = np.minimum(weight[:fade], np.linspace(0, 1, fade) if fade > 1 else 0)
+            if k < len(spans) - 1:
+                weight[-fade:] = np.minimum(weight[-fade:], np.linspace(1, 0, fade) if fade > 1 else 1)
+            sums[a:b] += np.r_[x, np.zeros(length - len(x))] * weight
+            weights[a:b] += weight
+        want[g] = sums / np.maximum(weights, 1e-8)
+    df = spark.createDataFrame(chunks, "g int, chunk int, last boolean, start int, end int, samples array<double>").repartition(3)
+    for block in (1 << 13, 7):
+        for g in range(5):
+            got = [x for r in samples.stitch(df.where(F.col("g") == g), "g", 5, block).orderBy("block").collect() for x in r.value]
+            assert got == pytest.approx(want[g].tolist())
+
+
+def test_sums_of_stems_of_any_length(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), [rng.randrange(-900, 900) / 1000 for _ in range(rng.randrange(1, 40))]) for _ in range(60)]
+    stems = samples.blocks(spark.createDataFrame(rows, "g string, x array<double>").repartition(4), "g", "x", block=8)
+    for g, peak, gain in samples.mixture_gain(stems, "g", "x").collect():
+        sums = [sum(round(x[i] * 1000) for h, x in rows if h == g and i < len(x)) for i in range(40)]
+        top = max(map(abs, sums)) / 1000
+        assert peak == top and gain == pytest.approx(min(1.0, 1.0 / top))
+    louder = samples.with_gain(stems, samples.mixture_gain(stems, "g", "x"), "g", "x")
+    assert louder.count() == stems.count() and samples.mixture_gain(louder, "g", "x").where("peak > 1.0001").count() == 0
 
 
 def test_chunks_of_one_and_of_none(spark):
     rows = [(1, 0, True, 0, 4, [1.0, 2.0]), (2, 0, True, 0, 0, [1.0]), (3, 0, False, 0, 3, [1.0] * 3), (3, 1, True, 2, 4, [3.0] * 2)]
-    found = samples.stitch(spark.createDataFrame(rows, "g int, chunk int, last boolean, start int, end int, samples array<double>"), "g", 1).orderBy("g", "pos").collect()
-    assert [(r.g, r.pos, r.value) for r in found] == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 0.0), (1, 3, 0.0), (3, 0, 1.0), (3, 1, 1.0), (3, 2, 1.0), (3, 3, 3.0)]
+    found = samples.stitch(spark.createDataFrame(rows, "g int, chunk int, last boolean, start int, end int, samples array<double>"), "g", 1).orderBy("g").collect()
+    assert [(r.g, r.block, r.value) for r in found] == [(1, 0, [1.0, 2.0, 0.0, 0.0]), (3, 0, [1.0, 1.0, 1.0, 3.0])]
 
 
 def test_verification_rules(spark):
