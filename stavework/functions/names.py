@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
-from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,20 +22,22 @@ def stripped(name: Column) -> Column:
     return F.regexp_replace(name, _ENDS, "")
 
 
-@cache
-def _folding() -> tuple[str, str]:
-    """Characters that decompose to one other one, and what that is, by the rule of Unicode."""
-    found = {}
-    for c in map(chr, range(0x10000)):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c:
-            found[c] = plain
-    return "".join(found), "".join(found.values())
+def fold(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
 def folded(name: Column) -> Column:
-    """Lower case without accents. Characters that decompose to several (ligatures, fractions) stay."""
-    return F.lower(F.translate(F.regexp_replace(name, r"\p{M}", ""), *_folding()))
+    """Lower case without accents: compatibility decomposition, ligatures and fractions too, without combining marks.
+
+    An Arrow function, since columns have no decomposition; each distinct name of a batch once.
+    """
+
+    @F.arrow_udf("string")
+    def by_batch(names: pa.Array) -> pa.Array:
+        coded = names.dictionary_encode()
+        return pa.array([fold(n) for n in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+    return by_batch(name)
 
 
 def sanitized(name: Column) -> Column:

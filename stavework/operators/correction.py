@@ -1,13 +1,16 @@
 """Programs corrected by track names: three tiers of needles, and what was corrected.
 
 All of a track's decision is one struct column, so a table is corrected in a projection:
-no join and no shuffle. The needle tables are literals; their size is checked.
+no join and no shuffle. Needles are looked up in an index by an Arrow function, and
+everything else is columns.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,6 @@ KEEP, CORRECTED = "keep", "corrected"
 DRUM, UNNAMED, GENERIC, AMBIGUOUS, NO_MATCH = "skipped_drum", "skipped_unnamed", "skipped_generic", "skipped_ambiguous", "skipped_no_match"
 #: Words of program names that name no instrument.
 STOPWORDS = frozenset("a an the and or of 1 2 3 4 5 6 7 8 new age music lead pad synth fx square warm".split())
-#: Needles of one tier, at most.
-MOST_NEEDLES = 2_000
 
 
 def name_words(label: str) -> list[str]:
@@ -39,30 +40,61 @@ def program_needles(labels: Sequence[str] = PROGRAM_NAMES) -> list[tuple[str, in
     return [(needle, min(programs)) for needle, programs in of.items() if len(programs) == 1]
 
 
-def longest_needles(name: Column, needles: Sequence[tuple[str, int]]) -> Column:
-    """struct(needle, program, ambiguous) of a name's longest needles; null if it has none.
+class NeedleIndex:
+    """Needles by the characters that they begin with, or as whole words if they are short."""
+
+    def __init__(self, needles: Sequence[tuple[str, int]]):
+        self.by_gram: dict[str, list[tuple[str, int]]] = {}
+        self.by_word: dict[str, list[tuple[str, int]]] = {}
+        self.odd: list[tuple[re.Pattern, tuple[str, int]]] = []
+        for row in sorted(set(needles)):
+            needle = row[0]
+            if len(needle) >= SHORT_NEEDLE:
+                self.by_gram.setdefault(needle[:SHORT_NEEDLE], []).append(row)
+            elif needle.isascii() and needle.isalnum():
+                self.by_word.setdefault(needle, []).append(row)
+            elif needle:
+                self.odd.append((re.compile(f"(?:^|[^a-z0-9]){re.escape(needle)}(?:[^a-z0-9]|$)"), row))
+
+    def longest(self, name: str) -> dict | None:
+        """The first, by name and program, of a name's longest needles, and whether they disagree on the program."""
+        hits = [row for i in range(len(name) - SHORT_NEEDLE + 1) for row in self.by_gram.get(name[i : i + SHORT_NEEDLE], ()) if name.startswith(row[0], i)]
+        if not hits and self.by_word:
+            hits = [row for word in _WORD.findall(name) for row in self.by_word.get(word, ())]
+        if not hits or max(len(n) for n, _ in hits) < SHORT_NEEDLE:
+            hits += [row for pattern, row in self.odd if pattern.search(name)]
+        if not hits:
+            return None
+        size = max(len(n) for n, _ in hits)
+        top = sorted({row for row in hits if len(row[0]) == size})
+        return {"needle": top[0][0], "program": top[0][1], "ambiguous": len({p for _, p in top}) > 1}
+
+
+_WORD = re.compile("[a-z0-9]+")
+_HIT = pa.struct([("needle", pa.string()), ("program", pa.int32()), ("ambiguous", pa.bool_())])
+
+
+def longest_needles(name: Column, **tiers: Sequence[tuple[str, int]]) -> Column:
+    """A struct of struct(needle, program, ambiguous) for each tier: a name's longest needles there; null if it has none.
 
     Of needles of one length the first by name and program is given; it is ambiguous if
-    they disagree on the program. Short needles only match whole words.
+    they disagree on the program. Short needles only match whole words. A name costs a
+    look-up for each of its characters, however many needles there are, and a name that
+    stands in a batch many times is looked up once.
     """
-    rows = sorted(set(needles), key=lambda n: (-len(n[0]), n))
-    if not 0 < len(rows) <= MOST_NEEDLES:
-        raise ValueError(f"1 to {MOST_NEEDLES} needles")
-    kind = lambda n: 0 if len(n) >= SHORT_NEEDLE else 1 if n.isascii() and n.isalnum() else 2
-    every = F.expr("array(" + ", ".join(f"named_struct('needle', {quoted(n)}, 'program', {p}, 'kind', {kind(n)})" for n, p in rows) + ")")
-    words = F.concat(F.lit(" "), F.regexp_replace(name, "[^a-z0-9]", " "), F.lit(" "))
-
-    def is_in(n: Column) -> Column:
-        whole = F.contains(words, F.concat(F.lit(" "), n.needle, F.lit(" ")))
-        return F.when(n.kind == 0, F.contains(name, n.needle)).when(n.kind == 1, whole).otherwise(needle_in(name, n.needle))
+    if not all(tiers.values()):
+        raise ValueError("a tier needs needles")
+    indexes = {tier: NeedleIndex(needles) for tier, needles in tiers.items()}
+    kind = "struct<needle: string, program: int, ambiguous: boolean>"
 
-    def longest(hits: Column) -> Column:
-        top = F.get(hits, 0)
-        programs = F.transform(F.filter(hits, lambda n: F.length(n.needle) == F.length(top.needle)), lambda n: n.program)
-        found = F.struct(top.needle.alias("needle"), top.program.alias("program"), (F.size(F.array_distinct(programs)) > 1).alias("ambiguous"))
-        return F.when(F.size(hits) > 0, found)
+    @F.arrow_udf("struct<" + ", ".join(f"{tier}: {kind}" for tier in tiers) + ">")
+    def find(names: pa.Array) -> pa.Array:
+        coded = names.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        columns = [pa.array([index.longest(n) for n in distinct], _HIT).take(coded.indices) for index in indexes.values()]
+        return pa.StructArray.from_arrays(columns, names=list(indexes))
 
-    return F.get(F.transform(F.array(F.filter(every, is_in)), longest), 0)
+    return find(name)
 
 
 def agrees(name: Column, program: Column) -> Column:
@@ -107,15 +139,9 @@ def corrected(
             .otherwise(outcome(program, NO_MATCH))
         )
 
-    def tiers(n: Column) -> Column:
-        return F.struct(
-            n.alias("plain"),
-            longest_needles(n, aliases).alias("by_alias"),
-            longest_needles(n, [(needle, p) for needle, p, _ in families]).alias("by_family"),
-            longest_needles(n, program_needles()).alias("by_label"),
-        )
-
-    return F.get(F.transform(F.transform(F.array(plain), tiers), decide), 0)
+    found = longest_needles(plain, by_alias=aliases, by_family=[(needle, p) for needle, p, _ in families], by_label=program_needles())
+    rows = F.array(F.struct(plain.alias("plain"), *(found[t].alias(t) for t in ("by_alias", "by_family", "by_label"))))
+    return F.get(F.transform(rows, decide), 0)
 
 
 def is_eligible(drum: Column, status: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavework.functions.names import needle_in
+from stavework.functions.names import SHORT_NEEDLE, needle_in
 
 
 @dataclass(frozen=True)
@@ -42,15 +42,29 @@ def route(rules: Sequence[Rule], name: Column, program: Column, drum: Column, de
     return out
 
 
+def grams(name: Column) -> Column:
+    """What needles of a lower-case name can begin with: every SHORT_NEEDLE characters, and fewer where a word begins."""
+    size = F.length(name)
+    every = F.transform(F.sequence(F.lit(1), size - SHORT_NEEDLE + 1), lambda i: F.substring(name, i, F.lit(SHORT_NEEDLE)))
+    long = F.when(size >= SHORT_NEEDLE, every).otherwise(F.expr("cast(array() as array<string>)"))
+    begins = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i == 1) | ~F.rlike(F.substring(name, i - 1, F.lit(1)), F.lit("[a-z0-9]")))
+    lengths = F.array(*map(F.lit, range(1, SHORT_NEEDLE)))
+    short = F.flatten(F.transform(begins, lambda i: F.transform(lengths, lambda n: F.substring(name, i, n))))
+    return F.array_distinct(F.concat(long, short))
+
+
 def longest_needle(names: DataFrame, needles: DataFrame, name: str) -> DataFrame:
     """The program of each distinct name's longest needles, if they agree on one.
 
-    needles: ``needle``, ``program``; a table of bounded size, broadcast. Every distinct
-    name is compared with every needle once. Returns ``name``, ``program`` and ``status``
-    (``matched``, ``ambiguous``, ``none``).
+    needles: ``needle``, ``program``, in any number; an empty needle is in no name. Names
+    meet the needles that begin with one of their grams by an equi-join, and only those
+    are compared. Returns ``name``, ``program`` and ``status`` (``matched``,
+    ``ambiguous``, ``none``).
     """
     distinct = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
-    hits = distinct.join(F.broadcast(needles), needle_in(F.lower("name"), F.col("needle")))
+    asked = distinct.select("name", F.explode(grams(F.lower("name"))).alias("gram"))
+    index = needles.select("needle", "program", F.substring("needle", 1, SHORT_NEEDLE).alias("gram")).where("needle <> ''")
+    hits = asked.join(index, "gram").where(needle_in(F.lower("name"), F.col("needle")))
     longest = hits.groupBy("name", F.length("needle").alias("size")).agg(F.countDistinct("program").alias("programs"), F.min("program").alias("program"))
     best = longest.groupBy("name").agg(F.max(F.struct("size", "programs", "program")).alias("best"))
     one = F.col("best.programs") == 1

@@ -1,5 +1,7 @@
 """The cases of the correction, routing and rating families, one by one."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,7 +81,9 @@ def test_a_category_without_recipe_is_an_error(spark):
 def test_names_of_all_scripts(spark):
     rows = spark.createDataFrame([(" Ténor\t\n",), ("ÅNGSTRÖM",), ("é",), ("ﬁ",), (None,), ("Absolute",), ("a LUTE.",)], "n string")
     got = rows.select(folded("n"), normalized(F.col("n")), is_plucked(F.col("n"))).collect()
-    assert [r[0] for r in got][1:5] == ["angstrom", "e", "ﬁ", None]
+    assert [r[0] for r in got][1:5] == ["angstrom", "e", "fi", None]
+    odd = spark.createDataFrame([(n,) for n in ("½ ﬂöte", "한", "हिन्दी", "𝐂𝐞𝐥𝐥𝐨", "Ⅳ", "İ", "ſ", "")], "n string")
+    assert [r[0] for r in odd.select(folded("n")).collect()] == ["1⁄2 flote", unicodedata.normalize("NFKD", "한"), "".join(c for c in "हिन्दी" if not unicodedata.combining(c)), "cello", "iv", "i", "s", ""]
     assert got[0][1] == "ténor" and got[4][1] == "(unnamed)" and [r[2] for r in got][5:] == [False, True]
     assert [r[0] for r in rows.select(is_generic(F.col("n"), ["absolute"])).collect()] == [False, False, False, False, True, True, False]
     ids = spark.createDataFrame([(0.5,), (1.0,), (0.25,), (10.0,)], "x double").select(level_id(F.col("x"), "noise").alias("id"))

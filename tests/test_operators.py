@@ -1,13 +1,15 @@
 """Rules on small tables: nulls, ties, fallbacks, empty tables."""
 
 import random
+import re
+import time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from stavework.functions import arrays, names, scale
-from stavework.operators import profile, ratings, rules, tables, votes
+from stavework.operators import correction, profile, ratings, rules, tables, votes
 from stavework.sources import tables as sources
 from stavework.streaming import shard_merge
 
@@ -44,6 +46,41 @@ def test_longest_needle_wins_and_programs_decide_ambiguity(spark):
     assert got == {"Double Bass": (43, "matched"), "bassoon": (None, "none"), "Horn x": (60, "matched"), "trump frump": (None, "ambiguous"), "zz": (None, "none")}
 
 
+def plain_needle_in(name, needle):
+    if len(needle) < 5:
+        return re.search(f"(^|[^a-z0-9]){re.escape(needle)}([^a-z0-9]|$)", name) is not None
+    return needle in name
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_needles_by_their_grams_are_those_of_every_comparison(spark, seed):
+    rng = random.Random(seed)
+    text = lambda low, high: "".join(rng.choices("abc1- é.", k=rng.randrange(low, high)))
+    names = sorted({text(0, 25) for _ in range(150)})
+    needles = sorted({(text(1, rng.choice([3, 5, 9])), rng.randrange(4)) for _ in range(80)})
+    found = {r.name: (r.program, r.status) for r in rules.longest_needle(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(needles, "needle string, program int"), "name").collect()}
+    index = correction.NeedleIndex(needles)
+    for name in names:
+        hits = [n for n in needles if plain_needle_in(name, n[0])]
+        best = sorted(n for n in hits if len(n[0]) == max(len(x) for x, _ in hits))
+        programs = {p for _, p in best}
+        assert found[name] == (min(programs) if len(programs) == 1 else None, "none" if not hits else "matched" if len(programs) == 1 else "ambiguous")
+        assert index.longest(name) == ({"needle": best[0][0], "program": best[0][1], "ambiguous": len(programs) > 1} if hits else None)
+
+
+def test_two_hundred_thousand_needles_cost_no_more_a_name():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(5, 14))) for _ in range(200_000)]
+    few, many = (correction.NeedleIndex([(w, k % 128) for k, w in enumerate(words[:n])]) for n in (2_000, 200_000))
+    names = [" ".join(rng.sample(words, 2)) for _ in range(4_000)]
+    seconds = []
+    for index in (few, many):
+        began = time.perf_counter()
+        hits = [index.longest(n) for n in names]
+        seconds.append(time.perf_counter() - began)
+    assert all(hits) and seconds[1] < 12 * seconds[0] + 0.5
+
+
 def test_fallbacks_differ(spark):
     rows = [("a", "v1", 0.1, 5.0, 2.0, 5.0), ("a", "v2", 0.2, 2.0, 9.0, 2.0), ("b", "v1", 0.1, 1.0, 3.0, 1.0), ("b", "v2", 0.2, 1.0, 3.0, 1.0)]
     stats = spark.createDataFrame(rows, STATS)
