@@ -5,7 +5,7 @@ votes: ``card``, ``category``, ``variant``, ``tier``, ``at`` (arrival order).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from stavework.operators.tables import keyed_union, last_of_each, one_of_each
@@ -78,18 +78,20 @@ def tier_pools(votes: DataFrame, weak_cap: int = 3, most: int | None = None, str
     return kept if most is None else kept.where(F.col("rank") <= most)
 
 
-def sanitised(votes: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sanitised(votes: DataFrame, variants: DataFrame, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Votes without those cascaded from another variant and those for unknown variants; and a row of how many went.
 
     votes: ``variant``, ``cascaded_from`` (a card id that begins with its variant);
-    variants: ``variant``. The second table has ``crossed`` and ``unknown``.
+    variants: ``variant``. The second table has ``crossed`` and ``unknown``. With ``seen``,
+    the first table's own pass counts them too (and ``votes``), so that the second isn't
+    needed.
     """
     crossed = F.coalesce(F.substring_index("cascaded_from", "|", 1) != F.col("variant"), F.lit(False)) & (F.coalesce("cascaded_from", F.lit("")) != "")
     known = variants.select("variant").distinct().withColumn("listed", F.lit(True))
     marked = votes.withColumn("crossed", crossed).join(known, "variant", "left")
-    kept = marked.where("not crossed and listed").select(votes.columns)
-    gone = marked.agg(F.count_if("crossed").alias("crossed"), F.count_if(~F.col("crossed") & F.col("listed").isNull()).alias("unknown"))
-    return kept, gone
+    counts = F.count_if("crossed").alias("crossed"), F.count_if(~F.col("crossed") & F.col("listed").isNull()).alias("unknown")
+    passed = marked if seen is None else marked.observe(seen, F.count("*").alias("votes"), *counts)
+    return passed.where("not crossed and listed").select(votes.columns), marked.agg(*counts)
 
 
 def tiers_seen(votes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stavework.functions import arrays, names, recipe, scale
 from stavework.operators import manifest, profile, ratings, rules, samples, sampling, selection, sequences, tables, verification, votes
 from stavework.plans.registry import named
-from stavework.sources.tables import table
+from stavework.sources.tables import fields, table
 
 # ---- profiles
 
@@ -181,6 +181,22 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", parsed["k"].alias("k"))
 
 
+@named("""
+WITH t AS (SELECT conv_id, turn, role, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
+p AS (SELECT conv_id, '$.id' AS path, conv_id::VARCHAR AS value FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL SELECT conv_id, '$.turns[' || i || '].turn', turn::VARCHAR FROM t
+  UNION ALL SELECT conv_id, '$.turns[' || i || '].said.role', role FROM t
+  UNION ALL SELECT conv_id, '$.turns[' || i || '].said.size.chars', chars::VARCHAR FROM t)
+SELECT conv_id, path, value FROM p WHERE value IS NOT NULL
+""")
+def nested_documents(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.struct("turn", "role", "text", F.struct("role", F.struct(F.length("text").alias("chars")).alias("size")).alias("said"))
+    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t.turn.alias("turn"), t.said.alias("said")))
+    whole = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    read = whole.select("conv_id", F.try_parse_json(F.to_json(F.struct(F.col("conv_id").alias("id"), "turns"))).alias("document"))
+    return fields(read, "document", 5).select("conv_id", "path", F.try_variant_get("value", "$", "string").alias("value"))
+
+
 # ---- ratings
 
 
