@@ -124,10 +124,19 @@ def after_marker(path: Column, folder: str) -> Column:
     return F.nullif(F.regexp_extract(F.concat(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/"))), rf"^.*?/\Q{folder}\E/(.*)$", 1), F.lit(""))
 
 
+def midi_rest(path: Column) -> Column:
+    """A MIDI file's path below ``mid``, or without dots and slashes in front."""
+    return F.coalesce(after_marker(path, "mid"), _slashed(path))
+
+
 def midi_id(path: Column) -> Column:
     """The song id of a MIDI file's path: what is below ``mid``, without the suffix."""
-    rest = F.coalesce(after_marker(path, "mid"), _slashed(path))
-    return F.regexp_replace(rest, r"\.mid$", "")
+    return F.regexp_replace(midi_rest(path), r"\.mid$", "")
+
+
+def midi_path(rest: Column, root: str) -> Column:
+    """Where a MIDI file is below a root; a slash in front is the root's."""
+    return F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(rest, "^/", ""))
 
 
 def record_id(path: Column) -> Column:
@@ -135,6 +144,30 @@ def record_id(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_slashed(path), "^data/", ""), r"\.json$", "")
 
 
+def song_id(path: Column) -> Column:
+    """The song id of a record's or MIDI file's path: without a leading ``data`` folder and the last suffix of its name."""
+    return F.regexp_replace(F.regexp_replace(_slashed(path), "^data/", ""), r"(?<=[^/])\.[^./]+$", "")
+
+
+def id_below_data(path: Column) -> Column:
+    """What is below the first folder named ``data``; a path without one is an error, a null path null."""
+    below = F.regexp_extract(path, "(?:^|/)data(?:/+|$)(.*)$", 1)
+    say = F.raise_error(F.concat(F.lit("no data folder in "), path)).cast("string")
+    return F.when(path.rlike("(^|/)data(/|$)"), F.regexp_replace(F.regexp_replace(below, "/+", "/"), "/$", "")).when(path.isNotNull(), say)
+
+
+def output_folder(path: Column, original: str, output: str, tree: str = "data") -> Column:
+    """The folder of a song's files: its record's path below the original data set, moved to ``output``, without its suffix.
+
+    With another ``tree`` the first ``data`` folder in it is called that.
+    """
+    rest = F.substring(path, len(original) + 1, 1 << 30)
+    bare = F.when(F.contains(rest, F.lit(".")), F.regexp_replace(rest, r"(?s)\.[^.]*$", "")).otherwise("")
+    at = F.instr(bare, "/data/")
+    moved = F.concat(F.substring(bare, F.lit(1), at), F.lit(f"{tree}/"), F.substring(bare, at + len("/data/"), F.lit(1 << 30)))
+    return F.concat(F.lit(output), F.when((at > 0) & F.lit(tree != "data"), moved).otherwise(bare))
+
+
 def record_path(midi_path: Column) -> Column:
     """The record that belongs to a MIDI file."""
     return F.concat(F.lit("./data/"), midi_id(midi_path), F.lit(".json"))

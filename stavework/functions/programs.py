@@ -61,6 +61,32 @@ def instrument(program: Column, drum: Column, name: Column) -> Column:
     return F.when(drum, "drums").when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.concat(F.lit("midi program "), program.cast("string")))
 
 
+#: How a caption begins, by its form.
+CURRENT = "TrackType: Instrument. Preserve the exact melody and rhythm. Same performance and timing. Realistic recorded sound, expressive performance."
+PRESERVATION = "Preserve the exact melody, rhythm, and timing. Same notes and phrasing."
+ADHERENCE = (
+    "Adhere to the original content. Same melody, rhythm, timing, and phrasing. "
+    "Make it sound more realistic, as if it were being performed and recorded."
+)
+#: Fixed value: what a caption of the adherence form asks to be left out.
+ADHERENCE_WITHOUT = "added notes, changed melody, improvisation, new rhythmic content, hallucinated performance"
+FORMS = ("current", "minimal", "preservation", "adherence")
+
+
+def caption_in_form(form: str, fields: dict[str, Column], program: Column, drum: Column, name: Column, order: Column, hint: bool = True) -> Column:
+    """A track's caption in one of FORMS; only ``current`` has the fields. hint: whether the instrument is named at the end."""
+    if form not in FORMS:
+        raise ValueError(f"unknown form {form}, expected one of {', '.join(FORMS)}")
+    own = instrument(program, drum, name)
+    if form == "minimal":
+        return F.concat(F.lit("solo "), own, F.lit(", realistic studio recording, expressive performance"))
+    if form == "current":
+        whole = caption(CURRENT, fields, program, drum, name, order)
+        return whole if hint else F.substring_index(whole, ". format: solo | instruments: ", 1)
+    begin = F.lit(ADHERENCE) if form == "adherence" else F.concat(F.lit(f"{PRESERVATION} Realistic recorded "), own, F.lit("."))
+    return F.concat(begin, F.lit(". format: solo | instruments: "), own) if hint else begin
+
+
 def caption(anchor: str, fields: dict[str, Column], program: Column, drum: Column, name: Column, order: Column) -> Column:
     """An anchor, the fields that aren't null as ``key: value`` in a hashed order, and the instrument.
 

@@ -87,7 +87,7 @@ def replaced_picks(stems: DataFrame, candidates: DataFrame, seed: int) -> DataFr
     needy = judged.where("action = 'replace'").select("position", "category", F.row_number().over(Window.partitionBy("category").orderBy("position")).alias("rank"))
     most = needy.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
     order = Window.partitionBy("category").orderBy(sampling.seeded_key(seed, "song_id", "track"), "song_id", "track")
-    free = candidates.select("category", "song_id", "track").distinct().join(F.broadcast(stems.select("song_id", "track").distinct()), ["song_id", "track"], "left_anti")
+    free = candidates.select("category", "song_id", "track").distinct().join(stems.select("song_id", "track").distinct(), ["song_id", "track"], "left_anti")
     ranked = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)  # a limit that is pushed below the sort
     joined = needy.join(ranked, ["category", "rank"], "left")
     say = F.raise_error(F.concat(F.lit("no replacement left for "), "category"))

@@ -164,12 +164,23 @@ def plan(tracks: DataFrame, recipe: DataFrame) -> DataFrame:
     return planned.withColumn("backend", backend).drop("has_recipe", "piano_pass")
 
 
-def passes(recipe: DataFrame) -> DataFrame:
-    """(``pass``, ``categories``) of a recipe: those rendered plainly, neurally, and made realistic."""
+def passes(recipe: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ``pass``, ``categories``) of recipes: those rendered plainly, neurally, and made realistic."""
     marks = F.array_compact(F.array(
         F.when(F.col("method").isin("basic", "slakh"), "fluidsynth"), F.when(F.col("method") == "midi-ddsp", "ddsp"), F.when(F.coalesce("realify", F.lit(False)), "realify")
     ))
-    return recipe.select("category", F.explode(marks).alias("pass")).groupBy("pass").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    return recipe.select(*keys, "category", F.explode(marks).alias("pass")).groupBy(*keys, "pass").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+
+
+def pass_sequence(recipe: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ``passes``): what recipes go through, in order; the neural passes and realism only where a category asks for them."""
+    neural, real = F.col("method") == "midi-ddsp", F.coalesce("realify", F.lit(False))
+    asked = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    steps = (
+        F.lit("layout"), F.lit("fluidsynth"), F.when(asked(neural & (F.col("category") == "piano")), "ddsp_piano"),
+        F.when(asked(neural), "midi_ddsp"), F.when(asked(real), "realify"), F.lit("mix"),
+    )
+    return recipe.groupBy(*keys).agg(F.array_compact(F.array(*steps)).alias("passes"))
 
 
 #: Conditions whose audio is a donor's if a track's backend is a soundfont.

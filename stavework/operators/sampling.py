@@ -33,6 +33,15 @@ def blinded(df: DataFrame, group: str, item: str, seed: int) -> DataFrame:
     return df.withColumn("position", at).withColumn("label", label(F.col("position")))
 
 
+def unblinded(ratings: DataFrame, trials: DataFrame, group: str, item: str) -> DataFrame:
+    """Ratings by blind label with what was behind it: trials as ``blinded`` gives them, ratings with the group and ``label``.
+
+    Ratings of a label that the group's trial doesn't have go.
+    """
+    key = trials.select(F.col(group).alias("of"), F.col("label").alias("as"), item)
+    return ratings.join(key, F.col(group).eqNullSafe(F.col("of")) & (F.col("label") == F.col("as"))).drop("of", "as")
+
+
 def card_order(cards: DataFrame, mode: str, seed: int, card: str, place: str, *group: str) -> DataFrame:
     """``turn``: the key that cards are shown by: as they come, shuffled, or in shuffled groups shuffled inside."""
     if mode not in ("sequential", "shuffle", "group"):

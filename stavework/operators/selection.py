@@ -113,31 +113,26 @@ def fill_quotas(rows: DataFrame, song: str, category: str, categories: Sequence[
 
     Songs go in a seeded order. One is kept if it has a row of a category whose quota is
     not filled yet (the first song always is); all its rows then count. It ends when the
-    categories that occur are filled or ``most`` songs are kept. Categories are filled one
-    after another, and until the next is full every song with an open category is kept: a
-    round reads only the next ``most`` such songs, and there are at most as many rounds as
-    categories. Songs without an id don't take part.
+    categories that occur are filled or ``most`` songs are kept. Songs without an id don't
+    take part.
+
+    While a category is open every song that has it is kept, so its count before a song
+    is that of all songs before, whatever else is kept, and it is filled within its first
+    ``quota`` songs: these (limited before the shuffle too) and their sums decide it.
     """
-    names = list(categories)
-    per_song = rows.where(F.col(song).isNotNull()).groupBy(song).agg(*(F.count_if(F.col(category) == c).alias(f"_c{i}") for i, c in enumerate(names)))
-    songs = per_song.withColumn("_key", seeded_key(seed, song)).persist()
-    filled, kept, last = [0] * len(names), [], None
-    while len(kept) < most:
-        wanted = {i for i, n in enumerate(filled) if n < quota}
-        fits = F.greatest(*(F.col(f"_c{i}") for i in wanted), F.lit(0), F.lit(0)) > 0 if kept else F.lit(True)
-        behind = F.lit(True) if last is None else (F.col("_key") > last[0]) | ((F.col("_key") == last[0]) & (F.col(song) > last[1]))
-        found = songs.where(fits & behind).orderBy("_key", song).limit(most - len(kept) if kept else 1).collect()
-        for r in found:
-            kept.append(r[song])
-            last = r["_key"], r[song]
-            filled = [n + r[f"_c{i}"] for i, n in enumerate(filled)]
-            if any(filled[i] >= quota for i in wanted):
-                break
-        if not found:
-            break
-    songs.unpersist()
-    chosen = rows.sparkSession.createDataFrame(list(enumerate(kept)), f"position int, {song} {dict(rows.dtypes)[song]}")
-    return rows.join(F.broadcast(chosen), song)  # at most ``most`` rows
+    known = rows.where(F.col(song).isNotNull())
+    place = F.struct(seeded_key(seed, song).alias("key"), F.col(song).alias("song")).alias("place")
+    counts = known.where(F.col(category).isin(*categories)).groupBy(F.col(category).alias("category"), place).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("category").orderBy("place")
+    early = counts.withColumn("k", F.row_number().over(by)).where(F.col("k") <= quota)
+    before = early.withColumn("before", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    first = known.agg(F.min(place).alias("place")).where("place is not null")
+    fillers = before.where(F.col("before") < quota).select("place").unionByName(first).distinct()
+    # of at most quota songs a category, and the first
+    position = F.row_number().over(Window.orderBy("place")) - 1
+    chosen = fillers.orderBy("place").limit(most).select(F.col("place.song").alias("of"), position.alias("position"))
+    joined = known.join(chosen, F.col(song) == F.col("of"))
+    return joined.select("position", *rows.columns)
 
 
 def persisted_or_derived(tracks: DataFrame, song: str, stored: str, derived: str) -> DataFrame:

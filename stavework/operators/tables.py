@@ -288,11 +288,11 @@ def merge_rules(existing: DataFrame, new: DataFrame, columns: Sequence[str], pla
 
 
 def when_complete(df: DataFrame, phases: DataFrame, required: Sequence[str]) -> DataFrame:
-    """df, if every required phase is ``completed`` (phases: ``phase``, ``completed``; few rows); else an error."""
-    done = phases.where("completed").agg(F.collect_set("phase").alias("done_phases"))
-    open_ = F.array_except(F.array(*map(F.lit, required)), "done_phases")
-    say = F.raise_error(F.concat(F.lit("phases are not complete: "), F.array_join(open_, ", ")))
-    return df.join(F.broadcast(done), F.when(F.size(open_) == 0, F.lit(True)).otherwise(say.cast("boolean"))).drop("done_phases")
+    """df, if every required phase is ``completed`` (phases: ``phase``, ``completed``); else an error, at once and whatever df holds."""
+    done = {r[0] for r in phases.where(F.col("completed") & F.col("phase").isin(*required)).select("phase").distinct().collect()}  # at most the required ones
+    if open_ := [p for p in required if p not in done]:
+        raise ValueError(f"phases are not complete: {', '.join(open_)}")
+    return df
 
 
 def selected_work(songs: DataFrame, found: DataFrame, drifted: DataFrame, song: str, track: str, expected: str) -> DataFrame:

@@ -828,7 +828,14 @@ def silence_enforcement(spark: SparkSession, d: str) -> DataFrame:
     return done.select("vec_id", (F.col("block") * 20 + F.col("at")).alias("pos"), "s.silent", "s.value")
 
 
-@named()
+@named("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS category, md5('43|' || l_orderkey) AS key FROM lineitem),
+c AS (SELECT category, key, l_orderkey, count(*) AS n FROM r WHERE category IN ('AF', 'AO', 'NF', 'NO', 'RF', 'RO') GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY category ORDER BY key, l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+k AS (SELECT DISTINCT key, l_orderkey FROM b WHERE before < 50 UNION SELECT key, l_orderkey FROM (SELECT key, l_orderkey FROM r ORDER BY key, l_orderkey LIMIT 1)),
+p AS (SELECT l_orderkey, (row_number() OVER (ORDER BY key, l_orderkey) - 1)::INT AS position FROM k QUALIFY position < 400)
+SELECT position, l_orderkey, l_linenumber, category FROM r JOIN p USING (l_orderkey)
+""")
 def quota_sample(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("category"))
     return selection.fill_quotas(lines, "l_orderkey", "category", ("AF", "AO", "NF", "NO", "RF", "RO"), 50, 400, 43)

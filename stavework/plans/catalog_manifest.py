@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavework.functions import names
-from stavework.operators import manifest, sampling, tables, verification, votes
+from stavework.operators import manifest, ratings, sampling, tables, verification, votes
 from stavework.plans.registry import named
 from stavework.sources import files
 from stavework.sources.tables import table
@@ -222,15 +222,20 @@ def json_safe(spark: SparkSession, d: str) -> DataFrame:
 
 
 @named(r"""
-SELECT p_partkey, 'a/b/' || p_partkey AS mid, 'x/' || p_partkey AS rec, './data/a/b/' || p_partkey || '.json' AS rec_path, CASE WHEN p_partkey % 2 = 0 THEN 'song/' || p_partkey ELSE 'last' || p_partkey END AS audio FROM part
+SELECT p_partkey, 'a/b/' || p_partkey AS mid, 'x/' || p_partkey AS rec, './data/a/b/' || p_partkey || '.json' AS rec_path, CASE WHEN p_partkey % 2 = 0 THEN 'song/' || p_partkey ELSE 'last' || p_partkey END AS audio,
+  'a/b/' || p_partkey || CASE WHEN p_partkey % 3 < 2 THEN '.mid' ELSE '' END AS rest, '/set/mid/' || p_partkey AS midi, 'x/' || p_partkey || '.v1' AS song, 'x/' || p_partkey || '.v1.json' AS below, '/out/audio/x/' || p_partkey || '.v1' AS folder FROM part
 """)
 def path_ids(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     text = lambda before, after="": F.concat(F.lit(before), key, F.lit(after))
     midi = F.when(key % 3 == 0, text("./mid/a/b/", ".mid")).when(key % 3 == 1, text("/root/set/mid/a/b/", ".mid")).otherwise(text("mid\\a\\b\\"))
     audio = F.when(key % 2 == 0, text("out/audio/song/", "/")).otherwise(text("out/last"))
-    record = text(".//data/x/", ".json")
-    return table(spark, d, "part").select("p_partkey", names.midi_id(midi).alias("mid"), names.record_id(record).alias("rec"), names.record_path(midi).alias("rec_path"), names.audio_id(audio).alias("audio"))
+    record, versioned = text(".//data/x/", ".json"), text("/root/data/x/", ".v1.json")
+    return table(spark, d, "part").select(
+        "p_partkey", names.midi_id(midi).alias("mid"), names.record_id(record).alias("rec"), names.record_path(midi).alias("rec_path"), names.audio_id(audio).alias("audio"),
+        names.midi_rest(midi).alias("rest"), names.midi_path(F.when(key % 2 == 0, text("/mid/")).otherwise(text("mid/")), "/set").alias("midi"), names.song_id(text("./data/x/", ".v1.json")).alias("song"),
+        names.id_below_data(versioned).alias("below"), names.output_folder(versioned, "/root", "/out", "audio").alias("folder"),
+    )
 
 
 @named("""
@@ -290,3 +295,19 @@ def model_trials(spark: SparkSession, d: str) -> DataFrame:
     clips = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("song"), F.col("l_returnflag").alias("model")).distinct()
     whole = clips.join(tables.has_all(clips, "song", "model", ["A", "N", "R"]), "song", "left_semi")
     return sampling.blinded(whole, "song", "model", 9).select("song", "model", F.col("position").cast("long").alias("position"))
+
+
+@named("""
+WITH c AS (SELECT DISTINCT l_orderkey AS song, l_returnflag AS model FROM lineitem), w AS (SELECT song FROM c GROUP BY 1 HAVING count(*) = 3),
+t AS (SELECT song, model, chr((64 + row_number() OVER (PARTITION BY song ORDER BY md5('9|' || song || '|' || model)))::INT) AS label FROM c WHERE song IN (SELECT song FROM w)),
+r AS (SELECT l_orderkey AS song, l_suppkey AS listener, chr(64 + l_linenumber) AS label, l_quantity::DECIMAL(18,2) AS realism FROM lineitem),
+u AS (SELECT model, listener, (sum(realism)::DOUBLE / count(*))::DECIMAL(18,6) AS m FROM r JOIN t USING (song, label) GROUP BY ALL)
+SELECT model, round(sum(m)::DOUBLE / count(*), 6) AS mean, count(*) AS n FROM u GROUP BY 1
+""")
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    clips = lines.select(F.col("l_orderkey").alias("song"), F.col("l_returnflag").alias("model")).distinct()
+    trials = sampling.blinded(clips.join(tables.has_all(clips, "song", "model", ["A", "N", "R"]), "song", "left_semi"), "song", "model", 9)
+    rated = lines.select(F.col("l_orderkey").alias("song"), F.col("l_suppkey").alias("listener"), F.char(64 + F.col("l_linenumber")).alias("label"), F.col("l_quantity").cast("decimal(18,2)").alias("realism"))
+    seen = sampling.unblinded(rated, trials, "song", "model").select(F.lit("all").alias("category"), F.col("model").alias("variant"), "listener", "realism")
+    return ratings.metric_stats(seen, "realism").select(F.col("variant").alias("model"), F.round("mean", 6).alias("mean"), "n")

@@ -205,12 +205,47 @@ def recipe_plan(spark: SparkSession, d: str) -> DataFrame:
     return planned.select("track", "category", "method", F.coalesce("realify", F.lit(False)).alias("realify"), "use_slakh", "route.reason", "backend", "pass")
 
 
+_RECIPES_SQL = """
+r AS (SELECT l_suppkey % 97 AS recipe, ['piano', 'drums', 'bass', 'strings', 'wind', 'voice', 'organ'][l_linenumber] AS category,
+  CASE WHEN l_suppkey % 3 = 0 AND l_returnflag = 'A' THEN 'midi-ddsp' WHEN l_returnflag = 'N' THEN 'slakh' WHEN l_returnflag = 'R' THEN 'basic' END AS method,
+  CASE WHEN l_suppkey % 5 = 0 THEN l_linestatus = 'F' END AS realify FROM lineitem)
+"""
+
+
+def _recipes(spark: SparkSession, d: str) -> DataFrame:
+    """Recipes by a supplier's number, a category for each line."""
+    lines, flag = table(spark, d, "lineitem"), F.col("l_returnflag")
+    names_of = F.array(*map(F.lit, ("piano", "drums", "bass", "strings", "wind", "voice", "organ")))
+    method = F.when((F.col("l_suppkey") % 3 == 0) & (flag == "A"), "midi-ddsp").when(flag == "N", "slakh").when(flag == "R", "basic")
+    return lines.select((F.col("l_suppkey") % 97).alias("recipe"), F.get(names_of, F.col("l_linenumber") - 1).alias("category"), method.alias("method"), F.when(F.col("l_suppkey") % 5 == 0, F.col("l_linestatus") == "F").alias("realify"))
+
+
 @named(f"""
-WITH recipe(category, method, fallback, realify) AS (VALUES {_values(RECIPE)}), p AS (SELECT category, CASE WHEN method = 'midi-ddsp' THEN 'ddsp' ELSE 'fluidsynth' END AS pass FROM recipe
-  UNION ALL SELECT category, 'realify' FROM recipe WHERE realify) SELECT pass, string_agg(category, ',' ORDER BY category) AS categories FROM p GROUP BY 1
+WITH {_RECIPES_SQL}, p AS (SELECT recipe, category, CASE WHEN method = 'midi-ddsp' THEN 'ddsp' ELSE 'fluidsynth' END AS pass FROM r WHERE method IS NOT NULL
+  UNION SELECT recipe, category, 'realify' FROM r WHERE realify)
+SELECT recipe, pass, string_agg(category, ',' ORDER BY category) AS categories FROM p WHERE category IS NOT NULL GROUP BY ALL
 """)
 def recipe_passes(spark: SparkSession, d: str) -> DataFrame:
-    return routing.passes(_recipe(spark)).select("pass", F.array_join("categories", ",").alias("categories"))
+    return routing.passes(_recipes(spark, d), "recipe").select("recipe", "pass", F.array_join("categories", ",").alias("categories"))
+
+
+@named(f"""
+WITH {_RECIPES_SQL}, u AS (SELECT recipe, bool_or(method = 'midi-ddsp' AND category = 'piano') AS piano, bool_or(method = 'midi-ddsp') AS neural, bool_or(realify) AS real FROM r GROUP BY 1)
+SELECT recipe, concat_ws(',', 'layout', 'fluidsynth', CASE WHEN piano THEN 'ddsp_piano' END, CASE WHEN neural THEN 'midi_ddsp' END, CASE WHEN real THEN 'realify' END, 'mix') AS passes FROM u
+""")
+def recipe_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return routing.pass_sequence(_recipes(spark, d), "recipe").select("recipe", F.array_join("passes", ",").alias("passes"))
+
+
+@named(f"""
+WITH {_TRACKS_SQL}, i AS (SELECT track, CASE WHEN is_drum THEN 'drums' WHEN coalesce(trim(name), '') <> '' THEN lower(trim(name)) ELSE 'midi program ' || program END AS own FROM t)
+SELECT track, 'solo ' || own || ', realistic studio recording, expressive performance' AS minimal,
+  '{programs.PRESERVATION} Realistic recorded ' || own || '.. format: solo | instruments: ' || own AS preservation,
+  '{programs.ADHERENCE}. format: solo | instruments: ' || own AS adherence, '{programs.CURRENT}' AS current FROM i
+""")
+def caption_forms(spark: SparkSession, d: str) -> DataFrame:
+    args = {}, F.col("program"), F.col("is_drum"), F.col("name"), F.lit("s")
+    return _tracks(spark, d).select("track", *(programs.caption_in_form(f, *args, hint=f != "current").alias(f) for f in programs.FORMS))
 
 
 @named(r"""

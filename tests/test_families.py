@@ -98,6 +98,23 @@ def test_captions(spark):
     assert [r[0] for r in rows.select(text).collect()] == [hint + x for x in ("midi program 42", "midi program 42", "drums", "cello")]
 
 
+def test_forms_of_captions(spark):
+    one = spark.createDataFrame([(0, False, "Oboe", None)], "p int, d boolean, n string, g string")
+    forms = [programs.caption_in_form(f, {"genre": F.col("g")}, F.col("p"), F.col("d"), F.col("n"), F.lit("s"), hint) for f in programs.FORMS for hint in (True, False)]
+    end = ". format: solo | instruments: oboe"
+    short = "solo oboe, realistic studio recording, expressive performance"
+    kept = f"{programs.PRESERVATION} Realistic recorded oboe."
+    assert list(one.select(*forms).first()) == [programs.CURRENT + end, programs.CURRENT, short, short, kept + end, kept, programs.ADHERENCE + end, programs.ADHERENCE]
+    with pytest.raises(ValueError, match="unknown form"):
+        programs.caption_in_form("long", {}, F.col("p"), F.col("d"), F.col("n"), F.lit("s"))
+
+
+def test_passes_of_recipes_in_order(spark):
+    rows = [(1, "piano", "midi-ddsp", None), (1, "bass", "basic", True), (2, "bass", "midi-ddsp", False), (3, "drums", None, None)]
+    found = routing.pass_sequence(spark.createDataFrame(rows, "k int, category string, method string, realify boolean"), "k").collect()
+    assert {r.k: r.passes for r in found} == {1: ["layout", "fluidsynth", "ddsp_piano", "midi_ddsp", "realify", "mix"], 2: ["layout", "fluidsynth", "midi_ddsp", "mix"], 3: ["layout", "fluidsynth", "mix"]}
+
+
 def test_labels_go_on(spark):
     at = spark.createDataFrame([(x,) for x in (0, 25, 26, 701, 702, 18277, 18278)], "x long")
     assert [r[0] for r in at.select(sampling.label(F.col("x"))).collect()] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA"]

@@ -224,6 +224,14 @@ def test_ids_of_paths(spark):
     one = spark.createDataFrame([("./mid/a/Q.mid", "./data/a/Q.json", "x/audio//a/Q/", "x/y/")], "m string, r string, a string, b string")
     found = one.select(names.record_path(F.col("m")), names.record_id(F.col("r")), names.audio_id(F.col("a")), names.audio_id(F.col("b")))
     assert tuple(found.first()) == ("./data/a/Q.json", "a/Q", "a/Q", "y")
+    paths = spark.createDataFrame([("./data/7/Q.v1.json",), ("x/data/data/Q/",), ("data",), (".hidden",), (None,)], "p string")
+    assert [r[0] for r in paths.select(names.song_id(F.col("p"))).collect()] == ["7/Q.v1", "x/data/data/Q/", "data", "hidden", None]
+    assert [r[0] for r in paths.where("p is null or p like '%data%'").select(names.id_below_data(F.col("p"))).collect()] == ["7/Q.v1.json", "data/Q", "", None]
+    with pytest.raises(Exception, match="no data folder in .hidden"):
+        paths.select(names.id_below_data(F.col("p"))).collect()
+    song = F.lit("/set/data/7/data/Q.json")
+    found = spark.range(1).select(names.output_folder(song, "/set", "/out"), names.output_folder(song, "/set", "/out", "audio"), names.output_folder(F.lit("/set/x"), "/set", "/out"), names.midi_path(F.lit("/a.mid"), "r/"), names.midi_path(F.lit("a.mid"), "r"))
+    assert tuple(found.first()) == ("/out/data/7/data/Q", "/out/audio/7/data/Q", "/out", "r/a.mid", "r/a.mid")
 
 
 def test_response_paths_are_listed_once(spark, tmp_path):
@@ -250,7 +258,7 @@ def test_rules_wait_for_their_phases(spark):
     phases = spark.createDataFrame([("one", True), ("two", None)], "phase string, completed boolean")
     assert tables.when_complete(spark.range(2), phases, ["one"]).count() == 2
     with pytest.raises(Exception, match="not complete: two, three"):
-        tables.when_complete(spark.range(2), phases, ["one", "two", "three"]).collect()
+        tables.when_complete(spark.range(0), phases, ["one", "two", "three"])
 
 
 def test_votes_of_a_session_are_merged(spark):
