@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
@@ -40,6 +42,16 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     return next((p for p in paths if exists(spark, p)), paths[0])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which all executors share; a session on this machine alone has a temporary one without it."""
+    root = spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="stavework-scratch-")
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 # ---- readers
 
 

@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from stavework.operators import sequences
-from stavework.plans import catalog, catalog_manifest, catalog_names, catalog_tables  # noqa: F401  (they register their queries)
+from stavework.plans import catalog, catalog_files, catalog_manifest, catalog_names, catalog_tables  # noqa: F401  (they register their queries)
 from stavework.plans.registry import ORACLE_SQL, QUERIES
 
 
