@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stavework.functions.names import is_plucked, stripped
 from stavework.operators.rules import program_class
 
+# What backends are called; so are the reasons that ``route`` gives.
 SOUNDFONT, PIANO, NEURAL = "soundfont", "ddsp_piano", "midi_ddsp"
 
 # Words of categories in the order in which they are tried, and the class

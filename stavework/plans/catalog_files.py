@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from stavework.plans.registry import named
 from stavework.sources import files, tables
 from stavework.sources.tables import table, write_csv
-from stavework.streaming import shard_merge
+from stavework.streaming import sessions, shard_merge
 
 PARTS = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_size", T.IntegerType()), T.StructField("p_retailprice", T.DoubleType())])
 
@@ -201,3 +201,32 @@ def writers_of_one_table(spark: SparkSession, d: str) -> DataFrame:
     for k in (1, 0, 1):  # the second of a writer's equal numbers is left out
         shard_merge.upsert(spark, folder, lines.where(F.col("l_suppkey") % 2 == k), _KEYS, "l_suppkey", f"writer {k}", 7, buckets=4)
     return shard_merge.latest(spark, folder, lines.schema)
+
+
+@named("""
+WITH v AS (SELECT 's' || (user_id % 9) AS session, (event_id % 4) || '|' || (user_id % 3) AS card, event_type AS tier, event_id AS seq FROM events WHERE event_id % 11 > 0),
+f AS (SELECT session, card, min(seq) AS first FROM v GROUP BY ALL)
+SELECT session, (row_number() OVER (PARTITION BY session ORDER BY first) - 1)::BIGINT AS place, card, arg_max(tier, seq) AS tier FROM v JOIN f USING (session, card) GROUP BY session, card, first
+""")
+def session_votes(spark: SparkSession, d: str) -> DataFrame:
+    folder = files.scratch(spark)
+    given = table(spark, d, "events").where("event_id % 11 > 0").select(
+        F.concat(F.lit("s"), F.col("user_id") % 9).alias("session"), F.lit("").alias("card"), (F.col("event_id") % 4).cast("string").alias("variant"),
+        (F.col("user_id") % 3).cast("string").alias("clip"), F.col("event_type").alias("tier"), F.timestamp_seconds(F.floor(F.col("event_id") / 1_000) + 1_700_000_000).alias("at"), F.col("event_id").alias("seq"),
+    )
+    given.write.parquet(f"{folder}/votes")
+    # event time goes on by a vote of another session, long after
+    last = given.agg(F.max("at").alias("at")).select(F.lit("z").alias("session"), F.lit("z").alias("card"), F.lit("z").alias("variant"), F.lit("z").alias("clip"), F.lit("z").alias("tier"), (F.col("at") + F.expr("interval 30 days")).alias("at"), F.lit(0).cast("long").alias("seq"))
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rocks)  # keyed state of several columns needs it
+    try:
+        for more in (None, last, last.withColumn("at", F.col("at") + F.expr("interval 30 days"))):
+            if more is not None:
+                more.write.mode("append").parquet(f"{folder}/votes")
+            stream = spark.readStream.schema(given.schema).parquet(f"{folder}/votes")
+            ended = sessions.ended_sessions(stream, "1 day", "0 seconds").writeStream.format("parquet").option("path", f"{folder}/ended").option("checkpointLocation", f"{folder}/seen")
+            ended.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(sessions.VOTES).parquet(f"{folder}/ended").where("session <> 'z'").select("session", "place", "card", "tier")

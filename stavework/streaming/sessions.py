@@ -32,15 +32,21 @@ class Session(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         places, ends = self.clock.get() if self.clock.exists() else (0, 0)
         last = ends - self.idle_ms if ends else 0
+        first, newest = {}, {}  # by card: the rows of a micro-batch come in any order
         for batch in rows:
-            # rows of a micro-batch come in any order
-            for row in batch.sort_values(["at", "seq", "card", "tier"], na_position="first").itertuples(index=False):
-                held = self.votes.getValue((row.card,)) if self.votes.containsKey((row.card,)) else None
-                place = places if held is None else held[0]
-                places += held is None
-                if held is None or (row.at, row.seq) >= (pd.Timestamp(held[4]), held[5]):
-                    self.votes.updateValue((row.card,), (place, row.variant, row.clip, row.tier, row.at.to_pydatetime(), int(row.seq)))
+            for row in batch.itertuples(index=False):
+                order = row.at, row.seq, row.tier or ""
+                first[row.card] = min(first.get(row.card, order), order)
+                if row.card not in newest or newest[row.card][0] <= order:
+                    newest[row.card] = order, row
                 last = max(last, int(row.at.timestamp() * 1000))
+        for card in sorted(newest, key=lambda c: (first[c], c)):
+            _, row = newest[card]
+            held = self.votes.getValue((card,)) if self.votes.containsKey((card,)) else None
+            place = places if held is None else held[0]
+            places += held is None
+            if held is None or (row.at, row.seq) >= (pd.Timestamp(held[4]), held[5]):
+                self.votes.updateValue((card,), (place, row.variant, row.clip, row.tier, row.at.to_pydatetime(), int(row.seq)))
         if last + self.idle_ms != ends:
             if ends:
                 self.handle.deleteTimer(ends)
