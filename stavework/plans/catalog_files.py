@@ -90,7 +90,7 @@ def rating_documents(spark: SparkSession, d: str) -> DataFrame:
     for r in files.small_rows(documents.select("n_nationkey", whole.alias("text"))):  # one file for each nation
         name = f"in_progress_{r.n_nationkey}" if r.n_nationkey % 5 == 1 else f"responses_{r.n_nationkey}"
         files.write_text(spark, f"{folder}/{name}.json", r.text[: len(r.text) // 2] if r.n_nationkey % 5 == 3 else r.text)
-    return tables.ratings_of(tables.complete_documents(spark, files.document_paths(spark, [folder, f"{folder}/responses_0.json"])))
+    return tables.ratings_of(tables.complete_documents(spark, files.document_paths(spark, [folder, folder])))
 
 
 @named("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS position, n_name AS name, n_regionkey::VARCHAR AS region, NULL::VARCHAR AS note FROM nation")
