@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavework.llm.common import sha256_of, table
+from stavework.llm.common import cut_table, sha256_of, table
 
 ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -234,15 +234,35 @@ def p_bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_A_DECADE), F.lit(BIN_COUNT - 1)).cast("int")
 
 
-def discovery_bins(docs: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
+def spans_of(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the spans of each kind; those of ``random`` are all candidates, with encoding, length class and bin of p.
+
+    No text stays in it: it is written, and both the counts and the result are read from it.
+    """
+    text = F.coalesce("text", F.lit(""))
+    place = lambda m: (m.start.alias("start"), m.end.alias("end"))
+
+    def judged(m: Column) -> Column:
+        return let(battery(m.token), lambda t: F.struct(*place(m), t.encoding.alias("encoding"), length_class(t["length"]).alias("class"), p_bin(t.p).alias("bin")))
+
+    plain = lambda found: F.transform(found, lambda m: F.struct(*place(m)))
+    found = docs.select(
+        "doc_id",
+        plain(F.filter(matches(text, ASSIGN, 2), lambda m: F.length(m.token) >= 12)).alias("assign"),
+        plain(matches(text, ACCESS)).alias("access"),
+        plain(matches(text, HEX)).alias("hex"),
+        F.filter(F.transform(matches(text, CANDIDATE), judged), lambda t: t.encoding.isNotNull()).alias("random"),
+    )
+    return cut_table(found)
+
+
+def discovery_bins(found: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
     """By encoding and length class, the lowest bin whose candidates are discoveries.
 
-    A bin passes if its largest p, times the candidates of its kind, is at most ``fdr``
-    times the candidates in this bin and higher ones.
+    found: rows of ``spans_of``. A bin passes if its largest p, times the candidates of its
+    kind, is at most ``fdr`` times the candidates in this bin and higher ones.
     """
-    tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CANDIDATE), F.lit(0))).alias("token"))
-    one = let(battery(F.col("token")), lambda t: F.struct(t.encoding.alias("encoding"), length_class(t["length"]).alias("class"), p_bin(t.p).alias("bin")))
-    kinds = tokens.select(F.inline(F.filter(F.array(one), lambda t: t.encoding.isNotNull()))).groupBy("encoding", "class", "bin")
+    kinds = found.select(F.inline("random")).groupBy("encoding", "class", "bin")
     by_kind: dict[tuple[int, int], dict[int, int]] = {}
     for r in kinds.agg(F.count("*").alias("n")).collect():  # encodings times classes times bins, whatever the input
         by_kind.setdefault((r.encoding, r["class"]), {})[r.bin] = r.n
@@ -267,21 +287,10 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     then by kind in the order of KINDS; places in code points, end exclusive. Spans of
     one kind don't overlap, spans of different kinds may. Null and empty texts have none.
     """
-    least = discovery_bins(docs, fdr)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    base = base.select(
-        "doc_id",
-        F.filter(matches(F.col("_text"), ASSIGN, 2), lambda m: F.length(m.token) >= 12).alias("assign"),
-        matches(F.col("_text"), ACCESS).alias("access"),
-        matches(F.col("_text"), HEX).alias("hex"),
-        matches(F.col("_text"), CANDIDATE).alias("_random"),
-    )
-
-    def is_random(m: Column) -> Column:
-        kept = F.transform(F.array(battery(m.token)), lambda t: _reaches(t, least))
-        return F.coalesce(F.get(kept, 0), F.lit(False))
+    every_span = spans_of(docs)
+    least = discovery_bins(every_span, fdr)
+    found = every_span.withColumn("random", F.filter("random", lambda t: _reaches(t, least)))
 
-    found = base.withColumn("random", F.filter("_random", is_random))
     def placed(number: int) -> Column:
         return F.transform(KINDS[number], lambda m: F.struct(m.start.alias("start"), F.lit(number).alias("kind"), m.end.alias("end")))
 
@@ -294,7 +303,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 def _reaches(t: Column, least: dict[tuple[int, int], int]) -> Column:
     out = F.lit(False)
     for (encoding, k), b in sorted(least.items()):
-        out = out | ((t.encoding == encoding) & (length_class(t["length"]) == k) & (p_bin(t.p) >= b))
+        out = out | ((t.encoding == encoding) & (t["class"] == k) & (t.bin >= b))
     return out
 
 
