@@ -152,6 +152,19 @@ def test_differences_take_the_first_base_row(spark):
     assert found == {2: 0.0, 1: 0.0, 3: 3.0, 4: None, 5: None, 6: 0.0, 7: None, 8: None, 9: 0.0, 10: 1.0}
 
 
+def test_stems_are_grouped_in_many_parts_and_once(spark):
+    rows = [(s, c, v, x, r) for s, c, v, x, r in [(1, "p", "a", 10, 20), (1, "p", "a", 30, None), (2, "p", "a", 50, 60), (None, "p", "a", 80, 10), (1, None, "a", None, 5), (1, "q", None, 7, 8), (1, "q", None, 9, 8)]]
+    rated = spark.createDataFrame([(*r[:3], *(None if x is None else Decimal(x) for x in r[3:])) for r in rows], "stem long, category string, variant string, content decimal(18,2), realism decimal(18,2)")
+    stats = ratings.two_level_stats(rated)
+    got = {(r.category, r.variant): (r.mean_content, r.mean_realism, r.min_content, r.stems) for r in stats.collect()}
+    assert got == {("p", "a"): (50.0, 30.0, 20.0, 2), (None, "a"): (None, 5.0, None, 1), ("q", None): (8.0, 8.0, 8.0, 1)}
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.index("Initial Plan") :]
+    # the tables of a task: of stems as they come and as they are whole; none where rows are read, none of distinct stems
+    assert len(re.findall(r"Aggregate\(keys=\[[^]]*stem", last)) == 2 and re.search(r"hashpartitioning\(stem\S+ category\S+ variant\S+ 200\), REPARTITION", last)
+    assert "Aggregate" not in last[last.index("REPARTITION") :]
+
+
 def plain_winners(rows, base_of, hidden, prefix, labels):
     first, found = {}, {}
     for listener, stem, _, variant, _, content, _ in sorted(rows, key=lambda r: r[4]):
