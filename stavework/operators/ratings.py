@@ -176,13 +176,29 @@ def content_difference(ratings: DataFrame, base_of: dict[str, str], place: str)
     content, have null.
     """
     bases = F.create_map(*(F.lit(x) for pair in base_of.items() for x in pair))
-    keys = ["listener", "stem", "base"]
     own = ratings.withColumn("base", bases[F.col("variant")])
-    plain = own.where("base is null").groupBy(*(F.col(k).alias(f"of_{k}") for k in keys[:2]), F.col("variant").alias("of_base"))
-    first = plain.agg(F.min_by(F.struct("content"), place).alias("first"))  # a null content is first too
-    joined = own.join(first, reduce(and_, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys)), "left")
-    apart = F.when(F.col("base").isNotNull(), F.col("content") - F.col("first.content")).when(F.col("content").isNotNull(), 0)
-    return joined.withColumns({"base_content": F.col("first.content"), "difference": apart.cast("double")}).drop("first", *(f"of_{k}" for k in keys))
+    # a base's rows, first by place, before those that ask for it: each row is dealt out and sorted once
+    has, ordered = F.col("base").isNotNull(), F.col("base").isNull() & F.col(place).isNotNull()
+    by = Window.partitionBy("stem", "listener", F.coalesce("base", "variant")).orderBy(F.desc(ordered), place)
+    first = F.first(F.when(ordered, F.struct("content"))).over(by.rowsBetween(Window.unboundedPreceding, 0))  # a null content is first too
+    joined = own.withColumn("base_content", F.when(has, first["content"]))
+    apart = F.when(has, F.col("content") - F.col("base_content")).when(F.col("content").isNotNull(), 0)
+    return joined.withColumn("difference", apart.cast("double"))
+
+
+def _means_of(ratings: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """A column for each metric with the mean that ``metric_stats`` gives, of one pass over the ratings; null without a rating."""
+    keys = ["category", "variant"]
+    sums = [c for k, m in enumerate(metrics) for c in (F.sum(m).alias(f"sum_{k}"), F.count(m).alias(f"n_{k}"), _mean(m).alias(f"own_{k}"))]
+    own = ratings.groupBy(*keys, "listener").agg(*sums)
+    over = lambda total, n: F.sum(total).cast("double") / n
+    whole, found, told = Window.partitionBy("category"), [], []
+    for k, metric in enumerate(metrics):
+        who = F.when(F.col(f"n_{k}") > 0, F.col("listener"))
+        found += [over(f"own_{k}", F.count(f"own_{k}")).alias(f"many_{k}"), over(f"sum_{k}", F.sum(f"n_{k}")).alias(f"one_{k}"), F.min(who).alias(f"from_{k}"), F.max(who).alias(f"to_{k}")]
+        several = F.min(f"from_{k}").over(whole) < F.max(f"to_{k}").over(whole)
+        told.append(F.when(several, F.col(f"many_{k}")).otherwise(F.col(f"one_{k}")).alias(metric))
+    return own.groupBy(*keys).agg(*found).select(*keys, *told)
 
 
 def category_winners(ratings: DataFrame, base_of: dict[str, str], place: str, hidden: DataFrame | None = None, prefix: str | None = None, labels: dict[str, str] | None = None) -> DataFrame:
@@ -196,37 +212,35 @@ def category_winners(ratings: DataFrame, base_of: dict[str, str], place: str, hi
     """
     rows = content_difference(ratings, base_of, place).withColumn("difference", F.col("difference").cast(SCALE))
     keys = ["category", "variant"]
-    tables = [metric_stats(rows, metric).select(*keys, F.col("mean").alias(name)) for metric, name in (("realism", "realism"), ("content", "content"), ("difference", "content_diff"))]
-    means = tables[0].join(tables[1], keys, "full_outer").join(tables[2], keys, "full_outer").where("realism is not null")
+    named = reduce(and_, (F.col(k).isNotNull() for k in keys))  # without both names, only the mean realism is told
+    shown = (F.when(named, F.col(m)).alias(c) for m, c in (("content", "content"), ("difference", "content_diff")))
+    means = _means_of(rows, ["realism", "content", "difference"]).where("realism is not null").select(*keys, "realism", *shown)
     if hidden is not None:
         means = means.join(hidden.select(*keys), keys, "left_anti")
-    ranked = means.withColumn("best", F.max("realism").over(Window.partitionBy("category")))
+    whole = Window.partitionBy("category")
+    ranked = means.withColumn("best", F.max("realism").over(whole))
     wins = F.col("realism") >= F.col("best") - TIE
     # sorted by the negated means, so that the best is first and a null, as infinity, last
     down = lambda c: F.coalesce(-F.col(c), F.lit(float("inf")))
     row = F.struct(down("realism").alias("r"), down("content").alias("c"), "variant", "realism", "content", "content_diff")
-    out = ranked.groupBy("category").agg(
-        F.max("best").alias("best"), F.array_sort(F.collect_list(F.when(wins, row))).alias("won"), F.max(F.when(~wins, F.col("realism"))).alias("second")
-    )
+    figures = [F.max("best").alias("best"), F.array_sort(F.collect_list(F.when(wins, row))).alias("won"), F.max(F.when(~wins, F.col("realism"))).alias("second")]
+    if prefix is not None:
+        copy = F.min(F.when(wins & F.startswith("variant", F.lit(prefix)), row)).over(whole)  # the first winner of them
+        ranked = ranked.withColumn("donor", F.substring(copy["variant"], len(prefix) + 1, 1_000))
+        figures.append(F.max(F.when(F.col("variant") == F.col("donor"), F.col("realism"))).alias("donor_mean"))
+    out = ranked.groupBy("category").agg(*figures)
     called = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)) if labels else None
     name = lambda w: w.variant if called is None else F.coalesce(called[w.variant], w.variant)
     two = lambda c: F.bround(c, 2)
     first = F.get("won", F.lit(0))
-    board = out.select(
+    return out.select(
         "category",
         F.array_join(F.transform("won", lambda w: w.variant), ",").alias("winner"),
         F.array_join(F.transform("won", name), ",").alias("winner_label"),
         *(two(first[c]).alias(c) for c in ("content", "content_diff", "realism")),
         two(F.col("best") - F.col("second")).alias("margin"),
-        "best",
+        *([two(F.col("best") - F.col("donor_mean")).alias("donor_margin")] if prefix is not None else []),
     )
-    if prefix is None:
-        return board.drop("best")
-    copies = F.filter(F.split("winner", ","), lambda w: w.startswith(prefix))
-    asked = board.withColumn("asked", F.substring(F.get(copies, 0), len(prefix) + 1, 1_000))
-    donors = means.select(F.col("category").alias("of"), F.col("variant").alias("donor"), F.col("realism").alias("donor_mean"))
-    found = asked.join(donors, F.col("category").eqNullSafe(F.col("of")) & (F.col("asked") == F.col("donor")), "left")
-    return found.withColumn("donor_margin", two(F.col("best") - F.col("donor_mean"))).drop("best", "asked", "of", "donor", "donor_mean")
 
 
 def donor_expansion(ratings: DataFrame, pairs: DataFrame) -> DataFrame:

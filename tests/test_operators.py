@@ -222,6 +222,25 @@ def test_winners_of_categories_by_plain_python(spark, seed):
     assert got == plain_winners(rows, {"x_a": "a", "c": "b"}, hidden, "x_", {"c": "Cee"})
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_winners_read_ratings_once(spark, seed):
+    rng = random.Random(seed)
+    some = lambda *values: rng.choice([None, *values])
+    rows = [(some(1, 2, 3), rng.randrange(4), some("p", "q"), some("a", "b", "x_a"), k, some(*range(0, 90, 7)), some(50, 60)) for k in range(150)]
+    rows += [(some(1), 7, "s", v, 900 + k, None if v == "a" else 10 * k, 50 + 10 * k) for k, v in enumerate("aabbb")]  # one listener, or none
+    rated = spark.createDataFrame([(*r[:5], *(None if x is None else Decimal(x) for x in r[5:])) for r in rows], RATED).repartition(3)
+    apart = ratings.content_difference(rated, {"x_a": "a"}, "place")
+    means = {(r.category, r.variant): (r.content, r.realism, r.difference) for r in ratings._means_of(apart, ["content", "realism", "difference"]).collect()}
+    for k, metric in enumerate(("content", "realism", "difference")):
+        of = ratings.metric_stats(apart.withColumn("difference", F.col("difference").cast(ratings.SCALE)), metric)
+        assert {key: m[k] for key, m in means.items() if m[k] is not None} == pytest.approx({(r.category, r.variant): r["mean"] for r in of.collect()}, abs=1e-12)
+    winners = ratings.category_winners(rated, {"x_a": "a"}, "place", None, "x_")
+    for table in (apart, winners):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        last = plan[plan.rindex("Initial Plan") if "Initial Plan" in plan else 0 :]
+        assert last.count("Scan ExistingRDD") == 1 and "Join" not in last
+
+
 def test_upsert_replaces_keys_and_keeps_siblings(spark):
     old = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "path string, track int, name string")
     new = spark.createDataFrame([("a", 1, "z"), ("b", 0, "w")], "path string, track int, name string")
